@@ -15,6 +15,7 @@ import base64
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,24 +23,24 @@ from pyspark.sql import functions as F
 from .common import worker_cache
 
 #: Words of one recursive query, words that a task remembers, text characters and tokens of one step.
-QUERY_WORDS, KEPT_WORDS, STEP_CHARS, STEP_TOKENS = 20_000, 300_000, 8_000_000, 1_500_000
-#: Words of more bytes contract all occurrences of the least pair at once, and in bounded rounds.
-LONG_BYTES, LONG_STEPS = 64, 32
+QUERY_WORDS, KEPT_WORDS, STEP_CHARS, STEP_TOKENS = 30_000, 300_000, 2_000_000, 500_000
+#: Words of more bytes go to queries of so many bytes, contract all occurrences of the least pair at once, and in bounded rounds.
+LONG_BYTES, LONG_STEPS, LONG_QUERY = 64, 32, 200_000
 #: A row's key holds its word and its position.
 SHIFT = 1 << 24
 
 #: One contraction per word and step: the leftmost pair of least rank.
 SHORT = f"""
 WITH RECURSIVE step(it, k, tok) AS (
-  SELECT 0, k, tok FROM chars
+  SELECT 0::TINYINT, k, tok FROM chars
   UNION ALL
-  (WITH pair AS (SELECT it, k, tok, lead(tok) OVER o AS nt, lead(k) OVER o AS nk FROM step WINDOW o AS (ORDER BY k)),
-   best AS (SELECT k // {SHIFT} AS w, min(m.id::BIGINT * {SHIFT} + k % {SHIFT}) AS b FROM pair JOIN merges m ON m.l = pair.tok AND m.r = pair.nt
-            WHERE nk // {SHIFT} = k // {SHIFT} GROUP BY 1),
-   live AS (SELECT it, k, tok, nk, b, w * {SHIFT} + b % {SHIFT} AS spot FROM pair JOIN best ON w = k // {SHIFT})
-   SELECT it + 1, k, CASE WHEN k = spot THEN (b // {SHIFT})::INT ELSE tok END FROM live ANTI JOIN (SELECT nk FROM live WHERE k = spot) gone ON live.k = gone.nk)
+  (WITH pair AS (SELECT it, k, tok, lead(tok) OVER o AS nt, lead(k) OVER o AS nk, lag(k) OVER o AS pk FROM step WINDOW o AS (ORDER BY k)),
+   best AS (SELECT k // {LONG_BYTES} AS w, min(m.id * {LONG_BYTES} + k % {LONG_BYTES}) AS b FROM pair JOIN merges m ON m.l = pair.tok AND m.r = pair.nt
+            WHERE nk // {LONG_BYTES} = k // {LONG_BYTES} GROUP BY 1),
+   live AS (SELECT it, k, tok, pk, b, w * {LONG_BYTES} + b % {LONG_BYTES} AS spot FROM pair JOIN best ON w = k // {LONG_BYTES})
+   SELECT it + 1::TINYINT, k, CASE WHEN k = spot THEN b // {LONG_BYTES} ELSE tok END FROM live WHERE pk IS DISTINCT FROM spot)
 )
-SELECT k, tok FROM (SELECT *, max(it) OVER (PARTITION BY k // {SHIFT}) AS last FROM step) WHERE it = last ORDER BY k
+SELECT k, tok FROM (SELECT *, max(it) OVER (PARTITION BY k // {LONG_BYTES}) AS last FROM step) WHERE it = last ORDER BY k
 """
 
 #: All occurrences of the least pair per step, every other one in a run of equal tokens. That equals one contraction a
@@ -76,7 +77,7 @@ class Codec:
         self.pattern, self.words = regex.compile(pattern), {}
         self.lut = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(a, b, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": ""})
         left, right, ids = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True)) if merges else (pa.array([], pa.int32()),) * 3
         self.con.register("m0", pa.table({"l": left, "r": right, "id": ids}))
         self.con.execute("CREATE TABLE merges AS SELECT l, r, id, id <= coalesce(least((SELECT min(a.id) FROM m0 a WHERE a.l = m0.id), (SELECT min(a.id) FROM m0 a WHERE a.r = m0.id)), id) AS safe FROM m0")
@@ -93,14 +94,15 @@ class Codec:
             self.con.unregister(name)
         return out
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """The token ids of each word."""
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """The token ids of each word, as little-endian 32-bit integers."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
+        short = lens.max() <= LONG_BYTES
+        shift = LONG_BYTES if short else SHIFT
         w = np.repeat(np.arange(len(words)), lens)
-        at = np.arange(len(w)) - np.repeat(np.cumsum(lens) - lens, lens)
-        key, tok = w * SHIFT + at, self.lut[np.frombuffer(b"".join(words), np.uint8)]
-        if lens.max() <= LONG_BYTES:
-            out = self.query(SHORT, chars={"k": key, "tok": tok})
+        key, tok = w * shift + np.arange(len(w)) - np.repeat(np.cumsum(lens) - lens, lens), self.lut[np.frombuffer(b"".join(words), np.uint8)]
+        if short:
+            out = self.query(SHORT, chars={"k": key.astype(np.int32), "tok": tok})
             key, tok = out["k"], out["tok"]
         else:
             done_k, done_t = [], []
@@ -113,36 +115,32 @@ class Codec:
             key, tok = np.concatenate(done_k), np.concatenate(done_t)
             order = np.argsort(key, kind="stable")
             key, tok = key[order], tok[order]
-        return np.split(tok.astype(np.int32), np.flatnonzero(np.diff(key // SHIFT)) + 1)
+        ends = [0, *(4 * (np.flatnonzero(np.diff(key // shift)) + 1)).tolist(), 4 * len(tok)]
+        raw = tok.astype(np.int32).tobytes()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         split = [self.pattern.findall(t) for t in texts]
-        new = {w for ws in split for w in ws if w not in self.words}
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words = {}
-            new = {w for ws in split for w in ws}
-        rest = []
-        for w in new:
+        every = set().union(*split)
+        if len(self.words) + len(every) > KEPT_WORDS and self.words:
+            self.words = {w: self.words[w] for w in every if w in self.words}
+        short, long = [], []
+        for w in every.difference(self.words):
             i = self.ranks.get(raw := w.encode())
-            if i is None:
-                rest.append((len(raw), raw, w))
+            if i is not None:
+                self.words[w] = i.to_bytes(4, "little")
             else:
-                self.words[w] = np.int32(i).tobytes()
-        rest.sort()
-        short = sum(x[0] <= LONG_BYTES for x in rest)
-        parts = [rest[i : i + QUERY_WORDS] for i in range(0, short, QUERY_WORDS)]
-        parts = [p[: short - i * QUERY_WORDS] for i, p in enumerate(parts)]
-        size = QUERY_WORDS * LONG_BYTES
-        for x in rest[short:]:
-            if size + x[0] > QUERY_WORDS * LONG_BYTES // 4:
+                (short if len(raw) <= LONG_BYTES else long).append((raw, w))
+        parts, size = [short[i : i + QUERY_WORDS] for i in range(0, len(short), QUERY_WORDS)], LONG_QUERY
+        for x in long:
+            if size + len(x[0]) > LONG_QUERY:
                 parts.append([])
                 size = 0
             parts[-1].append(x)
-            size += x[0]
+            size += len(x[0])
         for part in parts:
-            for (_, _, w), ids in zip(part, self.contract([x[1] for x in part]), strict=True):
-                self.words[w] = ids.tobytes()
+            self.words.update(zip((w for _, w in part), self.contract([x for x, _ in part]), strict=True))
         return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
 
     def decode(self, flat: np.ndarray, lens: np.ndarray) -> list[bytes]:
@@ -181,9 +179,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
         codec = _codec(lines, pattern)
         for batch in batches:
             n = batch.num_columns - 1
-            texts = batch.column(n).to_pylist()
-            for a, b in _steps([len(t) for t in texts], STEP_CHARS):
-                raw = codec.encode(texts[a:b])
+            texts = batch.column(n)
+            for a, b in _steps(pc.binary_length(texts).to_numpy(zero_copy_only=False), STEP_CHARS):
+                raw = codec.encode(texts.slice(a, b - a).to_pylist())
                 ends = np.cumsum([0] + [len(x) // 4 for x in raw], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(n)), ids], names=[*keep, out])

@@ -52,7 +52,7 @@ class Level:
         ok = np.ones(len(h1), bool)
         for i in range(self.k):
             at = self.places(h1, h2, i)
-            ok &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            ok &= ((self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
         return ok
 
 
@@ -142,7 +142,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         found = member(cascades["allow"], *flat) + 2 * member(cascades["block"], *flat).astype(np.int32)
         return pd.Series(np.split(found.astype(np.int32), np.cumsum(lens)[:-1])) if len(lens) else pd.Series([], dtype=object)
 
-    pair = [F.transform("keys", lambda k, seed=seed: F.xxhash64(F.lit(seed), k["host"], k["path"])) for seed in (1, 2)]
+    pair = [F.transform("keys", lambda k: _pair_hash(k)[0]), F.transform("keys", lambda k: _pair_hash(k)[1])]
     marked = keyed.withColumn("found", verdicts(*pair))
     fits = F.filter(F.arrays_zip("keys", "found"), lambda z: z["found"] > 0)
     ranked = F.transform(fits, lambda z: F.struct((F.length(z["keys"]["host"]) + F.length(z["keys"]["path"])).alias("n"), F.length(z["keys"]["host"]).alias("m"), z["found"].alias("found"), F.concat(z["keys"]["host"], z["keys"]["path"]).alias("rule")))

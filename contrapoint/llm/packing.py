@@ -11,6 +11,7 @@ places of their own, and rows without an id are packed too. An empty table gives
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -20,21 +21,71 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import staged, worker_cache
 
 #: Words that a task remembers, rows of a salted rank part, parts of any length at least.
-KEPT_WORDS, PART_ROWS, LEAST_PARTS = 300_000, 20_000, 64
+KEPT_WORDS, PART_ROWS, LEAST_PARTS = 500_000, 20_000, 64
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: The vocabulary marks tokens that end a word; letters, then ASCII marks without the apostrophe.
+WORD_END, MARKED = "</w>", re.compile(r"^(.*[^!-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]+)$", re.S)
 
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-def _tokenizer(data: str):
-    from tokenizers import Tokenizer
 
+class WordIds:
+    """The ids of each word seen, as little-endian 32-bit integers."""
+
+    def __init__(self, data: str):
+        self.tokenizer = Tokenizer.from_str(data)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        self.special = any(b"<|" in t.encode() for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values()))
+        self.known: dict[bytes, bytes] = {}
+
+    def split(self, text: bytes) -> list[bytes]:
+        """White space cuts a text; ASCII letters are lower-cased here already, unless a special token may be meant."""
+        return text.split() if self.special and b"<|" in text else text.lower().split()
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def letters(self, words: list[str]) -> None:
+        """Learn words of letters only: one call for many, cut where a token ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        if len(ends) != len(words) + 1 or ends[-1] != 4 * len(ids):
+            self.known.update((w.encode(), self.one(w)) for w in words)
+        else:
+            raw = ids.tobytes()
+            self.known.update((w.encode(), raw[a:b]) for w, a, b in zip(words, ends, ends[1:], strict=False))
+
+    def learn(self, words: list[bytes]) -> None:
+        """A word of letters and final ASCII marks has the ids of the letters, then of the marks."""
+        plain, parted = set(), []
+        for w in words:
+            if (t := w.decode()).isalpha():
+                plain.add(t)
+            elif (m := MARKED.match(t)) and m[1].isalpha() and "<|" not in t:
+                parted.append((w, m[1].encode(), m[2].encode()))
+                plain.add(m[1])
+            else:
+                self.known[w] = self.one(t)
+        plain = [t for t in plain if t.encode() not in self.known]
+        for i in range(0, len(plain), 1000):
+            self.letters(plain[i : i + 1000])
+        for w, core, marks in parted:
+            if marks not in self.known:
+                self.known[marks] = self.one(marks.decode())
+            self.known[w] = self.known[core] + self.known[marks]
+
+
+def _word_ids(data: str) -> WordIds:
     cache = worker_cache()
     if (key := ("word_bpe", hash(data))) not in cache:
-        cache[key] = Tokenizer.from_str(data), {}
+        cache[key] = WordIds(data)
     return cache[key]
 
 
@@ -49,18 +100,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     end, types = np.uint32(end_id).tobytes(), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        tokenizer, known = _tokenizer(data.value)
+        ids_of = _word_ids(data.value)
+        known = ids_of.known
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                words = [t.split() for t in pc.cast(part.column(1), pa.binary()).to_pylist()]
+                words = [ids_of.split(t) for t in pc.cast(part.column(1), pa.binary()).to_pylist()]
                 if len(known) > KEPT_WORDS:
                     known.clear()
-                new = list(set().union(*words).difference(known))
-                for i in range(0, len(new), 10_000):
-                    now = new[i : i + 10_000]
-                    for w, e in zip(now, tokenizer.encode_batch_fast([w.decode() for w in now], add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, np.uint32).tobytes()
+                ids_of.learn(list(set().union(*words).difference(known)))
                 rows = []
                 for doc_id, ws in zip(part.column(0).to_pylist(), words, strict=True):
                     ids = b"".join([*map(known.__getitem__, ws), end])

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, capfilters, packing, topk, url_cascade
+from . import byte_bpe, capfilters, gru_language, minhash, packing, subword_classifier, topk, url_cascade
+from .common import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,15 +30,32 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, threshold=0.85)
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return topk.top_k(rows.where("vec_id % 20 = 0"), rows, k=20, scale=64.0)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = subword_classifier.fit(docs, _table(spark, sf_dir, "labels"), "quality", lambda i: ~held_out(i, 4, 2))
+    rows = subword_classifier.score(docs.withColumn("held_out", held_out(F.col("doc_id"), 4, 2)), model)
+    return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE, capacity=4096)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = gru_language.fit(docs, lambda i: ~held_out(i, 4, 2))
+    return gru_language.predict(docs.select("doc_id", "text", held_out(F.col("doc_id"), 4, 2).alias("held_out")), model)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_cascade.judge(_table(spark, sf_dir, "pages"), rules, default="allow")

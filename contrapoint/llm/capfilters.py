@@ -2,7 +2,7 @@
 
 A filter direction joins one code word for each half of the vector, so there are ``codewords`` squared of them. Each
 vector is assigned its nearest direction, found by halves, and each direction gets a cap as wide as its farthest vector
-plus the angle of the threshold. Every vector is then list-decoded to all caps that hold it: the first half's products
+plus the angle of the threshold. Every vector is then list-decoded to all caps that hold it and that its label uses: the first half's products
 prune the second's. By the triangle inequality a vector's partners all lie in the cap of its own direction, so joining
 assigned with decoded vectors on the direction finds every link, and each vector's links in that one place. Pairs are
 verified by cosine in double precision.
@@ -65,11 +65,12 @@ def _forest(rows: np.ndarray, cols: np.ndarray, left: np.ndarray, right: np.ndar
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int = 1024, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(``vec_id``, ``n_links``, ``component_id``, ``kept``) for every row of ``vectors``."""
-    every = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
+    every = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("label"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
     usable &= F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False)) & F.exists("v", lambda c: c != 0)
     good = every.where(usable)
-    classes = staged(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(label), 64) AS int))")
+    classes = staged(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("bit", bit), "classes")
 
     def assign(batches):
         for batch in batches:
@@ -83,22 +84,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(filters), pa.array(cosines)], names=[*batch.schema.names, "f", "cosine"])
 
     assigned = staged(classes.mapInArrow(assign, classes.withColumn("f", F.lit(0).cast("long")).withColumn("cosine", F.lit(0.0)).schema), "assigned")
-    # At most one row per direction and length, so a few times codewords ** 2.
-    caps = assigned.groupBy(F.size("v").alias("dim"), "f").agg(F.min("cosine").alias("cosine")).toPandas()
+    # One row per direction and length at most, so its size is bounded by codewords ** 2: the widest angle, and the labels as
+    # a mask of 64 hash bits.
+    caps = assigned.groupBy(F.size("v").alias("dim"), "f").agg(F.min("cosine").alias("cosine"), F.bit_or("bit").alias("mask")).toPandas()
     angle = np.arccos(threshold) + 1e-6
     by_dim = {}
     for dim, own in caps.groupby("dim"):
         own = own.sort_values("f")
         least = np.cos(np.minimum(np.pi, np.arccos(np.clip(own["cosine"].to_numpy(), -1, 1)) + angle)) - 1e-9
         i = own["f"].to_numpy() // codewords
-        by_dim[int(dim)] = (np.split(own["f"].to_numpy() % codewords, np.searchsorted(i, np.arange(1, codewords))), np.split(least, np.searchsorted(i, np.arange(1, codewords))), least.min())
+        cuts = np.searchsorted(i, np.arange(1, codewords))
+        by_dim[int(dim)] = (*(np.split(x, cuts) for x in (own["f"].to_numpy() % codewords, least, own["mask"].to_numpy())), least.min())
     caps = vectors.sparkSession.sparkContext.broadcast(by_dim)
 
     def decode(batches):
         for batch in batches:
-            at, to = [], []
+            at, to, bits = [], [], batch.column("bit").to_numpy()
             for n, (rows, x) in _stack(batch.column("v")).items():
-                (c1, c2), (seconds, leasts, lowest) = code(n, codewords), caps.value[n]
+                (c1, c2), (seconds, leasts, masks, lowest) = code(n, codewords), caps.value[n]
                 for s in range(0, len(rows), 4096):
                     p, q = x[s : s + 4096, : n // 2] @ c1.T, x[s : s + 4096, n // 2 :] @ c2.T
                     need = lowest - q.max(1)
@@ -106,15 +109,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int
                         if len(seconds[i]):
                             live = np.flatnonzero(p[:, i] >= need)
                             r, j = np.nonzero(p[live, i][:, None] + q[live][:, seconds[i]] >= leasts[i])
-                            at.append(rows[s + live[r]])
-                            to.append(i * codewords + seconds[i][j])
+                            own = bits[rows[s + live[r]]] & masks[i][j] != 0
+                            at.append(rows[s + live[r[own]]])
+                            to.append(i * codewords + seconds[i][j[own]])
             at, to = (np.concatenate([*z, np.empty(0, np.int64)]).astype(np.int64) for z in (at, to))
             for s in range(0, len(at), 20_000):
                 part = pa.record_batch(batch.select(["label", "v", "rep", "copies"])).take(pa.array(at[s : s + 20_000]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to[s : s + 20_000])], names=[*part.schema.names, "f"])
 
     columns = ["label", "v", "rep", "copies", "f"]
-    decoded = staged(assigned.select("label", "v", "rep", "copies").mapInArrow(decode, assigned.select(*columns).schema), "decoded")
+    decoded = staged(assigned.select("label", "v", "rep", "copies", "bit").mapInArrow(decode, assigned.select(*columns).schema), "decoded")
     keys = ["label", "dim", "f"]
     assigned, decoded = (d.select(*columns, F.size("v").alias("dim")) for d in (assigned, decoded))
     sizes = assigned.groupBy(*keys).agg(F.count("*").alias("nq")).join(decoded.groupBy(*keys).agg(F.count("*").alias("nd")), keys)

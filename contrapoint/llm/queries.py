@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, capfilters, gru_language, minhash, packing, subword_classifier, topk, url_cascade
+from . import byte_bpe, capfilters, gru_language, lattice_lm, minhash, packing, subword_classifier, topk, url_cascade
 from .common import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 #: The rules of the url query (host, path, verdict).
@@ -30,6 +31,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(_table(spark, sf_dir, "documents"), lattice_lm.read_pieces(PIECES), held_out(F.col("doc_id"), 10, 0))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, threshold=0.85)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import worker_cache
 
 #: Words of one recursive query, words that a task remembers, text characters and tokens of one step.
-QUERY_WORDS, KEPT_WORDS, STEP_CHARS, STEP_TOKENS = 40_000, 600_000, 3_000_000, 500_000
+QUERY_WORDS, KEPT_WORDS, STEP_CHARS, STEP_TOKENS = 70_000, 500_000, 3_000_000, 800_000
 #: Words of more bytes go to queries of so many bytes, contract all occurrences of the least pair at once, and in bounded rounds.
 LONG_BYTES, LONG_STEPS, LONG_QUERY = 64, 32, 200_000
 #: A row's key holds its word and its position.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, capfilters, gru_language, lattice_lm, minhash, packing, subword_classifier, topk, url_cascade
+from . import byte_bpe, capfilters, disclosure, gru_language, lattice_lm, minhash, packing, subword_classifier, topk, url_cascade
 from .common import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,6 +35,16 @@ def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(_table(spark, sf_dir, "documents"), lattice_lm.read_pieces(PIECES), held_out(F.col("doc_id"), 10, 0))
 
 
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = disclosure.find(_table(spark, sf_dir, "documents"))
+    counts = [_count(kind) for kind in disclosure.PATTERNS]
+    return rows.select("doc_id", *counts, F.sha2(disclosure.listed(F.col("spans")), 256).alias("base_sha256"), disclosure.listed(F.concat("spans", "terms")).alias("spans"))
+
+
+def _count(kind: str):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, threshold=0.85)
 

@@ -2,10 +2,665 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores, series, text, vectors
+from ..operators import analytics, combine, encoders, lof, preprocess
+from ..operators.search import knn
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- neighbour search
+
+#: Queries are the embeddings of all other classes, candidates those of the target class.
+TARGET = 0
+
+
+def embeddings(spark, d, first: int = 1, count: int = 64) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.slice(F.col("embedding").cast("array<double>"), first, count).alias("value"), "label")
+
+
+def _near(spark, d, k, metric, first=1, count=64) -> DataFrame:
+    e = embeddings(spark, d, first, count)
+    return knn(e.where(F.col("label") != TARGET), e.where(F.col("label") == TARGET), k, metric)
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+_E = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings)"
+_ZIP = "list_transform(list_zip(q.{v}, c.{v}), lambda z: {f})"
+_DISTANCES = {
+    "euclidean": "sqrt(list_sum(" + _ZIP.format(v="{v}", f="(z[1] - z[2]) * (z[1] - z[2])") + "))",
+    "manhattan": "list_sum(" + _ZIP.format(v="{v}", f="abs(z[1] - z[2])") + ")",
+    "chebyshev": "list_max(" + _ZIP.format(v="{v}", f="abs(z[1] - z[2])") + ")",
+    "cosine": "1 - list_cosine_similarity(q.{v}, c.{v})",
+}
+
+
+def _knn_cte(name: str, metric: str, k: int, v: str = "v", where: str = f"q.label <> {TARGET} AND c.label = {TARGET}", source: str = "e") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT query_id, train_id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id))::INT AS rank
+    FROM (SELECT q.vec_id AS query_id, c.vec_id AS train_id, {_DISTANCES[metric].format(v=v)} AS distance FROM {source} q JOIN {source} c ON {where})) WHERE rank <= {k})"""
+
+
+def _knn_sql(metric: str, k: int = 5, where: str | None = None) -> str:
+    cte = _knn_cte("n", metric, k) if where is None else _knn_cte("n", metric, k, where=where)
+    return f"WITH {_E}, {cte} SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM n"
+
+
+@_query(_knn_sql("euclidean"))
+def knn_euclidean(spark, d):
+    return _rounded(_near(spark, d, 5, "euclidean"), "distance")
+
+
+@_query(_knn_sql("manhattan"))
+def knn_manhattan(spark, d):
+    return _rounded(_near(spark, d, 5, "manhattan"), "distance")
+
+
+@_query(_knn_sql("cosine"))
+def knn_cosine(spark, d):
+    return _rounded(_near(spark, d, 5, "cosine"), "distance")
+
+
+@_query(_knn_sql("chebyshev"))
+def knn_chebyshev(spark, d):
+    return _rounded(_near(spark, d, 5, "chebyshev"), "distance")
+
+
+@_query(_knn_sql("euclidean", 3, "c.label = (q.label + 1) % 10"))
+def knn_per_class(spark, d):
+    """Each embedding's nearest neighbours in the class after its own."""
+    e = embeddings(spark, d)
+    return _rounded(knn(e.withColumn("target", (F.col("label") + 1) % 10), e, 3, "euclidean", per_class=True), "distance")
+
+
+@_query(_knn_sql("euclidean", 1, "q.label <> c.label"))
+def nearest_unlike_neighbour(spark, d):
+    """The nearest embedding of any other class: the best of the classes' own nearest."""
+    e = embeddings(spark, d)
+    spread = e.withColumn("target", F.explode(F.array(*[F.lit(i) for i in range(10)]))).where("target <> label")
+    each = [knn(spread.where(F.col("target") == i), e.where(F.col("label") == i), 1, "euclidean") for i in range(10)]
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    every = reduce(DataFrame.union, each).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "train_id")))
+    return _rounded(every.where("rank = 1"), "distance")
+
+
+def customers(spark, d) -> DataFrame:
+    """Customers with features of their orders; the segment is the class."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.sum(F.col("o_totalprice").cast("double")).alias("total"))
+    c = table(spark, d, "customer").join(o, "c_custkey", "left")
+    return c.select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("double").alias("nation"), (F.col("c_acctbal").cast("double") / 1000).alias("balance"), F.coalesce("n_orders", F.lit(0)).cast("double").alias("n_orders"), (F.coalesce("total", F.lit(0.0)) / 1e5).alias("total"))
+
+
+_CUST = """o AS (SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice::DOUBLE) AS total FROM orders GROUP BY 1),
+cu AS (SELECT c_custkey AS vec_id, c_mktsegment AS label, c_nationkey::DOUBLE AS nation, c_acctbal::DOUBLE / 1000 AS balance, coalesce(n_orders, 0)::DOUBLE AS n_orders, coalesce(total, 0.0) / 1e5 AS total
+ FROM customer LEFT JOIN o ON o_custkey = c_custkey)"""
+_SEGMENTS = "q.label = 'BUILDING' AND c.label = 'AUTOMOBILE'"
+
+
+@_query(f"""WITH {_CUST}, e AS (SELECT vec_id, label, [balance, n_orders, total] AS v FROM cu), {_knn_cte("n", "euclidean", 5, where=_SEGMENTS)}
+SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM n""")
+def early_fusion_knn(spark, d):
+    """Two tabular branches joined and concatenated, then searched."""
+    c = customers(spark, d)
+    fused = combine.early_fusion([c.select("sample_id", F.array("balance").alias("value")), c.select("sample_id", F.array("n_orders", "total").alias("value"))])
+    side = lambda s: fused.join(c.where(F.col("segment") == s).select("sample_id"), "sample_id")
+    return _rounded(knn(side("BUILDING"), side("AUTOMOBILE"), 5, "euclidean"), "distance")
+
+
+@_query(f"""WITH {_CUST}, e AS (SELECT vec_id, label, [nation, n_orders, floor(balance)] AS v FROM cu),
+x AS (SELECT q.vec_id AS query_id, c.vec_id AS train_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] <> z[2])::INT)) / 3.0 AS distance FROM e q JOIN e c ON {_SEGMENTS}),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id))::INT AS rank FROM x) SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 3""")
+def knn_hamming(spark, d):
+    c = customers(spark, d).select("sample_id", "segment", F.array("nation", "n_orders", F.floor("balance").cast("double")).alias("value"))
+    return _rounded(knn(c.where("segment = 'BUILDING'"), c.where("segment = 'AUTOMOBILE'"), 3, "hamming"), "distance")
+
+
+def _part_vectors(spark, d) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample_id"), F.array((F.col("s_acctbal").cast("double") / 1000), F.col("s_nationkey").cast("double")).alias("value"))
+
+
+@_query("""WITH s AS (SELECT s_suppkey AS id, s_acctbal::DOUBLE / 1000 AS a, s_nationkey::DOUBLE AS b FROM supplier),
+x AS (SELECT q.id AS query_id, c.id AS train_id, abs(q.a - c.a) AS da, abs(q.b - c.b) AS db, q.a AS qa, q.b AS qb, c.a AS ca, c.b AS cb FROM s q JOIN s c ON q.id <> c.id),
+m AS (SELECT query_id, train_id, 'sqeuclidean' AS metric, da * da + db * db AS distance FROM x
+ UNION ALL SELECT query_id, train_id, 'canberra', CASE WHEN da = 0 THEN 0 ELSE da / (abs(qa) + abs(ca)) END + CASE WHEN db = 0 THEN 0 ELSE db / (abs(qb) + abs(cb)) END FROM x
+ UNION ALL SELECT query_id, train_id, 'braycurtis', CASE WHEN abs(qa + ca) + abs(qb + cb) = 0 THEN 0 ELSE (da + db) / (abs(qa + ca) + abs(qb + cb)) END FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric, query_id ORDER BY distance, train_id) AS rank FROM m) SELECT metric, query_id, train_id, round(distance, 6) AS distance FROM r WHERE rank = 1""")
+def knn_other_metrics(spark, d):
+    v = _part_vectors(spark, d)
+    out = [knn(v, v, 1, m, exclude_self=True).select(F.lit(m).alias("metric"), "query_id", "train_id", "distance") for m in ("sqeuclidean", "canberra", "braycurtis")]
+    return _rounded(out[0].union(out[1]).union(out[2]), "distance")
+
+
+# ---------------------------------------------------------------- candidates
+
+_MEDIAN_SQL = """WITH {e}, {n}, s AS (SELECT query_id, rank, v FROM n JOIN e ON vec_id = train_id), c AS (SELECT query_id, max(rank) AS k FROM s GROUP BY 1),
+i AS (SELECT query_id, unnest(range(1, k + 1))::INT AS cand_rank, k FROM c), p AS (SELECT *, {prefix} AS n_used FROM i),
+x AS (SELECT p.query_id, cand_rank, n_used, unnest(s.v) AS x, generate_subscripts(s.v, 1) AS dim FROM p JOIN s ON s.query_id = p.query_id AND s.rank <= n_used),
+m AS (SELECT query_id, cand_rank, n_used, dim, median(x) AS m FROM x GROUP BY ALL)
+SELECT m.query_id, cand_rank, n_used::INT AS n_used, n.train_id AS anchor_id, round(sum(m), 6) AS value_sum, round(max(m) FILTER (dim = 7), 6) AS value_7
+FROM m JOIN n ON n.query_id = m.query_id AND n.rank = {anchor} GROUP BY ALL"""
+
+
+def _digest(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, F.round(F.aggregate("value", F.lit(0.0), lambda a, b: a + b), 6).alias("value_sum"), F.round(F.get("value", F.lit(6)), 6).alias("value_7"))
+
+
+def _medians(spark, d, step, anchor="rank"):
+    near = _near(spark, d, 5, "euclidean")
+    return _digest(combine.progressive_medians(near, embeddings(spark, d), step, anchor), "query_id", "cand_rank", "n_used", "anchor_id")
+
+
+@_query(_MEDIAN_SQL.format(e=_E, n=_knn_cte("n", "euclidean", 5), prefix="least(2 * cand_rank - 1, k)", anchor="cand_rank"))
+def progressive_median_odd(spark, d):
+    return _medians(spark, d, "odd")
+
+
+@_query(_MEDIAN_SQL.format(e=_E, n=_knn_cte("n", "euclidean", 5), prefix="cand_rank", anchor="cand_rank"))
+def progressive_median_step(spark, d):
+    return _medians(spark, d, "step")
+
+
+@_query(_MEDIAN_SQL.format(e=_E, n=_knn_cte("n", "euclidean", 5), prefix="least(2 * cand_rank - 1, k)", anchor="n_used"))
+def progressive_median_odd_anchor(spark, d):
+    return _medians(spark, d, "odd", "odd")
+
+
+def _halves(spark, d, k):
+    return {"a": _near(spark, d, k, "euclidean", 1, 32), "b": _near(spark, d, k, "manhattan", 33, 32)}
+
+
+_HALVES = "e AS (SELECT vec_id, label, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS a, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS b, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+
+
+@_query(f"""WITH {_HALVES}, {_knn_cte("na", "euclidean", 20, "a")}, {_knn_cte("nb", "manhattan", 20, "b")},
+j AS (SELECT na.query_id, na.train_id, na.distance + nb.distance AS distance FROM na JOIN nb USING (query_id, train_id)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id))::INT AS rank FROM j)
+SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 5""")
+def consensus_retrieval(spark, d):
+    """Neighbours that both halves of the embedding list, by the summed distances."""
+    return _rounded(combine.consensus(_halves(spark, d, 20), 5), "distance")
+
+
+_QUARTERS = "e AS (SELECT vec_id, label, " + ", ".join(f"list_transform(embedding[{1 + 16 * i}:{16 + 16 * i}], lambda x: x::DOUBLE) AS v{i}" for i in range(4)) + " FROM embeddings)"
+
+
+@_query(f"""WITH {_QUARTERS}, {", ".join(_knn_cte(f"n{i}", "cosine", 25, f"v{i}") for i in range(4))},
+j AS (SELECT query_id, train_id, n0.distance + n1.distance + n2.distance + n3.distance AS distance FROM n0 JOIN n1 USING (query_id, train_id) JOIN n2 USING (query_id, train_id) JOIN n3 USING (query_id, train_id)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id))::INT AS rank FROM j) SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 3""")
+def consensus_four_spaces(spark, d):
+    return _rounded(combine.consensus({str(i): _near(spark, d, 25, "cosine", 1 + 16 * i, 16) for i in range(4)}, 3), "distance")
+
+
+@_query(f"""WITH {_HALVES}, {_knn_cte("na", "euclidean", 4, "a")}, {_knn_cte("nb", "manhattan", 6, "b")},
+i AS (SELECT DISTINCT query_id, rank AS cand_rank FROM na),
+xa AS (SELECT i.query_id, cand_rank, unnest(e.a) AS x, generate_subscripts(e.a, 1) AS dim FROM i JOIN na ON na.query_id = i.query_id AND na.rank <= cand_rank JOIN e ON e.vec_id = na.train_id),
+m AS (SELECT query_id, cand_rank, dim, median(x) AS m FROM xa GROUP BY ALL)
+SELECT m.query_id, cand_rank, round(sum(m), 6) AS a_sum, any_value(na.train_id) AS a_id, any_value(nb.train_id) AS b_id
+FROM m JOIN na ON na.query_id = m.query_id AND na.rank = cand_rank JOIN nb ON nb.query_id = m.query_id AND nb.rank = cand_rank GROUP BY ALL""")
+def prototype_synthesis(spark, d):
+    """A median branch and an anchored branch, as many candidates as the shorter list."""
+    a, b = _near(spark, d, 4, "euclidean", 1, 32), _near(spark, d, 6, "manhattan", 33, 32)
+    out = combine.synthesis({"a": (a, embeddings(spark, d, 1, 32))}, {"b": b}, 10)
+    return out.select("query_id", "cand_rank", F.round(F.aggregate(F.col("num")["a"], F.lit(0.0), lambda x, y: x + y), 6).alias("a_sum"), F.col("anchors")["a"].alias("a_id"), F.col("anchors")["b"].alias("b_id"))
+
+
+# ---------------------------------------------------------------- time series
+
+#: The event types, one channel each, and the days.
+CHANNELS, FIRST_DAY, DAYS = ("click", "purchase", "view", "signup", "error"), "2024-01-01", 30
+
+
+def user_series(spark, d) -> DataFrame:
+    """Users' daily event counts by type, channel-major; the class is the parity of a user's events."""
+    e = table(spark, d, "events")
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(64).collect()]
+    e = e.select(F.col("user_id").cast("long").alias("sample_id"), F.datediff(F.to_date("ts"), F.lit(FIRST_DAY).cast("date")).alias("day"), "event_type").where(F.col("day").between(0, DAYS - 1))
+    counts = e.groupBy("sample_id", "event_type", "day").agg(F.count("*").alias("n"))
+    per = counts.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "event_type", F.col("day").cast("string")), F.col("n").cast("double")))).alias("m"), F.sum("n").alias("total"))
+    channel = lambda kind: F.transform(F.sequence(F.lit(0), F.lit(DAYS - 1)), lambda t: F.coalesce(F.try_element_at(F.col("m"), F.concat_ws(":", F.lit(kind), t.cast("string"))), F.lit(0.0)))
+    return per.select("sample_id", F.array(*[channel(k) for k in kinds]).alias("value"), (F.col("total") % 2).cast("int").alias("label"))
+
+
+_SERIES = f"""ev AS (SELECT user_id::BIGINT AS id, event_type AS ch, date_diff('day', DATE '{FIRST_DAY}', ts::DATE) AS t FROM events),
+cn AS (SELECT id, ch, t, count(*)::DOUBLE AS n FROM ev WHERE t BETWEEN 0 AND {DAYS - 1} GROUP BY ALL),
+us AS (SELECT id, (sum(n) % 2)::INT AS label FROM cn GROUP BY 1),
+gr AS (SELECT us.id, label, k.ch, t.t, coalesce(n, 0.0) AS n FROM us CROSS JOIN (SELECT DISTINCT ch FROM cn) k CROSS JOIN (SELECT unnest(range(0, {DAYS})) AS t) t LEFT JOIN cn ON cn.id = us.id AND cn.ch = k.ch AND cn.t = t.t)"""
+_TS_NEAR = """dc AS (SELECT q.id AS query_id, c.id AS train_id, q.ch, sqrt(sum((q.n - c.n) * (q.n - c.n))) AS x FROM gr q JOIN gr c ON q.ch = c.ch AND q.t = c.t WHERE q.label = 1 AND c.label = 0 GROUP BY ALL),
+ds AS (SELECT query_id, train_id, sum(x) AS distance FROM dc GROUP BY ALL),
+n AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), train_id))::INT AS rank FROM ds) WHERE rank <= 5)"""
+
+
+def _ts_near(spark, d, metric, k=5):
+    s = user_series(spark, d)
+    f = series.KERNELS[metric]
+    return knn(s.where("label = 1"), s.where("label = 0"), k, lambda q, c: f(q, c).round(9), "series")
+
+
+@_query(f"WITH {_SERIES}, {_TS_NEAR} SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM n")
+def ts_euclidean_knn(spark, d):
+    return _rounded(_ts_near(spark, d, "euclidean"), "distance")
+
+
+@_query()
+def ts_dtw_knn(spark, d):
+    """Windowed warping, summed over channels; tested against a plain recursion."""
+    return _rounded(_ts_near(spark, d, "dtw"), "distance")
+
+
+@_query()
+def ts_lcss_knn(spark, d):
+    return _rounded(_ts_near(spark, d, "lcss"), "distance")
+
+
+@_query()
+def ts_dtw_dependent_knn(spark, d):
+    return _rounded(_ts_near(spark, d, "dtw_dependent"), "distance")
+
+
+@_query(f"""WITH {_SERIES}, m AS (SELECT ch, median(n) AS m FROM gr GROUP BY 1) SELECT ((dense_rank() OVER (ORDER BY ch)) - 1)::INT AS channel, round(tau, 6) AS tau
+FROM (SELECT gr.ch, 1.1 * median(abs(n - m)) AS tau FROM gr JOIN m USING (ch) GROUP BY 1)""")
+def tau_mad(spark, d):
+    return _rounded(preprocess.mad_threshold(user_series(spark, d), 1.1), "tau")
+
+
+@_query(f"""WITH {_SERIES}, {_TS_NEAR}, p AS (SELECT n.query_id, n.rank, q.ch, q.t, q.n AS a, c.n AS b FROM n JOIN gr q ON q.id = n.query_id JOIN gr c ON c.id = n.train_id AND c.ch = q.ch AND c.t = q.t)
+SELECT query_id, rank, round(avg(abs(a - b)), 6) AS proximity, round(avg((a <> b)::INT), 6) AS sparsity FROM p GROUP BY ALL""")
+def ts_proximity_sparsity(spark, d):
+    s = user_series(spark, d)
+    n = _ts_near(spark, d, "euclidean")
+    j = n.join(s.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a")), "query_id").join(s.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b")), "train_id")
+    return _rounded(j.select("query_id", "rank", series.proximity(F.col("a"), F.col("b")).alias("proximity"), series.sparsity(F.col("a"), F.col("b")).alias("sparsity")), "proximity", "sparsity")
+
+
+@_query(f"""WITH {_SERIES}, {_TS_NEAR}, i AS (SELECT query_id, rank AS cand_rank, max(rank) OVER (PARTITION BY query_id) AS k FROM n),
+x AS (SELECT i.query_id, cand_rank, gr.ch, gr.t, median(gr.n) AS m FROM i JOIN n ON n.query_id = i.query_id AND n.rank <= least(2 * cand_rank - 1, k) JOIN gr ON gr.id = n.train_id GROUP BY ALL)
+SELECT query_id, cand_rank, round(sum(m), 6) AS total FROM x GROUP BY ALL""")
+def ts_progressive_median(spark, d):
+    out = combine.progressive_series_medians(_ts_near(spark, d, "euclidean"), user_series(spark, d))
+    return out.select("query_id", "cand_rank", F.round(F.aggregate(F.flatten("value"), F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
+@_query(f"""WITH {_SERIES}, f AS (SELECT id AS vec_id, label, list(m ORDER BY ch) AS v FROM (SELECT id, label, ch, avg(n) AS m FROM gr GROUP BY ALL) GROUP BY ALL),
+{_knn_cte("n", "euclidean", 3, where="q.label = 1 AND c.label = 0", source="f").replace("ORDER BY distance, train_id", "ORDER BY round(distance, 9), train_id")} SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM n""")
+def early_fusion_time_means(spark, d):
+    """Series reduced to their channels' means, then searched as vectors."""
+    s = user_series(spark, d).withColumn("value", series.time_mean(F.col("value")))
+    f = vectors.KERNELS["euclidean"]
+    return _rounded(knn(s.where("label = 1"), s.where("label = 0"), 3, lambda q, c: f(q, c).round(9)), "distance")
+
+
+# ---------------------------------------------------------------- plausibility and objectives
+
+K_LOF = 10
+_LOF = f"""WITH {_E}, ref AS (SELECT * FROM e WHERE label = {TARGET}),
+n0 AS (SELECT * FROM (SELECT q.vec_id AS id, c.vec_id AS nb, {_DISTANCES["euclidean"].format(v="v")} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DISTANCES["euclidean"].format(v="v")}, c.vec_id) AS r FROM ref q JOIN ref c ON q.vec_id <> c.vec_id) WHERE r <= {K_LOF}),
+kd AS (SELECT id, max(d) AS kd FROM n0 GROUP BY 1), lr AS (SELECT n0.id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n0 JOIN kd ON kd.id = n0.nb GROUP BY 1),
+n1 AS (SELECT * FROM (SELECT q.vec_id AS id, q.label, c.vec_id AS nb, {_DISTANCES["euclidean"].format(v="v")} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DISTANCES["euclidean"].format(v="v")}, c.vec_id) AS r FROM e q JOIN ref c ON true) WHERE r <= {K_LOF}),
+s AS (SELECT n1.id, any_value(label) AS label, avg(lrd) * (avg(greatest(d, kd)) + 1e-10) AS lof FROM n1 JOIN kd ON kd.id = n1.nb JOIN lr ON lr.id = n1.nb GROUP BY 1)"""
+
+
+def _lof_scores(spark, d):
+    e = embeddings(spark, d)
+    fitted = lof.fit(e.where(F.col("label") == TARGET), K_LOF)
+    return lof.score(fitted, e, K_LOF).join(e.select("sample_id", "label"), "sample_id")
+
+
+@_query(f"{_LOF} SELECT id AS sample_id, round(lof, 6) AS lof FROM s")
+def lof_score(spark, d):
+    """Outlier factors of all embeddings against the target class; its own rows count as new points."""
+    return _rounded(_lof_scores(spark, d).select("sample_id", "lof"), "lof")
+
+
+@_query(f"{_LOF}, q AS (SELECT *, round(lof, 9) AS x FROM s), f AS (SELECT x FROM q WHERE label = {TARGET}) SELECT id AS sample_id, round((SELECT count(*) FROM f WHERE f.x <= q.x) / (SELECT count(*) FROM f), 6) AS plausibility FROM q")
+def lof_percentile(spark, d):
+    s = _lof_scores(spark, d).withColumn("lof", F.round("lof", 9))
+    out = scores.with_percentile_rank(s, "lof", s.where(F.col("label") == TARGET), "lof", "plausibility")
+    return _rounded(out.select("sample_id", "plausibility"), "plausibility")
+
+
+@_query(f"""{_LOF}, b AS (SELECT quantile_cont(lof, 0.05) AS low, quantile_cont(lof, 0.95) AS high FROM s WHERE label = {TARGET})
+SELECT id AS sample_id, round(least(greatest((lof - low) / (high - low), 0), 1), 6) AS plausibility FROM s, b""")
+def lof_unit_interval(spark, d):
+    s = _lof_scores(spark, d)
+    low, high = lof.bounds(s.where(F.col("label") == TARGET)).first()
+    return s.select("sample_id", F.round(scores.unit_interval(F.col("lof"), F.lit(low), F.lit(high)), 6).alias("plausibility"))
+
+
+_PAIRS = f"WITH {_E}, {_knn_cte('n', 'euclidean', 5)}, p AS (SELECT n.query_id, n.rank, q.v AS a, c.v AS b, q.label AS ql, c.label AS cl FROM n JOIN e q ON q.vec_id = n.query_id JOIN e c ON c.vec_id = n.train_id)"
+
+
+def _pairs(spark, d):
+    e = embeddings(spark, d)
+    n = _near(spark, d, 5, "euclidean")
+    return n.join(e.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a"), F.col("label").alias("ql")), "query_id").join(e.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b"), F.col("label").alias("cl")), "train_id")
+
+
+@_query(f"""{_PAIRS} SELECT query_id, rank, round(list_sum(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2]))) / 64, 6) AS proximity,
+round(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] <> z[2])::INT)) / 64, 6) AS sparsity,
+round(least(greatest((1 - list_inner_product(a, b)) / 2, 0), 1), 6) AS embedding_proximity, round((1 - list_cosine_similarity(a, b)) / 2, 6) AS image_proximity,
+round(list_sum(list_transform(list_zip(a, b), lambda z: (abs(z[1] - z[2]) > 0.1)::INT)) / 64, 6) AS image_sparsity, abs(cl - {TARGET})::DOUBLE AS outcome FROM p""")
+def vector_objectives(spark, d):
+    """Outcome, proximity and sparsity of each nearest neighbour taken as a candidate."""
+    p, a, b = _pairs(spark, d), F.col("a"), F.col("b")
+    scaled_off = scores.image_sparsity(F.transform(a, lambda x: x), F.transform(b, lambda x: x), 0.1)
+    raw = F.aggregate(F.zip_with(a, b, lambda x, y: (F.abs(x - y) > 0.1).cast("double")), F.lit(0.0), lambda s, v: s + v) / 64
+    sparse = F.when((F.array_max(a) <= 1) & (F.array_max(b) <= 1), scaled_off).otherwise(raw)
+    out = p.select("query_id", "rank", scores.tabular_proximity(a, b).alias("proximity"), scores.tabular_sparsity(a, b).alias("sparsity"), scores.embedding_proximity(a, b).alias("embedding_proximity"), scores.cosine_proximity(a, b).alias("image_proximity"), sparse.alias("image_sparsity"), scores.outcome(F.col("cl"), F.lit(TARGET)).alias("outcome"))
+    return _rounded(out, "proximity", "sparsity", "embedding_proximity", "image_proximity", "image_sparsity")
+
+
+@_query(f"""{_PAIRS} SELECT query_id, rank, round(list_sum(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2]))) / 64, 6) AS baseline_proximity,
+(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] <> z[2])::INT)))::DOUBLE AS baseline_changed, round(1 - list_cosine_similarity(a, b), 6) AS baseline_cosine FROM p""")
+def baseline_objectives(spark, d):
+    p, a, b = _pairs(spark, d), F.col("a"), F.col("b")
+    near, changed = scores.baseline_tabular(a, b)
+    cosine, _ = scores.baseline_embedding(a, b)
+    return _rounded(p.select("query_id", "rank", near.alias("baseline_proximity"), changed.alias("baseline_changed"), cosine.alias("baseline_cosine")), "baseline_proximity", "baseline_cosine")
+
+
+@_query("""SELECT doc_id AS sample_id, abs(toxic - 0)::DOUBLE AS outcome, quality <> toxic AS flipped FROM labels""")
+def outcome_flip(spark, d):
+    t = table(spark, d, "labels")
+    return t.select(F.col("doc_id").alias("sample_id"), scores.outcome(F.col("toxic"), F.lit(0)).alias("outcome"), scores.flipped(F.col("quality"), F.col("toxic")).alias("flipped"))
+
+
+@_query(f"""WITH {_HALVES}, {_knn_cte("n", "euclidean", 3)}, p AS (SELECT n.query_id, n.rank, q.a AS qa, c.a AS ca, q.b AS qb, c.b AS cb, c.label AS cl FROM n JOIN e q ON q.vec_id = n.query_id JOIN e c ON c.vec_id = n.train_id)
+SELECT query_id, rank, cl::DOUBLE AS outcome, round(0.75 * list_sum(list_transform(list_zip(qa, ca), lambda z: abs(z[1] - z[2]))) / 32 + 0.25 * least(greatest((1 - list_inner_product(qb, cb)) / 2, 0), 1), 6) AS proximity,
+round(0.75 * list_sum(list_transform(list_zip(qa, ca), lambda z: (z[1] <> z[2])::INT)) / 32, 6) AS sparsity FROM p""")
+def objectives_assembled(spark, d):
+    """Two modalities weighted 3 : 1; the second has no sparsity, and its weight is not spread."""
+    a, b = embeddings(spark, d, 1, 32), embeddings(spark, d, 33, 32)
+    n = _near(spark, d, 3, "euclidean")
+    for side, key in (("q", "query_id"), ("c", "train_id")):
+        for name, df in (("a", a), ("b", b)):
+            n = n.join(df.select(F.col("sample_id").alias(key), F.col("value").alias(f"{side}{name}"), *([F.col("label").alias("cl")] if side + name == "ca" else [])), key)
+    w = {"tab": 3.0, "text": 1.0}
+    return n.select("query_id", "rank", scores.outcome(F.col("cl"), F.lit(TARGET)).alias("outcome"), F.round(scores.weighted({"tab": scores.tabular_proximity(F.col("qa"), F.col("ca")), "text": scores.embedding_proximity(F.col("qb"), F.col("cb"))}, w), 6).alias("proximity"),
+                    F.round(scores.weighted({"tab": scores.tabular_sparsity(F.col("qa"), F.col("ca")), "text": F.lit(None).cast("double")}, w), 6).alias("sparsity"))
+
+
+# ---------------------------------------------------------------- text
+
+_TOK = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
+_TEXTS = f"""q AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_TOK}'), lambda t: t <> '') AS w FROM benchmark),
+c AS (SELECT conv_id * 1000 + turn AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_TOK}'), lambda t: t <> '') AS w FROM conversations WHERE role = 'assistant')"""
+
+
+def _texts(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("sample_id"), text.tokens(F.col("text")).alias("value"), "text")
+    c = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("sample_id"), text.tokens(F.col("text")).alias("value"), "text")
+    return b, c
+
+
+def _rouge_sql(n: int) -> str:
+    gram = "t" if n == 1 else "t || ' ' || lead(t) OVER (PARTITION BY id ORDER BY i)"
+    each = lambda s: f"{s}g AS (SELECT id, g, count(*) AS n FROM (SELECT id, {gram} AS g FROM (SELECT id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM {s})) WHERE g IS NOT NULL GROUP BY ALL), {s}n AS (SELECT id, greatest(len(w) - {n - 1}, 0) AS n FROM {s})"
+    return f"""WITH {_TEXTS}, {each("q")}, {each("c")}, o AS (SELECT qg.id AS q, cg.id AS c, sum(least(qg.n, cg.n)) AS o FROM qg JOIN cg ON qg.g = cg.g GROUP BY ALL),
+x AS (SELECT qn.id AS query_id, cn.id AS train_id, round(1 - CASE WHEN qn.n = 0 AND cn.n = 0 THEN 1.0 WHEN qn.n = 0 OR cn.n = 0 THEN 0.0 ELSE 2.0 * coalesce(o.o, 0) / (qn.n + cn.n) END, 9) AS distance FROM qn CROSS JOIN cn LEFT JOIN o ON o.q = qn.id AND o.c = cn.id),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id))::INT AS rank FROM x) SELECT query_id::BIGINT AS query_id, train_id::BIGINT AS train_id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 3"""
+
+
+def _text_knn(spark, d, metric):
+    q, c = _texts(spark, d)
+    f = text.kernel(metric)
+    return _rounded(knn(q, c, 3, lambda a, b: f(a, b).round(9), "text"), "distance")
+
+
+@_query(_rouge_sql(1))
+def text_rouge1_knn(spark, d):
+    return _text_knn(spark, d, "rouge_1")
+
+
+@_query(_rouge_sql(2))
+def text_rouge2_knn(spark, d):
+    return _text_knn(spark, d, "rouge_2")
+
+
+@_query()
+def text_rouge_l_knn(spark, d):
+    return _text_knn(spark, d, "rouge_l")
+
+
+@_query()
+def text_lcs_knn(spark, d):
+    return _text_knn(spark, d, "lcs")
+
+
+@_query()
+def text_bleu_knn(spark, d):
+    return _text_knn(spark, d, "bleu")
+
+
+@_query()
+def text_edit_sparsity(spark, d):
+    """Token edits between each benchmark text and its nearest text; tested against the textbook recursion."""
+    q, c = _texts(spark, d)
+    n = _text_knn(spark, d, "rouge_1").where("rank = 1")
+    j = n.join(q.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a")), "query_id").join(c.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b")), "train_id")
+    return j.select("query_id", "train_id", F.round(text.edit_sparsity(F.col("a"), F.col("b")), 6).alias("sparsity"))
+
+
+_WORDS = r"[\p{L}\p{N}_]{2,}"
+_TFIDF = f"""q0 AS (SELECT item_id::BIGINT AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}')) AS t FROM benchmark),
+c0 AS (SELECT (conv_id * 1000 + turn)::BIGINT AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}')) AS t FROM conversations WHERE role = 'assistant'),
+idf AS (SELECT t, ln((1.0 + (SELECT count(*) FROM conversations WHERE role = 'assistant')) / (1 + count(DISTINCT id))) + 1 AS idf FROM c0 GROUP BY 1),
+qw AS (SELECT id, t, n * idf AS w FROM (SELECT id, t, count(*) AS n FROM q0 GROUP BY ALL) JOIN idf USING (t)), cw AS (SELECT id, t, n * idf AS w FROM (SELECT id, t, count(*) AS n FROM c0 GROUP BY ALL) JOIN idf USING (t)),
+qs AS (SELECT id, sqrt(sum(w * w)) AS s FROM qw GROUP BY 1), cs AS (SELECT id, sqrt(sum(w * w)) AS s FROM cw GROUP BY 1),
+qv AS (SELECT id, t, w / s AS w FROM qw JOIN qs USING (id)), cv AS (SELECT id, t, w / s AS w FROM cw JOIN cs USING (id))"""
+
+
+@_query(f"""WITH {_TFIDF}, x AS (SELECT qv.id AS query_id, cv.id AS train_id, 1 - sum(qv.w * cv.w) AS distance FROM qv JOIN cv ON qv.t = cv.t GROUP BY ALL),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), train_id))::INT AS rank FROM x) SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 3""")
+def tfidf_knn(spark, d):
+    q, c = _texts(spark, d)
+    fitted = encoders.tfidf_fit(c)
+    return _rounded(encoders.sparse_cosine_knn(encoders.tfidf_transform(q, fitted), encoders.tfidf_transform(c, fitted), 3), "distance")
+
+
+@_query(f"WITH {_TFIDF} SELECT id AS sample_id, count(*) AS n_terms, round(max(w), 6) AS top_weight FROM cv GROUP BY 1")
+def tfidf_vectors(spark, d):
+    c = _texts(spark, d)[1]
+    return encoders.tfidf_transform(c, encoders.tfidf_fit(c)).groupBy("sample_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"))
+
+
+@_query(f"""WITH {_TEXTS}, u AS (SELECT id, unnest(w) AS t FROM q), v AS (SELECT t, row_number() OVER (ORDER BY t) AS r FROM (SELECT DISTINCT t FROM u)),
+m AS (SELECT id, avg(length(u.t)) AS m1, avg(r) AS m2 FROM u JOIN v USING (t) GROUP BY 1) SELECT q.id::BIGINT AS sample_id, round(coalesce(m1, 0), 6) AS mean_length, round(coalesce(m2, 0), 6) AS mean_place FROM q LEFT JOIN m USING (id)""")
+def word_vector_mean(spark, d):
+    """Averages of toy word vectors: a word's length and alphabetical place."""
+    from pyspark.sql import Window
+
+    q = _texts(spark, d)[0]
+    known = q.select(F.explode("value").alias("word")).distinct()
+    vecs = known.select("word", F.array(F.length("word").cast("double"), F.row_number().over(Window.orderBy("word")).cast("double")).alias("vec"))
+    return encoders.word_vector_mean(q, vecs, 2).select("sample_id", F.round(F.get("value", F.lit(0)), 6).alias("mean_length"), F.round(F.get("value", F.lit(1)), 6).alias("mean_place"))
+
+
+@_query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS body, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^www\.', '') AS domain FROM pages""")
+def html_clean_domain(spark, d):
+    return table(spark, d, "pages").select("page_id", text.clean_html(F.col("html")).alias("body"), text.url_domain(F.col("url")).alias("domain"))
+
+
+# ---------------------------------------------------------------- score tables
+
+def sweep_scores(spark, d) -> DataFrame:
+    """A score table: every neighbour under three metrics, its metric as configuration and its segment as generator."""
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("generator"), F.col("o_orderstatus").alias("config"),
+                    F.row_number().over(_by_query()).alias("cand_rank"), (F.col("o_orderkey") % 2).cast("double").alias("outcome"), (F.col("o_totalprice").cast("double") / 1e4).alias("proximity"), F.when(F.col("o_orderkey") % 7 == 0, float("nan")).otherwise(F.col("o_orderkey") % 11).cast("double").alias("sparsity"), F.month("o_orderdate").cast("double").alias("plausibility"))
+
+
+def _by_query():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
+
+
+_SWEEP = """s AS (SELECT o_custkey AS query_id, o_orderpriority AS generator, o_orderstatus AS config, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS cand_rank,
+(o_orderkey % 2)::DOUBLE AS outcome, o_totalprice::DOUBLE / 1e4 AS proximity, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey % 11)::DOUBLE END AS sparsity, month(o_orderdate)::DOUBLE AS plausibility FROM orders)"""
+_MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in analytics.OBJECTIVES)
+
+
+@_query(f"WITH {_SWEEP} SELECT k, generator, {_MEANS}, count(*) AS n FROM s JOIN (VALUES (1), (5), (10), (20), (50)) v(k) ON cand_rank <= k GROUP BY ALL")
+def k_curve(spark, d):
+    return _rounded(analytics.k_curve(sweep_scores(spark, d), [1, 5, 10, 20, 50]), *analytics.OBJECTIVES)
+
+
+@_query(f"WITH {_SWEEP}, m AS (SELECT generator, config, avg(proximity) AS p FROM s GROUP BY ALL) SELECT generator, config, round(p, 6) AS proximity FROM m QUALIFY rank() OVER (PARTITION BY generator ORDER BY p) = 1")
+def best_config(spark, d):
+    return _rounded(analytics.best_configs(sweep_scores(spark, d), ["generator"], ["config"], "proximity"), "proximity")
+
+
+@_query(f"""WITH {_SWEEP} SELECT generator, {", ".join(f"round(avg(sparsity) FILTER (config = '{c}'), 4) AS {c.lower()}" for c in "FOP")} FROM s GROUP BY 1""")
+def pivot_means(spark, d):
+    out = analytics.pivot_means(sweep_scores(spark, d), "generator", "config", ["F", "O", "P"], "sparsity")
+    return out.select("generator", *[F.col(c).alias(c.lower()) for c in "FOP"])
+
+
+@_query(f"""WITH {_SWEEP} SELECT generator, config, {", ".join(f"round(avg({c}), 4) AS {c}_mean, round(stddev_samp({c}), 4) AS {c}_std" for c in analytics.OBJECTIVES)} FROM s GROUP BY ALL""")
+def summary_mean_std(spark, d):
+    return analytics.summary(sweep_scores(spark, d), ["generator", "config"])
+
+
+@_query(f"WITH {_SWEEP}, m AS (SELECT generator, config, {', '.join(f'avg({c}) AS {c}' for c in analytics.OBJECTIVES)} FROM s GROUP BY ALL) SELECT generator, {_MEANS} FROM m GROUP BY 1")
+def mean_of_config_means(spark, d):
+    return _rounded(analytics.mean_of_means(sweep_scores(spark, d), ["generator", "config"], ["generator"]), *analytics.OBJECTIVES)
+
+
+@_query("""WITH p AS (SELECT o_orderkey AS id, o_totalprice::DOUBLE AS a, -date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::DOUBLE AS b FROM orders)
+SELECT id, a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.a <= p.a AND q.b <= p.b AND (q.a < p.a OR q.b < p.b))""")
+def pareto_front(spark, d):
+    """The cheapest and latest orders: smaller price and smaller negative age."""
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("a"), (-F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))).cast("double").alias("b"))
+    return analytics.pareto_front(p, ["a", "b"], "id")
+
+
+@_query("""WITH r AS (SELECT o_orderpriority AS generator, o_custkey AS run, count(*) AS n_candidates, 4 AS n_samples, sum(o_totalprice::DOUBLE) / 1e5 AS runtime_sec FROM orders GROUP BY ALL),
+m AS (SELECT *, avg(n_samples) OVER (PARTITION BY generator) AS n FROM r)
+SELECT generator, round(avg(n_candidates / n_samples), 6) AS coverage, round(avg((n_candidates > 1)::INT), 6) AS flip_rate, round(avg(runtime_sec / n), 6) AS sec_per_sample FROM m GROUP BY 1""")
+def coverage_runtime(spark, d):
+    r = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("generator"), F.col("o_custkey").alias("run")).agg(F.count("*").alias("n_candidates"), F.lit(4).alias("n_samples"), (F.sum(F.col("o_totalprice").cast("double")) / 1e5).alias("runtime_sec"), (F.count("*") - 1).alias("n_feasible"))
+    cover = analytics.coverage(r).groupBy("generator").agg(F.avg("coverage").alias("coverage"))
+    return _rounded(cover.join(analytics.flip_rate(r, ["generator"]), "generator").join(analytics.runtime_per_sample(r, ["generator"]), "generator"), "coverage", "flip_rate", "sec_per_sample")
+
+
+@_query("""WITH s AS (SELECT quality AS y, floor(n_chars / 100) AS x FROM labels JOIN documents USING (doc_id)), r AS (SELECT y, avg(x) OVER () AS z, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM s)
+SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auroc FROM r""")
+def auroc(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").alias("label"), F.floor(F.col("n_chars") / 100).alias("score"))
+    return _rounded(analytics.auroc(rows), "auroc")
+
+
+_REPORT = """WITH p AS (SELECT quality AS y, 1 - toxic AS p FROM labels), c AS (SELECT DISTINCT y AS cls FROM p UNION SELECT DISTINCT p FROM p),
+t AS (SELECT cls, count(*) FILTER (y = cls AND p = cls) AS tp, count(*) FILTER (y = cls) AS support, count(*) FILTER (p = cls) AS said FROM c, p GROUP BY 1),
+m AS (SELECT cls, CASE WHEN said > 0 THEN tp / said ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall, CASE WHEN said + support > 0 THEN 2.0 * tp / (said + support) ELSE 0 END AS f1, support FROM t)"""
+
+
+def _predictions(spark, d):
+    return table(spark, d, "labels").select(F.col("quality").alias("label"), (1 - F.col("toxic")).alias("pred"))
+
+
+@_query(f"{_REPORT} SELECT cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM m")
+def class_report(spark, d):
+    return _rounded(analytics.class_report(_predictions(spark, d)), "precision", "recall", "f1")
+
+
+@_query(f"{_REPORT} SELECT round(avg(f1), 6) AS macro_f1, round((SELECT avg((y = p)::INT) FROM p), 6) AS accuracy FROM m")
+def macro_f1(spark, d):
+    return _rounded(analytics.macro_metrics(_predictions(spark, d)), "macro_f1", "accuracy")
+
+
+# ---------------------------------------------------------------- preparation
+
+_TRAIN = F.col("sample_id") % 5 != 0
+
+
+@_query(f"WITH {_CUST}, m AS (SELECT avg(balance) AS mb, stddev_pop(balance) AS sb, avg(total) AS mt, stddev_pop(total) AS st FROM cu WHERE vec_id % 5 <> 0) SELECT vec_id AS sample_id, round((balance - mb) / sb, 6) AS balance, round((total - mt) / st, 6) AS total FROM cu, m")
+def standard_scale(spark, d):
+    """Fitted on the training part, applied to all rows."""
+    out = preprocess.standard_scale(customers(spark, d), ["balance", "total"], _TRAIN)
+    return _rounded(out.select("sample_id", "balance", "total"), "balance", "total")
+
+
+@_query("""WITH v AS (SELECT o_orderpriority, (row_number() OVER (ORDER BY o_orderpriority) - 1)::INT AS code FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW'))
+SELECT o_orderkey AS sample_id, coalesce(code, -1) AS code FROM orders LEFT JOIN v USING (o_orderpriority)""")
+def ordinal_encode(spark, d):
+    """Orders of one priority are left out of the fit, so theirs is unknown."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), "o_orderpriority")
+    return preprocess.ordinal_codes(o, "o_orderpriority", F.col("o_orderpriority") != "5-LOW", "code").select("sample_id", "code")
+
+
+@_query("""WITH n AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) SELECT c_custkey AS sample_id, round((SELECT count(*) FROM customer) / ((SELECT count(*) FROM n) * n), 6) AS weight FROM customer JOIN n USING (c_mktsegment)""")
+def balanced_weights(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id"), "c_mktsegment")
+    return _rounded(preprocess.balanced_weights(c, "c_mktsegment").select("sample_id", "weight"), "weight")
+
+
+@_query("""SELECT 'vec_id' AS name, avg((vec_id IS NULL)::INT)::DOUBLE AS missing, count(DISTINCT vec_id) AS n_distinct FROM embeddings UNION ALL SELECT 'label', avg((label IS NULL)::INT)::DOUBLE, count(DISTINCT label) FROM embeddings""")
+def missing_share(spark, d):
+    return preprocess.missing_share(table(spark, d, "embeddings").select("vec_id", "label"))
+
+
+@_query("""SELECT 'quality' AS name, CASE WHEN bool_and(quality IN (0, 1)) THEN 'categorical' ELSE 'continuous' END AS kind FROM labels UNION ALL SELECT 'doc_id', CASE WHEN bool_and(doc_id IN (0, 1)) THEN 'categorical' ELSE 'continuous' END FROM labels""")
+def feature_types(spark, d):
+    return preprocess.feature_types(table(spark, d, "labels"), ["quality", "doc_id"])
+
+
+@_query("SELECT event_id, hour(ts)::INT AS hour, (isodow(ts) - 1)::INT AS weekday, month(ts)::INT AS month FROM events")
+def date_parts(spark, d):
+    return table(spark, d, "events").select("event_id", *preprocess.date_parts(F.col("ts")))
+
+
+@_query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 3")
+def top_values(spark, d):
+    return analytics.top_values(table(spark, d, "events"), F.array("event_type"), 3)
+
+
+@_query("""WITH s AS (SELECT doc_id AS sample_id, [quality::DOUBLE, 1.0 - quality] AS a, [1.0 - toxic, toxic::DOUBLE] AS b FROM labels) SELECT sample_id, round((a[1] + b[1]) / 2, 6) AS p0, round((a[2] + b[2]) / 2, 6) AS p1 FROM s""")
+def late_fusion(spark, d):
+    t, one = table(spark, d, "labels"), F.lit(1.0)
+    p = preprocess.late_fusion([F.array(F.col("quality").cast("double"), one - F.col("quality")), F.array(one - F.col("toxic"), F.col("toxic").cast("double"))])
+    return t.select(F.col("doc_id").alias("sample_id"), F.round(F.get(p, F.lit(0)), 6).alias("p0"), F.round(F.get(p, F.lit(1)), 6).alias("p1"))
+
+
+@_query()
+def stratified_split(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("label"))
+    return preprocess.stratified_split(c, "label").groupBy("label", "split").agg(F.count("*").alias("n"))
+
+
+@_query()
+def knn_impute(spark, d):
+    """Balances that are below zero are taken for missing."""
+    c = customers(spark, d).select("sample_id", F.when(F.col("balance") >= 0, F.col("balance")).alias("balance"), "n_orders", "total")
+    return _rounded(preprocess.knn_impute(c, ["balance", "n_orders", "total"], 5), "balance", "total")

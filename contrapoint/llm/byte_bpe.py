@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import small_batches, worker_cache
 
 #: Words of one recursive query, words that a task remembers, text characters and tokens of one step.
 QUERY_WORDS, KEPT_WORDS, STEP_CHARS, STEP_TOKENS = 70_000, 500_000, 3_000_000, 800_000
@@ -186,7 +186,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(n)), ids], names=[*keep, out])
 
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
+    rows = small_batches(docs).select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
     return rows.mapInArrow(run, rows.drop(text).withColumn(out, F.expr("CAST(array() AS array<int>)")).schema)
 
 

@@ -42,6 +42,17 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_contrapoint_cache", {})
 
 
+def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs``, with the session's Arrow batches at ``rows`` rows where they are at Spark's default.
+
+    Ten thousand whole texts at a time, in and out of each task, would take most of a small executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(name) == "10000":
+        docs.sparkSession.conf.set(name, str(rows))
+    return docs
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled rows that train at most, windows of each, passes, windows of a step, step size, states each way.
 SAMPLE, WINDOWS, EPOCHS, STEP, RATE, STATES = 1500, 6, 4, 128, 0.01, 8
 #: Bytes of a window when training and when predicting, windows predicted together, languages at most.
@@ -165,8 +167,8 @@ def fit(docs: DataFrame, train_rows) -> tuple[list[str], dict[str, np.ndarray]]:
     return names, train(np.stack(windows), np.array(lengths), np.array(labels), len(names))
 
 
-def predict(docs: DataFrame, model, lang: str = "lang_pred", out: str = "score") -> DataFrame:
-    """``docs`` without its text and with ``lang`` and ``out``, the mean probability of that language."""
+def predict(docs: DataFrame, model, lang: str = "lang_pred", out: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs``, its text only with ``keep_text``, ``lang`` and ``out``, the mean probability of that language."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("text", lang, out)]
 
@@ -194,7 +196,7 @@ def predict(docs: DataFrame, model, lang: str = "lang_pred", out: str = "score")
                     top = probs.argmax(1)
                     some = lens > 0
                     best[some], chance[some] = np.array(names, object)[top[some]], np.clip(probs[np.arange(len(texts)), top], 0, 1)[some]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array(best, pa.string()), pa.array(chance)], names=[*keep, lang, out])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n + keep_text)), pa.array(best, pa.string()), pa.array(chance)], names=[*keep, *["text"] * keep_text, lang, out])
 
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(run, rows.drop("text", "letters").withColumn(lang, F.lit("")).withColumn(out, F.lit(0.0)).schema)
+    rows = small_batches(docs).select(*keep, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    return rows.mapInArrow(run, rows.drop("letters" if keep_text else "text", "letters").withColumn(lang, F.lit("")).withColumn(out, F.lit(0.0)).schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged, tile_rows, worker_cache
+from .common import connected_components, small_batches, staged, tile_rows, worker_cache
 
 #: Registers and their index bits, mantissa bits, registers of a band.
 REGISTERS, INDEX_BITS, MANTISSA, ROWS = 128, 7, 10, 4
@@ -166,7 +166,7 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
                 keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), keys, bands], names=["doc_id", "n", "key", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, key binary, bands array<long>")
 
 

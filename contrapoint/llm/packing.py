@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import staged, worker_cache
+from .common import small_batches, staged, worker_cache
 
 #: Words that a task remembers, rows of a salted rank part, parts of any length at least.
 KEPT_WORDS, PART_ROWS, LEAST_PARTS = 200_000, 20_000, 64
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                         rows.append((doc_id, n, a // 4, len(cut) // 4, zlib.crc32(cut)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:

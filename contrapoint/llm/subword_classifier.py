@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 #: Labelled rows that train at most; vectors and their length; passes and first learning rate; words a task remembers.
 SAMPLE, BUCKETS, DIM, EPOCHS, RATE, KEPT_WORDS = 2000, 1 << 16, 16, 4, 0.5, 300_000
@@ -131,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train_rows) -> tuple[np.
     return train([(r.text or "").encode() for r in rows], [r.y for r in rows])
 
 
-def score(docs: DataFrame, model, out: str = "score") -> DataFrame:
-    """``docs`` without its text and with ``out``, the probability of class 1."""
+def score(docs: DataFrame, model, out: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs``, its text only with ``keep_text``, and ``out``, the probability of class 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("text", out)]
 
@@ -146,7 +148,7 @@ def score(docs: DataFrame, model, out: str = "score") -> DataFrame:
                 total, number = features.texts(pc.cast(part.column(n), pa.binary()).to_pylist(), table)
                 z = total / np.maximum(number, 1)[:, None] @ weights + bias
                 p = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -700, 700)))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array(p)], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n + keep_text)), pa.array(p)], names=[*keep, *["text"] * keep_text, out])
 
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, rows.drop("text").withColumn(out, F.lit(0.0)).schema)
+    rows = small_batches(docs).select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, (rows if keep_text else rows.drop("text")).withColumn(out, F.lit(0.0)).schema)

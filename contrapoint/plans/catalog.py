@@ -602,13 +602,10 @@ def macro_f1(spark, d):
 
 # ---------------------------------------------------------------- preparation
 
-_TRAIN = F.col("sample_id") % 5 != 0
-
-
-@_query(f"WITH {_CUST}, m AS (SELECT avg(balance) AS mb, stddev_pop(balance) AS sb, avg(total) AS mt, stddev_pop(total) AS st FROM cu WHERE vec_id % 5 <> 0) SELECT vec_id AS sample_id, round((balance - mb) / sb, 6) AS balance, round((total - mt) / st, 6) AS total FROM cu, m")
+@_query(f"WITH {_CUST}, m AS (SELECT avg(balance) AS mb, stddev_pop(balance) AS sb, avg(total) AS mt, stddev_pop(total) AS st FROM cu WHERE label <> 'MACHINERY') SELECT vec_id AS sample_id, round((balance - mb) / sb, 6) AS balance, round((total - mt) / st, 6) AS total FROM cu, m")
 def standard_scale(spark, d):
-    """Fitted on the training part, applied to all rows."""
-    out = preprocess.standard_scale(customers(spark, d), ["balance", "total"], _TRAIN)
+    """Fitted on all segments but one, applied to all rows."""
+    out = preprocess.standard_scale(customers(spark, d), ["balance", "total"], F.col("segment") != "MACHINERY")
     return _rounded(out.select("sample_id", "balance", "total"), "balance", "total")
 
 
@@ -664,3 +661,151 @@ def knn_impute(spark, d):
     """Balances that are below zero are taken for missing."""
     c = customers(spark, d).select("sample_id", F.when(F.col("balance") >= 0, F.col("balance")).alias("balance"), "n_orders", "total")
     return _rounded(preprocess.knn_impute(c, ["balance", "n_orders", "total"], 5), "balance", "total")
+
+
+# ---------------------------------------------------------------- baselines
+
+
+def busy_first(batch):
+    """A toy predictor: class 0 where the first channel's events reach the mean of all channels', else class 1."""
+    import numpy as np
+
+    x = np.asarray(batch, float)
+    hit = (x[:, 0].sum(1) >= x.sum((1, 2)) / x.shape[1]).astype(float)
+    return np.stack([hit, 1 - hit], 1)
+
+
+def heavy_first(batch):
+    """A toy predictor: class 0 where the first half of a vector sums to more than the second, else class 1."""
+    import numpy as np
+
+    x = np.asarray(batch, float)
+    half = x.shape[1] // 2
+    hit = (x[:, :half].sum(1) > x[:, half:].sum(1)).astype(float)
+    return np.stack([hit, 1 - hit], 1)
+
+
+def _swapped(spark, d, per_channel):
+    from ..operators import baselines
+
+    s = user_series(spark, d)
+    near = _ts_near(spark, d, "dtw_dependent", 3)
+    out = baselines.segment_swap(near, s, s, busy_first, 0, 3, 6, per_channel)
+    return out.select("query_id", "cand_rank", F.round(F.aggregate(F.flatten("value"), F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
+@_query()
+def segment_swap_windows(spark, d):
+    """Native guide; tested against a plain loop."""
+    return _swapped(spark, d, False)
+
+
+@_query()
+def segment_swap_channels(spark, d):
+    return _swapped(spark, d, True)
+
+
+@_query()
+def random_copy(spark, d):
+    """Copies that take over random dimensions of a bounded sample of target rows."""
+    import numpy as np
+
+    from ..operators import baselines
+
+    e = embeddings(spark, d)
+    refs = e.where(F.col("label") == TARGET).orderBy(F.xxhash64("sample_id"), "sample_id").limit(1000).select("value").collect()
+    out = baselines.random_copy(e.where(F.col("label") != TARGET), np.array([r.value for r in refs]).reshape(len(refs), -1), heavy_first, 0, 3, 20)
+    return _digest(out, "query_id", "cand_rank")
+
+
+@_query()
+def nearest_instance(spark, d):
+    from ..operators import baselines
+
+    e = embeddings(spark, d)
+    return _digest(baselines.nearest_instance(_near(spark, d, 1, "euclidean"), e, e, heavy_first, 0), "query_id", "cand_rank")
+
+
+@_query()
+def gradient_restarts(spark, d):
+    """Two noisy restarts against a fixed linear model."""
+    import numpy as np
+
+    from ..operators import baselines
+
+    w = np.stack([np.where(np.arange(64) < 32, 1.0, -1.0), np.where(np.arange(64) < 32, -1.0, 1.0)], 1)
+    out = baselines.gradient_logistic(embeddings(spark, d).where(F.col("label") != TARGET), w, np.zeros(2), 0, 2, 100)
+    return out.groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- runs
+
+
+@_query("""SELECT a || '/' || b || '/' || c AS combo FROM (VALUES ('euclidean'), ('manhattan'), ('cosine')) x(a), (VALUES ('dtw'), ('euclidean')) y(b), (VALUES ('rouge_l'), ('lcs')) z(c)""")
+def config_grid(spark, d):
+    from . import sweep
+
+    rows = sweep.grid({"tab": ["euclidean", "manhattan", "cosine"], "ts": ["dtw", "euclidean"], "text": ["rouge_l", "lcs"], "image": []})
+    return spark.createDataFrame([(f"{r['tab']}/{r['ts']}/{r['text']}",) for r in rows], "combo string")
+
+
+@_query("SELECT o_orderkey AS combo_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def pending_runs(spark, d):
+    """Orders taken for planned configurations, those with a returned line for finished ones."""
+    from ..sources import tables
+
+    done = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("combo_id"), F.when(F.col("l_returnflag") == "R", "ok").otherwise("failed").alias("status"))
+    return tables.pending(table(spark, d, "orders").select(F.col("o_orderkey").alias("combo_id")), done)
+
+
+@_query("""SELECT c_mktsegment AS segment, count(*) AS expected, count(o) AS done, round(100 * count(o) / count(*), 1) AS percent FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS o FROM orders) ON o = c_custkey GROUP BY 1""")
+def completion_report(spark, d):
+    from ..sources import tables
+
+    expected = table(spark, d, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("segment"))
+    return tables.completion(expected, table(spark, d, "orders").select(F.col("o_custkey").alias("cell")), ["cell"], ["segment"])
+
+
+@_query("""SELECT o_custkey AS dataset, o_orderkey AS run_id FROM orders QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1""")
+def latest_runs(spark, d):
+    from ..sources import tables
+
+    return tables.latest_runs(table(spark, d, "orders").select(F.col("o_custkey").alias("dataset"), F.col("o_orderkey").alias("run_id")))
+
+
+@_query("""WITH m AS (SELECT o_orderstatus AS strategy, o_orderpriority AS model, round(avg(o_totalprice::DOUBLE), 6) AS macro_f1 FROM orders GROUP BY ALL)
+SELECT strategy, model, macro_f1 FROM m QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY macro_f1 DESC, model) = 1""")
+def best_model(spark, d):
+    m = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("strategy"), F.col("o_orderpriority").alias("model")).agg(F.round(F.avg(F.col("o_totalprice").cast("double")), 6).alias("macro_f1"))
+    return analytics.best_model(m)
+
+
+@_query("""SELECT event_id, concat_ws('/', nullif(event_type, 'click'), CASE WHEN user_id % 2 = 0 THEN 'even' END) AS parts, CASE WHEN concat_ws('/', nullif(event_type, 'click'), CASE WHEN user_id % 2 = 0 THEN 'even' END) = '' THEN event_type ELSE concat_ws('/', nullif(event_type, 'click'), CASE WHEN user_id % 2 = 0 THEN 'even' END) END AS label FROM events""")
+def config_label(spark, d):
+    e = table(spark, d, "events").withColumn("a", F.nullif(F.col("event_type"), F.lit("click"))).withColumn("b", F.when(F.col("user_id") % 2 == 0, "even"))
+    return e.select("event_id", F.concat_ws("/", "a", "b").alias("parts"), analytics.config_label(["a", "b"], "event_type").alias("label"))
+
+
+def embedding_dataset(spark, d):
+    """The embeddings as a dataset: every row is a training sample, and a test sample of the other classes."""
+    from ..sources.dataset import Dataset
+
+    e = embeddings(spark, d)
+    both = lambda df: df.withColumn("split", F.lit("train")).unionByName(df.withColumn("split", F.lit("test")))
+    part = lambda a, n: both(embeddings(spark, d, a, n).select("sample_id", "value"))
+    return Dataset(both(e.select("sample_id", "label", F.col("label").alias("pred"))), tabular={"low": part(1, 32), "high": part(33, 32)}, images={"picture": part(1, 64)}, primary_tabular="low")
+
+
+@_query(f"""WITH {_HALVES}, {_knn_cte("na", "euclidean", 20, "a")}, {_knn_cte("nb", "euclidean", 20, "b")}, {_knn_cte("ni", "cosine", 3)},
+j AS (SELECT na.query_id, na.train_id, na.distance + nb.distance AS distance FROM na JOIN nb USING (query_id, train_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id) AS rank FROM j)
+SELECT 'low' AS generator, rank AS cand_rank, count(*) AS n, sum(train_id)::BIGINT AS ids FROM na WHERE rank <= 3 GROUP BY ALL UNION ALL SELECT 'picture', rank, count(*), sum(train_id)::BIGINT FROM ni GROUP BY ALL
+UNION ALL SELECT 'consensus', rank::INT, count(*), sum(train_id)::BIGINT FROM r WHERE rank <= 3 GROUP BY ALL UNION ALL SELECT 'synthesis', na.rank, count(*), sum(na.train_id)::BIGINT FROM na WHERE na.rank <= 3 GROUP BY ALL""")
+def library_generators(spark, d):
+    """Four generators over one dataset, the searches of the tabular branches shared."""
+    from . import generators as g
+
+    ds = embedding_dataset(spark, d)
+    low, high = g.TabularNN("low", k=3), g.TabularNN("high", k=3)
+    lib = g.CounterfactualLibrary({"low": low, "picture": g.ImageNN(k=3), "consensus": g.MCR([low, high], 3, 20), "synthesis": g.MPS([low, high], 3, 20)})
+    queries = ds.part(ds.samples, "test").where(F.col("label") != TARGET)
+    return lib.run(ds, queries, TARGET).groupBy("generator", "cand_rank").agg(F.count("*").alias("n"), F.sum("anchor_id").alias("ids"))

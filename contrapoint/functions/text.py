@@ -108,7 +108,7 @@ def bleu_similarity(a: list, b: list, most: int = 4) -> float:
     logs = []
     for n in orders:
         x, y = (Counter(zip(*(t[i:] for i in range(n)), strict=False)) for t in (a, b))
-        logs.append(math.log(((x & y).total() + SMOOTH) / (y.total() + SMOOTH)))
+        logs.append(math.log(max(((x & y).total() + SMOOTH) / (y.total() + SMOOTH), SMOOTH)))
     penalty = 1.0 if len(b) > len(a) else math.exp(1 - len(a) / len(b))
     return min(1.0, max(0.0, penalty * math.exp(sum(logs) / len(logs))))
 

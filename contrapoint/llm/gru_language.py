@@ -21,6 +21,8 @@ from .common import small_batches
 
 #: Labelled rows that train at most, windows of each, passes, windows of a step, step size, states each way.
 SAMPLE, WINDOWS, EPOCHS, STEP, RATE, STATES = 1500, 6, 4, 128, 0.01, 8
+#: Steps at least, so that few rows are passed more often.
+LEAST_STEPS = 250
 #: Bytes of a window when training and when predicting, windows predicted together, languages at most.
 TRAIN_BYTES, BYTES, TOGETHER, MOST_LANGUAGES = 48, 96, 4096, 200
 
@@ -74,7 +76,7 @@ def train(windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, language
     """The parameters learned from windows (rows of bytes, of these lengths) that carry these labels."""
     p, rng = _init(languages, seed), np.random.default_rng(seed)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * STEP // len(windows)))):
         order = rng.permutation(len(windows))
         for i in range(0, len(order), STEP):
             own = order[i : i + STEP]

@@ -23,6 +23,8 @@ from .common import small_batches
 
 #: Labelled rows that train at most; vectors and their length; passes and first learning rate; words a task remembers.
 SAMPLE, BUCKETS, DIM, EPOCHS, RATE, KEPT_WORDS = 2000, 1 << 16, 16, 4, 0.5, 300_000
+#: Steps at least, so that few rows are passed more often.
+LEAST_STEPS = 1500
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,8 +99,9 @@ def train(texts: list[bytes], labels: list[int], classes: int = 2, seed: int = 1
     rng = np.random.default_rng(seed)
     table = (rng.random((BUCKETS, DIM), np.float32) - np.float32(0.5)) / DIM
     weights, bias = np.zeros((DIM, classes)), np.zeros(classes)
-    steps, done = max(1, EPOCHS * len(texts)), 0
-    for _ in range(EPOCHS):
+    passes = max(EPOCHS, -(-LEAST_STEPS // max(1, len(texts))))
+    steps, done = max(1, passes * len(texts)), 0
+    for _ in range(passes):
         for i in rng.permutation(len(texts)):
             rate = RATE * (1 - done / steps)
             done += 1

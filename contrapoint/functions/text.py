@@ -141,3 +141,9 @@ def clean_html(text: Column) -> Column:
 def url_domain(url: Column) -> Column:
     """The host without a leading www."""
     return F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), r"^www\.", "")
+
+
+def parse_list(text: Column) -> Column:
+    """The quoted elements of a list that was written as text, such as ['a', "b"]; none for anything else."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), F.lit(0))
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"^\s*\["), F.transform(found, lambda t: F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(F.expr("CAST(array() AS array<string>)"))

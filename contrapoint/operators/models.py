@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,3 +62,16 @@ def predict_udf(f: Callable[[np.ndarray], np.ndarray]):
         return pd.Series(np.asarray(f(np.stack(v.to_list())), float).tolist()) if len(v) else pd.Series([], dtype=object)
 
     return udf
+
+
+def components(train: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with ``value`` projected on the k principal directions of the training rows; signs are arbitrary."""
+    vector = lambda df: df.withColumn("features", array_to_vector("value"))
+    model = PCA(k=k, inputCol="features", outputCol="projected").fit(vector(train))
+    return model.transform(vector(rows)).withColumn("value", vector_to_array("projected")).drop("features", "projected")
+
+
+def random_options(axes: dict[str, list], count: int, seed: int = 0) -> list[dict]:
+    """So many draws from the axes' values, for a random search."""
+    rng = np.random.default_rng(seed)
+    return [{k: v[int(rng.integers(len(v)))] for k, v in axes.items()} for _ in range(count)]

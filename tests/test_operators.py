@@ -227,3 +227,33 @@ def test_streaming_scorer(spark, train, tmp_path):
     scorer.start(stream, train, 2, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.query_id, r.rank): r.train_id for r in got.collect()}[8, 1] == 4 and got.count() == 4
+
+
+def test_models_and_sources(spark, tmp_path):
+    from contrapoint.functions import text
+    from contrapoint.operators import models
+
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(i, int(i % 2), (rng.normal(0, 0.1, 3) + (i % 2)).tolist()) for i in range(60)], "sample_id long, label int, value array<double>")
+    rows = models.predict(models.fit(preprocess.balanced_weights(df, "label"), "logistic", "weight"), df)
+    assert analytics.macro_metrics(rows).first().accuracy > 0.95
+    assert len(models.components(df, df, 2).first().value) == 2 and len(models.random_options({"a": [1, 2]}, 3)) == 3
+    words = spark.createDataFrame([("good fine day", 0), ("bad awful day", 1)] * 10, "text string, label int")
+    assert models.best_regularisation(words, words, [0.01, 0.1])[1] == 1.0
+    np.save(tmp_path / "x.npy", np.arange(12.0).reshape(2, 3, 2))
+    raw = tables.read_npy(spark, str(tmp_path / "x.npy"), "train")
+    series_, static = tables.split_raw_series(raw, 1)
+    assert series_.first().value == [[0.0, 2.0, 4.0]] and static.first().value == [1.0]
+    got = spark.createDataFrame([("['a', \"b c\"]",), ("x",), (None,)], "t string").select(text.parse_list(F.col("t"))).collect()
+    assert [r[0] for r in got] == [["a", "b c"], [], []]
+
+
+def test_evaluation(spark):
+    from contrapoint.operators.evaluate import evaluate
+
+    factual = spark.createDataFrame([(1, [0.0, 0.0], [[0.0, 0.0]], 1)], "query_id long, tab array<double>, ser array<array<double>>, target int")
+    cands = spark.createDataFrame([(1, "a", [2.0, 0.0], None), (1, "b", None, [[1.0, 0.0]])], "query_id long, method string, tab array<double>, ser array<array<double>>")
+    predict = lambda tab, ser: F.array(F.when(F.get(tab, F.lit(0)) > 1, 0.0).otherwise(1.0), F.when(F.get(tab, F.lit(0)) > 1, 1.0).otherwise(0.0))
+    rows = {r.method: r for r in evaluate(cands, factual, predict).collect()}
+    assert rows["a"].flipped and rows["a"].outcome == 0 and rows["a"].proximity == 0.5
+    assert not rows["b"].flipped and rows["b"].outcome == 1 and rows["b"].sparsity == 0.25

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, worker_cache
 
 #: Words of one recursive query, words that a task remembers, text characters and tokens of one step.
-QUERY_WORDS, KEPT_WORDS, STEP_CHARS, STEP_TOKENS = 70_000, 500_000, 3_000_000, 800_000
+QUERY_WORDS, KEPT_WORDS, STEP_CHARS, STEP_TOKENS = 80_000, 600_000, 6_000_000, 2_000_000
 #: Words of more bytes go to queries of so many bytes, contract all occurrences of the least pair at once, and in bounded rounds.
 LONG_BYTES, LONG_STEPS, LONG_QUERY = 64, 32, 200_000
 #: A row's key holds its word and its position.
@@ -40,7 +40,7 @@ WITH RECURSIVE step(it, k, tok) AS (
    live AS (SELECT it, k, tok, pk, b, w * {LONG_BYTES} + b % {LONG_BYTES} AS spot FROM pair JOIN best ON w = k // {LONG_BYTES})
    SELECT it + 1::TINYINT, k, CASE WHEN k = spot THEN b // {LONG_BYTES} ELSE tok END FROM live WHERE pk IS DISTINCT FROM spot)
 )
-SELECT k, tok FROM (SELECT *, max(it) OVER (PARTITION BY k // {LONG_BYTES}) AS last FROM step) WHERE it = last ORDER BY k
+SELECT it, k, tok FROM step
 """
 
 #: All occurrences of the least pair per step, every other one in a run of equal tokens. That equals one contraction a
@@ -77,7 +77,7 @@ class Codec:
         self.pattern, self.words = regex.compile(pattern), {}
         self.lut = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(a, b, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         left, right, ids = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True)) if merges else (pa.array([], pa.int32()),) * 3
         self.con.register("m0", pa.table({"l": left, "r": right, "id": ids}))
         self.con.execute("CREATE TABLE merges AS SELECT l, r, id, id <= coalesce(least((SELECT min(a.id) FROM m0 a WHERE a.l = m0.id), (SELECT min(a.id) FROM m0 a WHERE a.r = m0.id)), id) AS safe FROM m0")
@@ -103,7 +103,13 @@ class Codec:
         key, tok = w * shift + np.arange(len(w)) - np.repeat(np.cumsum(lens) - lens, lens), self.lut[np.frombuffer(b"".join(words), np.uint8)]
         if short:
             out = self.query(SHORT, chars={"k": key.astype(np.int32), "tok": tok})
-            key, tok = out["k"], out["tok"]
+            # A word is done with the rows of its last step.
+            word, last = out["k"] // LONG_BYTES, np.zeros(len(words), np.int8)
+            np.maximum.at(last, word, out["it"])
+            done = out["it"] == last[word]
+            key, tok = out["k"][done], out["tok"][done]
+            order = np.argsort(key)
+            key, tok = key[order], tok[order]
         else:
             done_k, done_t = [], []
             while len(key):

@@ -122,8 +122,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int
     keys = ["label", "dim", "f"]
     assigned, decoded = (d.select(*columns, F.size("v").alias("dim")) for d in (assigned, decoded))
     sizes = assigned.groupBy(*keys).agg(F.count("*").alias("nq")).join(decoded.groupBy(*keys).agg(F.count("*").alias("nd")), keys)
-    sizes = sizes.select(*keys, F.ceil(F.col("nq") / ASSIGNED).alias("gq"), F.ceil(F.col("nd") / DECODED).alias("gd"))
-    groups = max(1, -(-decoded.count() // GROUP_ROWS))
+    sizes = sizes.withColumns({"gq": F.ceil(F.col("nq") / ASSIGNED), "gd": F.ceil(F.col("nd") / DECODED)})
+    groups = max(1, -(-(sizes.agg(F.sum(F.expr("nd * gq + nq * gd"))).first()[0] or 0) // GROUP_ROWS))
+    sizes = sizes.select(*keys, "gq", "gd")
     deal = lambda df, own, other: (df.join(sizes, keys).withColumn("i" if own == "gq" else "j", F.pmod(F.xxhash64("rep", F.lit(own)), F.col(own)))
                                    .withColumn("j" if own == "gq" else "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
                                    .select("label", "v", "rep", "copies", F.xxhash64(*keys, "i", "j").alias("tile")).withColumn("g", F.pmod("tile", F.lit(groups))))

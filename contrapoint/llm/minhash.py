@@ -28,8 +28,8 @@ from .common import connected_components, small_batches, staged, tile_rows, work
 
 #: Registers and their index bits, mantissa bits, registers of a band.
 REGISTERS, INDEX_BITS, MANTISSA, ROWS = 128, 7, 10, 4
-#: Standard deviations that an estimate may fall short; classes of a band tile, documents of a set tile, rows of a group.
-SLACK, BAND_BLOCK, SET_BLOCK, GROUP_ROWS = 4.5, 4096, 512, 20_000
+#: Standard deviations that an estimate may fall short; classes of a band tile, documents of a set tile, rows of their groups.
+SLACK, BAND_BLOCK, SET_BLOCK, GROUP_ROWS, SET_GROUP_ROWS = 4.5, 4096, 512, 20_000, 2000
 #: Words that a task remembers.
 KEPT_WORDS = 400_000
 #: The expected share of accidentally equal registers of equally large sets, for one mantissa bit (Yu and Weber, 2017).
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     whole = texts.join(candidates, "node").select(F.col("node").alias("rep"), "component", "text").mapInArrow(sets, "rep long, component long, shingles binary").where("length(shingles) > 0")
     sizes = candidates.groupBy("component").agg(F.count("*").alias("n"))
     dealt = tile_rows(whole, ["component"], sizes, "rep", SET_BLOCK).select("rep", "shingles", F.xxhash64("component", "ti", "tj").alias("tile"))
-    set_groups = max(1, -(-candidates.count() // 2000))
+    set_groups = max(1, -(-(sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / SET_BLOCK))).first()[0] or 0) // SET_GROUP_ROWS))
 
     def verify(table: pa.Table) -> pa.Table:
         table, sizes = _tiles(table)

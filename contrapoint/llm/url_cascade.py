@@ -26,7 +26,7 @@ MOST_RULES = 5_000_000
 
 
 def hashes(keys) -> np.ndarray:
-    """Two independent 64-bit hashes of each (h1, h2) pair of hash columns, as unsigned integers."""
+    """Spark's signed 64-bit hashes as unsigned integers."""
     return np.asarray(keys, dtype=np.int64).view(np.uint64)
 
 

@@ -37,3 +37,34 @@ def score(fitted: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def bounds(scores: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """The quantiles between which plausibility is scaled: (``low``, ``high``)."""
     return scores.agg(F.percentile("lof", F.lit(low)).alias("low"), F.percentile("lof", F.lit(high)).alias("high"))
+
+
+class Plausibility:
+    """A fitted reference: plausibility of queries as raw factor, share of its range, or percentile among its own.
+
+    ``reference`` has ``sample_id`` and ``value``; it is the target class, or all rows, as the caller filters it. With two
+    rows or fewer there is no density, and the raw score is the least mean difference to any of them.
+    """
+
+    def __init__(self, reference: DataFrame, most: int = 20):
+        self.reference, self.n = reference, reference.count()
+        self.k = neighbour_count(self.n, most)
+        self.fitted = fit(reference, self.k).cache() if self.n > 2 else None
+
+    def raw(self, queries: DataFrame) -> DataFrame:
+        """(``sample_id``, ``lof``)."""
+        if self.fitted is not None:
+            return score(self.fitted, queries, min(self.k, self.n))
+        near = knn(queries, self.reference, 1, "manhattan")
+        size = queries.select(F.col("sample_id").alias("query_id"), F.size("value").alias("d"))
+        return near.join(size, "query_id").select(F.col("query_id").alias("sample_id"), (F.col("distance") / F.col("d")).alias("lof"))
+
+    def scaled(self, queries: DataFrame, how: str = "unit") -> DataFrame:
+        """(``sample_id``, ``plausibility``): ``unit`` scales between the 5th and 95th percentile, ``percentile`` ranks."""
+        from ..functions.scores import unit_interval, with_percentile_rank
+
+        own, raw = self.raw(self.reference), self.raw(queries)
+        if how == "percentile":
+            return with_percentile_rank(raw, "lof", own, "lof", "plausibility").select("sample_id", "plausibility")
+        low, high = bounds(own).first()
+        return raw.select("sample_id", unit_interval(F.col("lof"), F.lit(low), F.lit(high)).alias("plausibility"))

@@ -36,17 +36,17 @@ def query_count(ds: Dataset, limit: int | None = None) -> DataFrame:
     return rows.limit(limit) if limit is not None else rows
 
 
-def score(ds: Dataset, candidates: DataFrame, target: int, branch: str | None = None, predictions: DataFrame | None = None) -> DataFrame:
+def score(ds: Dataset, candidates: DataFrame, target: int, branch: str | None = None, predictions: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Tabular objectives of candidates against their factuals; outcome by the anchor's prediction if there is one."""
     name = branch or ds.primaries["tabular"]
     factual = ds.part(ds.tabular[name], "test").select(F.col("sample_id").alias("query_id"), F.col("value").alias("factual"))
     j = candidates.join(factual, "query_id").withColumn("candidate", F.col("num")[name])
     pred = (predictions if predictions is not None else ds.part(ds.samples, "train")).select(F.col("sample_id").alias("anchor_id"), "pred")
     j = j.join(pred, "anchor_id", "left")
-    return j.select("generator", "query_id", "cand_rank", score_functions.outcome(F.col("pred"), F.lit(target)).alias("outcome"), score_functions.tabular_proximity(F.col("factual"), F.col("candidate")).alias("proximity"), score_functions.tabular_sparsity(F.col("factual"), F.col("candidate")).alias("sparsity"))
+    return j.select(*extra, "generator", "query_id", "cand_rank", score_functions.outcome(F.col("pred"), F.lit(target)).alias("outcome"), score_functions.tabular_proximity(F.col("factual"), F.col("candidate")).alias("proximity"), score_functions.tabular_sparsity(F.col("factual"), F.col("candidate")).alias("sparsity"))
 
 
-def run(spark: SparkSession, ds: Dataset, combos: list[dict], build: Callable[[dict], dict[str, Generator]], target: int, queries: DataFrame, out: str, run_id: str, k: int = 20) -> DataFrame:
+def run(spark: SparkSession, ds: Dataset, combos: list[dict], build: Callable[[dict], dict[str, Generator]], target: int, queries: DataFrame, out: str, run_id: str, k: int = 20, keep_candidates: bool = False) -> DataFrame:
     """Run the configurations that are not finished yet; candidates, scores and statuses go to tables under ``out``.
 
     A configuration that fails is recorded with its error and tried again by the next run.
@@ -60,6 +60,9 @@ def run(spark: SparkSession, ds: Dataset, combos: list[dict], build: Callable[[d
         began, started, error = time.time(), datetime.now(UTC).isoformat(), None
         try:
             found = CounterfactualLibrary(build(combo)).run(ds, queries, target, k)
+            if keep_candidates:
+                found.write.mode("overwrite").parquet(f"{out}/candidates/combo={combo['combo_id']}")
+                found = spark.read.parquet(f"{out}/candidates/combo={combo['combo_id']}")
             scored = score(ds, found, target).withColumn("combo_id", F.lit(combo["combo_id"])).withColumn("run_id", F.lit(run_id))
             scored.write.mode("overwrite").parquet(f"{out}/scores/combo={combo['combo_id']}")
         except Exception as e:  # one configuration must not end the sweep
@@ -69,6 +72,14 @@ def run(spark: SparkSession, ds: Dataset, combos: list[dict], build: Callable[[d
     return tables.last_row_per(spark.read.parquet(f"{out}/status"), ["combo_id"], "finished")
 
 
+def rescore(spark: SparkSession, ds: Dataset, target: int, out: str, version: str) -> DataFrame:
+    """Score kept candidates anew into ``scores-<version>``; earlier scores stay as they are."""
+    found = spark.read.parquet(f"{out}/candidates")
+    scored = score(ds, found, target, extra=("combo",)).withColumnRenamed("combo", "combo_id")
+    scored.write.mode("overwrite").partitionBy("combo_id").parquet(f"{out}/scores-{version}")
+    return spark.read.parquet(f"{out}/scores-{version}")
+
+
 def objectives(spark: SparkSession, out: str) -> DataFrame:
     """Means by configuration and generator of all scores under ``out``."""
     rows = spark.read.option("basePath", f"{out}/scores").parquet(f"{out}/scores")

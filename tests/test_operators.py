@@ -88,6 +88,18 @@ def test_lof_by_brute_force(spark):
     assert lof.neighbour_count(3) == 2 and lof.neighbour_count(100) == 20
 
 
+def test_plausibility(spark):
+    x = [(i, [float(i % 5), float(i // 5)]) for i in range(25)]
+    ref = spark.createDataFrame(x, "sample_id long, value array<double>")
+    q = spark.createDataFrame([(100, [2.0, 2.0]), (101, [40.0, 40.0])], "sample_id long, value array<double>")
+    p = lof.Plausibility(ref, 5)
+    for how in ("unit", "percentile"):
+        got = {r.sample_id: r.plausibility for r in p.scaled(q, how).collect()}
+        assert got[101] == 1.0 and 0 <= got[100] < 1
+    two = lof.Plausibility(ref.where("sample_id < 2")).raw(q).collect()
+    assert {r.sample_id: r.lof for r in two}[100] == 1.5
+
+
 def test_pareto_case(spark):
     pts = [(1, 4), (2, 2), (3, 3), (4, 1), (2, 2)]
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "id int, a double, b double")
@@ -187,7 +199,11 @@ def test_sweep_resumes_without_duplicates(spark, tmp_path):
 
     status = sweep.run(spark, ds, combos, build, 1, queries, out, "r1", 3)
     assert {(r.combo_id, r.status) for r in status.collect()} == {("combo_0000", "ok"), ("combo_0001", "failed")}
-    status = sweep.run(spark, ds, combos, lambda c: build(c, False), 1, queries, out, "r1", 3)
+    status = sweep.run(spark, ds, combos, lambda c: build(c, False), 1, queries, out, "r1", 3, keep_candidates=True)
+    again = sweep.rescore(spark, ds, 1, out, "v2")
+    assert {(r.combo_id, r.n) for r in again.groupBy("combo_id").agg(F.count("*").alias("n")).collect()} == {("combo_0001", 9)}
+    curve = {r.k: r.n for r in sweep.k_ablation(again, [1, 2, 50]).collect()}
+    assert curve == {1: 3, 2: 6, 50: 9}
     assert {r.status for r in status.collect()} == {"ok"} and calls == ["combo_0000", "combo_0001", "combo_0001"]
     assert {r.combo_id for r in sweep.objectives(spark, out).collect()} == {"combo_0000", "combo_0001"}
 

@@ -29,7 +29,8 @@ from .common import small_batches, staged, worker_cache
 KEPT_WORDS, PART_ROWS, LEAST_PARTS = 450_000, 20_000, 64
 
 #: The vocabulary marks tokens that end a word; letters, then ASCII marks without the apostrophe.
-WORD_END, MARKED = "</w>", re.compile(r"^(.*[^!-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]+)$", re.S)
+WORD_END, MARKS = "</w>", rb"[!-&(-/:-@\[-`{-~]+"
+ASCII_MARKED, MARKED = re.compile(rb"([A-Za-z]+)(" + MARKS + rb")\Z"), re.compile(rb"([A-Za-z\x80-\xff]+)(" + MARKS + rb")\Z")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,28 +53,30 @@ class WordIds:
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def letters(self, words: list[str]) -> None:
+    def letters(self, words: list[bytes]) -> None:
         """Learn words of letters only: one call for many, cut where a token ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
         ends = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
         if len(ends) != len(words) + 1 or ends[-1] != 4 * len(ids):
-            self.known.update((w.encode(), self.one(w)) for w in words)
+            self.known.update((w, self.one(w.decode())) for w in words)
         else:
             raw = ids.tobytes()
-            self.known.update((w.encode(), raw[a:b]) for w, a, b in zip(words, ends, ends[1:], strict=False))
+            self.known.update(zip(words, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
 
     def learn(self, words: list[bytes]) -> None:
         """A word of letters and final ASCII marks has the ids of the letters, then of the marks."""
         plain, parted = set(), []
         for w in words:
-            if (t := w.decode()).isalpha():
-                plain.add(t)
-            elif (m := MARKED.match(t)) and m[1].isalpha() and "<|" not in t:
-                parted.append((w, m[1].encode(), m[2].encode()))
+            if w.isalpha():
+                plain.add(w)
+            elif (m := ASCII_MARKED.match(w)) or ((m := MARKED.match(w)) and m[1].decode().isalpha()):
+                parted.append((w, *m.groups()))
                 plain.add(m[1])
+            elif (t := w.decode()).isalpha():
+                plain.add(w)
             else:
                 self.known[w] = self.one(t)
-        plain = [t for t in plain if t.encode() not in self.known]
+        plain = list(plain.difference(self.known))
         for i in range(0, len(plain), 1000):
             self.letters(plain[i : i + 1000])
         for w, core, marks in parted:

@@ -103,16 +103,11 @@ def knn_per_class(spark, d):
 
 @_query(_knn_sql("euclidean", 1, "q.label <> c.label"))
 def nearest_unlike_neighbour(spark, d):
-    """The nearest embedding of any other class: the best of the classes' own nearest."""
+    """The nearest embedding of any other class: each query is dealt to the tiles of all classes but its own."""
     e = embeddings(spark, d)
-    spread = e.withColumn("target", F.explode(F.array(*[F.lit(i) for i in range(10)]))).where("target <> label")
-    each = [knn(spread.where(F.col("target") == i), e.where(F.col("label") == i), 1, "euclidean") for i in range(10)]
-    from functools import reduce
-
-    from pyspark.sql import Window
-
-    every = reduce(DataFrame.union, each).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "train_id")))
-    return _rounded(every.where("rank = 1"), "distance")
+    classes = e.agg(F.collect_set("label").alias("classes"))  # one row
+    spread = e.crossJoin(F.broadcast(classes)).withColumn("target", F.explode(F.filter("classes", lambda c: c != F.col("label"))))
+    return _rounded(knn(spread, e, 1, "euclidean", per_class=True), "distance")
 
 
 def customers(spark, d) -> DataFrame:
@@ -237,14 +232,16 @@ def prototype_synthesis(spark, d):
 
 # ---------------------------------------------------------------- time series
 
-#: The event types, one channel each, and the days.
-CHANNELS, FIRST_DAY, DAYS = ("click", "purchase", "view", "signup", "error"), "2024-01-01", 30
+#: The days of the series. Each event type is one channel.
+FIRST_DAY, DAYS = "2024-01-01", 30
 
 
 def user_series(spark, d) -> DataFrame:
     """Users' daily event counts by type, channel-major; the class is the parity of a user's events."""
     e = table(spark, d, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(64).collect()]
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(257).collect()]
+    if len(kinds) > 256:
+        raise ValueError("more than 256 channels")
     e = e.select(F.col("user_id").cast("long").alias("sample_id"), F.datediff(F.to_date("ts"), F.lit(FIRST_DAY).cast("date")).alias("day"), "event_type").where(F.col("day").between(0, DAYS - 1))
     counts = e.groupBy("sample_id", "event_type", "day").agg(F.count("*").alias("n"))
     per = counts.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "event_type", F.col("day").cast("string")), F.col("n").cast("double")))).alias("m"), F.sum("n").alias("total"))

@@ -23,8 +23,8 @@ from .common import small_batches
 SAMPLE, WINDOWS, EPOCHS, STEP, RATE, STATES = 1500, 6, 4, 128, 0.01, 8
 #: Steps at least, so that few rows are passed more often.
 LEAST_STEPS = 250
-#: Bytes of a window when training and when predicting, windows predicted together, languages at most.
-TRAIN_BYTES, BYTES, TOGETHER, MOST_LANGUAGES = 48, 96, 4096, 200
+#: Bytes of a window when training and when predicting, windows predicted together.
+TRAIN_BYTES, BYTES, TOGETHER = 48, 96, 4096
 
 
 def _init(languages: int, seed: int = 3) -> dict[str, np.ndarray]:
@@ -154,11 +154,11 @@ def fit(docs: DataFrame, train_rows) -> tuple[list[str], dict[str, np.ndarray]]:
     own = docs.select(F.col("doc_id").alias("id"), "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").where(train_rows(F.col("id")))
     chosen = own.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(SAMPLE)
     rows = own.join(F.broadcast(chosen.select("id").distinct()), "id").select("id", "lang", "text").orderBy("id", "lang").limit(SAMPLE).collect()
-    names = sorted({r.lang for r in rows})[:MOST_LANGUAGES]
+    names = sorted({r.lang for r in rows})
     windows, lengths, labels = [], [], []
     for r in rows:
         raw = r.text.encode()
-        if r.lang in names and raw:
+        if raw:
             for start in np.unique(np.linspace(0, max(0, len(raw) - TRAIN_BYTES), WINDOWS).astype(int)):
                 cut = raw[start : start + TRAIN_BYTES]
                 windows.append(np.frombuffer(cut.ljust(TRAIN_BYTES, b"\0"), np.uint8))

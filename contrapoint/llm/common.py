@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -33,12 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
-    The table cuts lineage and outlives executors; it is read by any number of later jobs.
+    The table cuts lineage and outlives executors; it is read by any number of later jobs. The shuffle files behind it
+    are of no more use, but Spark keeps them until the driver's garbage is collected, so that is asked for here.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _STAGED.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table
 
 
 def drop_staged(spark: SparkSession) -> int:

@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from .common import small_batches, staged, worker_cache
 
 #: Words that a task remembers, rows of a salted rank part, parts of any length at least.
-KEPT_WORDS, PART_ROWS, LEAST_PARTS = 450_000, 20_000, 64
+KEPT_WORDS, PART_ROWS, LEAST_PARTS = 800_000, 20_000, 64
 
 #: The vocabulary marks tokens that end a word; letters, then ASCII marks without the apostrophe.
 WORD_END, MARKS = "</w>", rb"[!-&(-/:-@\[-`{-~]+"

@@ -157,7 +157,7 @@ class Codec:
 
 
 def _codec(lines, pattern: str) -> Codec:
-    cache = worker_cache()
+    cache = worker_cache("byte_bpe")
     key = ("byte_bpe", hash(lines.value), pattern)
     if key not in cache:
         cache[key] = Codec(lines.value, pattern)

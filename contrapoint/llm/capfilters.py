@@ -28,7 +28,7 @@ ASSIGNED, DECODED, GROUP_ROWS = 512, 4096, 8192
 
 def code(dim: int, codewords: int) -> tuple[np.ndarray, np.ndarray]:
     """Random unit code words of the two halves; the seed is the dimension."""
-    cache = worker_cache()
+    cache = worker_cache("capfilters")
     if (key := ("caps", dim, codewords)) not in cache:
         rng = np.random.default_rng(dim)
         halves = []

@@ -56,9 +56,16 @@ def drop_staged(spark: SparkSession) -> int:
     return count
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python process, for models that tasks share."""
-    return sys.__dict__.setdefault("_contrapoint_cache", {})
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python process, for models and words that an operator's tasks share.
+
+    Another operator that runs in the process later empties it first, so memory never adds up over operators.
+    """
+    cache = sys.__dict__.setdefault("_contrapoint_cache", {})
+    if cache.get("owner") != owner:
+        cache.clear()
+        cache["owner"] = owner
+    return cache
 
 
 def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:

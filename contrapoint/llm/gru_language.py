@@ -9,7 +9,7 @@ Texts that are null or hold no letter are ``und`` with score 0; so are all if no
 do not train. Repeated rows are predicted alike. An empty table gives an empty one.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker_cache
 
 #: Labelled rows that train at most, windows of each, passes, windows of a step, step size, states each way.
 SAMPLE, WINDOWS, EPOCHS, STEP, RATE, STATES = 1500, 6, 4, 128, 0.01, 8
@@ -169,36 +169,39 @@ def fit(docs: DataFrame, train_rows) -> tuple[list[str], dict[str, np.ndarray]]:
     return names, train(np.stack(windows), np.array(lengths), np.array(labels), len(names))
 
 
-def predict(docs: DataFrame, model, lang: str = "lang_pred", out: str = "score", keep_text: bool = False) -> DataFrame:
-    """``docs``, its text only with ``keep_text``, ``lang`` and ``out``, the mean probability of that language."""
+def predict(docs: DataFrame, model, lang: str = "lang_pred", out: str = "score") -> DataFrame:
+    """``docs`` with ``lang`` and ``out``, the mean probability of that language; only the text goes to Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("text", lang, out)]
 
-    def run(batches):
+    def some(texts: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         names, p = sent.value
-        for batch in batches:
-            n = batch.num_columns - 2
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                texts, letters = pc.cast(part.column(n), pa.binary()).to_pylist(), part.column(n + 1).to_numpy(zero_copy_only=False)
-                best, chance = np.full(len(texts), "und", object), np.zeros(len(texts))
-                if names:
-                    lens = np.array([len(t) if ok else 0 for t, ok in zip(texts, letters, strict=True)], np.int64)
-                    raw = np.frombuffer(b"".join(t for t, ok in zip(texts, letters, strict=True) if ok) + bytes(BYTES), np.uint8)
-                    number = -(-lens // BYTES)
-                    owner = np.repeat(np.arange(len(texts)), number)
-                    nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-                    start, size = (np.cumsum(lens) - lens)[owner] + nth * BYTES, np.minimum(BYTES, lens[owner] - nth * BYTES)
-                    sums, order = np.zeros((len(texts), len(names))), np.argsort(-size, kind="stable")
-                    for s in range(0, len(order), TOGETHER):
-                        now = order[s : s + TOGETHER]
-                        got = position_sums(p, raw[start[now][:, None] + np.arange(BYTES)], size[now])
-                        np.add.at(sums, owner[now], got)
-                    probs = sums / np.maximum(lens, 1)[:, None]
-                    top = probs.argmax(1)
-                    some = lens > 0
-                    best[some], chance[some] = np.array(names, object)[top[some]], np.clip(probs[np.arange(len(texts)), top], 0, 1)[some]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n + keep_text)), pa.array(best, pa.string()), pa.array(chance)], names=[*keep, *["text"] * keep_text, lang, out])
-
-    rows = small_batches(docs).select(*keep, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(run, rows.drop("letters" if keep_text else "text", "letters").withColumn(lang, F.lit("")).withColumn(out, F.lit(0.0)).schema)
+        best, chance = np.full(len(texts), "und", object), np.zeros(len(texts))
+        if names and len(texts):
+            lens = np.array([len(t) if ok else 0 for t, ok in zip(texts, letters, strict=True)], np.int64)
+            raw = np.frombuffer(b"".join(t for t, ok in zip(texts, letters, strict=True) if ok) + bytes(BYTES), np.uint8)
+            number = -(-lens // BYTES)
+            owner = np.repeat(np.arange(len(texts)), number)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+            start, size = (np.cumsum(lens) - lens)[owner] + nth * BYTES, np.minimum(BYTES, lens[owner] - nth * BYTES)
+            sums, order = np.zeros((len(texts), len(names))), np.argsort(-size, kind="stable")
+            for s in range(0, len(order), TOGETHER):
+                now = order[s : s + TOGETHER]
+                np.add.at(sums, owner[now], position_sums(p, raw[start[now][:, None] + np.arange(BYTES)], size[now]))
+            probs = sums / np.maximum(lens, 1)[:, None]
+            top, there = probs.argmax(1), lens > 0
+            best[there] = np.array(names, object)[top[there]]
+            chance[there] = np.clip(probs[np.arange(len(texts)), top], 0, 1)[there]
+        return best, chance
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        worker_cache("gru_language")
+        for texts, letters in batches:
+            parts = [some(pc.cast(texts.slice(at, 400), pa.binary()).to_pylist(), letters.slice(at, 400).to_numpy(zero_copy_only=False)) for at in range(0, len(texts), 400)]
+            best, chance = (np.concatenate([*x, []]) for x in zip(*parts, strict=True)) if parts else ([], [])
+            yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(chance, pa.float64())], names=["lang", "score"])
+
+    # Called non-deterministic so that a filter on the result does not run it twice.
+    udf = F.arrow_udf(run, "lang string, score double").asNondeterministic()
+    found = udf(F.coalesce("text", F.lit("")), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rows = small_batches(docs).withColumn("_language", found)
+    return rows.withColumn(lang, F.col("_language.lang")).withColumn(out, F.col("_language.score")).drop("_language")

@@ -52,7 +52,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, in order; A-Z is lower-cased and words end at ASCII white space."""
-    known = worker_cache().setdefault("minhash_words", _Words())
+    known = worker_cache("minhash").setdefault("minhash_words", _Words())
     if len(known) > KEPT_WORDS:
         known.clear()
     words = [t.lower().split() for t in texts]
@@ -78,7 +78,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 
 
 def _probes() -> np.ndarray:
-    cache = worker_cache()
+    cache = worker_cache("minhash")
     if "minhash_probes" not in cache:
         cache["minhash_probes"] = np.random.default_rng(1).integers(0, REGISTERS, (512, REGISTERS))
     return cache["minhash_probes"]

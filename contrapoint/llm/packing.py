@@ -86,7 +86,7 @@ class WordIds:
 
 
 def _word_ids(data: str) -> WordIds:
-    cache = worker_cache()
+    cache = worker_cache("packing")
     if (key := ("word_bpe", hash(data))) not in cache:
         cache[key] = WordIds(data)
     return cache[key]

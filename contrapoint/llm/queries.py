@@ -58,7 +58,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = subword_classifier.fit(docs, _table(spark, sf_dir, "labels"), "quality", lambda i: ~held_out(i, 4, 2))
     rows = subword_classifier.score(docs.withColumn("held_out", held_out(F.col("doc_id"), 4, 2)), model)
-    return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = gru_language.fit(docs, lambda i: ~held_out(i, 4, 2))
-    return gru_language.predict(docs.select("doc_id", "text", held_out(F.col("doc_id"), 4, 2).alias("held_out")), model)
+    return gru_language.predict(docs.select("doc_id", "text", held_out(F.col("doc_id"), 4, 2).alias("held_out")), model).drop("text")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,7 @@ Null and empty texts have no features and score the learned bias. Rows without a
 labelled row at all the bias is even. Repeated rows score alike. An empty table gives an empty one.
 """
 
-from __future__ import annotations
-
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker_cache
 
 
 #: Labelled rows that train at most; vectors and their length; passes and first learning rate; words a task remembers.
@@ -136,22 +135,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train_rows) -> tuple[np.
     return train([(r.text or "").encode() for r in rows], [r.y for r in rows])
 
 
-def score(docs: DataFrame, model, out: str = "score", keep_text: bool = False) -> DataFrame:
-    """``docs``, its text only with ``keep_text``, and ``out``, the probability of class 1."""
+def score(docs: DataFrame, model, out: str = "score") -> DataFrame:
+    """``docs`` with ``out``, the probability of class 1; only the text goes to Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("text", out)]
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_cache("subword_classifier")
         table, weights, bias = sent.value
         features = Features()
         for batch in batches:
-            n = batch.num_columns - 1
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                total, number = features.texts(pc.cast(part.column(n), pa.binary()).to_pylist(), table)
+            found = []
+            for at in range(0, len(batch), 500):
+                total, number = features.texts(pc.cast(batch.slice(at, 500), pa.binary()).to_pylist(), table)
                 z = total / np.maximum(number, 1)[:, None] @ weights + bias
-                p = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -700, 700)))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n + keep_text)), pa.array(p)], names=[*keep, *["text"] * keep_text, out])
+                found.append(1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -700, 700))))
+            yield pa.array(np.concatenate([*found, np.empty(0)]))
 
-    rows = small_batches(docs).select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, (rows if keep_text else rows.drop("text")).withColumn(out, F.lit(0.0)).schema)
+    # Called non-deterministic so that a filter on the result does not run it twice.
+    udf = F.arrow_udf(run, "double").asNondeterministic()
+    return small_batches(docs).withColumn(out, udf(F.coalesce("text", F.lit(""))))

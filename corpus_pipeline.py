@@ -19,28 +19,23 @@ LEAST_LANGUAGE, LEAST_QUALITY = 0.35, 0.5
 SHINGLE, SIMILARITY = 5, 0.8
 
 
-def _with_text(docs: DataFrame) -> DataFrame:
-    """The text beside all other columns in one, for operators that pass other columns through."""
-    return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"))
-
-
-def _row(docs: DataFrame) -> list:
-    """The columns of ``docs`` again, from rows of ``_with_text``."""
-    return [F.col("text") if c == "text" else F.col(f"doc.{c}").alias(c) for c in docs.columns]
+def _beside(docs: DataFrame) -> DataFrame:
+    """The text and the whole row, so that an operator's columns can't clash with the row's."""
+    return docs.select("text", F.struct(*docs.columns).alias("doc"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language; those without text or letters go."""
     model = gru_language.fit(docs, lambda i: ~held_out(i, 4, 2))
-    rows = gru_language.predict(_with_text(docs), model, keep_text=True)
-    return rows.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*_row(docs))
+    rows = gru_language.predict(_beside(docs), model)
+    return rows.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("doc.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier, fitted on the labelled rows, takes for good ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = subword_classifier.fit(docs, labels, "quality", lambda i: ~held_out(i, 4, 2))
-    return subword_classifier.score(_with_text(docs), model, keep_text=True).where(F.col("score") >= LEAST_QUALITY).select(*_row(docs))
+    return subword_classifier.score(_beside(docs), model).where(F.col("score") >= LEAST_QUALITY).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

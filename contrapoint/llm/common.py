@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A-Z and a-z, for lower-casing that leaves all other letters alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Tasks that share the edges of one node.
+HUB_PARTS = 8
 
 _STAGED: list[str] = []
 
@@ -104,16 +106,22 @@ def tile_rows(df: DataFrame, keys: list[str], sizes: DataFrame, row_key: str, bl
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(``node``, ``component``) for the nodes of ``edges`` (``u``, ``v``); the component is its least node.
 
-    Alternates large-star and small-star steps, each a partial minimum and an equi-join whose hot keys adaptive
-    execution can split; every round is staged. Nodes without edges are not returned; null ends are dropped.
+    Alternates large-star and small-star steps, each a partial minimum and an equi-join; every round is staged. A hub's
+    edges are salted over ``HUB_PARTS`` tasks, and both sides of the join are plain shuffles, which adaptive execution
+    can split further. Nodes without edges are not returned; null ends are dropped.
     """
 
+    def lowest(e: DataFrame, low: DataFrame) -> DataFrame:
+        """The edges with their first node's ``m``."""
+        parts = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))))
+        return e.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(HUB_PARTS)).cast("int")).join(parts, ["u", "part"]).drop("part")
+
     def stars(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = lowest(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = lowest(large, low).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         return small.where("u <> v").distinct()
 
     edges = edges.where("u <> v").select("u", "v").distinct()

@@ -116,8 +116,39 @@ def bleu_similarity(a: list, b: list, most: int = 4) -> float:
 SIMILARITIES = {"lcs": lcs_similarity, "rouge_l": rouge_l_similarity, "rouge_1": rouge_n_similarity(1), "rouge_2": rouge_n_similarity(2), "bleu": bleu_similarity}
 
 
+def _grams(tokens_: list, n: int) -> Counter:
+    return Counter(zip(*(tokens_[i:] for i in range(n)), strict=False))
+
+
+def _rouge_kernel(n: int):
+    """ROUGE-n distances of a block by postings: each n-gram of a query adds to the candidates that hold it."""
+
+    def f(q: list, c: list) -> np.ndarray:
+        own = [_grams(list(t), n) for t in c]
+        sizes, postings = np.array([g.total() for g in own], float), {}
+        for j, g in enumerate(own):
+            for gram, k in g.items():
+                postings.setdefault(gram, ([], []))
+                postings[gram][0].append(j)
+                postings[gram][1].append(k)
+        postings = {gram: (np.array(j), np.array(k)) for gram, (j, k) in postings.items()}
+        out = np.empty((len(q), len(c)))
+        for row, t in zip(out, q, strict=True):
+            shared, g = np.zeros(len(c)), _grams(list(t), n)
+            for gram, k in g.items():
+                if gram in postings:
+                    shared[postings[gram][0]] += np.minimum(k, postings[gram][1])
+            both = g.total() + sizes
+            row[:] = 1 - np.where(both > 0, 2 * shared / np.maximum(both, 1), 1.0)
+        return out
+
+    return f
+
+
 def kernel(metric: str):
     """(queries' tokens, candidates' tokens) -> matrix of 1 - similarity."""
+    if metric_name(metric) in ("rouge_1", "rouge_2"):
+        return _rouge_kernel(int(metric_name(metric)[-1]))
     f = SIMILARITIES[metric_name(metric)]
     return lambda q, c: np.array([[1.0 - min(1.0, max(0.0, f(list(a), list(b)))) for b in c] for a in q]).reshape(len(q), len(c))
 

@@ -39,13 +39,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The table cuts lineage and outlives executors; it is read by any number of later jobs. The shuffle files behind it
     are of no more use, but Spark keeps them until the driver's garbage is collected, so that is asked for here.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _STAGED.append(path)
     df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    del df  # else the collection would only move its shuffles to the old generation
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return table
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> int:

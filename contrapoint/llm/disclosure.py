@@ -3,12 +3,11 @@
 Emails, ip addresses, card and phone numbers are found by pattern. Then corpus co-occurrence tells how strongly the words
 near such an entity reveal it: with n documents, a term t in n(t), an entity e in n(e), and t near e in n(e, t) of them,
 pointwise mutual information over the entity's information content is 1 - log(n(t) / n(e, t)) / log(n / n(e)). It is 1
-for a term that never occurs without the entity. Terms at or over ``SHARE`` that stand near it in at least ``SUPPORT``
-different texts are marked there too. ``sanitise`` replaces marked spans by their kind.
+for a term that never occurs without the entity. Terms at or over ``SHARE`` that stand near it are marked there too; an
+entity or a term of a single document is judged like any other. ``sanitise`` replaces marked spans by their kind.
 
 Positions are code points, the end exclusive. A null text counts as empty and has no spans; ``sanitise`` keeps it null.
-Rows are judged one by one, so repeated rows and rows without an id get spans as well; copies of one text count as one in
-the support. An empty table gives an empty one.
+Rows are judged one by one, so repeated rows and rows without an id get spans as well. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Share of an entity's information that a term may give away, texts that must show it, code points on either side.
-SHARE, SUPPORT, NEAR = 0.9, 3, 60
+#: Share of an entity's information that a term may give away, code points on either side.
+SHARE, NEAR = 0.9, 60
 
 #: What each kind's match must look like. Repetitions that cannot give back are possessive, and a match
 #: begins where its run does or where the last match ended, so that long runs are read once. A card's shorter runs of
@@ -95,15 +94,15 @@ def _near(text: Column, spans: Column) -> Column:
 def _with_spans(docs: DataFrame, keep_text: bool) -> DataFrame:
     """Staged rows with a number each, their pattern spans and the words near them."""
     rows = docs.withColumn("spans", base_spans(F.coalesce("text", F.lit("")))).withColumn("near", F.when(F.size("spans") > 0, _near(F.col("text"), F.col("spans"))))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("copy", F.when(F.size("spans") > 0, F.xxhash64("text")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     return staged(rows if keep_text else rows.drop("text"), "spans")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(``row``, ``terms``): the spans of terms that disclose an entity of the row."""
     total = found.count()
-    near = found.where("size(near) > 0").select("row", "copy", F.explode("near").alias("n")).select("row", "copy", "n.*")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("row").alias("both"), F.count_distinct("copy").alias("texts")).where(F.col("texts") >= SUPPORT)
+    near = found.where("size(near) > 0").select("row", F.explode("near").alias("n")).select("row", "n.*")
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("row").alias("both"))
     entities = found.where("size(spans) > 0").select("row", F.explode("spans").alias("s")).groupBy(F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity")).agg(F.count_distinct("row").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).where("length(term) > 3")
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))

@@ -112,6 +112,12 @@ def test_disclosing_terms_and_sanitising(spark):
     assert clean[1].text == "<term> <term> ann at <email> about the <term> 1" and clean[1].spans == "clash" and clean[99].text is None and clean[11].text == "about the weather ann 1"
 
 
+def test_disclosing_terms_of_an_entity_in_one_or_two_documents(spark):
+    rows = [(1, "write to quibblet about the weather at solo@a.com"), (2, "the weather of glimworth duo@b.com"), (3, "the weather of glimworth duo@b.com about")] + [(10 + i, f"write about the weather to {i}") for i in range(40)]
+    found = {r.doc_id: [t.value for t in r.terms] for r in disclosure.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == ["quibblet"] and found[2] == ["glimworth"] and found[3] == ["glimworth"] and not any(found[i] for i in range(10, 50))
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates_equal_brute_force(docs, empty, width, percent, monkeypatch):
     monkeypatch.setattr(minhash, "BAND_BLOCK", 4)

@@ -1,10 +1,14 @@
 """Personal data by patterns, and the terms that disclose it, with DataFrame functions only.
 
 Emails, ip addresses, card and phone numbers are found by pattern. Then corpus co-occurrence tells how strongly the words
-near such an entity reveal it: with n documents, a term t in n(t), an entity e in n(e), and t near e in n(e, t) of them,
+of its documents reveal such an entity: with n documents, a term t in n(t), an entity e in n(e), and both in n(e, t),
 pointwise mutual information over the entity's information content is 1 - log(n(t) / n(e, t)) / log(n / n(e)). It is 1
-for a term that never occurs without the entity. Terms at or over ``SHARE`` that stand near it are marked there too; an
-entity or a term of a single document is judged like any other. ``sanitise`` replaces marked spans by their kind.
+for a term that never occurs without the entity. Terms at or over ``SHARE`` are marked wherever they stand in the
+entity's documents; an entity or a term of a single document is judged like any other. ``sanitise`` replaces marked spans
+by their kind.
+
+Terms are runs of letters, marks and digits of any length, in lower case. Only a term that an entity's documents always
+write as one to three small letters is not judged (see ``SMALL``).
 
 Positions are code points, the end exclusive. A null text counts as empty and has no spans; ``sanitise`` keeps it null.
 Rows are judged one by one, so repeated rows and rows without an id get spans as well. An empty table gives an empty one.
@@ -17,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Share of an entity's information that a term may give away, code points on either side.
-SHARE, NEAR = 0.9, 60
+#: Share of an entity's information that a term may give away.
+SHARE = 0.9
 
 #: What each kind's match must look like. Repetitions that cannot give back are possessive, and a match
 #: begins where its run does or where the last match ended, so that long runs are read once. A card's shorter runs of
@@ -30,7 +34,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GUARDS = {"email": "@", "phone": "+"}
-TERM = r"\p{L}{4,}+"
+TERM = r"[\p{L}\p{M}\p{N}]++"
+#: A short word without a capital, a digit or a letter of a script without case: "at", not "Li", "李" or "k9".
+SMALL = r"^(?:\p{Ll}\p{M}*+){1,3}$"
 
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -47,16 +53,19 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, kind: str, pattern: str, offset: Column) -> Column:
-    """All leftmost non-overlapping matches; a match starts after the gaps and matches before it."""
+def _matches(text: Column, kind: str, pattern: str, wanted=None) -> Column:
+    """All leftmost non-overlapping matches, or the ``wanted`` ones; a match starts after the gaps and matches before it."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def step(acc, pair):
         start = acc["at"] + F.length(pair["gaps"])
         end = start + F.length(pair["found"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["found"].alias("value"))).alias("out"))
+        out = F.array_append(acc["out"], F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["found"].alias("value")))
+        if wanted is not None:
+            out = F.when(wanted(pair["found"]), out).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
 
-    first = F.struct(offset.cast("int").alias("at"), F.expr(f"CAST(array() AS {_SPANS})").alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {_SPANS})").alias("out"))
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gaps"), found.alias("found"))
     return F.aggregate(pairs, first, step, lambda acc: acc["out"])
 
@@ -74,48 +83,61 @@ def base_spans(text: Column) -> Column:
 
 
 def _kept(text: Column, kind: str, pattern: str) -> Column:
-    return F.filter(_matches(text, kind, pattern, F.lit(0)), lambda s: _passes(kind, s["value"]))
+    return F.filter(_matches(text, kind, pattern), lambda s: _passes(kind, s["value"]))
 
 
-def _near(text: Column, spans: Column) -> Column:
-    """Whole words within ``NEAR`` code points of each span and outside all of them, with the span's entity."""
+def _written(text: Column) -> Column:
+    """The distinct words of a text as they are written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
-    def around(span):
-        begin = F.greatest(span["start"] - NEAR, F.lit(0))
-        before = F.filter(_matches(F.substring(text, begin + 1, span["start"] - begin), "term", TERM, begin), lambda t: (t["start"] > begin) | (begin == 0))
-        after = F.filter(_matches(F.substring(text, span["end"] + 1, F.lit(NEAR)), "term", TERM, span["end"]), lambda t: t["end"] < span["end"] + NEAR)
-        clear = F.filter(F.concat(before, after), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        entity = F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
-        return F.transform(clear, lambda t: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), t.alias("span")))
 
-    return F.flatten(F.transform(spans, around))
+def _occurrences(text: Column, spans: Column, terms: Column) -> Column:
+    """The spans of ``terms`` in a text, outside all of ``spans``."""
+    there = _matches(text, "term", TERM, lambda word: F.array_contains(terms, F.lower(word)))
+    return F.filter(there, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
 
 def _with_spans(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """Staged rows with a number each, their pattern spans and the words near them."""
-    rows = docs.withColumn("spans", base_spans(F.coalesce("text", F.lit("")))).withColumn("near", F.when(F.size("spans") > 0, _near(F.col("text"), F.col("spans"))))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    return staged(rows if keep_text else rows.drop("text"), "spans")
+    """Staged rows with a number each and their pattern spans; the text stays where there are any, or everywhere."""
+    rows = docs.withColumn("spans", base_spans(F.coalesce("text", F.lit("")))).withColumn("row", F.monotonically_increasing_id())
+    return staged(rows if keep_text else rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "spans")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(``row``, ``terms``): the spans of terms that disclose an entity of the row."""
+    """(``row``, ``words``): the terms that disclose an entity of the row.
+
+    Entities of the same documents are judged as one. A term in more than n(e) * (n / n(e)) ** (1 - ``SHARE``) documents
+    can't reach the share, as n(e, t) is at most n(e); so common words leave before they meet entities, without loss.
+    """
     total = found.count()
-    near = found.where("size(near) > 0").select("row", F.explode("near").alias("n")).select("row", "n.*")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("row").alias("both"))
-    entities = found.where("size(spans) > 0").select("row", F.explode("spans").alias("s")).groupBy(F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity")).agg(F.count_distinct("row").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).where("length(term) > 3")
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    share = 1 - F.log(F.greatest(F.col("n_term") / F.col("both"), F.lit(1.0))) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    flagged = pairs.join(entities, "entity").join(terms, "term").where((F.col("n_entity") < total) & (share >= SHARE)).select("entity", "term")
-    return near.join(flagged, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("terms"))
+    held = found.where("size(spans) > 0")
+    named = held.select("row", F.explode(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))).alias("entity")).distinct()
+    entities = named.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("b"))
+    group = ["n_entity", "a", "b"]
+    holders = staged(named.join(entities, "entity").where(F.col("n_entity") < total).select("row", *group).distinct(), "holders")
+    most = holders.agg(F.max("n_entity")).first()[0] or 0
+
+    def reach(n_entity: Column) -> Column:
+        return F.col("n_term") <= n_entity * F.pow(total / n_entity, F.lit(1 - SHARE)) * (1 + 1e-9)
+
+    words = docs.select(F.explode(F.array_distinct(F.transform(_written(F.col("text")), lambda w: F.lower(w)))).alias("term"))
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).where(reach(F.lit(float(max(most, 1)))))
+    tops = holders.groupBy("row").agg(F.max("n_entity").alias("top"))
+    there = held.join(tops, "row").select("row", "top", F.explode(_written(F.col("text"))).alias("word")).select("row", "top", F.lower("word").alias("term"), (~F.col("word").rlike(SMALL)).alias("judged"))
+    rare = there.join(terms, "term").where(reach(F.col("top"))).drop("top")
+    pairs = staged(rare.join(holders, "row").where(reach(F.col("n_entity"))), "pairs")
+    both = pairs.groupBy(*group, "term", "n_term").agg(F.count_distinct("row").alias("both"), F.max("judged").alias("judged")).where("judged")
+    share = 1 - F.log(F.col("n_term") / F.col("both")) / F.log(F.lit(float(total)) / F.col("n_entity"))
+    flagged = both.where(share >= SHARE).select(*group, "term")
+    return pairs.join(flagged, [*group, "term"]).groupBy("row").agg(F.collect_set("term").alias("words"))
 
 
 def _with_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` with the spans of disclosing terms; only rows with words near a span are joined, so no other text moves."""
-    near = F.coalesce(F.size("near") > 0, F.lit(False))
-    joined = found.where(near).join(disclosing_terms(docs, found), "row", "left")
-    return joined.unionByName(found.where(~near).withColumn("terms", F.lit(None).cast(_SPANS)))
+    """``found`` with the spans of disclosing terms; only rows with spans are joined, so no other text moves."""
+    held = F.size("spans") > 0
+    joined = found.where(held).join(disclosing_terms(docs, found), "row", "left")
+    joined = joined.withColumn("terms", F.when(F.col("words").isNotNull(), _occurrences(F.col("text"), F.col("spans"), F.col("words")))).drop("words")
+    return joined.unionByName(found.where(~held).withColumn("terms", F.lit(None).cast(_SPANS)))
 
 
 def find(docs: DataFrame) -> DataFrame:

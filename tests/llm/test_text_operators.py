@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -118,6 +119,29 @@ def test_disclosing_terms_of_an_entity_in_one_or_two_documents(spark):
     assert found[1] == ["quibblet"] and found[2] == ["glimworth"] and found[3] == ["glimworth"] and not any(found[i] for i in range(10, 50))
 
 
+def test_disclosing_terms_are_of_any_length_and_anywhere(spark):
+    far = "the weather " * 200
+    rows = [(i, f"Li {far}李明 mail me@li.org the {far}k9 weather li Bob") for i in range(2)] + [(10 + i, f"the weather mail bob {i}") for i in range(40)]
+    found = {r.doc_id: [t.value for t in r.terms] for r in disclosure.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0] == found[1] == ["Li", "李明", "k9", "li"] and not any(found[i] for i in range(10, 50))
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("text LIKE '%@%'").limit(3)).union(spark.createDataFrame([(-i, f"Ann{i % 3} x{i % 2} İ shared@a.com u{i}@b.org ΟΔΟΣ.Α q{i}") for i in range(1, 9)], "doc_id long, text string")).cache()
+    rows = disclosure.find(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
+    seen = [({f"{s.kind}:{s.value.lower()}" for s in r.spans}, regex.findall(r"[\p{L}\p{M}\p{N}]+", r.text or "")) for r in rows]
+    lower = [{w.lower() for w in words} for _, words in seen]
+    n_entity, n_term = Counter(e for es, _ in seen for e in es), Counter(t for ts in lower for t in ts)
+    both = Counter((e, t) for (es, _), ts in zip(seen, lower, strict=True) for e in es for t in ts)
+    large = {(e, w.lower()) for es, words in seen for e in es for w in words if not regex.fullmatch(r"(?:\p{Ll}\p{M}*){1,3}", w)}
+    flagged = {(e, t) for e, t in large if 1 - math.log(n_term[t] / both[e, t]) / math.log(len(rows) / n_entity[e]) >= 0.9}
+    for r, (es, _) in zip(rows, seen, strict=True):
+        hits = [(m.start(), m.end(), m.group()) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", r.text or "") if any((e, m.group().lower()) in flagged for e in es)]
+        assert [(t.start, t.end, t.value) for t in r.terms] == [h for h in hits if not any(s.start < h[1] and h[0] < s.end for s in r.spans)]
+    assert sum(len(r.terms) for r in rows) > 50
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates_equal_brute_force(docs, empty, width, percent, monkeypatch):
     monkeypatch.setattr(minhash, "BAND_BLOCK", 4)

@@ -39,10 +39,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that of the least id."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE, SIMILARITY)
-    gone = staged(found.where("NOT kept").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near-duplicates, that of the least id; a null id comes last.
+
+    Rows are told apart by their own numbers, as ids may repeat or be missing.
+    """
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("doc")), "numbered")
+    found = minhash.near_duplicates(rows.select(F.col("number").alias("doc_id"), "doc.text"), SHINGLE, SIMILARITY)
+    ids = rows.select("number", F.col("doc.doc_id").alias("id"))
+    members = staged(found.select(F.col("doc_id").alias("number"), "component_id").join(ids, "number"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("first")).select("first.number")
+    gone = staged(members.join(first, "number", "left_anti").select("number"), "copies")
+    return rows.join(gone, "number", "left_anti").select("doc.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

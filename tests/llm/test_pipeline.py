@@ -44,6 +44,16 @@ def test_stages_keep_clean_rows_and_act(spark):
     assert {r.doc_id for r in packed} == left
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(5, a), (5, a), (None, b), (None, b + " more"), (7, c), (8, c), (8, d), (9, ""), (9, ""), (4, d + " more"), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], spark.read.parquet(f"{DATA}/documents.parquet").schema).repartition(3)
+    left = C.near_duplicates(spark, docs, DATA)
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert left.columns == docs.columns and len(got) == 6
+    assert sorted(t[:2] for i, t in got if i is None) == ["b0"] and sorted((i, t[:2]) for i, t in got if i is not None) == [(4, "d0"), (5, "a0"), (7, "c0"), (9, ""), (9, "")]
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     docs.write.parquet(str(tmp_path / "documents.parquet"))

@@ -3,8 +3,10 @@
 One pass turns every whole text into its set of 64-bit shingle hashes and a sketch: a hash's first bits choose a
 register, which stores the leading zeros and the next mantissa bits of the least rest; empty registers borrow from
 hash-chosen full ones. Documents with equal sets are one class. Four registers are one band; classes that share a band
-are compared by the collision-corrected estimate, and those whose estimate is no more than ``SLACK`` standard deviations
-under the threshold form candidate groups. Each group's full sets are then verified. Hot bands and groups are dealt to
+are compared by their sizes, which bound the similarity, and, if both sets have ``DIRECT`` members, by the
+collision-corrected estimate: those whose estimate is no more than ``SLACK`` standard deviations under the threshold form
+candidate groups. Smaller sets, whose borrowed registers vary more, go there by size alone. Each group's full sets are
+then verified. Hot bands and groups are dealt to
 square tiles; a tile searches from member to member and returns component labels, never pairs.
 
 A null or blank text has an empty set (size 0) and links with nothing; a text with fewer words than a shingle has one
@@ -28,8 +30,9 @@ from .common import connected_components, small_batches, staged, tile_rows, work
 
 #: Registers and their index bits, mantissa bits, registers of a band.
 REGISTERS, INDEX_BITS, MANTISSA, ROWS = 128, 7, 10, 4
-#: Standard deviations that an estimate may fall short; classes of a band tile, documents of a set tile, rows of their groups.
-SLACK, BAND_BLOCK, SET_BLOCK, GROUP_ROWS, SET_GROUP_ROWS = 4.5, 4096, 512, 20_000, 2000
+#: Standard deviations that an estimate may fall short, members of a set from which it counts; classes of a band tile,
+#: documents of a set tile, rows of their groups.
+SLACK, DIRECT, BAND_BLOCK, SET_BLOCK, GROUP_ROWS, SET_GROUP_ROWS = 6.0, 512, 4096, 512, 20_000, 2000
 #: Words that a task remembers.
 KEPT_WORDS = 400_000
 #: The expected share of accidentally equal registers of equally large sets, for one mantissa bit (Yu and Weber, 2017).
@@ -183,6 +186,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     members = staged(tile_rows(banded, ["band", "h"], sizes, "rep", BAND_BLOCK).select("rep", F.xxhash64("band", "h", "ti", "tj").alias("tile")), "bands")
     groups = max(1, -(-members.count() // GROUP_ROWS))
 
+    def possible(equal: np.ndarray, n_a, n_b) -> np.ndarray:
+        small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+        return (100 * small >= percent * large) & ((small < DIRECT) | (estimate(equal, n_a, n_b) >= least))
+
     def similar(table: pa.Table) -> pa.Table:
         table, sizes = _tiles(table)
         ids, n = table["rep"].to_numpy(), table["n"].to_numpy()
@@ -190,14 +197,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
         out_ids, out_labels = [], []
         pairs = np.flatnonzero(np.repeat(sizes == 2, sizes))[::2]
         if len(pairs):
-            ok = estimate((regs[pairs] == regs[pairs + 1]).sum(1), n[pairs], n[pairs + 1]) >= least
+            ok = possible((regs[pairs] == regs[pairs + 1]).sum(1), n[pairs], n[pairs + 1])
             out_ids.append(np.maximum(ids[pairs[ok]], ids[pairs[ok] + 1]))
             out_labels.append(np.minimum(ids[pairs[ok]], ids[pairs[ok] + 1]))
         for a, b in _groups(sizes):
             if b - a > 2:
                 r, m = regs[a:b], n[a:b]
                 out_ids.append(ids[a:b])
-                out_labels.append(_components(ids[a:b], lambda i, rest, r=r, m=m: estimate((r[rest] == r[i]).sum(1), m[rest], m[i]) >= least))
+                out_labels.append(_components(ids[a:b], lambda i, rest, r=r, m=m: possible((r[rest] == r[i]).sum(1), m[rest], m[i])))
         return _edges(out_ids, out_labels)
 
     met = members.join(wide.select("rep", "n", "bands"), "rep").withColumn("g", F.pmod("tile", F.lit(groups)))

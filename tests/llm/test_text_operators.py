@@ -104,6 +104,12 @@ def test_pattern_spans_equal_brute_force(spark, docs, empty):
     assert disclosure.find(empty).count() == 0
 
 
+def test_near_duplicates_of_short_sets_whose_estimate_is_far_off(spark):
+    words = [f"w9806x{i}" for i in range(20)]
+    rows = minhash.near_duplicates(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:17]))], "doc_id long, text string"), 1, 0.85).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (2, 1)}
+
+
 def test_disclosing_terms_and_sanitising(spark):
     rows = [(i, f"call zorblax ann at zz@a.com about the number {i}", "clash") for i in range(4)] + [(10 + i, f"about the weather ann {i}", None) for i in range(40)] + [(99, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")

@@ -12,6 +12,7 @@ places of their own, and rows without an id are packed too. An empty table gives
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -31,6 +32,10 @@ KEPT_WORDS, PART_ROWS, LEAST_PARTS = 800_000, 20_000, 64
 #: The vocabulary marks tokens that end a word; letters, then ASCII marks without the apostrophe.
 WORD_END, MARKS = "</w>", rb"[!-&(-/:-@\[-`{-~]+"
 ASCII_MARKED, MARKED = re.compile(rb"([A-Za-z]+)(" + MARKS + rb")\Z"), re.compile(rb"([A-Za-z\x80-\xff]+)(" + MARKS + rb")\Z")
+#: A capital before a mark (from U+0300 on) may compose otherwise than its small letter does, so it must stay.
+COMPOSING = re.compile(rb"[A-Z][\xcc-\xff]")
+#: Letters below this code point are letters in every Unicode version of the libraries.
+OLD_LETTERS = "\u0530"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,8 +52,18 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
 
     def split(self, text: bytes) -> list[bytes]:
-        """White space cuts a text; ASCII letters are lower-cased here already, unless a special token may be meant."""
-        return text.split() if self.special and b"<|" in text else text.lower().split()
+        """White space cuts a text; ASCII letters are lower-cased here already, so that fewer words differ, unless a
+        special token may be meant or the tokenizer, which composes letters first, might then see another letter."""
+        if self.special and b"<|" in text:
+            return text.split()
+        if COMPOSING.search(text):
+            return [w.lower() if w.isascii() else w for w in text.split()]
+        return text.lower().split()
+
+    @staticmethod
+    def one_run(word: str) -> bool:
+        """Whether the tokenizer's normal form of a word is letters alone, which it keeps in one piece."""
+        return max(word) < OLD_LETTERS and word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -64,15 +79,15 @@ class WordIds:
             self.known.update(zip(words, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
 
     def learn(self, words: list[bytes]) -> None:
-        """A word of letters and final ASCII marks has the ids of the letters, then of the marks."""
+        """A word whose normal form is letters and final ASCII marks has the ids of the letters, then of the marks."""
         plain, parted = set(), []
         for w in words:
             if w.isalpha():
                 plain.add(w)
-            elif (m := ASCII_MARKED.match(w)) or ((m := MARKED.match(w)) and m[1].decode().isalpha()):
+            elif (m := ASCII_MARKED.match(w)) or ((m := MARKED.match(w)) and self.one_run(m[1].decode())):
                 parted.append((w, *m.groups()))
                 plain.add(m[1])
-            elif (t := w.decode()).isalpha():
+            elif self.one_run(t := w.decode()):
                 plain.add(w)
             else:
                 self.known[w] = self.one(t)
@@ -169,19 +184,24 @@ def plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:
 
 
 def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
-    """``parts`` with ``sequence_id`` and ``offset``; ``length`` is 1 to ``capacity``."""
-    spark, names = parts.sparkSession, parts.columns
-    counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
-    if any(not 1 <= n <= capacity for n in counts):
+    """``parts`` with ``sequence_id`` and ``offset``; ``length`` is 1 to ``capacity``.
+
+    The parts are staged with a random number each, so that rows alike, too, are ranked in many salted parts. Columns of
+    ``parts`` that are called ``sequence_id`` or ``offset`` are replaced.
+    """
+    spark, names = parts.sparkSession, [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    parts = staged(parts.select(*names).withColumn("_number", F.xxhash64(F.monotonically_increasing_id())), "pieces")
+    counts = {r[0]: r[1] for r in parts.groupBy("length").agg(F.count("*")).collect()}
+    if any(n is None or not 1 <= n <= capacity for n in counts):
         raise ValueError("lengths must be from 1 to the capacity")
     slots = plan(counts, capacity).sort_values(["length", "rank"])
     most = max(counts.values(), default=0)
     salts = max(LEAST_PARTS, -(-most // PART_ROWS))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*names))
-    ranked = salted.withColumn("row", within).join(offsets, ["length", "salt"]).withColumn("rank", F.col("earlier") + F.col("row") - 1)
+    salted = parts.withColumn("_salt", F.pmod("_number", F.lit(salts)))
+    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy("length", "_salt").agg(F.count("*").alias("_count")).select("length", "_salt", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_earlier"))
+    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_number"))
+    ranked = salted.withColumn("_row", within).join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_earlier") + F.col("_row") - 1)
     #: One row per run of equal slots; at most a few for each pair of lengths.
     known = spark.sparkContext.broadcast({c: slots[c].to_numpy() for c in slots} | {"key": slots["length"].to_numpy() * (1 << 48) + slots["rank"].to_numpy()})
 
@@ -192,9 +212,9 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
         nth = rank.to_numpy() - s["rank"][i]
         return pd.DataFrame({"sequence_id": s["bin"][i] + nth // s["each"][i], "offset": s["offset"][i] + nth % s["each"][i] * length.to_numpy()})
 
-    return ranked.withColumn("slot", place("length", "rank")).select(*names, "slot.*")
+    return ranked.withColumn("_slot", place("length", "_rank")).select(*names, "_slot.*")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
     """Tokenise once into the shared folder, then plan and place."""
-    return pack(staged(pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+    return pack(pieces(docs, tokenizer_path, capacity), capacity)

@@ -7,6 +7,8 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Tasks that share the edges of one node.
 HUB_PARTS = 8
+#: Bits of the filter before a join that moves texts: 8 MB.
+BLOOM_BITS = 1 << 26
 
 _STAGED: list[str] = []
 
@@ -91,6 +95,24 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))
 
 
+def labelled_sample(rows: DataFrame, most: int, most_bytes: int) -> list:
+    """Rows (``label``, ``text``) of ``rows`` (``id``, ``label``, ``text``), whole texts: a sample bounded in rows and bytes.
+
+    Rows come in the order of a hash of their ids; of the first ``most``, one that would take the texts over
+    ``most_bytes`` together is passed over. Rows that are alike count once; null texts are empty.
+    """
+    keys = ["h", "id", "label", "size", "mark"]
+    rows = rows.select(F.xxhash64("id").alias("h"), "id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("size", F.octet_length("text")).withColumn("mark", F.xxhash64("text"))
+    chosen, total = [], 0
+    for r in rows.select(keys).distinct().orderBy(*keys).limit(most).collect():
+        if total + r["size"] <= most_bytes:
+            chosen.append(tuple(r))
+            total += r["size"]
+    own = rows.sparkSession.createDataFrame(chosen, rows.select(keys).schema)
+    return rows.join(F.broadcast(own), keys).groupBy(keys).agg(F.min("text").alias("text")).orderBy(*keys).select("label", "text").collect()
+
+
 def tile_rows(df: DataFrame, keys: list[str], sizes: DataFrame, row_key: str, block: int) -> DataFrame:
     """Deal the rows of each group to square tiles of at most about 2 x ``block`` rows.
 
@@ -104,6 +126,27 @@ def tile_rows(df: DataFrame, keys: list[str], sizes: DataFrame, row_key: str, bl
     return df.withColumn("ti", F.least("tb", "other")).withColumn("tj", F.greatest("tb", "other")).drop("other", "tg", "n")
 
 
+def maybe_among(rows: DataFrame, key: str, ids: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
+    """The rows whose ``key`` may be one of ``ids`` (one column): all of those that are, and few others.
+
+    A Bloom filter of a fixed number of bits, so its size never grows with the data; where it fills up, more rows pass.
+    It comes before a join that moves whole texts. Only the key's places go to Python.
+    """
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+    each = ids.select(F.explode(F.array(*places(F.col(ids.columns[0])))).alias("p"))
+    words = each.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("b")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def hit(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = [sent.value[p >> 6] >> (p & 63) & 1 for p in (a.to_numpy(), b.to_numpy())]
+        return pd.Series((found[0] & found[1]).astype(bool))
+
+    return rows.where(hit(*places(F.col(key))))
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(``node``, ``component``) for the nodes of ``edges`` (``u``, ``v``); the component is its least node.
 

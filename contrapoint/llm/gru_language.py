@@ -1,9 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a text's bytes in windows, both ways, and labels every position; a document's probabilities are the
-mean over its positions. Gates are hard sigmoids, which clip, and the candidate is a hyperbolic tangent. ``fit`` trains
-in numpy by backpropagation through time (Adam) on windows of a bounded sample of labelled rows (``SAMPLE``, the least
-hashes of the ids); ``predict`` reads every byte of every text.
+The network reads a text's bytes both ways and labels every position; a document's probabilities are the mean over its
+positions. Gates are hard sigmoids, which clip, and the candidate is a hyperbolic tangent. ``fit`` trains in numpy by
+backpropagation through time (Adam) on the whole texts of a bounded sample of labelled rows (at most ``SAMPLE`` rows, the
+least hashes of the ids, and ``SAMPLE_BYTES`` bytes), cut into windows. ``predict`` reads every byte of every text, also
+in windows, so that a long text's positions are worked on side by side; each way the states of ``CONTEXT`` bytes before a
+window are carried into it, so no position but those at a text's ends has less context than that.
 
 Texts that are null or hold no letter are ``und`` with score 0; so are all if nothing was learned. Rows without a label
 do not train. Repeated rows are predicted alike. An empty table gives an empty one.
@@ -17,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache
+from .common import labelled_sample, small_batches, worker_cache
 
-#: Labelled rows that train at most, windows of each, passes, windows of a step, step size, states each way.
-SAMPLE, WINDOWS, EPOCHS, STEP, RATE, STATES = 1500, 6, 4, 128, 0.01, 8
+#: Labelled rows that train at most, bytes of their texts at most, windows of a step, step size, states each way.
+SAMPLE, SAMPLE_BYTES, STEP, RATE, STATES = 1500, 8_000_000, 128, 0.01, 8
 #: Steps at least, so that few rows are passed more often.
-LEAST_STEPS = 250
-#: Bytes of a window when training and when predicting, windows predicted together.
-TRAIN_BYTES, BYTES, TOGETHER = 48, 96, 4096
+LEAST_STEPS = 300
+#: Bytes of a window when training and when predicting, bytes read before it, windows predicted together.
+TRAIN_BYTES, BYTES, CONTEXT, TOGETHER = 48, 256, 64, 1536
 
 
 def _init(languages: int, seed: int = 3) -> dict[str, np.ndarray]:
@@ -76,7 +78,7 @@ def train(windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, language
     """The parameters learned from windows (rows of bytes, of these lengths) that carry these labels."""
     p, rng = _init(languages, seed), np.random.default_rng(seed)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS * STEP // len(windows)))):
+    for _ in range(max(1, -(-LEAST_STEPS * STEP // len(windows)))):
         order = rng.permutation(len(windows))
         for i in range(0, len(order), STEP):
             own = order[i : i + STEP]
@@ -128,17 +130,24 @@ def _states(x, u, seq, partial):
     return out
 
 
-def position_sums(p: dict[str, np.ndarray], windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each window the sum of its positions' language probabilities."""
-    seq = np.ascontiguousarray(windows.T)
-    width = len(seq)
-    mask = None if (lengths == width).all() else (np.arange(width)[:, None] < lengths).astype(np.float32)
-    back = seq[::-1]
-    f, b = _states(p["xf"], p["uf"], seq, mask), _states(p["xb"], p["ub"], back, None if mask is None else mask[::-1])
-    total, wf, wb = np.zeros((len(p["w"]), seq.shape[1]), np.float32), np.ascontiguousarray(p["w"][:, :STATES]), np.ascontiguousarray(p["w"][:, STATES:])
+def position_sums(p: dict[str, np.ndarray], raw: np.ndarray, at: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each window the sum of its positions' language probabilities.
+
+    Window i is the bytes of ``raw`` from ``at[i]``, ``size[i]`` of them, of the text from ``first[i]`` to ``last[i]``.
+    ``raw`` has ``CONTEXT`` + ``BYTES`` more bytes at both ends.
+    """
+    width = int(size.max())
+    steps = np.arange(CONTEXT + width)[:, None]
+    states = []
+    for way, place in (("f", at - CONTEXT + steps), ("b", at + (width + CONTEXT - 1) - steps)):
+        inside = (place >= first) & (place < last)
+        states.append(_states(p["x" + way], p["u" + way], raw[place], None if inside.all() else inside.astype(np.float32)))
+    f, b = states
+    mask = None if (size == width).all() else (steps[:width] < size).astype(np.float32)
+    total, wf, wb = np.zeros((len(p["w"]), len(at)), np.float32), np.ascontiguousarray(p["w"][:, :STATES]), np.ascontiguousarray(p["w"][:, STATES:])
     for t in range(width):
-        z = wf @ f[t]
-        z += wb @ b[width - 1 - t]
+        z = wf @ f[CONTEXT + t]
+        z += wb @ b[width + CONTEXT - 1 - t]
         z += p["c"]
         np.minimum(z, 60, out=z)
         np.exp(z, out=z)
@@ -149,46 +158,58 @@ def position_sums(p: dict[str, np.ndarray], windows: np.ndarray, lengths: np.nda
     return total.T
 
 
+def text_sums(p: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
+    """For each text the sum of its positions' language probabilities."""
+    lens, pad = np.fromiter(map(len, texts), np.int64, len(texts)), bytes(CONTEXT + BYTES)
+    raw = np.frombuffer(b"".join([pad, *texts, pad]), np.uint8)
+    number = -(-lens // BYTES)
+    owner = np.repeat(np.arange(len(texts)), number)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+    last = (np.cumsum(lens) + len(pad))[owner]
+    first = last - lens[owner]
+    at = first + nth * BYTES
+    size = np.minimum(BYTES, last - at)
+    sums, order = np.zeros((len(texts), len(p["w"]))), np.lexsort((nth == 0, -size))
+    for s in range(0, len(order), TOGETHER):
+        now = order[s : s + TOGETHER]
+        np.add.at(sums, owner[now], position_sums(p, raw, at[now], size[now], first[now], last[now]))
+    return sums
+
+
 def fit(docs: DataFrame, train_rows) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Languages and parameters from at most ``SAMPLE`` rows with a language for whose id ``train_rows`` holds."""
-    own = docs.select(F.col("doc_id").alias("id"), "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").where(train_rows(F.col("id")))
-    chosen = own.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(SAMPLE)
-    rows = own.join(F.broadcast(chosen.select("id").distinct()), "id").select("id", "lang", "text").orderBy("id", "lang").limit(SAMPLE).collect()
-    names = sorted({r.lang for r in rows})
-    windows, lengths, labels = [], [], []
-    for r in rows:
-        raw = r.text.encode()
-        if raw:
-            for start in np.unique(np.linspace(0, max(0, len(raw) - TRAIN_BYTES), WINDOWS).astype(int)):
-                cut = raw[start : start + TRAIN_BYTES]
-                windows.append(np.frombuffer(cut.ljust(TRAIN_BYTES, b"\0"), np.uint8))
-                lengths.append(len(cut))
-                labels.append(names.index(r.lang))
-    if not windows:
+    """Languages and parameters from the whole texts of a bounded sample of the rows with a language.
+
+    Only rows for whose id ``train_rows`` holds train; those without id or text don't.
+    """
+    own = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text").where("label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").where(train_rows(F.col("id")))
+    rows = labelled_sample(own, SAMPLE, SAMPLE_BYTES)
+    names = sorted({r.label for r in rows})
+    texts = [np.frombuffer(r.text.encode(), np.uint8) for r in rows]
+    number = np.array([-(-len(t) // TRAIN_BYTES) for t in texts], np.int64)
+    if not number.sum():
         return [], {}
-    return names, train(np.stack(windows), np.array(lengths), np.array(labels), len(names))
+    windows = np.concatenate([np.pad(t, (0, n * TRAIN_BYTES - len(t))) for t, n in zip(texts, number.tolist(), strict=True)]).reshape(-1, TRAIN_BYTES)
+    lengths = np.full(len(windows), TRAIN_BYTES)
+    full = number > 0
+    lengths[np.cumsum(number)[full] - 1] = [len(t) - (n - 1) * TRAIN_BYTES for t, n in zip(texts, number.tolist(), strict=True) if n]
+    labels = np.repeat([names.index(r.label) for r in rows], number)
+    return names, train(windows, lengths, labels, len(names))
 
 
 def predict(docs: DataFrame, model, lang: str = "lang_pred", out: str = "score") -> DataFrame:
-    """``docs`` with ``lang`` and ``out``, the mean probability of that language; only the text goes to Python."""
+    """``docs`` with ``lang`` and ``out``, the mean probability of that language; only the text goes to Python.
+
+    The two replace columns of their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def some(texts: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def some(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         names, p = sent.value
         best, chance = np.full(len(texts), "und", object), np.zeros(len(texts))
-        if names and len(texts):
-            lens = np.array([len(t) if ok else 0 for t, ok in zip(texts, letters, strict=True)], np.int64)
-            raw = np.frombuffer(b"".join(t for t, ok in zip(texts, letters, strict=True) if ok) + bytes(BYTES), np.uint8)
-            number = -(-lens // BYTES)
-            owner = np.repeat(np.arange(len(texts)), number)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-            start, size = (np.cumsum(lens) - lens)[owner] + nth * BYTES, np.minimum(BYTES, lens[owner] - nth * BYTES)
-            sums, order = np.zeros((len(texts), len(names))), np.argsort(-size, kind="stable")
-            for s in range(0, len(order), TOGETHER):
-                now = order[s : s + TOGETHER]
-                np.add.at(sums, owner[now], position_sums(p, raw[start[now][:, None] + np.arange(BYTES)], size[now]))
-            probs = sums / np.maximum(lens, 1)[:, None]
-            top, there = probs.argmax(1), lens > 0
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        if names and (there := lens > 0).any():
+            probs = text_sums(p, texts) / np.maximum(lens, 1)[:, None]
+            top = probs.argmax(1)
             best[there] = np.array(names, object)[top[there]]
             chance[there] = np.clip(probs[np.arange(len(texts)), top], 0, 1)[there]
         return best, chance
@@ -196,7 +217,10 @@ def predict(docs: DataFrame, model, lang: str = "lang_pred", out: str = "score")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         worker_cache("gru_language")
         for texts, letters in batches:
-            parts = [some(pc.cast(texts.slice(at, 400), pa.binary()).to_pylist(), letters.slice(at, 400).to_numpy(zero_copy_only=False)) for at in range(0, len(texts), 400)]
+            parts = []
+            for at in range(0, len(texts), 400):
+                own = zip(pc.cast(texts.slice(at, 400), pa.binary()).to_pylist(), letters.slice(at, 400).to_pylist(), strict=True)
+                parts.append(some([t if ok else b"" for t, ok in own]))
             best, chance = (np.concatenate([*x, []]) for x in zip(*parts, strict=True)) if parts else ([], [])
             yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(chance, pa.float64())], names=["lang", "score"])
 

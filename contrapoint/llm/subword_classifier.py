@@ -1,8 +1,9 @@
 """Supervised subword embeddings: averaged hashed n-gram vectors under a softmax, trained by stochastic gradient descent.
 
 A text's features are its words, its neighbouring word pairs and the byte 3- and 4-grams of each word between boundary
-marks, all hashed to one table of learned vectors; their mean goes through a softmax layer. ``fit`` trains in numpy on a
-bounded sample of labelled rows (``SAMPLE``, the least hashes of the ids); ``score`` reads every whole text.
+marks, all hashed to one table of learned vectors; their mean goes through a softmax layer. ``fit`` trains in numpy on the
+whole texts of a bounded sample of labelled rows (at most ``SAMPLE`` rows, the least hashes of the ids, and
+``SAMPLE_BYTES`` bytes); ``score`` reads every whole text.
 
 Null and empty texts have no features and score the learned bias. Rows without a label or id do not train; with no
 labelled row at all the bias is even. Repeated rows score alike. An empty table gives an empty one.
@@ -17,11 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache
-
+from .common import labelled_sample, small_batches, worker_cache
 
 #: Labelled rows that train at most; vectors and their length; passes and first learning rate; words a task remembers.
 SAMPLE, BUCKETS, DIM, EPOCHS, RATE, KEPT_WORDS = 2000, 1 << 16, 16, 4, 0.5, 300_000
+#: Bytes of the sample's texts at most.
+SAMPLE_BYTES = 16_000_000
 #: Steps at least, so that few rows are passed more often.
 LEAST_STEPS = 1500
 
@@ -128,15 +130,19 @@ def train(texts: list[bytes], labels: list[int], classes: int = 2, seed: int = 1
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, train_rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Train on at most ``SAMPLE`` rows of ``labels`` for whose id ``train_rows`` holds."""
-    own = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND id IS NOT NULL").where(train_rows(F.col("id")))
-    own = own.orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(own), "id").orderBy("id", "y").limit(SAMPLE).collect()
-    return train([(r.text or "").encode() for r in rows], [r.y for r in rows])
+    """Train on at most ``SAMPLE`` rows of ``labels`` for whose id ``train_rows`` holds.
+
+    A row with labels of both kinds trains with both; an id that no document has does not train.
+    """
+    own = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND id IS NOT NULL").where(train_rows(F.col("id"))).distinct()
+    # So many labels at most meet the documents; their size is bounded by SAMPLE.
+    own = own.orderBy(F.xxhash64("id"), "id", "label").limit(SAMPLE)
+    rows = labelled_sample(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(own), "id"), SAMPLE, SAMPLE_BYTES)
+    return train([r.text.encode() for r in rows], [r.label for r in rows])
 
 
 def score(docs: DataFrame, model, out: str = "score") -> DataFrame:
-    """``docs`` with ``out``, the probability of class 1; only the text goes to Python."""
+    """``docs`` with ``out``, the probability of class 1, in place of a column of that name; only the text goes to Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

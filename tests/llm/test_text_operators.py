@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from contrapoint.llm import byte_bpe, disclosure, gru_language, lattice_lm, minhash, packing, queries, subword_classifier
-from contrapoint.llm.common import connected_components, held_out
+from contrapoint.llm.common import connected_components, held_out, labelled_sample
 
 DATA = "/root/testdata/sf0.001"
 AWKWARD = [
@@ -41,9 +41,7 @@ def texts(docs):
 
 
 def test_byte_bpe_equals_tiktoken_and_round_trips(docs, empty):
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANKS, "rb"))}
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    want = Counter()
+    enc, want = _tiktoken(), Counter()
     for i, t in texts(docs):
         ids = enc.encode_ordinary(t or "")
         want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
@@ -52,6 +50,55 @@ def test_byte_bpe_equals_tiktoken_and_round_trips(docs, empty):
     assert set(byte_bpe.encode(docs, queries.RANKS, P.PATTERN).columns) == {"doc_id", "score", "ids", "n"}
 
 
+def _tiktoken():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _letters(seed, n, alphabet):
+    return "".join(np.array(list(alphabet))[np.random.default_rng(seed).integers(0, len(alphabet), n)])
+
+
+def test_byte_bpe_of_long_words_equals_tiktoken(monkeypatch):
+    codec, enc = byte_bpe.Codec(byte_bpe.read_ranks(queries.RANKS), P.PATTERN), _tiktoken()
+    ids = lambda t: np.frombuffer(codec.encode([t])[0], np.int32)
+    few, all_letters = "aeinst", "abcdefghijklmnopqrstuvwxyz"
+    for n in (63, 64, 65, 66, 127, 128, 129, 3000):  # round the length at which the recursion changes
+        for alphabet in (few, all_letters, "ab", "=-", "漢字a"):
+            t = _letters(n, n, alphabet)
+            assert ids(t).tolist() == enc.encode_ordinary(t), t
+    for t in ("a" * 200_000, " " * 200_000 + "x", _letters(1, 200_000, all_letters), _letters(2, 60_000, few)):
+        assert ids(t).tolist() == enc.encode_ordinary(t) and codec.decode([ids(t)]) == [t.encode()]
+    monkeypatch.setattr(byte_bpe, "LONG_QUERY", 150)  # many blocks with open ends
+    for i in range(60):
+        t = _letters(i, 65 + 11 * i, (few, "ab", "eEtTaA", "the quick", " ")[i % 5])
+        assert ids(t).tolist() == enc.encode_ordinary(t), t
+
+
+@pytest.mark.parametrize("text", ["a" * 10_000_000, " " * 10_000_000, _letters(3, 10_000_000, "abcdefghijklmnopqrstuvwxyz"), " the cat sat, " * 2_500_000], ids=["run", "blanks", "word", "tokens"])
+def test_byte_bpe_of_ten_millions(text):
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(queries.RANKS), P.PATTERN)
+    ids = np.frombuffer(codec.encode([text])[0], np.int32)
+    assert codec.decode([ids])[0] == text.encode()
+    tail = np.frombuffer(codec.encode([text[:50_000]])[0], np.int32)[:5000]  # far from the cut, the shorter text's ids
+    assert (ids[:5000] == tail).all() and tail.tolist() == _tiktoken().encode_ordinary(text[:50_000])[:5000]
+
+
+def test_byte_bpe_steps_and_slices_give_the_same(monkeypatch):
+    codec, enc = byte_bpe.Codec(byte_bpe.read_ranks(queries.RANKS), P.PATTERN), _tiktoken()
+    for name, value in (("STEP_CHARS", 50), ("STEP_WORDS", 7), ("STEP_TOKENS", 9)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    texts = ["a b c " * 40, "", "x", "word, " * 30 + "é漢" * 40, "short one"]
+    got = [np.frombuffer(x, np.int32) for x in codec.encode(texts)]
+    assert [x.tolist() for x in got] == [enc.encode_ordinary(t) for t in texts]
+    assert codec.decode(got) == [t.encode() for t in texts]
+
+
+def test_byte_bpe_null_ids_and_clashing_names(spark):
+    rows = spark.createDataFrame([([31373, None, 995], "x"), (None, "y"), ([10**6], "z")], "ids array<int>, decoded string")
+    assert [bytes(r.decoded) for r in byte_bpe.decode(rows, queries.RANKS, P.PATTERN).collect()] == [b"hello world", b"", b""]
+
+
 def _tokens(t):
     return (t or "").encode().lower().split()
 
@@ -237,6 +284,58 @@ def test_gru_gradients():
     assert (loss(x + step, u) - loss(x - step, u)) / 2e-4 == pytest.approx(dx[20, seq[2, 1]], rel=0.02, abs=2e-3)
 
 
+def test_gru_fast_path_equals_plain_states(monkeypatch):
+    for name, value in (("BYTES", 16), ("CONTEXT", 8), ("TOGETHER", 5)):
+        monkeypatch.setattr(gru_language, name, value)
+    p, rng = gru_language._init(3, seed=8), np.random.default_rng(1)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 7, 16, 17, 24, 40, 90)]
+    want = np.zeros((len(texts), 3))
+    for i, t in enumerate(texts):
+        for a in range(0, len(t), 16):
+            before, window, after = (np.frombuffer(x, np.uint8) for x in (t[max(0, a - 8) : a], t[a : a + 16], t[a + 16 : a + 24]))
+            f = gru_language._forward(p["xf"], p["uf"], s := np.concatenate([before, window])[:, None], np.ones(s.shape, np.float32))[len(before) :]
+            b = gru_language._forward(p["xb"], p["ub"], s := np.concatenate([window, after])[::-1, None], np.ones(s.shape, np.float32))[::-1]
+            for t_f, t_b in zip(f, b[: len(window)], strict=True):
+                z = np.exp(p["w"] @ np.concatenate([t_f[5], t_b[5]]) + p["c"])
+                want[i] += (z / z.sum())[:, 0]
+    assert np.allclose(gru_language.text_sums(p, texts), want, atol=1e-4)
+
+
+def test_language_learns_from_whole_texts(spark):
+    rows = [(i, "x" * 3000 + ("ab" if i % 2 else "cd") * 700, "one" if i % 2 else "two") for i in range(40)] + [(99, None, "one"), (None, "ab", "two"), (98, "", "three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = gru_language.fit(docs, lambda i: i.isNotNull())
+    assert model[0] == ["one", "three", "two"]
+    got = gru_language.predict(spark.createDataFrame([("ab" * 50,), ("cd" * 50,)], "text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["one", "two"]
+
+
+def test_labelled_sample_is_bounded_and_takes_whole_texts(spark):
+    rows = spark.createDataFrame([(i, i % 2, "y" * (50 if i == 3 else 10)) for i in range(20)] + [(7, 1, "y" * 10)], "id long, label int, text string")
+    got = labelled_sample(rows, 15, 100)
+    assert 5 <= len(got) <= 10 and {len(r.text) for r in got} <= {10, 50} and sum(len(r.text) for r in got) <= 100
+    assert len(labelled_sample(rows, 100, 1000)) == 20
+
+
+def test_quality_score_equals_plain_recomputation(spark):
+    table, weights, bias = model = subword_classifier.train([b"good words here", b"bad!!! stuff!!!"] * 20, [1, 0] * 20)
+    mix = lambda x: ((y := (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64) ^ y >> 29)
+
+    def plain(text):
+        ids, hashes = [], []
+        for w in text.encode().split():
+            raw = b"\x01" + w + b"\x02"
+            hashes.append(mix(sum(mix(c + (i << 8)) for i, c in enumerate(raw)) % 2**64))
+            ids += [hashes[-1], *(mix((n << 8 * n) + int.from_bytes(raw[i : i + n], "big")) for n in (3, 4) for i in range(len(raw) - n + 1))]
+        ids += [mix((a * 3 + b) % 2**64) for a, b in zip(hashes, hashes[1:], strict=False)]
+        z = (np.mean([table[i % subword_classifier.BUCKETS] for i in ids], axis=0) if ids else np.zeros(subword_classifier.DIM)) @ weights + bias
+        return 1 / (1 + math.exp(z[0] - z[1]))
+
+    texts = ["good words", "", "x", "bad!!! é漢 good good " * 30]
+    got = subword_classifier.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    assert [r.score for r in got] == pytest.approx([plain(t) for t in texts], abs=1e-6)
+
+
 def test_packing(docs, empty):
     rows = packing.pack_documents(docs, queries.WORD_BPE).collect()
     t = Tokenizer.from_file(queries.WORD_BPE)
@@ -258,6 +357,24 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, queries.WORD_BPE).count() == 0
 
 
+def test_packing_ids_of_marks_and_odd_letters_equal_the_tokenizer():
+    with open(queries.WORD_BPE, encoding="utf-8") as f:
+        own = packing.WordIds(f.read())
+    rng = np.random.default_rng(5)
+    parts = [*"aBjJtTzİıſßŉΣςДЪñÉ漢字ﬁ７٣5xQ", *"\u030c\u0308\u0301\u0323\u0345\u200d\u1c89", *",.!?'-<|>_", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", " ", "\u00a0", "\u0085", "\t", "ARİ", "K", "Å"]
+    texts = ["TARİHİ, J\u030c T\u0308! ǰ Ǆ! A\u0323\u0302."] + ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 14))) for _ in range(30_000)]
+    words = [own.split(t.encode()) for t in texts]
+    own.learn(list(set().union(*words)))
+    for t, ws, e in zip(texts, words, Tokenizer.from_file(queries.WORD_BPE).encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(b"".join(own.known[w] for w in ws), np.uint32).tolist() == e.ids, t
+
+
+def test_packing_of_rows_alike_and_clashing_names(spark):
+    rows = spark.createDataFrame([(None, 0, 0, 100, 7, "x", 1, 2, 3)] * 300, "doc_id long, piece int, start long, length long, ids_crc32 long, salt string, rank int, row int, offset int")
+    got = packing.pack(rows).collect()
+    assert len(got) == 300 and len({(r.sequence_id, r.offset) for r in got}) == 300 and {r.salt for r in got} == {"x"} and all(r.offset % 100 == 0 for r in got)
+
+
 def test_plan_fills_every_rank_once():
     rng = np.random.default_rng(2)
     for _ in range(100):

@@ -6,8 +6,9 @@ hash-chosen full ones. Documents with equal sets are one class. Four registers a
 are compared by their sizes, which bound the similarity, and, if both sets have ``DIRECT`` members, by the
 collision-corrected estimate: those whose estimate is no more than ``SLACK`` standard deviations under the threshold form
 candidate groups. Smaller sets, whose borrowed registers vary more, go there by size alone. Each group's full sets are
-then verified. Hot bands and groups are dealt to
-square tiles; a tile searches from member to member and returns component labels, never pairs.
+then verified; a Bloom filter keeps texts without candidates where they are. Hot bands are dealt to square tiles; a tile
+searches from member to member and returns component labels, never pairs. Large groups meet a few of their members first,
+and only those that stay apart meet all others.
 
 A null or blank text has an empty set (size 0) and links with nothing; a text with fewer words than a shingle has one
 shingle, the whole sequence. Rows without an id link with nothing (``component_id`` null, kept). Rows that repeat an id
@@ -26,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, staged, tile_rows, worker_cache
+from .common import connected_components, maybe_among, small_batches, staged, tile_rows, worker_cache
 
 #: Registers and their index bits, mantissa bits, registers of a band.
 REGISTERS, INDEX_BITS, MANTISSA, ROWS = 128, 7, 10, 4
-#: Standard deviations that an estimate may fall short, members of a set from which it counts; classes of a band tile,
-#: documents of a set tile, rows of their groups.
-SLACK, DIRECT, BAND_BLOCK, SET_BLOCK, GROUP_ROWS, SET_GROUP_ROWS = 6.0, 512, 4096, 512, 20_000, 2000
+#: Standard deviations that an estimate may fall short, members of a set from which it counts; classes of a band tile
+#: and rows of a group of them.
+SLACK, DIRECT, BAND_BLOCK, GROUP_ROWS = 6.0, 64, 4096, 20_000
+#: Documents and bytes of a set tile, bytes of a group of tiles, members that all others of a large group meet first.
+SET_BLOCK, SET_BYTES, SET_GROUP_BYTES, PIVOTS = 512, 1 << 25, 1 << 23, 8
 #: Words that a task remembers.
 KEPT_WORDS = 400_000
 #: The expected share of accidentally equal registers of equally large sets, for one mantissa bit (Yu and Weber, 2017).
@@ -157,6 +160,94 @@ def _tiles(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return table, np.unique(table["tile"].to_numpy(), return_counts=True)[1]
 
 
+class _Sets:
+    """Shingle sets of one tile; tells which of some rows are similar to one of them."""
+
+    def __init__(self, raw: list[bytes], percent: int):
+        own = [np.frombuffer(x, np.uint64) for x in raw]
+        self.lens, self.percent = np.array([len(s) for s in own]), percent
+        self.ends = np.cumsum(self.lens)
+        self.number = np.unique(np.concatenate(own), return_inverse=True)[1]
+        self.mark = np.zeros(self.number.max(initial=0) + 1, bool)
+
+    def near(self, i: int, rest: np.ndarray) -> np.ndarray:
+        lens, mine = self.lens, self.number[self.ends[i] - self.lens[i] : self.ends[i]]
+        self.mark[mine] = True
+        hit = np.zeros(len(rest), bool)
+        for s in range(0, len(rest), 256):
+            r = rest[s : s + 256]
+            at = np.repeat(self.ends[r] - np.cumsum(lens[r]), lens[r]) + np.arange(lens[r].sum())
+            shared = np.add.reduceat(self.mark[self.number[at]].astype(np.int64), np.cumsum(lens[r]) - lens[r])
+            hit[s : s + 256] = 100 * shared >= self.percent * (lens[r] + lens[i] - shared)
+        self.mark[mine] = False
+        return hit
+
+
+def _compared(dealt: DataFrame, percent: int, total: int | None) -> DataFrame:
+    """Edges (``u``, ``v``) between the components found in each tile of ``dealt`` (``rep``, ``first``, ``shingles``, ``tile``).
+
+    Rows with ``first`` are compared with all of the tile; where no row has it, all are. ``total`` are the sets' bytes.
+    """
+    groups = max(1, -(-(total or 0) // SET_GROUP_BYTES))
+
+    def verify(table: pa.Table) -> pa.Table:
+        table, sizes = _tiles(table)
+        ids, raw, first = table["rep"].to_numpy(), table["shingles"].combine_chunks(), table["first"].to_numpy()
+        out_ids, out_labels = [], []
+        for a, b in _groups(sizes):
+            sets, own = _Sets(raw.slice(a, b - a).to_pylist(), percent), ids[a:b]
+            if not (some := np.flatnonzero(first[a:b])).size:
+                out_ids.append(own)
+                out_labels.append(_components(own, sets.near))
+                continue
+            label, every = own.copy(), np.arange(len(own))
+            for i in some.tolist():  # joins what it is similar to, and the components that these were in
+                met = np.unique(label[every[sets.near(i, every)]])
+                label[np.isin(label, met)] = met[0]
+            out_ids.append(own)
+            out_labels.append(label)
+        return _edges(out_ids, out_labels)
+
+    return dealt.withColumn("g", F.pmod("tile", F.lit(groups))).groupBy("g").applyInArrow(verify, "u long, v long")
+
+
+def _verified(whole: DataFrame, percent: int) -> DataFrame:
+    """Edges between similar sets of the candidate groups ``whole`` (``rep``, ``component``, ``shingles``).
+
+    A group that fits into one tile is compared there. The members of a larger one are first compared with ``PIVOTS`` of
+    them; then only the members that are not in the group's largest component are compared with all members, in tiles.
+    So a large group of near copies costs a few copies of each set, and no link is lost: two members of the largest
+    component need no comparison.
+    """
+    blocks = lambda n, size: F.ceil(F.greatest(n / SET_BLOCK, size / SET_BYTES)).cast("int")
+    sums = [F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes")]
+    sizes = staged(whole.groupBy("component").agg(*sums).withColumn("blocks", blocks(F.col("n"), F.col("bytes"))), "sizes")
+    total, most = sizes.agg(F.sum("bytes"), F.max("blocks")).first()
+    if (most or 0) <= 1:
+        return _compared(whole.select("rep", F.lit(False).alias("first"), "shingles", F.xxhash64("component").alias("tile")), percent, total)
+    rows = whole.join(sizes.select("component", "blocks"), "component")
+    edges = _compared(rows.where("blocks = 1").select("rep", F.lit(False).alias("first"), "shingles", F.xxhash64("component").alias("tile")), percent, total)
+    large = staged(rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks"))), "large")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    deal = lambda df, first, *c: df.select("rep", F.lit(first).alias("first"), "shingles", F.xxhash64("component", *c).alias("tile"))
+    weigh = lambda df: (df, percent, df.agg(F.sum(F.length("shingles"))).first()[0])
+    least = large.groupBy("component", F.pmod(F.xxhash64("rep", F.lit(8)), F.lit(PIVOTS)).alias("p")).agg(F.min("rep").alias("rep")).select("rep")
+    pivots = large.join(least, "rep", "left_semi").withColumn("other", each("blocks"))
+    edges = edges.union(staged(_compared(*weigh(deal(large.join(least, "rep", "left_anti"), False, "block").union(deal(pivots, True, "other")))), "pivot-links"))
+    found = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    parts = large.select("rep", "component").join(found, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    counts = parts.groupBy("component", "part").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("component").agg(F.max(F.struct("n", "part"))["part"].alias("largest"))
+    loose = staged(parts.join(largest, "component").where("part <> largest").select("rep"), "loose")
+    if loose.isEmpty():
+        return edges
+    loose = large.join(loose, "rep", "left_semi")
+    sizes = loose.groupBy("component").agg(*sums).select("component", blocks(F.col("n"), F.col("bytes")).alias("loose_blocks"))
+    one = loose.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("loose_blocks"))).withColumn("other", each("blocks"))
+    every = large.join(sizes, "component").withColumn("own", each("loose_blocks"))
+    return edges.union(_compared(*weigh(deal(one, True, "own", "other").union(deal(every, False, "own", "block")))))
+
+
 def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
     """(``doc_id``, ``n``, ``key``, ``bands``) for every document: set size, digest of the set, registers by band."""
 
@@ -218,41 +309,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "component", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL AND text IS NOT NULL")
-    whole = texts.join(candidates, "node").select(F.col("node").alias("rep"), "component", "text").mapInArrow(sets, "rep long, component long, shingles binary").where("length(shingles) > 0")
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("n"))
-    dealt = tile_rows(whole, ["component"], sizes, "rep", SET_BLOCK).select("rep", "shingles", F.xxhash64("component", "ti", "tj").alias("tile"))
-    set_groups = max(1, -(-(sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / SET_BLOCK))).first()[0] or 0) // SET_GROUP_ROWS))
-
-    def verify(table: pa.Table) -> pa.Table:
-        table, sizes = _tiles(table)
-        ids, raw = table["rep"].to_numpy(), table["shingles"].combine_chunks()
-        out_ids, out_labels = [], []
-        for a, b in _groups(sizes):
-            own = [np.frombuffer(x, np.uint64) for x in raw.slice(a, b - a).to_pylist()]
-            lens = np.array([len(s) for s in own])
-            ends = np.cumsum(lens)
-            number = np.unique(np.concatenate(own), return_inverse=True)[1]
-            mark = np.zeros(number.max(initial=0) + 1, bool)
-
-            def near(i, rest, lens=lens, ends=ends, number=number, mark=mark):
-                mine = number[ends[i] - lens[i] : ends[i]]
-                mark[mine] = True
-                hit = np.zeros(len(rest), bool)
-                for s in range(0, len(rest), 256):
-                    r = rest[s : s + 256]
-                    at = np.repeat(ends[r] - np.cumsum(lens[r]), lens[r]) + np.arange(lens[r].sum())
-                    shared = np.add.reduceat(mark[number[at]].astype(np.int64), np.cumsum(lens[r]) - lens[r])
-                    hit[s : s + 256] = 100 * shared >= percent * (lens[r] + lens[i] - shared)
-                mark[mine] = False
-                return hit
-
-            out_ids.append(ids[a:b])
-            out_labels.append(_components(ids[a:b], near))
-        return _edges(out_ids, out_labels)
-
-    links = dealt.withColumn("g", F.pmod("tile", F.lit(set_groups))).groupBy("g").applyInArrow(verify, "u long, v long")
-    components = connected_components(links)
+    near = maybe_among(texts, "node", candidates.select("node")).join(candidates, "node")
+    whole = near.select(F.col("node").alias("rep"), "component", "text").mapInArrow(sets, "rep long, component long, shingles binary").where("length(shingles) > 0")
+    components = connected_components(_verified(staged(whole, "sets"), percent))
     by_class = classes.join(components, classes.rep == components.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
-    rows = sketched.select("doc_id", "n", "key").join(by_class, "key", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # Documents without words or id link with nothing, so they keep out of the join on the digest.
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    rows = sketched.where(linked).select("doc_id", "n", "key").join(by_class, "key").select("doc_id", "n", "component")
+    rows = rows.union(sketched.where(~linked).select("doc_id", "n", F.col("doc_id").alias("component")))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -7,7 +7,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Other names of the metrics; default share of the steps that warping may stray, and default match width.
-ALIASES = {"l2": "euclidean", "dynamic_time_warping": "dtw", "longest_common_subsequence": "lcss"}
+ALIASES = {
+    "l2": "euclidean", "euclid": "euclidean", "euclidean_distance": "euclidean", "ed": "euclidean", "dynamic_time_warping": "dtw",
+    "dtw_distance": "dtw", "longest_common_subsequence": "lcss", "lcss_distance": "lcss",
+}
 WINDOW, EPSILON = 0.10, 1.0
 
 
@@ -50,43 +53,117 @@ def _stacked(batch) -> np.ndarray:
     return np.asarray(batch, np.float64)
 
 
-def dtw(q: list, c: list, window: float | None = WINDOW) -> np.ndarray:
-    """The sum over channels of each channel's own warping distance."""
-    out, cs = np.zeros((len(q), len(c))), _stacked(c)
-    for row, s in zip(out, (_stacked(x) for x in q), strict=True):
-        for ch in range(len(s)):
-            row += warp(lambda i, j, s=s, ch=ch: (s[ch, i] - cs[:, ch, j]) ** 2, s.shape[1], cs.shape[2], len(c), window)
+#: Pairs that are warped together, and pairs whose bounds are held together.
+PAIRS, BOUNDS = 20_000, 1_000_000
+
+
+def _envelope(x: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each step's highest and lowest value within ``band`` steps."""
+    steps = x.shape[-1]
+    sides = [(max(0, t - band), min(steps, t + band + 1)) for t in range(steps)]
+    return np.stack([x[..., a:b].max(-1) for a, b in sides], -1), np.stack([x[..., a:b].min(-1) for a, b in sides], -1)
+
+
+def _nearest(q: np.ndarray, c: np.ndarray, k: int | None, bound, exact) -> np.ndarray:
+    """A block of distances; with ``k``, only those that can be among a query's k least, the others infinite.
+
+    ``bound(i)`` gives query i's lower bounds, ``exact(qi, ci)`` the distances of pairs. The k least bounds are taken
+    first; then whatever bound does not exceed the k-th distance found.
+    """
+    out = np.full((len(q), len(c)), np.inf)
+
+    def fill(qi: np.ndarray, ci: np.ndarray) -> None:
+        for s in range(0, len(qi), PAIRS):
+            a, b = qi[s : s + PAIRS], ci[s : s + PAIRS]
+            out[a, b] = exact(a, b)
+
+    if k is None or k >= len(c) or bound is None:
+        for i in range(0, len(q), rows := max(1, BOUNDS // max(1, len(c)))):
+            fill(*(x.ravel() + o for x, o in zip(np.indices((min(rows, len(q) - i), len(c))), (i, 0), strict=True)))
+        return out
+    for i in range(0, len(q), rows := max(1, BOUNDS // len(c))):
+        low = np.stack([bound(n) for n in range(i, min(i + rows, len(q)))])
+        first = np.argpartition(low, k - 1, axis=1)[:, :k]
+        fill(np.repeat(np.arange(len(low)) + i, k), first.ravel())
+        edge = np.take_along_axis(out[i : i + len(low)], first, 1).max(1)
+        n, j = np.nonzero((low <= edge[:, None] + 1e-8) & np.isinf(out[i : i + len(low)]))
+        fill(n + i, j)
     return out
 
 
-def dtw_dependent(q: list, c: list, window: float | None = None) -> np.ndarray:
+def _keogh(q: np.ndarray, c: np.ndarray, window: float | None):
+    """Lower bounds of warping (Keogh, 2002): what lies outside the envelope of the steps that may be met. Equal lengths only."""
+    if q.shape[2] != c.shape[2]:
+        return None
+    high, low = _envelope(q, _band(q.shape[2], c.shape[2], window))
+    return lambda i: ((np.maximum(c - high[i], 0) + np.maximum(low[i] - c, 0)) ** 2).sum((1, 2))
+
+
+def dtw(q: list, c: list, window: float | None = WINDOW, k: int | None = None) -> np.ndarray:
+    """The sum over channels of each channel's own warping distance."""
+    if not len(q) or not len(c):
+        return np.zeros((len(q), len(c)))
+    qs, cs = _stacked(q), _stacked(c)
+
+    def exact(a, b):
+        out = np.zeros(len(a))
+        for ch in range(qs.shape[1]):
+            x, y = np.ascontiguousarray(qs[a, ch].T), np.ascontiguousarray(cs[b, ch].T)
+            out += warp(lambda i, j, x=x, y=y: (x[i] - y[j]) ** 2, len(x), len(y), len(a), window)
+        return out
+
+    return _nearest(qs, cs, k, _keogh(qs, cs, window), exact)
+
+
+def dtw_dependent(q: list, c: list, window: float | None = None, k: int | None = None) -> np.ndarray:
     """One warping path for all channels together, by default without a window."""
-    out, cs = np.zeros((len(q), len(c))), _stacked(c)
-    for k, s in enumerate(_stacked(x) for x in q):
-        out[k] = warp(lambda i, j, s=s: ((s[:, i] - cs[:, :, j]) ** 2).sum(1), s.shape[1], cs.shape[2], len(c), window)
-    return out
+    if not len(q) or not len(c):
+        return np.zeros((len(q), len(c)))
+    qs, cs = _stacked(q), _stacked(c)
+
+    def exact(a, b):
+        x, y = np.ascontiguousarray(qs[a].transpose(2, 1, 0)), np.ascontiguousarray(cs[b].transpose(2, 1, 0))
+        return warp(lambda i, j: ((x[i] - y[j]) ** 2).sum(0), len(x), len(y), len(a), window)
+
+    return _nearest(qs, cs, k, _keogh(qs, cs, window), exact)
+
 
+def lcss(q: list, c: list, window: float | None = WINDOW, epsilon: float = EPSILON, k: int | None = None) -> np.ndarray:
+    """The sum over channels of 1 - matched steps / shorter length; steps match within ``epsilon``.
 
-def lcss(q: list, c: list, window: float | None = WINDOW, epsilon: float = EPSILON) -> np.ndarray:
-    """The sum over channels of 1 - matched steps / shorter length; steps match within ``epsilon``."""
-    out, cs = np.zeros((len(q), len(c))), _stacked(c)
-    for row, s in zip(out, (_stacked(x) for x in q), strict=True):
-        n, m = s.shape[1], cs.shape[2]
-        band = _band(n, m, window)
-        for ch in range(len(s)):
-            before = np.zeros((m + 1, len(c)))
+    With ``k``, the bound counts the steps that have any value to match within the window.
+    """
+    if not len(q) or not len(c):
+        return np.zeros((len(q), len(c)))
+    qs, cs = _stacked(q), _stacked(c)
+    n, m = qs.shape[2], cs.shape[2]
+    band = _band(n, m, window)
+
+    def exact(a, b):
+        out = np.zeros(len(a))
+        for ch in range(qs.shape[1]):
+            x, y = np.ascontiguousarray(qs[a, ch].T), np.ascontiguousarray(cs[b, ch].T)
+            before = np.zeros((m + 1, len(a)))
             for i in range(1, n + 1):
-                now = np.zeros((m + 1, len(c)))
+                now = np.zeros((m + 1, len(a)))
                 for j in range(1, m + 1):
-                    inside = abs(i - j) <= band
-                    match = (np.abs(s[ch, i - 1] - cs[:, ch, j - 1]) <= epsilon) & inside
-                    now[j] = np.where(match, before[j - 1] + 1, np.maximum(before[j], now[j - 1]))
+                    now[j] = np.maximum(before[j], now[j - 1])
+                    if abs(i - j) <= band:
+                        match = np.abs(x[i - 1] - y[j - 1]) <= epsilon
+                        now[j] = np.where(match, before[j - 1] + 1, now[j])
                 before = now
-            row += 1 - before[m] / min(n, m)
-    return out
+            out += 1 - before[m] / min(n, m)
+        return out
+
+    high, low = _envelope(qs, band)
 
+    def bound(i):
+        return (1 - np.minimum(((cs <= high[i] + epsilon) & (cs >= low[i] - epsilon)).sum(2), n) / n).sum(1)
 
-def euclidean_kernel(q: list, c: list) -> np.ndarray:
+    return _nearest(qs, cs, k, bound if n == m else None, exact)
+
+
+def euclidean_kernel(q: list, c: list, k: int | None = None) -> np.ndarray:
     cs = _stacked(c)
     return np.stack([np.sqrt(((cs - s) ** 2).sum(2)).sum(1) for s in map(_stacked, q)]) if q else np.empty((0, len(c)))
 
@@ -113,6 +190,34 @@ def sparsity(a: Column, b: Column, tau: Column | None = None) -> Column:
     return F.aggregate(share, F.lit(0.0), lambda s, v: s + v) / F.size(share)
 
 
+def split_proximity(parts: list[tuple[Column, Column]]) -> Column:
+    """The mean absolute difference over all values of several series together, such as laboratory values and medication."""
+    size = sum((F.size(F.flatten(a)) for a, _ in parts), F.lit(0))
+    return sum((proximity(a, b) * F.size(F.flatten(a)) for a, b in parts), F.lit(0.0)) / size
+
+
+def split_sparsity(parts: list[tuple[Column, Column]], taus: list[Column | None] | None = None) -> Column:
+    """The mean of several series' sparsity."""
+    taus = taus or [None] * len(parts)
+    return sum((sparsity(a, b, t) for (a, b), t in zip(parts, taus, strict=True)), F.lit(0.0)) / len(parts)
+
+
+def split_plausibility(parts: list[tuple[Column, Column]]) -> Column:
+    """Several series' plausibility weighted by their numbers of values: pairs of (score, series)."""
+    sizes = [F.greatest(F.size(F.flatten(s)), F.lit(1)) for _, s in parts]
+    return sum((p * n for (p, _), n in zip(parts, sizes, strict=True)), F.lit(0.0)) / sum(sizes, F.lit(0))
+
+
+def fused(static: Column, own: Column) -> Column:
+    """One series of a static vector's constant channels and a series' own channels (from neighbours of either, or from parts)."""
+    return F.concat(repeat_static(static, F.size(F.get(own, F.lit(0)))), own)
+
+
+def fused_compressed(values: Column, steps: int) -> Column:
+    """The same from a vector of static values and then channel means, all of them constant."""
+    return repeat_static(values, F.lit(steps))
+
+
 def repeat_static(static: Column, steps: Column) -> Column:
     """A static vector as constant channels of so many steps."""
     return F.transform(static, lambda x: F.array_repeat(x, steps))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 
 #: Other names of the metrics and encoders.
 METRIC_ALIASES = {"rouge1": "rouge_1", "rouge-1": "rouge_1", "rouge2": "rouge_2", "rouge-2": "rouge_2", "rougel": "rouge_l", "rouge-l": "rouge_l", "levenshtein_lcs": "lcs"}
-ENCODER_ALIASES = {"sbert": "bert", "w2v": "word2vec", "raw_text": "raw", "none": "raw", "tf-idf": "tfidf"}
+ENCODER_ALIASES = {
+    "sbert": "bert", "sentence-bert": "bert", "all-minilm-l6-v2": "minilm", "w2v": "word2vec", "word2vec_avg": "word2vec", "raw_text": "raw",
+    "none": "raw", "tf-idf": "tfidf",
+}
 #: White space that ends a token, in Java's and Python's pattern syntax alike.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 SMOOTH = 1e-12
@@ -120,37 +124,112 @@ def _grams(tokens_: list, n: int) -> Counter:
     return Counter(zip(*(tokens_[i:] for i in range(n)), strict=False))
 
 
-def _rouge_kernel(n: int):
-    """ROUGE-n distances of a block by postings: each n-gram of a query adds to the candidates that hold it."""
+class _Postings:
+    """The n-grams of a block of candidates: each n-gram of a query adds to the candidates that hold it."""
 
-    def f(q: list, c: list) -> np.ndarray:
+    def __init__(self, c: list, n: int):
         own = [_grams(list(t), n) for t in c]
-        sizes, postings = np.array([g.total() for g in own], float), {}
+        self.sizes, postings = np.array([g.total() for g in own], float), {}
         for j, g in enumerate(own):
             for gram, k in g.items():
-                postings.setdefault(gram, ([], []))
-                postings[gram][0].append(j)
-                postings[gram][1].append(k)
-        postings = {gram: (np.array(j), np.array(k)) for gram, (j, k) in postings.items()}
-        out = np.empty((len(q), len(c)))
+                places, counts = postings.setdefault(gram, ([], []))
+                places.append(j)
+                counts.append(k)
+        self.postings = {gram: (np.array(j), np.array(k)) for gram, (j, k) in postings.items()}
+        self.n = n
+
+    def shared(self, t: list) -> tuple[np.ndarray, int]:
+        """How many n-grams of ``t`` each candidate shares, counted with repeats, and how many ``t`` has."""
+        out, g = np.zeros(len(self.sizes)), _grams(t, self.n)
+        for gram, k in g.items():
+            if gram in self.postings:
+                j, counts = self.postings[gram]
+                out[j] += np.minimum(k, counts)
+        return out, g.total()
+
+
+def _rouge_kernel(n: int):
+    """ROUGE-n distances of a block by postings."""
+
+    def f(q: list, c: list, k: int | None = None) -> np.ndarray:
+        held, out = _Postings(c, n), np.empty((len(q), len(c)))
         for row, t in zip(out, q, strict=True):
-            shared, g = np.zeros(len(c)), _grams(list(t), n)
-            for gram, k in g.items():
-                if gram in postings:
-                    shared[postings[gram][0]] += np.minimum(k, postings[gram][1])
-            both = g.total() + sizes
+            shared, size = held.shared(list(t))
+            both = size + held.sizes
             row[:] = 1 - np.where(both > 0, 2 * shared / np.maximum(both, 1), 1.0)
         return out
 
     return f
 
 
+def _bleu_kernel(q: list, c: list, k: int | None = None, most: int = 4) -> np.ndarray:
+    """BLEU distances of a block: the clipped counts of every order come from postings."""
+    held, out = [_Postings(c, n) for n in range(1, most + 1)], np.empty((len(q), len(c)))
+    lens = np.array([len(t) for t in c], float)
+    for row, t in zip(out, q, strict=True):
+        t = list(t)
+        orders = np.minimum(np.minimum(most, lens), max(len(t), 1))
+        logs = np.zeros(len(c))
+        for n, p in enumerate(held, 1):
+            shared, _ = p.shared(t)
+            logs += np.where(n <= orders, np.log(np.maximum((shared + SMOOTH) / (p.sizes + SMOOTH), SMOOTH)), 0.0)
+        safe = np.maximum(lens, 1)
+        penalty = np.where(lens > len(t), 1.0, np.exp(1 - len(t) / safe))
+        value = np.clip(penalty * np.exp(logs / np.maximum(orders, 1)), 0.0, 1.0)
+        row[:] = 1 - np.where(lens > 0, value, float(not t))
+    return out
+
+
+def _subsequence_kernel(of_length):
+    """Distances 1 - ``of_length``(common length, lengths) of a block; with ``k``, only those that can be among a query's k least.
+
+    A common subsequence is no longer than the tokens that both share, counted with repeats, so postings bound every
+    distance from below. Candidates are taken in the order of their bounds until none can enter the k best; the others
+    are infinite. Equal bounds are all taken, so ties are kept.
+    """
+
+    def f(q: list, c: list, k: int | None = None) -> np.ndarray:
+        held, lens = _Postings(c, 1), np.array([len(t) for t in c])
+        out = np.full((len(q), len(c)), np.inf)
+        for row, t in zip(out, q, strict=True):
+            places: dict = {}
+            for i, x in enumerate(t):
+                places[x] = places.get(x, 0) | 1 << i
+            full, shared = (1 << len(t)) - 1, held.shared(list(t))[0]
+            bound = 1 - of_length(shared, len(t), lens)
+            order = np.argsort(bound, kind="stable")
+            best, most = [], len(c) if k is None else k
+            for j in order.tolist():
+                if len(best) == most and bound[j] > -best[0] + 1e-8:
+                    break
+                common = 0
+                if shared[j]:
+                    state = full
+                    for hit in [places[x] for x in c[j] if x in places]:
+                        now = state & hit
+                        state = ((state + now) | (state - now)) & full
+                    common = len(t) - state.bit_count()
+                row[j] = 1 - of_length(np.array([common]), len(t), lens[j : j + 1])[0]
+                (heapq.heappush if len(best) < most else heapq.heappushpop)(best, -row[j])
+        return out
+
+    return f
+
+
+def _rouge_l(common: np.ndarray, n: int, lens: np.ndarray) -> np.ndarray:
+    return np.where((lens > 0) & (n > 0), 2 * common / np.maximum(lens + n, 1), ((lens == 0) & (n == 0)).astype(float))
+
+
+def _lcs(common: np.ndarray, n: int, lens: np.ndarray) -> np.ndarray:
+    return np.where((lens > 0) | (n > 0), common / np.maximum(np.maximum(lens, n), 1), 1.0)
+
+
+KERNELS = {"rouge_1": _rouge_kernel(1), "rouge_2": _rouge_kernel(2), "rouge_l": _subsequence_kernel(_rouge_l), "lcs": _subsequence_kernel(_lcs), "bleu": _bleu_kernel}
+
+
 def kernel(metric: str):
-    """(queries' tokens, candidates' tokens) -> matrix of 1 - similarity."""
-    if metric_name(metric) in ("rouge_1", "rouge_2"):
-        return _rouge_kernel(int(metric_name(metric)[-1]))
-    f = SIMILARITIES[metric_name(metric)]
-    return lambda q, c: np.array([[1.0 - min(1.0, max(0.0, f(list(a), list(b)))) for b in c] for a in q]).reshape(len(q), len(c))
+    """(queries' tokens, candidates' tokens, k) -> matrix of 1 - similarity; what can't be among a query's k least may be infinite."""
+    return KERNELS[metric_name(metric)]
 
 
 def distance(metric: str):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 #: Other names of the metrics.
 ALIASES = {
-    "l2": "euclidean", "euclid": "euclidean", "cos": "cosine", "l1": "manhattan", "cityblock": "manhattan", "linf": "chebyshev", "sq_euclidean": "sqeuclidean",
+    "l2": "euclidean", "euclid": "euclidean", "cos": "cosine", "l1": "manhattan", "cityblock": "manhattan", "manhattan_distance": "manhattan",
+    "hamming_distance": "hamming", "linf": "chebyshev", "sq_euclidean": "sqeuclidean",
 }
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block of a Pareto front.
+FRONT_ROWS = 4096
 OBJECTIVES = ("outcome", "proximity", "sparsity", "plausibility")
 
 
@@ -59,16 +66,74 @@ def summary(scores: DataFrame, keys: list[str], columns=OBJECTIVES, digits: int
 def pareto_front(points: DataFrame, columns: list[str], key: str) -> DataFrame:
     """The rows that no other row beats (as small everywhere and smaller somewhere); equal rows all stay.
 
-    Sorted by the sum of the columns, a row can only be beaten by an earlier one. Each sorted range first drops the rows
-    beaten inside it, so the theta join that remains compares small fronts.
+    Rows with a null or NaN in ``columns`` take no part. Each partition first keeps its own front, the fronts of few
+    partitions are joined and thinned again, and what is left is dealt to tiles of two blocks, each of which drops the
+    rows that the other block beats. So no task holds more than two blocks, however long the front is.
+    """
+    distinct = points.select(*[F.col(c).cast("double").alias(c) for c in columns]).where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])).distinct()
+
+    def thinned(batches):
+        held = np.empty((0, len(columns)))
+        for batch in batches:
+            held = _front(np.concatenate([held, batch.to_numpy(np.float64)]))
+            if len(held) > FRONT_ROWS:
+                yield pd.DataFrame(held, columns=columns)
+                held = held[:0]
+        yield pd.DataFrame(held, columns=columns)
+
+    kept = distinct.mapInPandas(thinned, distinct.schema).repartition(8).mapInPandas(thinned, distinct.schema)
+    kept = kept.withColumn("_i", F.xxhash64(*columns)).cache()  # fronts of partitions only
+    blocks = max(1, -(-kept.count() // FRONT_ROWS))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = kept.withColumn("_a", F.pmod("_i", F.lit(blocks))).withColumn("_b", other)
+    right = kept.withColumn("_b", F.pmod("_i", F.lit(blocks))).withColumn("_a", other)
+
+    def beaten(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = (np.column_stack([t[c].to_numpy() for c in columns]) if t.num_rows else np.empty((0, len(columns))) for t in (x, y))
+        return x.select(columns).filter(pa.array(_beaten(a, b), pa.bool_()))
+
+    out = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(beaten, distinct.schema)
+    front = kept.join(out.distinct(), columns, "left_anti").select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(columns)])
+    return points.join(front, reduce(lambda a, b: a & b, [F.col(c).cast("double") == F.col(f"_f{i}") for i, c in enumerate(columns)]), "left_semi")
+
+
+def _beaten(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of ``a`` some row of ``b`` beats."""
+    out = np.zeros(len(a), bool)
+    for row in b[np.argsort(b.sum(1), kind="stable")]:
+        rest = np.flatnonzero(~out)
+        if not len(rest):
+            break
+        out[rest[(row <= a[rest]).all(1) & (row < a[rest]).any(1)]] = True
+    return out
+
+
+def _front(rows: np.ndarray) -> np.ndarray:
+    """The rows that no other of them beats: in the order of their sums, each drops what it beats."""
+    rows, at = rows[np.argsort(rows.sum(1), kind="stable")], 0
+    while at < len(rows):
+        row = rows[at]
+        rows = rows[~((row <= rows).all(1) & (row < rows).any(1))]
+        at += 1
+    return rows
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: str, value: str, out: str, parts: int = 256) -> DataFrame:
+    """``rows`` with ``out``, the sum of ``value`` up to each row's ``order`` (distinct numbers within ``keys``).
+
+    Rows are cut into ranges at approximate quantiles; a window sums inside a range, and the ranges' totals are carried over.
     """
-    dominates = lambda a, b: (F.expr(" AND ".join(f"{a}.{c} <= {b}.{c}" for c in columns))) & F.expr(" OR ".join(f"{a}.{c} < {b}.{c}" for c in columns))
-    distinct = points.select(*columns).dropna().distinct()
-    low = distinct.agg(*[F.min(c).alias(c) for c in columns]).first()
-    best = distinct.orderBy(sum((F.col(c) - low[c] for c in columns), F.lit(0.0)), *columns).limit(256)
-    kept = distinct.alias("b").join(F.broadcast(best).alias("a"), dominates("a", "b"), "left_anti")  # 256 rows
-    front = kept.alias("b").join(kept.alias("a"), dominates("a", "b"), "left_anti")
-    return points.join(front, columns, "left_semi").select(*points.columns)
+    cuts = F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 1000).alias("_cuts")
+    bounds = rows.groupBy(*keys).agg(cuts).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cuts")
+    same = lambda: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True))
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = (rows.join(bounds, same()) if keys else rows.crossJoin(F.broadcast(bounds)))  # without keys one row
+    rows = rows.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts", *names)
+    totals = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_t"))
+    lower = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_t").over(lower), F.lit(0)).alias("_shift"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(out, inside).join(shifts, same() & (F.col("_part") == F.col("_p"))).withColumn(out, F.col(out) + F.col("_shift")).drop("_part", "_p", "_shift", *names)
 
 
 def coverage(runs: DataFrame) -> DataFrame:
@@ -95,12 +160,11 @@ def config_label(parts: list[str], fallback: str) -> Column:
 def auroc(rows: DataFrame, keys: list[str] | None = None, score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve from average ranks, so ties count half; null with one class only.
 
-    Scores are counted before they are ranked, so the window holds distinct scores.
+    Scores are counted before they are ranked, and distinct scores are summed in ranges. Rows without a score take no part.
     """
     keys = keys or []
-    counts = rows.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("rank", upto - (F.col("n") - 1) / 2)
+    counts = rows.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+    ranked = running_sum(counts, keys, score, "n", "_upto").withColumn("rank", F.col("_upto") - (F.col("n") - 1) / 2)
     out = ranked.groupBy(*keys) if keys else ranked.groupBy()
     pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
     area = (F.sum(F.col("rank") * F.col("p")) - pos * (pos + 1) / 2) / (pos * neg)

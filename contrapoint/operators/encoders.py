@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, NumericType
+
+from .search import knn
 
 #: Letters, digits and underscores, two at least.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -36,17 +39,37 @@ def tfidf_transform(texts: DataFrame, fitted: DataFrame, sublinear: bool = False
     return raw.join(size, "sample_id").select("sample_id", "term", (F.col("w") / F.col("size")).alias("weight"))
 
 
+def gathered_terms(weights: DataFrame, ids: DataFrame) -> DataFrame:
+    """(``sample_id``, ``value``) for every id: a text's terms and weights, none for a text without known terms."""
+    own = weights.groupBy(F.col("sample_id").alias("_id")).agg(F.collect_list(F.struct("term", "weight")).alias("value"))
+    none = F.expr("CAST(array() AS array<struct<term:string,weight:double>>)")
+    return ids.select("sample_id").join(own, F.col("sample_id") == F.col("_id"), "left").select("sample_id", F.coalesce("value", none).alias("value"))
+
+
+def _sparse_cosine(q: list, c: list) -> np.ndarray:
+    """1 - dot product of sparse unit rows, by the postings of a block of candidates."""
+    postings: dict = {}
+    for j, terms in enumerate(c):
+        for t in terms:
+            places, weights = postings.setdefault(t["term"], ([], []))
+            places.append(j)
+            weights.append(t["weight"])
+    postings = {t: (np.array(j), np.array(w)) for t, (j, w) in postings.items()}
+    out = np.ones((len(q), len(c)))
+    for row, terms in zip(out, q, strict=True):
+        for t in terms:
+            if t["term"] in postings:
+                j, w = postings[t["term"]]
+                row[j] -= t["weight"] * w
+    return out
+
+
 def sparse_cosine_knn(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """Nearest candidates by cosine over sparse unit rows that share a term, by joining on the term.
+    """Nearest candidates by cosine over sparse unit rows (``gathered_terms``), in tiles, so a common term joins no pairs.
 
-    Candidates without a common term are all at distance 1 and are left out.
+    Candidates without a common term are at distance 1. Distances are rounded to 9 digits before they are compared.
     """
-    from pyspark.sql import Window
-
-    q, c = queries.select(F.col("sample_id").alias("query_id"), "term", F.col("weight").alias("a")), candidates.select(F.col("sample_id").alias("train_id"), "term", F.col("weight").alias("b"))
-    dots = q.join(c, "term").groupBy("query_id", "train_id").agg((1 - F.sum(F.col("a") * F.col("b"))).alias("distance"))
-    ranked = dots.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "train_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "train_id", "rank", "distance")
+    return knn(queries, candidates, k, _sparse_cosine, "sparse", digits=9)
 
 
 def word_vector_mean(texts: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -74,6 +97,12 @@ def encode_distinct(rows: DataFrame, column: str, f: Callable[[list], np.ndarray
     return rows.join(known, column, "left")
 
 
+def precomputed(rows: DataFrame) -> bool:
+    """Whether a branch holds vectors (arrays of numbers in ``value``) and not raw images or texts."""
+    kind = rows.schema["value"].dataType if "value" in rows.columns else None
+    return isinstance(kind, ArrayType) and isinstance(kind.elementType, NumericType)
+
+
 def lookup_or_encode(rows: DataFrame, train: DataFrame, test: DataFrame, f: Callable[[list], np.ndarray] | None = None) -> DataFrame:
     """Vectors by text: training entries win over test entries, and only misses are encoded live."""
     first = lambda df: df.where("text IS NOT NULL").groupBy("text").agg(F.min("value").alias("value"))

@@ -60,11 +60,15 @@ class Plausibility:
         return near.join(size, "query_id").select(F.col("query_id").alias("sample_id"), (F.col("distance") / F.col("d")).alias("lof"))
 
     def scaled(self, queries: DataFrame, how: str = "unit") -> DataFrame:
-        """(``sample_id``, ``plausibility``): ``unit`` scales between the 5th and 95th percentile, ``percentile`` ranks."""
+        """(``sample_id``, ``plausibility``): ``unit`` scales between the 5th and 95th percentile, ``percentile`` ranks.
+
+        Scores are ranked to 9 digits, so that a query equal to a reference row ranks as that row does.
+        """
         from ..functions.scores import unit_interval, with_percentile_rank
 
         own, raw = self.raw(self.reference), self.raw(queries)
         if how == "percentile":
+            own, raw = (df.withColumn("lof", F.round("lof", 9)) for df in (own, raw))
             return with_percentile_rank(raw, "lof", own, "lof", "plausibility").select("sample_id", "plausibility")
         low, high = bounds(own).first()
         return raw.select("sample_id", unit_interval(F.col("lof"), F.lit(low), F.lit(high)).alias("plausibility"))

@@ -10,6 +10,27 @@ from pyspark.sql import functions as F
 from .search import knn
 
 
+def draw(*parts) -> Column:
+    """A whole number from 0 to 2 ** 32 - 1, drawn from the parts' text by MD5; the same in any engine."""
+    key = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
+def numbered(rows: DataFrame, bucket: Column, order: list, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``out``, their numbers from 0 within ``keys`` in the order of ``bucket``, then ``order``.
+
+    Rows are numbered inside each bucket and shifted by the counts of the lower ones, so no window holds more than a
+    bucket, and the window over buckets holds one row of each.
+    """
+    rows = rows.withColumn("_bucket", bucket)
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    lower = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_shift"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_bucket").eqNullSafe(F.col("_b")))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
+    return rows.withColumn(out, inside).join(shifts, same).withColumn(out, (F.col(out) + F.col("_shift")).cast("long")).drop("_bucket", "_b", "_shift", *[f"_k{i}" for i in range(len(keys))])
+
+
 def missing_share(df: DataFrame) -> DataFrame:
     """(``name``, ``missing``, ``n_distinct``) for every column, in one pass."""
     row = df.agg(*[F.struct(F.lit(c).alias("name"), F.avg(F.col(c).isNull().cast("double")).alias("missing"), F.count_distinct(F.col(c)).alias("n_distinct")).alias(c) for c in df.columns])
@@ -49,7 +70,7 @@ def fill_median(df: DataFrame, column: str, train: Column) -> DataFrame:
 def ordinal_codes(df: DataFrame, column: str, train: Column, out: str) -> DataFrame:
     """Codes of the training rows' values in alphabetical order; unknown values and nulls are -1."""
     values = df.where(train & F.col(column).isNotNull()).select(F.col(column).alias("_v")).distinct()
-    codes = values.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).alias(out))
+    codes = numbered(values, F.substring(F.col("_v").cast("string"), 1, 2) if dict(df.dtypes)[column] == "string" else F.lit(0), ["_v"], out).withColumn(out, F.col(out).cast("int"))
     return df.join(codes, F.col(column) == F.col("_v"), "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
@@ -91,10 +112,15 @@ def knn_impute(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """A ``split`` column: in every class the share of rows with the least seeded hashes is the test set."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), "sample_id"), "sample_id")
-    share = F.percent_rank().over(order)
-    return df.withColumn("split", F.when(share < test_share, "test").otherwise("train"))
+    """A ``split`` column: in every class the share of rows with the least seeded hashes is the test set.
+
+    A class is ranked in buckets of its hashes, so a large one is no single task.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_id").cast("string"))))
+    ranked = numbered(hashed, F.substring("_hash", 1, 3), ["_hash", "sample_id"], "_place", (label,))
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    test = F.col("_place") < F.lit(test_share) * (F.col("_size") - 1)
+    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("split", F.when(test | (F.col("_size") == 1), "test").otherwise("train")).select(*df.columns, "split")
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import series, text, vectors
 
@@ -20,15 +21,21 @@ from ..functions import series, text, vectors
 QUERY_BLOCK, SHARD = 512, 4096
 
 
-def kernel(metric: str | Callable, kind: str = "vector") -> Callable:
-    """The distance kernel of a metric name, or the callable itself, which wins whenever it is supplied."""
+def kernel(metric: str | Callable, kind: str = "vector", **options) -> Callable:
+    """The distance kernel of a metric name, or the callable itself, which wins whenever it is supplied.
+
+    A kernel takes queries, candidates and k; what can't be among a query's k least may be infinite.
+    """
     if callable(metric):
-        return metric
+        return lambda q, c, k: metric(q, c)
     if kind == "series":
-        return series.KERNELS[series.metric_name(metric)]
+        f = series.KERNELS[series.metric_name(metric)]
+        return lambda q, c, k: f(q, c, k=k, **options)
     if kind == "text":
-        return text.kernel(metric)
-    return vectors.KERNELS[vectors.metric_name(metric)]
+        f = text.kernel(metric)
+        return lambda q, c, k: f(q, c, k)
+    f = vectors.KERNELS[vectors.metric_name(metric)]
+    return lambda q, c, k: f(q, c)
 
 
 def _payload(column: pa.ChunkedArray):
@@ -41,17 +48,30 @@ def _payload(column: pa.ChunkedArray):
     return a.to_pylist()
 
 
-def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str | Callable = "euclidean", kind: str = "vector", per_class: bool = False, exclude_self: bool = False) -> DataFrame:
+def _whole(rows: DataFrame) -> DataFrame:
+    """The rows whose value holds no null."""
+    kind = rows.schema["value"].dataType
+    full = F.col("value").isNotNull()
+    if isinstance(kind, ArrayType):
+        inner = (lambda x: x.isNotNull() & F.forall(x, lambda y: y.isNotNull())) if isinstance(kind.elementType, ArrayType) else (lambda x: x.isNotNull())
+        full &= F.forall("value", inner)
+    return rows.where(F.coalesce(full, F.lit(False)))
+
+
+def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str | Callable = "euclidean", kind: str = "vector", per_class: bool = False, exclude_self: bool = False, digits: int | None = None, **options) -> DataFrame:
     """(``query_id``, ``train_id``, ``rank``, ``distance``): each query's k nearest candidates.
 
     ``queries`` has ``sample_id`` and ``value`` (and ``target`` with ``per_class``), ``candidates`` ``sample_id`` and
-    ``value`` (and ``label``). Ties go to the smaller id; fewer than k candidates give fewer rows.
+    ``value`` (and ``label``). Ties go to the smaller id; fewer than k candidates give fewer rows. A value that is null
+    or holds nulls takes no part, nor does a pair whose distance is not a number. With ``digits`` distances are rounded
+    before they are compared. ``options`` go to the series' kernel, such as ``window``.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    f = kernel(metric, kind)
+    f = kernel(metric, kind, **options)
     q = queries.select(F.col("sample_id").alias("query_id"), F.col("value").alias("value"), (F.col("target") if per_class else F.lit(0)).cast("int").alias("c"))
     c = candidates.select(F.col("sample_id").alias("train_id"), F.col("value").alias("value"), (F.col("label") if per_class else F.lit(0)).cast("int").alias("c"))
+    q, c = _whole(q), _whole(c)
     blocks, shards = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // SHARD))
     q = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     c = c.withColumn("s", F.pmod(F.xxhash64("train_id"), F.lit(shards))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -60,9 +80,8 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str | Callabl
         out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if left.num_rows and right.num_rows:
             ids, own = right["train_id"].to_numpy(), left["query_id"].to_numpy()
-            d = np.asarray(f(_payload(left["value"]), _payload(right["value"])), np.float64)
-            if np.isnan(d).any():
-                raise ValueError("a distance is not a number")
+            d = np.asarray(f(_payload(left["value"]), _payload(right["value"]), k + exclude_self), np.float64)
+            d = np.where(np.isnan(d), np.inf, d if digits is None else d.round(digits))
             if exclude_self:
                 d = np.where(own[:, None] == ids, np.inf, d)
             most = min(k, d.shape[1])

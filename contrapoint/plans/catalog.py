@@ -232,27 +232,23 @@ def prototype_synthesis(spark, d):
 
 # ---------------------------------------------------------------- time series
 
-#: The days of the series. Each event type is one channel.
-FIRST_DAY, DAYS = "2024-01-01", 30
-
-
 def user_series(spark, d) -> DataFrame:
-    """Users' daily event counts by type, channel-major; the class is the parity of a user's events."""
-    e = table(spark, d, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(257).collect()]
-    if len(kinds) > 256:
-        raise ValueError("more than 256 channels")
-    e = e.select(F.col("user_id").cast("long").alias("sample_id"), F.datediff(F.to_date("ts"), F.lit(FIRST_DAY).cast("date")).alias("day"), "event_type").where(F.col("day").between(0, DAYS - 1))
+    """Users' daily event counts by type over the table's days, channel-major; the class is the parity of a user's events."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("long").alias("sample_id"), F.to_date("ts").alias("day"), "event_type").where("sample_id IS NOT NULL AND day IS NOT NULL AND event_type IS NOT NULL")
+    frame = e.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.array_sort(F.collect_set("event_type")).alias("kinds"))  # one row
     counts = e.groupBy("sample_id", "event_type", "day").agg(F.count("*").alias("n"))
-    per = counts.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "event_type", F.col("day").cast("string")), F.col("n").cast("double")))).alias("m"), F.sum("n").alias("total"))
-    channel = lambda kind: F.transform(F.sequence(F.lit(0), F.lit(DAYS - 1)), lambda t: F.coalesce(F.try_element_at(F.col("m"), F.concat_ws(":", F.lit(kind), t.cast("string"))), F.lit(0.0)))
-    return per.select("sample_id", F.array(*[channel(k) for k in kinds]).alias("value"), (F.col("total") % 2).cast("int").alias("label"))
+    key = lambda kind, day: F.concat_ws(":", kind, day.cast("string"))
+    per = counts.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(key(F.col("event_type"), F.col("day")), F.col("n").cast("double")))).alias("m"), F.sum("n").alias("total"))
+    days = F.sequence("first", "last", F.expr("INTERVAL 1 DAY"))
+    value = F.transform("kinds", lambda kind: F.transform(days, lambda t: F.coalesce(F.try_element_at(F.col("m"), key(kind, t)), F.lit(0.0))))
+    return per.crossJoin(F.broadcast(frame)).select("sample_id", value.alias("value"), (F.col("total") % 2).cast("int").alias("label"))
 
 
-_SERIES = f"""ev AS (SELECT user_id::BIGINT AS id, event_type AS ch, date_diff('day', DATE '{FIRST_DAY}', ts::DATE) AS t FROM events),
-cn AS (SELECT id, ch, t, count(*)::DOUBLE AS n FROM ev WHERE t BETWEEN 0 AND {DAYS - 1} GROUP BY ALL),
+_SERIES = """fr AS (SELECT min(ts::DATE) AS f, date_diff('day', min(ts::DATE), max(ts::DATE)) + 1 AS days FROM events),
+ev AS (SELECT user_id::BIGINT AS id, event_type AS ch, date_diff('day', f, ts::DATE) AS t FROM events, fr WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL),
+cn AS (SELECT id, ch, t, count(*)::DOUBLE AS n FROM ev GROUP BY ALL),
 us AS (SELECT id, (sum(n) % 2)::INT AS label FROM cn GROUP BY 1),
-gr AS (SELECT us.id, label, k.ch, t.t, coalesce(n, 0.0) AS n FROM us CROSS JOIN (SELECT DISTINCT ch FROM cn) k CROSS JOIN (SELECT unnest(range(0, {DAYS})) AS t) t LEFT JOIN cn ON cn.id = us.id AND cn.ch = k.ch AND cn.t = t.t)"""
+gr AS (SELECT us.id, label, k.ch, t.t, coalesce(n, 0.0) AS n FROM us CROSS JOIN (SELECT DISTINCT ch FROM cn) k CROSS JOIN (SELECT unnest(range(0, days)) AS t FROM fr) t LEFT JOIN cn ON cn.id = us.id AND cn.ch = k.ch AND cn.t = t.t)"""
 _TS_NEAR = """dc AS (SELECT q.id AS query_id, c.id AS train_id, q.ch, sqrt(sum((q.n - c.n) * (q.n - c.n))) AS x FROM gr q JOIN gr c ON q.ch = c.ch AND q.t = c.t WHERE q.label = 1 AND c.label = 0 GROUP BY ALL),
 ds AS (SELECT query_id, train_id, sum(x) AS distance FROM dc GROUP BY ALL),
 n AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), train_id))::INT AS rank FROM ds) WHERE rank <= 5)"""
@@ -260,28 +256,60 @@ n AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER B
 
 def _ts_near(spark, d, metric, k=5):
     s = user_series(spark, d)
-    f = series.KERNELS[metric]
-    return knn(s.where("label = 1"), s.where("label = 0"), k, lambda q, c: f(q, c).round(9), "series")
+    return knn(s.where("label = 1"), s.where("label = 0"), k, metric, "series", digits=9)
+
+
+#: Recursions folded over lists: a step's list is the next row of the table of all pairs of steps, which begins with column 0.
+_ROW = "list_reduce(list_transform(range(1, len({b}) + 1), lambda j: {cell}), lambda r, x: list_append(r, {next}), [{first}])"
+_FOLD = "list_reduce(list_transform(range(1, len({a}) + 1), lambda i: [i::DOUBLE]), lambda p, e: {row}, {start})[len({b}) + 1]"
+_INF = "'inf'::DOUBLE"
+
+
+def _fold(a: str, b: str, cell: str, step: str, first: str, start: str) -> str:
+    return _FOLD.format(a=a, b=b, start=start, row=_ROW.format(b=b, cell=cell, next=step, first=first))
+
+
+def _warp_fold(a: str, b: str, cost: str, inside: str) -> str:
+    return _fold(a, b, f"CASE WHEN {inside} THEN [{cost}, least(p[j + 1], p[j])] ELSE [{_INF}, {_INF}] END", "x[1] + least(x[2], r[len(r)])", _INF, f"list_concat([0.0::DOUBLE], list_transform({b}, lambda y: {_INF}))")
+
+
+_MATCHES = "CASE WHEN x[1] = 1 THEN x[3] + 1 ELSE greatest(x[2], r[len(r)]) END"
+_ZEROS = "list_concat([0.0::DOUBLE], list_transform({b}, lambda y: 0.0::DOUBLE))"
+_BANDED = "abs(e[1] - j) <= floor(0.1 * len(b))"
+_CHANNELS = "sc AS (SELECT id, label, ch, list(n ORDER BY t) AS v FROM gr GROUP BY ALL), pc AS (SELECT q.id AS query_id, c.id AS train_id, q.ch, q.v AS a, c.v AS b FROM sc q JOIN sc c ON q.ch = c.ch WHERE q.label = 1 AND c.label = 0)"
+_STEPS = "st AS (SELECT id, label, list(v ORDER BY t) AS v FROM (SELECT id, label, t, list(n ORDER BY ch) AS v FROM gr GROUP BY ALL) GROUP BY ALL), pd AS (SELECT q.id AS query_id, c.id AS train_id, q.v AS a, c.v AS b FROM st q JOIN st c ON q.label = 1 AND c.label = 0)"
+_DEPENDENT = _warp_fold("a", "b", "list_sum(list_transform(list_zip(a[e[1]::INT], b[j]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))", "true")
+
+
+def _ranked(source: str, k: int = 5, name: str = "n") -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), train_id))::INT AS rank FROM {source}) WHERE rank <= {k})"
 
 
-@_query(f"WITH {_SERIES}, {_TS_NEAR} SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM n")
+_TS_DEPENDENT = f"{_STEPS}, dd AS (SELECT query_id, train_id, {_DEPENDENT} AS distance FROM pd)"
+_LIST = "SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM n"
+
+
+@_query(f"WITH {_SERIES}, {_TS_NEAR} {_LIST}")
 def ts_euclidean_knn(spark, d):
     return _rounded(_ts_near(spark, d, "euclidean"), "distance")
 
 
-@_query()
+@_query(f"""WITH {_SERIES}, {_CHANNELS}, dx AS (SELECT query_id, train_id, {_warp_fold("a", "b", "(a[e[1]::INT] - b[j]) * (a[e[1]::INT] - b[j])", _BANDED)} AS x FROM pc),
+ds AS (SELECT query_id, train_id, sum(x) AS distance FROM dx GROUP BY ALL), {_ranked("ds")} {_LIST}""")
 def ts_dtw_knn(spark, d):
-    """Windowed warping, summed over channels; tested against a plain recursion."""
+    """Windowed warping, summed over channels."""
     return _rounded(_ts_near(spark, d, "dtw"), "distance")
 
 
-@_query()
+@_query(f"""WITH {_SERIES}, {_CHANNELS}, dx AS (SELECT query_id, train_id, 1 - {_fold("a", "b", f"[CASE WHEN {_BANDED} AND abs(a[e[1]::INT] - b[j]) <= 1 THEN 1.0 ELSE 0.0 END, p[j + 1], p[j]]", _MATCHES, "0.0::DOUBLE", _ZEROS.format(b="b"))} / len(b) AS x FROM pc),
+ds AS (SELECT query_id, train_id, sum(x) AS distance FROM dx GROUP BY ALL), {_ranked("ds")} {_LIST}""")
 def ts_lcss_knn(spark, d):
     return _rounded(_ts_near(spark, d, "lcss"), "distance")
 
 
-@_query()
+@_query(f"WITH {_SERIES}, {_TS_DEPENDENT}, {_ranked('dd')} {_LIST}")
 def ts_dtw_dependent_knn(spark, d):
+    """One warping path for all channels, without a window."""
     return _rounded(_ts_near(spark, d, "dtw_dependent"), "distance")
 
 
@@ -313,8 +341,7 @@ def ts_progressive_median(spark, d):
 def early_fusion_time_means(spark, d):
     """Series reduced to their channels' means, then searched as vectors."""
     s = user_series(spark, d).withColumn("value", series.time_mean(F.col("value")))
-    f = vectors.KERNELS["euclidean"]
-    return _rounded(knn(s.where("label = 1"), s.where("label = 0"), 3, lambda q, c: f(q, c).round(9)), "distance")
+    return _rounded(knn(s.where("label = 1"), s.where("label = 0"), 3, "euclidean", digits=9), "distance")
 
 
 # ---------------------------------------------------------------- plausibility and objectives
@@ -411,13 +438,15 @@ def objectives_assembled(spark, d):
 
 _TOK = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
 _TEXTS = f"""q AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_TOK}'), lambda t: t <> '') AS w FROM benchmark),
-c AS (SELECT conv_id * 1000 + turn AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_TOK}'), lambda t: t <> '') AS w FROM conversations WHERE role = 'assistant')"""
+ci AS (SELECT *, (row_number() OVER (ORDER BY conv_id % 64, conv_id, turn) - 1)::BIGINT AS id FROM conversations WHERE role = 'assistant'),
+c AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_TOK}'), lambda t: t <> '') AS w FROM ci)"""
 
 
 def _texts(spark, d):
+    """Benchmark texts and the assistant's turns, these by their number in the order of conversation and turn."""
     b = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("sample_id"), text.tokens(F.col("text")).alias("value"), "text")
-    c = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("sample_id"), text.tokens(F.col("text")).alias("value"), "text")
-    return b, c
+    c = preprocess.numbered(table(spark, d, "conversations").where("role = 'assistant'"), F.col("conv_id") % 64, ["conv_id", "turn"], "sample_id")
+    return b, c.select("sample_id", text.tokens(F.col("text")).alias("value"), "text")
 
 
 def _rouge_sql(n: int) -> str:
@@ -430,8 +459,28 @@ r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, tra
 
 def _text_knn(spark, d, metric):
     q, c = _texts(spark, d)
-    f = text.kernel(metric)
-    return _rounded(knn(q, c, 3, lambda a, b: f(a, b).round(9), "text"), "distance")
+    return _rounded(knn(q, c, 3, metric, "text", digits=9), "distance")
+
+
+#: Tokens that only one of a pair holds can't be in a common subsequence.
+_COMMON = _fold("a", "b", "[CASE WHEN a[e[1]::INT] = b[j] THEN 1.0 ELSE 0.0 END, p[j + 1], p[j]]", _MATCHES, "0.0::DOUBLE", _ZEROS.format(b="b"))
+_LCS = f"""WITH {_TEXTS}, pr AS (SELECT q.id AS query_id, c.id AS train_id, len(q.w) AS n, len(c.w) AS m, list_filter(q.w, lambda t: list_contains(c.w, t)) AS a, list_filter(c.w, lambda t: list_contains(q.w, t)) AS b FROM q, c),
+lc AS (SELECT query_id, train_id, n, m, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE {_COMMON} END AS l FROM pr)"""
+_PICKED = "SELECT query_id::BIGINT AS query_id, train_id::BIGINT AS train_id, rank, round(distance, 6) AS distance FROM n"
+
+
+def _bleu_sql() -> str:
+    grams = []
+    for n in range(1, 5):
+        gram = " || ' ' || ".join(f"w[i{f' + {k}' if k else ''}]" for k in range(n))
+        for side in "qc":
+            grams.append(f"{side}{n} AS (SELECT id, g, count(*) AS k FROM (SELECT id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram})) AS g FROM {side}) GROUP BY ALL)")
+        grams.append(f"o{n} AS (SELECT x.id AS q, y.id AS c, sum(least(x.k, y.k)) AS o FROM q{n} x JOIN c{n} y USING (g) GROUP BY ALL)")
+    logs = " + ".join(f"CASE WHEN {n} <= k THEN ln(greatest((coalesce(o{n}.o, 0) + 1e-12) / (m - {n - 1} + 1e-12), 1e-12)) ELSE 0 END" for n in range(1, 5))
+    joins = " ".join(f"LEFT JOIN o{n} ON o{n}.q = p.query_id AND o{n}.c = p.train_id" for n in range(1, 5))
+    return f"""WITH {_TEXTS}, {", ".join(grams)}, p AS (SELECT q.id AS query_id, c.id AS train_id, len(q.w) AS n, len(c.w) AS m, least(4, len(c.w), greatest(len(q.w), 1)) AS k FROM q, c),
+ds AS (SELECT query_id, train_id, 1 - CASE WHEN m = 0 THEN (n = 0)::INT ELSE least(1, greatest(0, CASE WHEN m > n THEN 1 ELSE exp(1 - n / m) END * exp(({logs}) / greatest(k, 1)))) END AS distance FROM p {joins}),
+{_ranked("ds", 3)} {_PICKED}"""
 
 
 @_query(_rouge_sql(1))
@@ -444,24 +493,28 @@ def text_rouge2_knn(spark, d):
     return _text_knn(spark, d, "rouge_2")
 
 
-@_query()
+@_query(f"{_LCS}, ds AS (SELECT query_id, train_id, 1 - CASE WHEN n = 0 OR m = 0 THEN (n + m = 0)::INT ELSE 2 * l / (n + m) END AS distance FROM lc), {_ranked('ds', 3)} {_PICKED}")
 def text_rouge_l_knn(spark, d):
     return _text_knn(spark, d, "rouge_l")
 
 
-@_query()
+@_query(f"{_LCS}, ds AS (SELECT query_id, train_id, 1 - CASE WHEN n + m = 0 THEN 1 ELSE l / greatest(n, m) END AS distance FROM lc), {_ranked('ds', 3)} {_PICKED}")
 def text_lcs_knn(spark, d):
     return _text_knn(spark, d, "lcs")
 
 
-@_query()
+@_query(_bleu_sql())
 def text_bleu_knn(spark, d):
     return _text_knn(spark, d, "bleu")
 
 
-@_query()
+_EDITS = _fold("a", "b", "[p[j + 1] + 1, p[j] + CASE WHEN a[e[1]::INT] = b[j] THEN 0 ELSE 1 END]", "least(x[1], x[2], r[len(r)] + 1)", "e[1]", "list_transform(range(0, len(b) + 1), lambda y: y::DOUBLE)")
+
+
+@_query(f"""{_rouge_sql(1).rsplit("SELECT query_id::BIGINT", 1)[0]}, pr AS (SELECT query_id, train_id, q.w AS a, c.w AS b FROM r JOIN q ON q.id = query_id JOIN c ON c.id = train_id WHERE rank = 1)
+SELECT query_id::BIGINT AS query_id, train_id::BIGINT AS train_id, round(CASE WHEN len(a) = 0 THEN len(b) WHEN len(b) = 0 THEN len(a) ELSE {_EDITS} END / greatest(len(a), 1), 6) AS sparsity FROM pr""")
 def text_edit_sparsity(spark, d):
-    """Token edits between each benchmark text and its nearest text; tested against the textbook recursion."""
+    """Token edits between each benchmark text and its nearest text."""
     q, c = _texts(spark, d)
     n = _text_knn(spark, d, "rouge_1").where("rank = 1")
     j = n.join(q.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a")), "query_id").join(c.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b")), "train_id")
@@ -470,19 +523,21 @@ def text_edit_sparsity(spark, d):
 
 _WORDS = r"[\p{L}\p{N}_]{2,}"
 _TFIDF = f"""q0 AS (SELECT item_id::BIGINT AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}')) AS t FROM benchmark),
-c0 AS (SELECT (conv_id * 1000 + turn)::BIGINT AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}')) AS t FROM conversations WHERE role = 'assistant'),
+ci AS (SELECT *, (row_number() OVER (ORDER BY conv_id % 64, conv_id, turn) - 1)::BIGINT AS id FROM conversations WHERE role = 'assistant'),
+c0 AS (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}')) AS t FROM ci),
 idf AS (SELECT t, ln((1.0 + (SELECT count(*) FROM conversations WHERE role = 'assistant')) / (1 + count(DISTINCT id))) + 1 AS idf FROM c0 GROUP BY 1),
 qw AS (SELECT id, t, n * idf AS w FROM (SELECT id, t, count(*) AS n FROM q0 GROUP BY ALL) JOIN idf USING (t)), cw AS (SELECT id, t, n * idf AS w FROM (SELECT id, t, count(*) AS n FROM c0 GROUP BY ALL) JOIN idf USING (t)),
 qs AS (SELECT id, sqrt(sum(w * w)) AS s FROM qw GROUP BY 1), cs AS (SELECT id, sqrt(sum(w * w)) AS s FROM cw GROUP BY 1),
 qv AS (SELECT id, t, w / s AS w FROM qw JOIN qs USING (id)), cv AS (SELECT id, t, w / s AS w FROM cw JOIN cs USING (id))"""
 
 
-@_query(f"""WITH {_TFIDF}, x AS (SELECT qv.id AS query_id, cv.id AS train_id, 1 - sum(qv.w * cv.w) AS distance FROM qv JOIN cv ON qv.t = cv.t GROUP BY ALL),
-r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), train_id))::INT AS rank FROM x) SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 3""")
+@_query(f"""WITH {_TFIDF}, x AS (SELECT qv.id AS q, cv.id AS c, sum(qv.w * cv.w) AS dot FROM qv JOIN cv ON qv.t = cv.t GROUP BY ALL),
+ds AS (SELECT item_id::BIGINT AS query_id, ci.id AS train_id, 1 - coalesce(dot, 0) AS distance FROM benchmark CROSS JOIN ci LEFT JOIN x ON q = item_id AND c = ci.id), {_ranked("ds", 3)} {_LIST}""")
 def tfidf_knn(spark, d):
     q, c = _texts(spark, d)
     fitted = encoders.tfidf_fit(c)
-    return _rounded(encoders.sparse_cosine_knn(encoders.tfidf_transform(q, fitted), encoders.tfidf_transform(c, fitted), 3), "distance")
+    sparse = lambda t: encoders.gathered_terms(encoders.tfidf_transform(t, fitted), t)
+    return _rounded(encoders.sparse_cosine_knn(sparse(q), sparse(c), 3), "distance")
 
 
 @_query(f"WITH {_TFIDF} SELECT id AS sample_id, count(*) AS n_terms, round(max(w), 6) AS top_weight FROM cv GROUP BY 1")
@@ -491,16 +546,16 @@ def tfidf_vectors(spark, d):
     return encoders.tfidf_transform(c, encoders.tfidf_fit(c)).groupBy("sample_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"))
 
 
-@_query(f"""WITH {_TEXTS}, u AS (SELECT id, unnest(w) AS t FROM q), v AS (SELECT t, row_number() OVER (ORDER BY t) AS r FROM (SELECT DISTINCT t FROM u)),
-m AS (SELECT id, avg(length(u.t)) AS m1, avg(r) AS m2 FROM u JOIN v USING (t) GROUP BY 1) SELECT q.id::BIGINT AS sample_id, round(coalesce(m1, 0), 6) AS mean_length, round(coalesce(m2, 0), 6) AS mean_place FROM q LEFT JOIN m USING (id)""")
+@_query(f"""WITH {_TEXTS}, e AS (SELECT row_number() OVER (ORDER BY vec_id % 64, vec_id) - 1 AS number, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT id, unnest(w) AS t FROM q), x AS (SELECT id, v FROM u JOIN e ON number = ('0x' || substr(md5('7:' || t), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)),
+m AS (SELECT id, dim, avg(x) AS m FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM x) GROUP BY ALL)
+SELECT q.id::BIGINT AS sample_id, round(coalesce(sum(m), 0), 6) AS value_sum, round(coalesce(max(m) FILTER (dim = 7), 0), 6) AS value_7 FROM q LEFT JOIN m USING (id) GROUP BY q.id""")
 def word_vector_mean(spark, d):
-    """Averages of toy word vectors: a word's length and alphabetical place."""
-    from pyspark.sql import Window
-
-    q = _texts(spark, d)[0]
-    known = q.select(F.explode("value").alias("word")).distinct()
-    vecs = known.select("word", F.array(F.length("word").cast("double"), F.row_number().over(Window.orderBy("word")).cast("double")).alias("vec"))
-    return encoders.word_vector_mean(q, vecs, 2).select("sample_id", F.round(F.get("value", F.lit(0)), 6).alias("mean_length"), F.round(F.get("value", F.lit(1)), 6).alias("mean_place"))
+    """Averages of word vectors; a hash of the word draws its embedding."""
+    q, e = _texts(spark, d)[0], embeddings(spark, d)
+    known = q.select(F.explode("value").alias("word")).distinct().withColumn("number", preprocess.draw(7, F.col("word")) % F.lit(max(e.count(), 1)))
+    vecs = known.join(preprocess.numbered(e, F.col("sample_id") % 64, ["sample_id"], "number"), "number").select("word", F.col("value").alias("vec"))
+    return _digest(encoders.word_vector_mean(q, vecs, 64), "sample_id")
 
 
 @_query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS body, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^www\.', '') AS domain FROM pages""")
@@ -647,17 +702,27 @@ def late_fusion(spark, d):
     return t.select(F.col("doc_id").alias("sample_id"), F.round(F.get(p, F.lit(0)), 6).alias("p0"), F.round(F.get(p, F.lit(1)), 6).alias("p1"))
 
 
-@_query()
+@_query("""SELECT c_custkey AS sample_id, c_mktsegment AS label, CASE WHEN percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY md5('42:' || c_custkey), c_custkey) < 0.2 THEN 'test' ELSE 'train' END AS split FROM customer""")
 def stratified_split(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("label"))
-    return preprocess.stratified_split(c, "label").groupBy("label", "split").agg(F.count("*").alias("n"))
+    return preprocess.stratified_split(c, "label")
+
+
+def _impute_sql(columns: tuple[str, ...], target: str) -> str:
+    """The nearest rows that have ``target``, by the distance over the columns that both have."""
+    both = [f"(q.{c} IS NOT NULL AND c.{c} IS NOT NULL)" for c in columns]
+    total = " + ".join(f"coalesce((q.{c} - c.{c}) * (q.{c} - c.{c}), 0)" for c in columns)
+    used = " + ".join(f"{b}::INT" for b in both)
+    return f"""x_{target} AS (SELECT q.id, c.id AS nb, c.{target} AS v, sqrt(({total}) * {len(columns)} / ({used})) AS d FROM i q JOIN i c ON q.{target} IS NULL AND c.{target} IS NOT NULL WHERE ({used}) > 0),
+f_{target} AS (SELECT id, avg(v) AS v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM x_{target}) WHERE r <= 5 GROUP BY 1)"""
 
 
-@_query()
+@_query(f"""WITH {_CUST}, i AS (SELECT vec_id AS id, CASE WHEN balance >= 0 THEN balance END AS balance, n_orders, total FROM cu), {_impute_sql(("balance", "n_orders", "total"), "balance")}
+SELECT i.id AS sample_id, round(coalesce(i.balance, f_balance.v, (SELECT avg(balance) FROM i)), 6) AS balance, n_orders, round(total, 8) AS total FROM i LEFT JOIN f_balance ON f_balance.id = i.id""")
 def knn_impute(spark, d):
     """Balances that are below zero are taken for missing."""
     c = customers(spark, d).select("sample_id", F.when(F.col("balance") >= 0, F.col("balance")).alias("balance"), "n_orders", "total")
-    return _rounded(preprocess.knn_impute(c, ["balance", "n_orders", "total"], 5), "balance", "total")
+    return _rounded(_rounded(preprocess.knn_impute(c, ["balance", "n_orders", "total"], 5), "balance"), "total", digits=8)
 
 
 # ---------------------------------------------------------------- baselines
@@ -691,39 +756,87 @@ def _swapped(spark, d, per_channel):
     return out.select("query_id", "cand_rank", F.round(F.aggregate(F.flatten("value"), F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
 
-@_query()
+def _swap_sql(per_channel: bool) -> str:
+    """Parts in the order of their gaps; running sums of what a swap changes tell when the class flips."""
+    part = "ch, seg" if per_channel else "seg"
+    return f"""WITH {_SERIES}, {_TS_DEPENDENT}, {_ranked("dd", 3)}, sg AS (SELECT unnest(range(0, 6)) AS seg, days FROM fr),
+p AS (SELECT n.query_id, n.rank, q.ch, seg, q.n AS a, c.n AS b, dense_rank() OVER (ORDER BY q.ch) - 1 AS chn FROM n JOIN gr q ON q.id = n.query_id JOIN gr c ON c.id = n.train_id AND c.ch = q.ch AND c.t = q.t
+ JOIN sg ON q.t >= floor(seg * days / 6) AND q.t < floor((seg + 1) * days / 6)),
+g AS (SELECT query_id, rank, {part}, {"any_value(chn) * 6 + seg" if per_channel else "seg"} AS i, round(avg(abs(a - b)), 9) AS gap, sum(b - a) FILTER (chn = 0) AS first, sum(b - a) AS change FROM p GROUP BY query_id, rank, {part}),
+s AS (SELECT query_id, rank, sum(a) FILTER (chn = 0) AS first, sum(a) AS total, max(chn) + 1 AS channels FROM p GROUP BY ALL),
+w AS (SELECT g.query_id, g.rank, row_number() OVER o AS step, s.first + coalesce(sum(g.first) OVER o, 0) AS first, s.total + sum(g.change) OVER o AS total, channels FROM g JOIN s ON s.query_id = g.query_id AND s.rank = g.rank WINDOW o AS (PARTITION BY g.query_id, g.rank ORDER BY gap DESC, i DESC ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT query_id, rank, arg_min(total, step) AS total FROM w WHERE first >= total / channels GROUP BY ALL)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank))::INT AS cand_rank, round(total, 6) AS total FROM h"""
+
+
+@_query(_swap_sql(False))
 def segment_swap_windows(spark, d):
-    """Native guide; tested against a plain loop."""
+    """Native guide."""
     return _swapped(spark, d, False)
 
 
-@_query()
+@_query(_swap_sql(True))
 def segment_swap_channels(spark, d):
+    """CoMTE."""
     return _swapped(spark, d, True)
 
 
-@_query()
-def random_copy(spark, d):
-    """Copies that take over random dimensions of a bounded sample of target rows."""
-    import numpy as np
+_SUM = "list_sum({v}[1:32]) - list_sum({v}[33:64])"
+
 
+@_query(f"""WITH {_E}, q AS (SELECT * FROM e WHERE label <> {TARGET}), ref AS (SELECT row_number() OVER (ORDER BY vec_id % 64, vec_id) - 1 AS number, v AS r FROM e WHERE label = {TARGET}),
+dr AS (SELECT vec_id AS id, v, s, r FROM (SELECT *, unnest(range(0, 20)) AS s FROM q) JOIN ref ON number = ('0x' || substr(md5('42:' || vec_id || ':' || s), 1, 8))::BIGINT % (SELECT count(*) FROM ref)),
+x AS (SELECT id, s, v, r, unnest(range(0, 64)) AS dim FROM dr),
+w AS (SELECT id, s, v, r, dim, row_number() OVER o AS step, {_SUM.format(v="v")} + sum(CASE WHEN dim < 32 THEN 1 ELSE -1 END * (r[dim + 1] - v[dim + 1])) OVER o AS margin, list_sum(v) + sum(r[dim + 1] - v[dim + 1]) OVER o AS total, max((dim = 6)::INT) OVER o AS seventh FROM x
+ WINDOW o AS (PARTITION BY id, s ORDER BY md5('42:' || id || ':' || s || ':' || dim) ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT id, total, CASE WHEN seventh = 1 THEN r[7] ELSE v[7] END AS seven, row_number() OVER (PARTITION BY id ORDER BY step, s) AS cand_rank FROM w WHERE margin > 0)
+SELECT id AS query_id, cand_rank::INT AS cand_rank, round(total, 6) AS value_sum, round(seven, 6) AS value_7 FROM h WHERE cand_rank <= 3""")
+def random_copy(spark, d):
+    """Copies that take over random dimensions of target rows."""
     from ..operators import baselines
 
     e = embeddings(spark, d)
-    refs = e.where(F.col("label") == TARGET).orderBy(F.xxhash64("sample_id"), "sample_id").limit(1000).select("value").collect()
-    out = baselines.random_copy(e.where(F.col("label") != TARGET), np.array([r.value for r in refs]).reshape(len(refs), -1), heavy_first, 0, 3, 20)
+    out = baselines.random_copy(e.where(F.col("label") != TARGET), e.where(F.col("label") == TARGET), heavy_first, 0, 3, 20)
     return _digest(out, "query_id", "cand_rank")
 
 
-@_query()
+@_query(f"""WITH {_E}, lim AS (SELECT list(w ORDER BY dim) AS w FROM (SELECT dim, CASE WHEN max(x) > min(x) THEN max(x) - min(x) ELSE 1 END AS w FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM e WHERE label = {TARGET}) GROUP BY 1)),
+nn AS (SELECT * FROM (SELECT q.vec_id AS id, q.v, c.v AS r, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.v, c.v, lim.w), lambda z: abs(z[2] - z[1]) / z[3])), 9), c.vec_id) AS rank FROM e q JOIN e c ON q.label <> {TARGET} AND c.label = {TARGET} CROSS JOIN lim) WHERE rank = 1),
+x AS (SELECT id, v, r, unnest(range(0, 64)) AS dim FROM nn), c AS (SELECT *, CASE WHEN dim < 32 THEN 1 ELSE -1 END * (r[dim + 1] - v[dim + 1]) AS gain FROM x WHERE r[dim + 1] <> v[dim + 1]),
+w AS (SELECT *, {_SUM.format(v="v")} + coalesce(sum(gain) OVER (PARTITION BY id ORDER BY dim ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS margin, max(gain) OVER (PARTITION BY id ORDER BY dim ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS most FROM c),
+f AS (SELECT id, min(dim) AS upto, arg_min(margin, dim) AS margin FROM w WHERE margin + most > 0 GROUP BY 1),
+g AS (SELECT f.id, upto, min(dim) AS pick FROM f JOIN c ON c.id = f.id AND c.dim >= upto AND f.margin + gain > 0 GROUP BY ALL),
+o AS (SELECT g.id, list_transform(range(1, 65), lambda i: CASE WHEN i - 1 < upto OR i - 1 = pick THEN r[i] ELSE v[i] END) AS z FROM g JOIN nn ON nn.id = g.id)
+SELECT id AS query_id, 1::INT AS cand_rank, round(list_sum(z), 6) AS value_sum, round(z[7], 6) AS value_7 FROM o""")
 def nearest_instance(spark, d):
+    """NICE over heterogeneous distances; here all features are numbers."""
+    import numpy as np
+
     from ..operators import baselines
 
     e = embeddings(spark, d)
-    return _digest(baselines.nearest_instance(_near(spark, d, 1, "euclidean"), e, e, heavy_first, 0), "query_id", "cand_rank")
-
-
-@_query()
+    target = e.where(F.col("label") == TARGET)
+    limits = target.select(F.posexplode("value").alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("dim").collect()  # one row per dimension
+    f = baselines.heom_kernel(np.array([r.low for r in limits]), np.array([r.high for r in limits]), np.zeros(len(limits), bool))
+    near = knn(e.where(F.col("label") != TARGET), target, 1, f, digits=9)
+    return _digest(baselines.nearest_instance(near, e, e, heavy_first, 0), "query_id", "cand_rank")
+
+
+_NOISE = "('0x' || substr(md5('42:' || id || ':' || k || ':' || i || ':{n}'), 1, 8))::BIGINT"
+_ADAM = """list_reduce(list_transform(range(1, 101), lambda t: [t::DOUBLE]), lambda s, e: {step}, list_concat(x0, list_transform(range(0, 128), lambda i: 0.0::DOUBLE)))"""
+_SIDE = "CASE WHEN i <= 32 THEN 1 ELSE -1 END"
+#: Of the state's 192 numbers the first 64 are the point, then come the two moments; g is the gradient.
+_GRADIENT = f"({_SIDE}) * -2 / (1 + exp(2 * ({_SUM.format(v='s')}))) + 0.2 * (s[i] - v[i]) / 64"
+_MOVED = f"list_transform(range(1, 65), lambda i: [0.9 * s[64 + i] + 0.1 * ({_GRADIENT}), 0.999 * s[128 + i] + 0.001 * ({_GRADIENT}) * ({_GRADIENT})])"
+_ADAM_STEP = f"""list_concat(
+ list_transform(list_zip({_MOVED}, s[1:64]), lambda z: z[2] - 0.05 * (z[1][1] / (1 - power(0.9, e[1]))) / (sqrt(z[1][2] / (1 - power(0.999, e[1]))) + 1e-8)),
+ list_transform({_MOVED}, lambda z: z[1]), list_transform({_MOVED}, lambda z: z[2]))"""
+
+
+@_query(f"""WITH {_E}, q AS (SELECT vec_id AS id, v, unnest(range(0, 2)) AS k FROM e WHERE label <> {TARGET}),
+n AS (SELECT id, v, k, list_transform(range(0, 64), lambda i: v[i + 1] + 0.01 * (k + 1) * sqrt(-2 * ln(({_NOISE.format(n=0)} + 0.5) / 4294967296)) * cos(2 * pi() * (({_NOISE.format(n=1)} + 0.5) / 4294967296))) AS x0 FROM q),
+r AS (SELECT id, k, {_ADAM.format(step=_ADAM_STEP)} AS s FROM n)
+SELECT id AS query_id, (row_number() OVER (PARTITION BY id ORDER BY k))::INT AS cand_rank, round(list_sum(s[1:64]), 6) AS value_sum, round(s[7], 6) AS value_7 FROM r WHERE {_SUM.format(v="s")} >= 0""")
 def gradient_restarts(spark, d):
     """Two noisy restarts against a fixed linear model."""
     import numpy as np
@@ -731,8 +844,7 @@ def gradient_restarts(spark, d):
     from ..operators import baselines
 
     w = np.stack([np.where(np.arange(64) < 32, 1.0, -1.0), np.where(np.arange(64) < 32, -1.0, 1.0)], 1)
-    out = baselines.gradient_logistic(embeddings(spark, d).where(F.col("label") != TARGET), w, np.zeros(2), 0, 2, 100)
-    return out.groupBy("query_id").agg(F.count("*").alias("n"))
+    return _digest(baselines.gradient_logistic(embeddings(spark, d).where(F.col("label") != TARGET), w, np.zeros(2), 0, 2, 100), "query_id", "cand_rank")
 
 
 # ---------------------------------------------------------------- runs
@@ -806,3 +918,68 @@ def library_generators(spark, d):
     lib = g.CounterfactualLibrary({"low": low, "picture": g.ImageNN(k=3), "consensus": g.MCR([low, high], 3, 20), "synthesis": g.MPS([low, high], 3, 20)})
     queries = ds.part(ds.samples, "test").where(F.col("label") != TARGET)
     return lib.run(ds, queries, TARGET).groupBy("generator", "cand_rank").agg(F.count("*").alias("n"), F.sum("anchor_id").alias("ids"))
+
+
+@_query(f"""WITH {_HALVES}, {_knn_cte("na", "euclidean", 40, "a")}, {_knn_cte("nb", "euclidean", 40, "b")}, {_knn_cte("np", "manhattan", 40, "a")},
+j AS (SELECT na.query_id, na.train_id, na.distance + nb.distance AS distance FROM na JOIN nb USING (query_id, train_id) WHERE na.rank <= 5 AND nb.rank <= 5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id) AS rank FROM j)
+SELECT 'consensus' AS generator, query_id, rank::INT AS cand_rank, train_id AS anchor_id FROM r WHERE rank <= 3 UNION ALL SELECT 'low', query_id, rank, train_id FROM na WHERE rank <= 40 UNION ALL SELECT 'high', query_id, rank, train_id FROM nb
+UNION ALL SELECT 'city', query_id, rank, train_id FROM np WHERE rank <= 2""")
+def library_mixed_pools(spark, d):
+    """A consensus of small pools beside generators that ask for many more neighbours in the same spaces."""
+    from . import generators as g
+
+    ds = embedding_dataset(spark, d)
+    lib = g.CounterfactualLibrary({"consensus": g.MCR([g.TabularNN("low", k=5), g.TabularNN("high", k=5)], 3, 5), "low": g.TabularNN("low", k=40), "high": g.TabularNN("high", k=40), "city": g.TabularNN("low", k=2, distance="manhattan")})
+    queries = ds.part(ds.samples, "test").where(F.col("label") != TARGET)
+    return lib.run(ds, queries, TARGET).select("generator", "query_id", "cand_rank", "anchor_id")
+
+
+def mixed_dataset(spark, d):
+    """The embeddings as a dataset of all four kinds; the text tells the signs of eight dimensions. Also the text's vectors."""
+    from ..sources.dataset import Dataset
+
+    e = embeddings(spark, d)
+    both = lambda df: df.withColumn("split", F.lit("train")).unionByName(df.withColumn("split", F.lit("test")))
+    part = lambda a, n: both(embeddings(spark, d, a, n).select("sample_id", "value"))
+    waves = part(17, 16).withColumn("value", F.array(F.slice("value", 1, 8), F.slice("value", 9, 8)))
+    words = part(33, 8).select("split", "sample_id", F.array_join(F.transform("value", lambda x: F.when(x > 0, "up").otherwise("down")), " ").alias("text"))
+    ds = Dataset(both(e.select("sample_id", "label", F.col("label").alias("pred"))), tabular={"low": part(1, 16)}, series={"waves": waves}, texts={"words": words}, images={"picture": part(49, 16)})
+    return ds, {"words": part(33, 16)}
+
+
+def _percentile_sql(name: str, dims: str, candidate: str) -> str:
+    """Percentile ranks of outlier factors against the target class, for candidates (``id``, ``v``); rows (id, p)."""
+    gap = "sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+    k = f"(SELECT greatest(2, least(20, count(*) - 1)) FROM ref_{name})"
+    near = lambda out, q, where: f"{out}_{name} AS (SELECT * FROM (SELECT q.id, c.id AS nb, {gap} AS d, row_number() OVER (PARTITION BY q.id ORDER BY {gap}, c.id) AS r FROM {q} q JOIN ref_{name} c ON {where}) WHERE r <= {k})"
+    return f"""ref_{name} AS (SELECT 'r' || vec_id AS id, {dims} AS v FROM e WHERE label = {TARGET}), all_{name} AS (SELECT * FROM ref_{name} UNION ALL {candidate}),
+{near("own", f"ref_{name}", "q.id <> c.id")}, kd_{name} AS (SELECT id, max(d) AS kd FROM own_{name} GROUP BY 1),
+lr_{name} AS (SELECT o.id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM own_{name} o JOIN kd_{name} k ON k.id = nb GROUP BY 1), {near("near", f"all_{name}", "true")},
+lof_{name} AS (SELECT n.id, round(avg(lrd) * (avg(greatest(d, kd)) + 1e-10), 9) AS lof FROM near_{name} n JOIN kd_{name} k ON k.id = nb JOIN lr_{name} l ON l.id = nb GROUP BY 1),
+p_{name} AS (SELECT x.id, avg((y.lof <= x.lof)::INT) AS p FROM lof_{name} x, lof_{name} y WHERE x.id NOT LIKE 'r%' AND y.id LIKE 'r%' GROUP BY 1)"""
+
+
+_MAE = "list_avg(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2])))"
+_CHANGED = "list_avg(list_transform(list_zip({a}, {b}), lambda z: (z[1] <> z[2])::INT))"
+_SIGNS = "array_to_string(list_transform({v}[33:40], lambda x: CASE WHEN x > 0 THEN 'u' ELSE 'd' END), '')"
+
+
+@_query(f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS low FROM embeddings), {_knn_cte("n", "euclidean", 3, "low")},
+i AS (SELECT query_id, rank AS cand_rank, train_id, max(rank) OVER (PARTITION BY query_id) AS k FROM n),
+x AS (SELECT i.query_id, cand_rank, unnest(e.v[1:32]) AS x, unnest(range(1, 33)) AS dim FROM i JOIN n ON n.query_id = i.query_id AND n.rank <= least(2 * cand_rank - 1, k) JOIN e ON vec_id = n.train_id),
+m AS (SELECT query_id, cand_rank, list(m ORDER BY dim) AS m FROM (SELECT query_id, cand_rank, dim, median(x) AS m FROM x GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT 'c' || i.query_id || ':' || i.cand_rank AS id, i.query_id, i.cand_rank, q.v AS q, m.m, a.v AS a FROM i JOIN m USING (query_id, cand_rank) JOIN e q ON q.vec_id = i.query_id JOIN e a ON a.vec_id = i.train_id),
+{_percentile_sql("tab", "v[1:16]", "SELECT id, m[1:16] FROM c")}, {_percentile_sql("ser", "v[17:32]", "SELECT id, m[17:32] FROM c")},
+{_percentile_sql("txt", "v[33:48]", "SELECT id, a[33:48] FROM c")}, {_percentile_sql("img", "v[49:64]", "SELECT id, a[49:64] FROM c")}
+SELECT 'low' AS generator, query_id, cand_rank, 0.0::DOUBLE AS outcome,
+round(({_MAE.format(a="q[1:16]", b="m[1:16]")} + {_MAE.format(a="q[17:32]", b="m[17:32]")} + least(greatest((1 - list_inner_product(q[33:48], a[33:48])) / 2, 0), 1) + least(greatest((1 - list_cosine_similarity(q[49:64], a[49:64])) / 2, 0), 1)) / 4, 6) AS proximity,
+round(({_CHANGED.format(a="q[1:16]", b="m[1:16]")} + {_CHANGED.format(a="q[17:32]", b="m[17:32]")} + levenshtein({_SIGNS.format(v="q")}, {_SIGNS.format(v="a")}) / 8 + {_CHANGED.format(a="q[49:64]", b="a[49:64]")}) / 4, 6) AS sparsity,
+round((t.p + s.p + x.p + g.p) / 4, 6) AS plausibility FROM c JOIN p_tab t USING (id) JOIN p_ser s USING (id) JOIN p_txt x USING (id) JOIN p_img g USING (id)""")
+def objectives_four_modalities(spark, d):
+    """Candidates scored over a tabular, a series, a text and an image branch, plausibility included."""
+    from . import generators as g, sweep
+
+    ds, text_vectors = mixed_dataset(spark, d)
+    queries = ds.part(ds.samples, "test").where(F.col("label") != TARGET)
+    found = g.CounterfactualLibrary({"low": g.TabularNN("low", k=3)}).run(ds, queries, TARGET)
+    return _rounded(sweep.score(ds, found, TARGET, vectors=text_vectors), "proximity", "sparsity", "plausibility")

@@ -17,6 +17,7 @@ from ..functions import series as series_functions
 from ..functions import text as text_functions
 from ..functions import vectors
 from ..operators import combine
+from ..operators.encoders import encode_distinct, precomputed
 from ..operators.search import knn
 from ..sources.dataset import Dataset
 
@@ -40,8 +41,8 @@ def _materialised(ds: Dataset, near: DataFrame, step: str = "odd", anchor: str =
                          (F.create_map(*[x for b in anchors for x in (F.lit(b), F.col("anchor_id"))]) if anchors else F.expr("CAST(map() AS map<string,bigint>)")).alias("anchors"))
 
 
-def _search(ds: Dataset, df: DataFrame, queries: DataFrame, target: int, k: int, metric, kind: str) -> DataFrame:
-    return knn(ds.queries(df, queries), ds.candidates(df, target), k, metric, kind)
+def _search(ds: Dataset, df: DataFrame, queries: DataFrame, target: int, k: int, metric, kind: str, **options) -> DataFrame:
+    return knn(ds.queries(df, queries), ds.candidates(df, target), k, metric, kind, **options)
 
 
 class Generator:
@@ -87,11 +88,8 @@ class TimeSeriesNN(Generator):
         return "series", self.ts_name, self.distance, self.window
 
     def search(self, ds, queries, target, k):
-        f = self.distance
-        if not callable(f):
-            name, window = series_functions.metric_name(f), self.window
-            f = series_functions.KERNELS[name] if name in ("euclidean", "dtw_dependent") else lambda q, c: series_functions.KERNELS[name](q, c, window)
-        return _search(ds, ds.branch("series", self.ts_name), queries, target, k, f, "series")
+        windowed = not callable(self.distance) and series_functions.metric_name(self.distance) in ("dtw", "lcss")
+        return _search(ds, ds.branch("series", self.ts_name), queries, target, k, self.distance, "series", **({"window": self.window} if windowed else {}))
 
     def materialise(self, ds, near):
         return _materialised(ds, near, only_series=self.ts_name or next(iter(ds.series)))
@@ -117,7 +115,7 @@ class TextNN(Generator):
     transform: Callable | None = None
 
     def key(self, ds):
-        return "text", self.text_name, self.encoder, self.distance
+        return "text", self.text_name, self.encoder, self.distance, id(self.vectors), id(self.transform)
 
     def search(self, ds, queries, target, k):
         df = ds.branch("text", self.text_name)
@@ -128,8 +126,6 @@ class TextNN(Generator):
         if self.vectors is not None:
             return _search(ds, self.vectors, queries, target, k, self.distance, "vector")
         if callable(self.encoder):
-            from ..operators.encoders import encode_distinct
-
             return _search(ds, encode_distinct(df.withColumn("text", F.coalesce("text", F.lit(""))), "text", self.encoder), queries, target, k, self.distance, "vector")
         if text_functions.encoder_name(self.encoder) == "raw":  # a vector metric can't compare raw text
             return _search(ds, df.withColumn("value", text_functions.tokens(F.col("text"))), queries, target, k, "rouge_l", "text")
@@ -138,15 +134,26 @@ class TextNN(Generator):
 
 @dataclass
 class ImageNN(Generator):
+    """Images by an ``encoder`` function of their pixels (``px``), else by precomputed vectors, given or in the branch."""
+
     image_name: str | None = None
     k: int = 20
     distance: str | Callable = "cosine"
+    encoder: Callable | None = None
+    vectors: DataFrame | None = None
 
     def key(self, ds):
-        return "image", self.image_name, self.distance
+        return "image", self.image_name, self.distance, self.encoder, id(self.vectors)
 
     def search(self, ds, queries, target, k):
-        return _search(ds, ds.branch("image", self.image_name), queries, target, k, self.distance, "vector")
+        rows = ds.branch("image", self.image_name)
+        if self.encoder is not None:
+            rows = encode_distinct(rows, "px", self.encoder)
+        elif self.vectors is not None:
+            rows = self.vectors
+        elif not precomputed(rows):
+            raise ValueError("images without vectors need an encoder")
+        return _search(ds, rows, queries, target, k, self.distance, "vector")
 
 
 @dataclass
@@ -158,7 +165,7 @@ class EarlyFusionNN(Generator):
     text_vectors: list[DataFrame] = field(default_factory=list)
 
     def key(self, ds):
-        return "early", self.distance
+        return "early", self.distance, *map(id, self.text_vectors)
 
     def fused(self, ds: Dataset) -> DataFrame:
         parts = [*ds.tabular.values(), *(s.withColumn("value", series_functions.time_mean(F.col("value"))) for s in ds.series.values()), *self.text_vectors, *ds.images.values()]
@@ -199,8 +206,9 @@ class MultimodalConsensusRetrieval(Generator):
         return "consensus", *(p.key(ds) for p in self.parts), self.pool
 
     def lists(self, ds, queries, target, k, found=None) -> list[DataFrame]:
-        pool = max(self.pool, k)
-        return [(found or {}).get(p.key(ds)) or p.search(ds, queries, target, pool) for p in self.parts]
+        pool, found = max(self.pool, k), found or {}
+        # A shared search may hold more neighbours than this generator's pool.
+        return [found[key].where(F.col("rank") <= pool) if (key := p.key(ds)) in found else p.search(ds, queries, target, pool) for p in self.parts]
 
     def run(self, ds, queries, target, k=None, found=None):
         k = k or self.k

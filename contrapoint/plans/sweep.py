@@ -10,8 +10,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores as score_functions
 from ..operators import analytics
+from ..operators.objectives import KINDS, Modality, assemble
 from ..sources import tables
 from ..sources.dataset import Dataset
 from .generators import CounterfactualLibrary, Generator
@@ -36,14 +36,38 @@ def query_count(ds: Dataset, limit: int | None = None) -> DataFrame:
     return rows.limit(limit) if limit is not None else rows
 
 
-def score(ds: Dataset, candidates: DataFrame, target: int, branch: str | None = None, predictions: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Tabular objectives of candidates against their factuals; outcome by the anchor's prediction if there is one."""
-    name = branch or ds.primaries["tabular"]
-    factual = ds.part(ds.tabular[name], "test").select(F.col("sample_id").alias("query_id"), F.col("value").alias("factual"))
-    j = candidates.join(factual, "query_id").withColumn("candidate", F.col("num")[name])
+def modalities(ds: Dataset, candidates: DataFrame, target: int, keys: list[str], names: list[str] | None = None, vectors: dict[str, DataFrame] | None = None, weights: dict[str, float] | None = None) -> list[Modality]:
+    """The branches that candidates are scored on: all tabular and series ones, and the texts and images with ``vectors``.
+
+    ``vectors`` (split, sample_id, value) hold a text's embeddings; images are vectors themselves. References for
+    plausibility are the target class's training rows. ``names`` picks branches.
+    """
+    out, vectors, weights = [], vectors or {}, weights or {}
+    test = lambda df, *c: ds.part(df, "test").select(F.col("sample_id").alias("query_id"), *c)
+    for kind in KINDS:
+        for name, rows in ds.store(kind).items():
+            if (names is not None and name not in names) or (kind == "text" and name not in vectors):
+                continue
+            if kind in ("tabular", "series"):
+                store = F.col("num" if kind == "tabular" else "ser")
+                cand, factual, reference = candidates.where(F.map_contains_key(store, F.lit(name))).select(*keys, store[name].alias("value")), test(rows, "value"), ds.candidates(rows, target)
+            else:
+                values = vectors.get(name, rows)
+                column = ["text"] if kind == "text" else []
+                both = lambda split, values=values, rows=rows, column=column: ds.part(values, split).join(ds.part(rows, split).select("sample_id", *column), "sample_id") if column else ds.part(values, split)
+                anchored = candidates.where(F.map_contains_key("anchors", F.lit(name))).withColumn("_anchor", F.col("anchors")[name])
+                cand = anchored.join(both("train").select(F.col("sample_id").alias("_anchor"), "value", *column), "_anchor", "left").select(*keys, "value", *column)
+                factual, reference = both("test").select(F.col("sample_id").alias("query_id"), "value", *column), ds.candidates(values, target)
+            out.append(Modality(name, kind, cand, factual, reference, weights.get(name, 1.0)))
+    return out
+
+
+def score(ds: Dataset, candidates: DataFrame, target: int, branch: str | None = None, predictions: DataFrame | None = None, extra: tuple[str, ...] = (), vectors: dict[str, DataFrame] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """All objectives of candidates against their factuals over all branches, or one; outcome by the anchor's prediction if there is one."""
+    keys, candidates = [*extra, "generator", "query_id", "cand_rank"], candidates.cache()  # every branch reads them
     pred = (predictions if predictions is not None else ds.part(ds.samples, "train")).select(F.col("sample_id").alias("anchor_id"), "pred")
-    j = j.join(pred, "anchor_id", "left")
-    return j.select(*extra, "generator", "query_id", "cand_rank", score_functions.outcome(F.col("pred"), F.lit(target)).alias("outcome"), score_functions.tabular_proximity(F.col("factual"), F.col("candidate")).alias("proximity"), score_functions.tabular_sparsity(F.col("factual"), F.col("candidate")).alias("sparsity"))
+    said = candidates.select(*keys, "anchor_id").join(pred, "anchor_id", "left").select(*keys, "pred")
+    return assemble(modalities(ds, candidates, target, keys, [branch] if branch else None, vectors, weights), keys, target, said)
 
 
 def run(spark: SparkSession, ds: Dataset, combos: list[dict], build: Callable[[dict], dict[str, Generator]], target: int, queries: DataFrame, out: str, run_id: str, k: int = 20, keep_candidates: bool = False) -> DataFrame:
@@ -83,10 +107,10 @@ def rescore(spark: SparkSession, ds: Dataset, target: int, out: str, version: st
 def objectives(spark: SparkSession, out: str) -> DataFrame:
     """Means by configuration and generator of all scores under ``out``."""
     rows = spark.read.option("basePath", f"{out}/scores").parquet(f"{out}/scores")
-    return analytics.means(rows, ["combo_id", "generator"], ("outcome", "proximity", "sparsity"))
+    return analytics.means(rows, ["combo_id", "generator"])
 
 
 def k_ablation(scores: DataFrame, ks: list[int]) -> DataFrame:
     """Scored once, sliced at every k: the mean over configurations of their means."""
-    per = analytics.k_curve(scores, ks, ("combo_id", "generator"), ("outcome", "proximity", "sparsity"))
-    return per.groupBy("k", "generator").agg(*[F.avg(c).alias(c) for c in ("outcome", "proximity", "sparsity")], F.sum("n").alias("n"))
+    per = analytics.k_curve(scores, ks, ("combo_id", "generator"))
+    return per.groupBy("k", "generator").agg(*[F.avg(c).alias(c) for c in analytics.OBJECTIVES], F.sum("n").alias("n"))

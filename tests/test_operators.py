@@ -218,7 +218,9 @@ def test_segment_swap_by_hand():
 
 def test_random_copy_and_gradient_reach_the_target(spark):
     q = spark.createDataFrame([(1, [0.0, 0.0, 1.0, 1.0])], "sample_id long, value array<double>")
-    rows = baselines.random_copy(q, np.array([[3.0, 3, 0, 0]]), catalog.heavy_first, 0, 2, 5).collect()
+    refs = spark.createDataFrame([(5, [3.0, 3.0, 0.0, 0.0])], "sample_id long, value array<double>")
+    rows = baselines.random_copy(q, refs, catalog.heavy_first, 0, 2, 5).collect()
+    assert baselines.random_copy(q, refs.limit(0), catalog.heavy_first, 0, 2, 5).count() == 0
     assert [r.cand_rank for r in rows] == [1, 2] and all(catalog.heavy_first([r.value])[0].argmax() == 0 for r in rows)
     w = np.array([[1.0, -1], [1, -1], [-1, 1], [-1, 1]])
     rows = baselines.gradient_logistic(q, w, np.zeros(2), 0, 2).collect()

@@ -32,7 +32,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.score(_table(spark, sf_dir, "documents"), lattice_lm.read_pieces(PIECES), held_out(F.col("doc_id"), 10, 0))
+    return lattice_lm.score(_table(spark, sf_dir, "documents"), lattice_lm.read_pieces(PIECES), held_out(F.col("doc_id"), 10, 0), F.col("lang"))
 
 
 def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

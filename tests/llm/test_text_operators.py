@@ -105,7 +105,7 @@ def _tokens(t):
 
 def test_lattice_counts_and_marginals(docs, empty):
     pieces = lattice_lm.read_pieces(queries.PIECES)
-    lattice = lattice_lm.Lattice(pieces)
+    lattice = lattice_lm.Vocabulary(pieces)
 
     def brute(word):
         word = lattice_lm.START + word
@@ -119,8 +119,8 @@ def test_lattice_counts_and_marginals(docs, empty):
 
     words = ["the", "x", "theaea", "漢字a", "🎉", "unción%%%", "a" * 200]
     assert np.allclose(lattice.marginals(words), [brute(w) for w in words])
-    uses = lattice.expected(["the"])
-    assert sum(uses[i] * len(p) for i, p in enumerate(lattice.pieces) if uses[i]) == pytest.approx(4)  # every character is covered once
+    uses = lattice.expected(["the"], np.array([3.0]))
+    assert sum(uses[i] * len(p) for i, p in enumerate(lattice.pieces) if uses[i]) == pytest.approx(12)  # every character is covered, as often as the word occurs
     got = lattice_lm.score(docs, pieces, held_out(F.col("doc_id"), 10, 0)).collect()
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     c = Counter(w for i, t in texts(docs) if not out(i) for w in _tokens(t))
@@ -133,6 +133,123 @@ def test_lattice_counts_and_marginals(docs, empty):
     assert lattice_lm.score(empty, pieces, held_out(F.col("doc_id"), 10, 0)).count() == 0
 
 
+def _segmentations(word, pieces):
+    """All ways to write a word in pieces; a character without a piece is one of its own."""
+    if not word:
+        yield ()
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces or n == 1:
+            for rest in _segmentations(word[n:], pieces):
+                yield (word[:n], *rest)
+
+
+def _plain_model(rows, pieces, passes=lattice_lm.PASSES):
+    """The model by enumeration: rows (class, words). Gives a function of (class, word), and the classes' log chances."""
+    known = {p for p in pieces if not p.startswith("<0x")}
+    spell = lambda p: 1.0 if p in known else math.prod(math.exp(weights[f"<0x{b:02X}>"]) for b in p.encode())
+    weights, tokens = dict(pieces), Counter((z, w) for z, words in rows for w in words)
+    ways = lambda w: list(_segmentations(lattice_lm.START + w, known))
+    plain = lambda p: math.exp(weights[p]) if p in known else spell(p)
+
+    def chances(w):
+        each = [(way, math.prod(map(plain, way))) for way in ways(w)]
+        total = sum(c for _, c in each)
+        return [(way, c / total) for way, c in each]
+
+    for _ in range(passes):
+        uses = Counter()
+        for (_, w), n in tokens.items():
+            for way, c in chances(w):
+                for p in way:
+                    if p in known:
+                        uses[p] += n * c
+        total = sum(uses.values()) + lattice_lm.PRIOR
+        weights = {p: math.log((uses[p] + lattice_lm.PRIOR * math.exp(x)) / total) for p, x in weights.items()}
+    counts = Counter()
+    for (z, w), n in tokens.items():
+        pairs = Counter()
+        for way, c in chances(w):
+            counts[z, "^", way[0] if way[0] in known else None] += n * c
+            counts[z, way[-1] if way[-1] in known else None, "$"] += n * c
+            at = 0
+            for a, b in zip(way, way[1:], strict=False):
+                at += len(a)
+                pairs[at, a, b] += c
+        for (_, a, b), c in pairs.items():
+            if c >= lattice_lm.LEAST and b in known:
+                counts[z, a if a in known else None, b] += n * c
+    classes, k = sorted({z for z, _ in rows}), lattice_lm.BACKOFF
+    following, ending, of_class, every = Counter(), 0.0, Counter(), Counter()
+    for (z, a, b), n in counts.items():
+        of_class[z, a, b] += n
+        every[a, b] += n
+        following[z, a] += n
+        following[None, a] += n
+        ending += n * (b == "$")
+    share = ending / sum(n for (z, a), n in following.items() if z is None and a != "^")
+
+    def after(z, a, b):
+        one = lambda p: p if p in known else None
+        own = share if b == "$" else (plain(b) if b in known else 1.0) * (1.0 if a == "^" else 1 - share)
+        key_a, key_b = (a if a == "^" else one(a)), (b if b == "$" else one(b))
+        if key_b is None and a != "^":
+            n, m = 0.0, 0.0
+        else:
+            n, m = every[key_a, key_b], of_class[z, key_a, key_b]
+        base = (n + k * own) / (following[None, key_a] + k)
+        return (m + k * base) / (following[z, key_a] + k) * (spell(b) if b != "$" and b not in known else 1.0)
+
+    word = lambda z, w: sum(math.prod(after(z, a, b) for a, b in zip(("^", *way), (*way, "$"), strict=True)) for way in ways(w))
+    texts, words = Counter(z for z, _ in rows), {z: sum(len(ws) for x, ws in rows if x == z) for z in classes}
+
+    def text(ws):
+        total = sum((texts[z] + 1) / (len(rows) + len(classes)) * (texts[z] + 1) / (texts[z] + words[z] + 2) * math.prod(word(z, w) * (words[z] + 1) / (texts[z] + words[z] + 2) for w in ws) for z in classes)
+        return math.log10(total)
+
+    return text
+
+
+def test_lattice_scores_equal_enumeration(spark):
+    rng = np.random.default_rng(6)
+    raw = {p: float(x) for p, x in zip(["▁", "▁a", "▁ab", "a", "b", "c", "ab", "bc", "abc", "▁c", "é", *(f"<0x{i:02X}>" for i in range(256))], [*(-rng.random(11) * 3), *[-9.0] * 256], strict=True)}
+    total = math.log(sum(map(math.exp, raw.values())))
+    pieces = {p: x - total for p, x in raw.items()}
+    vocab = ["ab", "abc", "a", "cab", "bcé", "éx", "漢a", "AB"]
+    rows = [(i, " ".join(rng.choice(vocab[: 4 if i % 3 else 8], rng.integers(1, 9))), ("one", "two", "three")[i % 3], "clash") for i in range(40)]
+    rows += [(100, None, "one", "x"), (101, " \t", "two", "x"), (None, "ab ab", "two", "x"), (None, "ab ab", "two", "x"), (102, "ab abcabc zz", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, word string")
+    held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
+    got = lattice_lm.score(docs, pieces, held, F.col("lang")).collect()
+    text = _plain_model([(z or "", [w.decode() for w in _tokens(t)]) for i, t, z, _ in rows if i is None or i % 5], pieces)
+    want = sorted((i if i is not None else -1, text([w.decode() for w in _tokens(t)])) for i, t, _, _ in rows)
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in got) == [i for i, _ in want]
+    assert [x for _, x in sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in got)] == pytest.approx([x for _, x in want], rel=1e-5, abs=1e-5)
+
+
+def test_lattice_without_training_rows(spark):
+    docs = spark.createDataFrame([(1, "ab cd"), (2, None)], "doc_id long, text string")
+    got = lattice_lm.score(docs, lattice_lm.read_pieces(queries.PIECES), F.lit(True)).collect()
+    assert len(got) == 2 and all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and -math.inf < r.score < 0 for r in got)
+
+
+def test_lattice_beats_the_base_on_held_out_rows(spark):
+    sums = queries.op2_lattice_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert sums.score > sums.base
+
+
+def test_lattice_of_long_words_and_full_tables(monkeypatch):
+    pieces = lattice_lm.read_pieces(queries.PIECES)
+    model = lattice_lm.Model(pieces, np.array([0, 0]), np.array([5 << 20 | 7, 7 << 20 | lattice_lm.FINISH]), np.array([2.0, 2.0]), [10], [2])
+    whole = model.word_scores(["theaea", "the" * 3000, "x" * 100_000])
+    assert np.isfinite(whole).all() and (whole < 0).all()
+    monkeypatch.setattr(lattice_lm, "SEGMENT", 3)
+    parts = model.word_scores(["theaea"])[0, 0] - model.more[0]
+    assert parts < whole[0, 0]  # a cut leaves ways out
+    keys = np.random.default_rng(0).integers(1, 2**60, 3000).astype(np.uint64)
+    table = lattice_lm.Table(keys, 11)  # more keys than places
+    assert (table.lookup(keys) == np.arange(3000)).all() and (table.lookup(keys + np.uint64(2**61)) == 3000).all()
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

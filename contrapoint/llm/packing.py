@@ -31,7 +31,9 @@ KEPT_WORDS, PART_ROWS, LEAST_PARTS = 800_000, 20_000, 64
 
 #: The vocabulary marks tokens that end a word; letters, then ASCII marks without the apostrophe.
 WORD_END, MARKS = "</w>", rb"[!-&(-/:-@\[-`{-~]+"
-ASCII_MARKED, MARKED = re.compile(rb"([A-Za-z]+)(" + MARKS + rb")\Z"), re.compile(rb"([A-Za-z\x80-\xff]+)(" + MARKS + rb")\Z")
+#: Letters of ASCII and Latin-1, whose normal forms are letters, and other bytes above ASCII, whose words are looked at.
+LATIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+PLAIN, PLAIN_MARKED, MARKED = re.compile(LATIN + rb"\Z"), re.compile(rb"(" + LATIN + rb")(" + MARKS + rb")\Z"), re.compile(rb"([A-Za-z\x80-\xff]+)(" + MARKS + rb")\Z")
 #: A capital before a mark (from U+0300 on) may compose otherwise than its small letter does, so it must stay.
 COMPOSING = re.compile(rb"[A-Z][\xcc-\xff]")
 #: Letters below this code point are letters in every Unicode version of the libraries.
@@ -82,9 +84,9 @@ class WordIds:
         """A word whose normal form is letters and final ASCII marks has the ids of the letters, then of the marks."""
         plain, parted = set(), []
         for w in words:
-            if w.isalpha():
+            if w.isalpha() or PLAIN.match(w):
                 plain.add(w)
-            elif (m := ASCII_MARKED.match(w)) or ((m := MARKED.match(w)) and self.one_run(m[1].decode())):
+            elif (m := PLAIN_MARKED.match(w)) or ((m := MARKED.match(w)) and self.one_run(m[1].decode())):
                 parted.append((w, *m.groups()))
                 plain.add(m[1])
             elif self.one_run(t := w.decode()):

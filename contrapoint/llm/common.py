@@ -26,13 +26,17 @@ _STAGED: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
 
-    Where it is unset, a local master (tests) gets a temporary folder and a cluster the warehouse.
+    Where it is unset, a local master (tests) gets a temporary folder and a cluster the warehouse; on a cluster whose
+    warehouse is a local path there is no such folder, which raises.
     """
     sc = spark.sparkContext
     if base := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
         return base
-    if not sc.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staged"
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if "://" not in warehouse.replace("file:///", "file:/"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return warehouse.rstrip("/") + "/staged"
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="contrapoint-"))
     return sc.getCheckpointDir()
 
@@ -53,14 +57,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables that this process has staged, once their results are no longer needed; how many there were."""
+def staged_so_far() -> int:
+    """How many staged tables there are, for ``drop_staged``."""
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Delete the tables staged after the first ``since``, without the last ``but``, once nothing reads them; how many.
+
+    An operator's own tables are needed until its result is written; then ``drop_staged(spark)`` frees them.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    count = len(_STAGED)
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    gone = _STAGED[since : len(_STAGED) - but]
+    del _STAGED[since : len(_STAGED) - but]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return count
+    return len(gone)
 
 
 def worker_cache(owner: str) -> dict:
@@ -150,7 +163,8 @@ def maybe_among(rows: DataFrame, key: str, ids: DataFrame, bits: int = BLOOM_BIT
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(``node``, ``component``) for the nodes of ``edges`` (``u``, ``v``); the component is its least node.
 
-    Alternates large-star and small-star steps, each a partial minimum and an equi-join; every round is staged. A hub's
+    Alternates large-star and small-star steps, each a partial minimum and an equi-join; every round is staged, and one
+    that has not settled after ``rounds`` rounds, of which there are about twice the logarithm of the longest path, raises. A hub's
     edges are salted over ``HUB_PARTS`` tasks, and both sides of the join are plain shuffles, which adaptive execution
     can split further. Nodes without edges are not returned; null ends are dropped.
     """
@@ -168,10 +182,11 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = lowest(large, low).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         return small.where("u <> v").distinct()
 
-    edges = edges.where("u <> v").select("u", "v").distinct()
-    before = None
+    spark, edges = edges.sparkSession, edges.where("u <> v").select("u", "v").distinct()
+    before, since = None, staged_so_far()
     for _ in range(rounds):
         edges = staged(stars(edges), "components")
+        drop_staged(spark, since, but=1)  # the round before
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

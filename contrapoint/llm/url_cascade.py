@@ -7,7 +7,11 @@ corpus that pass it, the third the listed ones that pass the second, and so on u
 for the keys of the corpus, which the cascade was built over.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and get the default verdict. Repeated rows
-give repeated results. The longest fitting rule wins (host and path together, then the longer host).
+give repeated results, and an empty table an empty one. The longest fitting rule wins (host and path together, then the
+longer host); a rule in both lists blocks. Urls may be of any length: of a host with many labels only as many are looked
+at as the longest rule has. Rules without host or path play no part; without any rule every url gets the default verdict.
+More than ``MOST_RULES`` rules of a kind, or ``MOST_LENGTHS`` lengths of their paths, raise: the cascades would no longer
+fit into the tasks. ``host``, ``path``, ``rule`` and ``verdict`` replace kept columns of these names.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, staged
 
 #: Rules that a list may hold; the cascades are sent to the tasks, with about two bytes a rule and level.
-MOST_RULES = 5_000_000
+MOST_RULES, MOST_LENGTHS = 5_000_000, 4096
 
 
 def hashes(keys) -> np.ndarray:
@@ -76,9 +80,10 @@ def split_url(url) -> tuple:
     return ascii_lower(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def url_keys(host, path, lengths: list[int]):
-    """Host suffixes, each with the path's starts of these lengths: (host, path) structs."""
+def url_keys(host, path, lengths: list[int], most_labels: int):
+    """Host suffixes of at most so many labels, each with the path's starts of these lengths: (host, path) structs."""
     labels = F.split(host, r"\.", -1)
+    labels = F.slice(labels, F.greatest(F.size(labels) - (most_labels - 1), F.lit(1)), F.lit(most_labels))
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.struct(s.alias("host"), p.alias("path")))))
@@ -107,8 +112,12 @@ def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
     def passes(h1: pd.Series, h2: pd.Series) -> pd.Series:
         return pd.Series(first.has(hashes(h1), hashes(h2)))
 
-    outside = universe.where(passes("h1", "h2")).join(F.broadcast(listed), ["h1", "h2"], "left_anti") if inside.size else universe.limit(0)
-    outside = np.array([[r.h1, r.h2] for r in outside.collect()], np.int64).reshape(-1, 2)
+    outside = np.empty((0, 2), np.int64)
+    if inside.size:
+        # What passes are the listed keys of the corpus and about half as many others; the listed ones leave here.
+        known = {(r.h1, r.h2) for r in rows}
+        passed = universe.where(passes("h1", "h2")).toPandas().to_numpy(np.int64).reshape(-1, 2)
+        outside = np.array([key for key in map(tuple, passed.tolist()) if key not in known], np.int64).reshape(-1, 2)
     keep, other = inside, outside
     while len(other):
         level = Level(*hashes(other).T, rate=0.5, salt=len(levels))
@@ -120,18 +129,21 @@ def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep`` columns with ``host``, ``path``, ``rule`` and ``verdict``; ``rules`` has host, path and verdict."""
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL").withColumn("host", ascii_lower(F.col("host"))).distinct()
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().limit(4097).collect()]
-    if len(lengths) > 4096:
-        raise ValueError("more than 4096 lengths of rule paths")
+    keep = [c for c in keep if c not in ("host", "path", "rule", "verdict")]
+    lengths = [r[0] for r in rules.select(F.length("path")).distinct().limit(MOST_LENGTHS + 1).collect()]
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"more than {MOST_LENGTHS} lengths of rule paths")
+    most_labels = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 1
     host, path = split_url(F.col(url))
     pages = pages.select(*keep, host.alias("host"), path.alias("path"))
     if not lengths:
         return pages.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keyed = pages.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths))
-    universe = keyed.select(F.explode("keys").alias("key")).select(*[h.alias(n) for h, n in zip(_pair_hash(F.col("key")), ("h1", "h2"), strict=True)]).distinct()
+    keyed = pages.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths, most_labels))
+    pair = lambda key: [h.alias(n) for h, n in zip(_pair_hash(key), ("h1", "h2"), strict=True)]
+    universe = staged(keyed.select(F.explode("keys").alias("key")).select(*pair(F.col("key"))).distinct(), "universe")
     cascades = {}
     for verdict in ("allow", "block"):
-        own = rules.where(F.col("verdict") == verdict).select(*[h.alias(n) for h, n in zip(_pair_hash(F.struct("host", "path")), ("h1", "h2"), strict=True)]).distinct()
+        own = rules.where(F.col("verdict") == verdict).select(*pair(F.struct("host", "path"))).distinct()
         cascades[verdict] = build(own, universe)
 
     @F.pandas_udf("array<int>")
@@ -142,8 +154,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         found = member(cascades["allow"], *flat) + 2 * member(cascades["block"], *flat).astype(np.int32)
         return pd.Series(np.split(found.astype(np.int32), np.cumsum(lens)[:-1])) if len(lens) else pd.Series([], dtype=object)
 
-    pair = [F.transform("keys", lambda k: _pair_hash(k)[0]), F.transform("keys", lambda k: _pair_hash(k)[1])]
-    marked = keyed.withColumn("found", verdicts(*pair))
+    marked = keyed.withColumn("found", verdicts(F.transform("keys", lambda k: _pair_hash(k)[0]), F.transform("keys", lambda k: _pair_hash(k)[1])))
     fits = F.filter(F.arrays_zip("keys", "found"), lambda z: z["found"] > 0)
     ranked = F.transform(fits, lambda z: F.struct((F.length(z["keys"]["host"]) + F.length(z["keys"]["path"])).alias("n"), F.length(z["keys"]["host"]).alias("m"), z["found"].alias("found"), F.concat(z["keys"]["host"], z["keys"]["path"]).alias("rule")))
     best = marked.withColumn("best", F.array_max(ranked))

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, staged, worker_cache
 
-#: Assigned and decoded rows of a tile, rows of a group of tiles.
-ASSIGNED, DECODED, GROUP_ROWS = 512, 4096, 8192
+#: Assigned and decoded rows of a tile, rows of a group of tiles, parts that a direction's or a vector's rows are dealt by.
+ASSIGNED, DECODED, GROUP_ROWS, SALTS = 512, 4096, 8192, 8
+#: Code words of a half for each square root of a label's vectors, and at least and at most.
+PER_ROOT, LEAST_WORDS, MOST_WORDS = 3.0, 16, 4096
 
 
 def code(dim: int, codewords: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +65,23 @@ def _forest(rows: np.ndarray, cols: np.ndarray, left: np.ndarray, right: np.ndar
             return a, b
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int = 1024, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(``vec_id``, ``n_links``, ``component_id``, ``kept``) for every row of ``vectors``."""
-    every = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("label"))
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int | None = None, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """(``vec_id``, ``n_links``, ``component_id``, ``kept``) for every row of ``vectors``.
+
+    Without ``codewords`` their number follows the largest label: with n vectors it is about ``PER_ROOT`` times the root of n,
+    so that the directions keep pace with the vectors. It changes the work, not the result.
+    """
+    zero = F.lit(0).cast(vectors.schema[vector].dataType.elementType)
+    plain = F.transform(vector, lambda x: F.when(x == 0, zero).otherwise(x))  # without negative zeros, so that equal vectors hash alike
+    every = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), plain.alias("v"), F.col(label).cast("string").alias("label"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
     usable &= F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False)) & F.exists("v", lambda c: c != 0)
     good = every.where(usable)
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(label), 64) AS int))")
     classes = staged(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("bit", bit), "classes")
+    if codewords is None:
+        most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        codewords = min(MOST_WORDS, max(LEAST_WORDS, 1 << int(np.ceil(np.log2(PER_ROOT * np.sqrt(max(most, 1)))))))
 
     def assign(batches):
         for batch in batches:
@@ -124,8 +135,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int
     sizes = assigned.groupBy(*keys).agg(F.count("*").alias("nq")).join(decoded.groupBy(*keys).agg(F.count("*").alias("nd")), keys)
     sizes = sizes.withColumns({"gq": F.ceil(F.col("nq") / ASSIGNED), "gd": F.ceil(F.col("nd") / DECODED)})
     groups = max(1, -(-(sizes.agg(F.sum(F.expr("nd * gq + nq * gd"))).first()[0] or 0) // GROUP_ROWS))
-    sizes = sizes.select(*keys, "gq", "gd")
-    deal = lambda df, own, other: (df.join(sizes, keys).withColumn("i" if own == "gq" else "j", F.pmod(F.xxhash64("rep", F.lit(own)), F.col(own)))
+    # Both sides are salted, so that a hot direction's rows go to several tasks.
+    sizes = sizes.select(*keys, "gq", "gd", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    deal = lambda df, own, other: (df.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SALTS)).cast("int")).join(sizes, [*keys, "salt"]).withColumn("i" if own == "gq" else "j", F.pmod(F.xxhash64("rep", F.lit(own)), F.col(own)))
                                    .withColumn("j" if own == "gq" else "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
                                    .select("label", "v", "rep", "copies", F.xxhash64(*keys, "i", "j").alias("tile")).withColumn("g", F.pmod("tile", F.lit(groups))))
     left, right = deal(assigned, "gq", "gd"), deal(decoded, "gd", "gq")
@@ -167,8 +179,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int
     found = staged(left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(compare, "id long, links long, least long"), "links")
     components = connected_components(found.select(F.col("id").alias("u"), F.col("least").alias("v")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    result = (classes.join(links, classes.rep == links.id, "left").join(components, F.col("rep") == F.col("node"), "left")
-              .select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    linked = good.join(result, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    # Vectors stay where they are: rows meet their class by two hashes of label and vector, each class in several parts.
+    digest = [F.xxhash64(F.lit(seed), "label", "v").alias(f"d{seed}") for seed in (1, 2)]
+    result = classes.select(*digest, "rep", "copies").join(links, F.col("rep") == links.id, "left").join(components, F.col("rep") == F.col("node"), "left")
+    result = result.select("d1", "d2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    linked = good.select("vec_id", *digest, F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(SALTS)).cast("int").alias("salt")).join(result, ["d1", "d2", "salt"]).select("vec_id", "n_links", "component_id")
     alone = every.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

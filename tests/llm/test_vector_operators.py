@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from contrapoint.llm import capfilters, queries, topk, url_cascade
 
@@ -16,13 +17,23 @@ def brute_top(rows, queries_, k):
     return out
 
 
+def test_top_k_takes_every_row_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df.where("vec_id = 0"), df, 3).collect())
+    first = [(0, 1, 1, 8192), (0, 2, 1, 8192), (0, 3, 2, 4096)]
+    second = [(0, 1, 1, 12288), (0, 2, 2, 4096), (0, 3, 1, 0)]
+    assert got == sorted(first + second)
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
-    monkeypatch.setattr(topk, "SHARD", 9)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 5 * 48)
+    monkeypatch.setattr(topk, "SHARD_BYTES", 9 * 48)
+    monkeypatch.setattr(topk, "ROWS", 2)
     monkeypatch.setattr(topk, "STEP", 4)
     rng = np.random.default_rng(0)
     good = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(150)] + [(200, [1e30] * 6), (201, [1.0, 2.0])]
-    odd = [(300, None), (301, []), (302, [NAN] * 6), (303, [INF] + [0.0] * 5), (304, [None] + [0.0] * 5), (None, [0.0] * 6), (0, good[0][1])]
+    odd = [(300, None), (301, []), (302, [NAN] * 6), (303, [INF] + [0.0] * 5), (304, [None] + [0.0] * 5), (None, [0.0] * 6)]
     df = spark.createDataFrame([(i, v, "x") for i, v in good + odd], "vec_id long, embedding array<double>, score string")
     usual = [r for r in good if r[0] != 200]
     got = {tuple(r) for r in topk.top_k(df.where("vec_id % 10 = 0 AND vec_id <> 200"), df.where("vec_id <> 200 OR vec_id IS NULL"), 7).collect()}
@@ -89,3 +100,19 @@ def test_cascade_is_exact_over_its_universe():
         keep, other = other, keep[levels[-1].has(*url_cascade.hashes(keep).T)]
     got = url_cascade.member(levels, *url_cascade.hashes(keys).T)
     assert got[:3000].all() and not got[3000:].any() and len(levels) > 2
+
+
+def test_urls_of_any_length_and_rules_in_both_lists(spark):
+    rules = spark.createDataFrame([("b.c", "/", "allow"), ("b.c", "/", "block"), ("c", "/x", "allow"), (None, "/", "block"), ("c", None, "block")], "host string, path string, verdict string")
+    long = "a." * 20_000 + "b.c"
+    pages = spark.createDataFrame([(1, f"http://{long}/x"), (2, "http://z.c/x" + "y" * 100_000), (3, None), (4, "http://"), (5, "no url")], "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: r for r in url_cascade.judge(pages, rules, default="allow", keep=("page_id", "host")).collect()}
+    assert got[1].host == long and (got[1].rule, got[1].verdict) == ("b.c/", "block")
+    assert (got[2].rule, got[2].verdict) == ("c/x", "allow") and {(got[i].host, got[i].rule, got[i].verdict) for i in (3, 4, 5)} == {("", None, "allow")}
+    assert url_cascade.judge(pages.limit(0), rules).count() == 0
+
+
+def test_cap_filters_choose_code_words_and_take_negative_zeros_for_zeros(spark):
+    rows = [(1, [0.0, 1.0], 0), (2, [-0.0, 1.0], 0), (3, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in capfilters.near_duplicates(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3)}

@@ -62,16 +62,16 @@ def with_percentile_rank(rows: DataFrame, value: str, reference: DataFrame, ref_
     """``rows`` with the share of reference values up to the row's; 1 for an empty reference.
 
     Rows and reference are merged in one sorted window over value buckets instead of a pairwise join: bucket counts give
-    the rank before a bucket, a window inside each bucket the rest.
+    the rank before a bucket, a window inside each bucket the rest. Buckets are cut at the reference's quantiles.
     """
     from pyspark.sql import Window
 
     ref = reference.select(F.col(ref_value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
-    low, high, total = ref.agg(F.min("_v"), F.max("_v"), F.count("*")).first()
+    total, cuts = ref.agg(F.count("*"), F.percentile_approx("_v", [i / 512 for i in range(1, 512)], 5000)).first()
     if not total:
         return rows.withColumn(out, F.lit(1.0))
-    width = max((high - low) / 1024, 1e-300)
-    bucket = lambda v: F.least(F.greatest(F.floor((v - low) / width), F.lit(-1)), F.lit(1024)).cast("int")
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))])  # at most 511 numbers
+    bucket = lambda v: F.size(F.filter(bounds, lambda c: c < v))
     counts = ref.groupBy(bucket(F.col("_v")).alias("_b")).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before", "_n")
     values = ref.groupBy("_v").agg(F.count("*").alias("_c")).select("_v", "_c", bucket(F.col("_v")).alias("_b"))

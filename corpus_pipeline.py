@@ -1,7 +1,9 @@
 """The corpus pipeline: language, quality, near-duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; all but the last return the
-columns of ``documents``. Null texts are rejected by the language stage; an empty table passes through as one.
+columns of ``documents``, and further columns that the input has, whatever their names. Null texts are rejected by the
+language stage; an empty table passes through as one. Rows are told apart by their places, not their ids: of rows alike,
+whatever their ids, one stays, while texts of fewer words than one stay as they are.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrapoint.llm import disclosure, gru_language, minhash, packing, subword_classifier
-from contrapoint.llm.common import held_out, staged
+from contrapoint.llm.common import drop_staged, held_out, staged, staged_so_far
 from contrapoint.llm.queries import WORD_BPE
 
 #: A document leaves if no language reaches this mean probability, or if its chance of good quality is less.
@@ -70,15 +72,16 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The trained stages can't be written in SQL; tests hold the pipeline against brute force.
+#: The trained stages can't be written in SQL; tests recompute all rows plainly from the models that the stages fit.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written as Parquet and read again, and what led to it is deleted."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = staged(docs, name)
+            drop_staged(spark, since, but=1)
     return docs

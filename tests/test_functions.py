@@ -124,3 +124,40 @@ def test_percentile_rank(spark):
     assert got == {0.0: 0.0, 1.0: 0.25, 2.0: 0.75, 3.0: 0.75, 5.0: 1.0, 9.0: 1.0}
     empty = spark.createDataFrame([], "r double")
     assert {r.p for r in scores.with_percentile_rank(rows, "v", empty, "r", "p").collect()} == {1.0}
+
+
+def test_pruned_kernels_find_the_nearest():
+    rng = np.random.default_rng(3)
+    words = [[f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 15))] for _ in range(40)]
+    q, c = words[:8], words[8:]
+    for name, similarity in text.SIMILARITIES.items():
+        full = np.array([[1 - min(1.0, max(0.0, similarity(a, b))) for b in c] for a in q])
+        assert np.allclose(text.kernel(name)(q, c), full), name
+        few = text.kernel(name)(q, c, 4)
+        for want, got in zip(full, few, strict=True):
+            edge = np.sort(want)[3]
+            assert np.allclose(got[want <= edge + 1e-12], want[want <= edge + 1e-12]) and (np.isinf(got) | np.isclose(got, want)).all(), name
+    series_ = rng.integers(0, 5, (30, 3, 12)).astype(float)
+    a, b = list(series_[:6]), list(series_[6:])
+    for f in (series.dtw, series.dtw_dependent, series.lcss):
+        full = f(a, b)
+        for k in (1, 3, 24):
+            few = f(a, b, k=k)
+            for want, got in zip(full, few, strict=True):
+                edge = np.sort(want)[k - 1]
+                assert np.allclose(got[want <= edge], want[want <= edge]) and (np.isinf(got) | np.isclose(got, want)).all()
+    assert series.dtw([], b).shape == (0, 24) and np.isfinite(series.dtw(a, [x[:, :9] for x in b], k=2)).any()
+
+
+def test_aliases():
+    assert vectors.metric_name("manhattan_distance") == "manhattan" and vectors.metric_name("hamming_distance") == "hamming"
+    assert [series.metric_name(x) for x in ("ed", "euclid", "euclidean_distance", "dtw_distance", "lcss_distance")] == ["euclidean"] * 3 + ["dtw", "lcss"]
+    assert [text.encoder_name(x) for x in ("sentence-bert", "all-minilm-l6-v2", "word2vec_avg")] == ["bert", "minilm", "word2vec"]
+
+
+def test_split_series_and_fusion(spark):
+    df = spark.createDataFrame([([[1.0, 2.0]], [[2.0, 2.0]], [[0.0, 0.0], [1.0, 1.0]], [[0.0, 0.0], [1.0, 4.0]], [7.0, 8.0])], "a array<array<double>>, b array<array<double>>, c array<array<double>>, d array<array<double>>, s array<double>")
+    pairs = [(F.col("a"), F.col("b")), (F.col("c"), F.col("d"))]
+    r = df.select(series.split_proximity(pairs).alias("p"), series.split_sparsity(pairs).alias("s"), series.split_plausibility([(F.lit(3.0), F.col("a")), (F.lit(0.0), F.col("c"))]).alias("l"), series.fused(F.col("s"), F.col("a")).alias("f"), series.fused_compressed(F.col("s"), 2).alias("g")).first()
+    assert r.p == pytest.approx(4 / 6) and r.s == pytest.approx((0.5 + 0.25) / 2) and r.l == pytest.approx(1.0)
+    assert r.f == [[7.0, 7.0], [8.0, 8.0], [1.0, 2.0]] and r.g == [[7.0, 7.0], [8.0, 8.0]]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from contrapoint.functions import scores
 from contrapoint.operators import analytics, baselines, combine, encoders, lof, preprocess
 from contrapoint.operators.search import check_queries, knn
 from contrapoint.plans import catalog, generators, sweep
@@ -275,3 +276,109 @@ def test_evaluation(spark):
     rows = {r.method: r for r in evaluate(cands, factual, predict).collect()}
     assert rows["a"].flipped and rows["a"].outcome == 0 and rows["a"].proximity == 0.5
     assert not rows["b"].flipped and rows["b"].outcome == 1 and rows["b"].sparsity == 0.25
+
+
+def test_values_with_nulls_take_no_part(spark):
+    q = spark.createDataFrame([(1, [0.0]), (2, None), (3, [None])], "sample_id long, value array<double>")
+    c = spark.createDataFrame([(10, [1.0]), (11, [float("nan")]), (12, None), (13, [None]), (14, [3.0])], "sample_id long, value array<double>")
+    assert [(r.query_id, r.train_id) for r in knn(q, c, 5).collect()] == [(1, 10), (1, 14)]
+    s = spark.createDataFrame([(1, [[0.0, 1.0]]), (2, [[0.0, None]]), (3, [None])], "sample_id long, value array<array<double>>")
+    assert [(r.query_id, r.train_id) for r in knn(s, s, 5, "dtw", "series").collect()] == [(1, 1)]
+
+
+def test_generators_of_other_vectors_are_not_shared(spark):
+    ds = tables.synthetic(spark)
+    rows = ds.texts["report"].select("split", "sample_id")
+    ways = [rows.withColumn("value", F.array(F.col("sample_id").cast("double") * s)) for s in (1.0, -1.0)]
+    a, b = (generators.TextNN("report", k=2, encoder="bert", distance="euclidean", vectors=v) for v in ways)
+    c, d = (generators.EarlyFusionNN(k=2, text_vectors=[v]) for v in ways)
+    e, f = (generators.TextNN("report", k=2, transform=t) for t in (F.upper, F.reverse))
+    assert len({g.key(ds) for g in (a, b, c, d, e, f)}) == 6
+    pixels = rows.withColumn("px", F.encode(F.col("sample_id").cast("string"), "UTF-8"))
+    raw = Dataset(ds.samples, images={"x": pixels})
+    queries = ds.part(ds.samples, "test").where("sample_id < 2")
+    with pytest.raises(ValueError):
+        generators.ImageNN("x").search(raw, queries, 1, 1)
+    near_ = generators.ImageNN("x", distance="euclidean", encoder=lambda px: np.array([[float(x)] for x in px])).search(raw, queries, 1, 1).collect()
+    given = generators.ImageNN("x", distance="euclidean", vectors=ways[0]).search(raw, queries, 1, 1).collect()
+    assert sorted(map(tuple, near_)) == sorted(map(tuple, given)) and len(near_) == 2
+
+
+def test_objectives_of_missing_parts_and_weights(spark):
+    from contrapoint.operators.objectives import Modality, assemble, summed
+
+    key = "query_id long, cand_rank int, "
+    tab = Modality("t", "tabular", spark.createDataFrame([(1, 1, [0.0, 2.0]), (1, 2, [0.0, 0.0])], key + "value array<double>"), spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, value array<double>"),
+                   spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "sample_id long, value array<double>"), weight=3.0)
+    words = Modality("w", "text", spark.createDataFrame([(1, 1, [1.0, 0.0], "a b"), (1, 2, None, None)], key + "value array<double>, text string"), spark.createDataFrame([(1, [0.0, 1.0], "a c")], "query_id long, value array<double>, text string"))
+    pred = spark.createDataFrame([(1, 1, 2)], "query_id long, cand_rank int, pred int")
+    rows = {r.cand_rank: r for r in assemble([tab, words], ["query_id", "cand_rank"], 0, pred).collect()}
+    assert rows[1].outcome == 2 and rows[2].outcome is None
+    assert rows[1].proximity == pytest.approx(0.75 * 1 + 0.25 * 0.5) and rows[1].sparsity == pytest.approx(0.75 * 0.5 + 0.25 * 0.5)
+    assert rows[2].proximity == pytest.approx(0.25 * 1) and rows[1].plausibility > rows[2].plausibility
+    whole = assemble([tab, words], ["query_id", "cand_rank"], 0, renormalise=True).where("cand_rank = 2").first()
+    assert whole.plausibility == pytest.approx(rows[2].plausibility / 0.75)
+    with pytest.raises(ValueError):
+        assemble([], ["query_id"], 0)
+    words.reference = spark.createDataFrame([(1, [0.0, 1.0])], "sample_id long, value array<double>")
+    with pytest.raises(ValueError):
+        assemble([words], ["query_id", "cand_rank"], 0)
+    s = spark.range(1).select(summed({"tabular": F.lit(1.0), "series": F.lit(2.0), "text": F.lit(4.0)}, 1.0, 0.5).alias("s")).first().s
+    assert s == 5.0
+
+
+def test_percentile_ranks_of_skewed_scores(spark):
+    ref = spark.createDataFrame([(x,) for x in [0.0] * 50 + [1e-9 * i for i in range(200)] + [1e6]], "v double")
+    rows = spark.createDataFrame([(-1.0,), (0.0,), (5.5e-9,), (1e-7,), (1e6,), (2e6,), (None,)], "x double")
+    got = {r.x: r.p for r in scores.with_percentile_rank(rows, "x", ref, "v", "p").collect()}
+    values = [r.v for r in ref.collect()]
+    assert all(got[x] == pytest.approx(np.mean([v <= x for v in values])) for x in got if x is not None) and got[None] is None
+
+
+def test_numbers_and_running_sums(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(50)], "g int, x long")
+    got = sorted((r.g, r.x, r.n) for r in preprocess.numbered(df, F.col("x") % 7, ["x"], "n", ("g",)).collect())
+    want = [(g, x, n) for g in range(3) for n, x in enumerate(sorted((i for i in range(50) if i % 3 == g), key=lambda i: (i % 7, i)))]
+    assert got == sorted(want)
+    sums = {(r.g, r.x): r.s for r in analytics.running_sum(df, ["g"], "x", "x", "s", 4).collect()}
+    assert all(s == sum(i for i in range(50) if i % 3 == g and i <= x) for (g, x), s in sums.items()) and len(sums) == 50
+    front = spark.createDataFrame([(i, float(i), float(-i)) for i in range(300)] + [(999, 300.0, 1.0), (998, None, 0.0)], "id long, a double, b double")
+    assert analytics.pareto_front(front, ["a", "b"], "id").count() == 300
+
+
+def test_runs_are_found_and_read(spark, tmp_path):
+    import json
+
+    run = tmp_path / "proj" / "data" / "ablation_runs" / "r1"
+    run.mkdir(parents=True)
+    rows = [{"combo_id": "c1", "status": "ok", "tab_metrics": {"__primary__": "l2", "t": "cosine"}, "ts_metrics": {"labs": {"metric": "dtw"}}, "text_config": {"encoder": "raw", "metric": "lcs"}, "n_samples": 2, "runtime_sec": 1.5, "candidate_counts": {"g": 3}, "objectives": {"g": {"outcome": 0.0, "proximity": 1.0, "sparsity": 2.0, "plausibility": 3.0}}}, {"combo_id": "c2", "status": "failed"}]
+    (run / "summary.json").write_text(json.dumps({"rows": rows}))
+    assert [(r.dataset, r.run_id) for r in tables.discover_runs(spark, str(tmp_path)).collect()] == [("proj", "r1")]
+    flat = tables.read_summaries(spark, str(tmp_path)).collect()
+    assert [(r.dataset, r.run_id, r.combo_id, r.tab_metric, r.ts_metric, r.text_encoder, r.text_metric, r.image_encoder, r.candidate_count, r.plausibility) for r in flat] == [("proj", "r1", "c1", "l2+t:cosine", "labs:dtw", "raw", "lcs", "", 3, 3.0)]
+    assert [r.combo_id for r in tables.combo_metadata(spark, str(run)).collect()] == ["c1"]
+    (run / "summary.jsonl").write_text("\n".join(["broken", "", json.dumps(rows[0] | {"n_samples": 1}), json.dumps(rows[0] | {"n_samples": 9}), json.dumps(rows[1])]))
+    assert [(r.combo_id, r.n_samples) for r in tables.combo_metadata(spark, str(run)).collect()] == [("c1", 9)]
+    assert [(r.strategy, r.generator) for r in tables.read_strategies(spark, {("s", None): str(run / "summary.json"), ("none", 1): str(run / "absent.json")}).collect()] == [("s", "g")]
+    for fold, v in enumerate(("1.0", "NaN")):
+        (tmp_path / f"k{fold}.json").write_text('{"results": {"5": {"objectives": {"old": {"outcome": ' + v + ', "proximity": 2.0}}}}}')
+    got = tables.read_k_ablation(spark, str(tmp_path / "k*.json"), {"old": "new"}).collect()
+    assert [(r.k, r.generator, r.outcome, r.proximity, r.sparsity) for r in got] == [(5, "new", 1.0, 2.0, None)]
+    doc = tables.baseline_summary("b", "d", "m", "tab", {"b": {"outcome": 0.0}}, {"b": 4}, sample_indices=[1, 2], n_total=2)
+    assert doc["rows"][0]["total_candidates"] == 4 and doc["rows"][0]["status"] == "ok" and doc["n_total"] == 2
+    tables.write_document(spark, doc, str(tmp_path / "doc"))
+    assert json.loads(spark.read.text(str(tmp_path / "doc")).first().value) == doc
+    tables.register_model(spark, str(tmp_path / "models"), "s", "rf", ["a"], 0.5, 0.6)
+    tables.register_model(spark, str(tmp_path / "models"), "s", "lr", ["b"], 0.7, 0.6)
+    assert analytics.best_model(spark.read.parquet(str(tmp_path / "models"))).first().model == "lr"
+    vec = spark.createDataFrame([("train", 1, [1.0]), ("train", 0, [2.0])], "split string, sample_id long, value array<double>")
+    tables.write_vectors(vec, str(tmp_path / "cache"), "e5")
+    assert tables.read_vectors(spark, str(tmp_path / "cache"), "e5").count() == 2 and tables.read_vectors(spark, str(tmp_path / "cache"), "x").count() == 0 and tables.read_vectors(spark, str(tmp_path / "no"), "x") is None
+    tables.write_npz({"v": vec}, str(tmp_path / "a.npz"))
+    assert np.load(tmp_path / "a.npz")["v"].tolist() == [[2.0], [1.0]]
+    with pytest.raises(ValueError):
+        tables.write_npz({"v": vec}, str(tmp_path / "b.npz"), 1)
+    tables.log_trials(spark.createDataFrame([(1, 0.5)], "depth int, score double"), str(tmp_path / "trials"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "trials")).count() == 1
+    found = spark.createDataFrame([(1, True, 0.0, 1.0, 2.0, 3.0), (1, False, 1.0, 1.0, 2.0, 3.0)], "patient int, feasible boolean, outcome double, proximity double, sparsity double, plausibility double")
+    assert [(r.outcome, r.n_feasible) for r in tables.genetic_means(found).collect()] == [(0.5, 1)]

@@ -131,12 +131,18 @@ class Codec:
         self.pattern, self.words, self.spans = regex.compile(pattern), {}, None
         self.lut = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.digits = {i: b"%d" % i for i in self.ranks.values()}
-        merges = [(a, b, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
+        merges = [
+            (a, b, i)
+            for t, i in self.ranks.items()
+            for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None
+        ]
         self.pairs = np.sort(np.array([a << 32 | b for a, b, _ in merges], np.int64))
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         left, right, ids = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True)) if merges else (pa.array([], pa.int32()),) * 3
         self.con.register("m0", pa.table({"l": left, "r": right, "id": ids}))
-        self.con.execute("CREATE TABLE merges AS SELECT l, r, id, id <= coalesce(least((SELECT min(a.id) FROM m0 a WHERE a.l = m0.id), (SELECT min(a.id) FROM m0 a WHERE a.r = m0.id)), id) AS safe FROM m0")
+        self.con.execute(
+            "CREATE TABLE merges AS SELECT l, r, id, id <= coalesce(least((SELECT min(a.id) FROM m0 a WHERE a.l = m0.id), (SELECT min(a.id) FROM m0 a WHERE a.r = m0.id)), id) AS safe FROM m0"
+        )
         self.con.unregister("m0")
         self.con.register("v0", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v0")
@@ -317,7 +323,10 @@ class Codec:
     def _decode(self, held: list[tuple[int, np.ndarray]], out: list[bytearray]) -> None:
         if held:
             doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for _, x in held])
-            got = self.query(DECODE, tokens={"doc": doc, "pos": np.arange(len(doc), dtype=np.int32), "id": np.concatenate([x for _, x in held]).astype(np.int32)})
+            got = self.query(
+                DECODE,
+                tokens={"doc": doc, "pos": np.arange(len(doc), dtype=np.int32), "id": np.concatenate([x for _, x in held]).astype(np.int32)}
+            )
             found = dict(zip(got["doc"].tolist(), got["bytes"], strict=True))
             for n, (i, _) in enumerate(held):
                 out[i] += bytes(found.get(n, b""))
@@ -379,8 +388,12 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out
             lists = batch.column(n)
             for a, b in _steps(lists.value_lengths().to_numpy(zero_copy_only=False), STEP_TOKENS):
                 part = lists.slice(a, b - a)
-                raw = codec.decode(np.split(part.flatten().to_numpy(zero_copy_only=False), np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))[:-1]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(n)), part, pa.array(raw, pa.binary())], names=[*keep, ids, out])
+                raw = codec.decode(
+                    np.split(part.flatten().to_numpy(zero_copy_only=False), np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(a, b - a) for i in range(n)), part, pa.array(raw, pa.binary())], names=[*keep, ids, out]
+                )
 
     rows = rows.select(*keep, F.coalesce(F.filter(F.col(ids), lambda i: i.isNotNull()), F.expr("CAST(array() AS array<int>)")).alias(ids))
     return rows.mapInArrow(run, rows.withColumn(out, F.lit(b"")).schema)
@@ -405,7 +418,13 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                         h.update((b" " if at else b"") + b" ".join([digits[i] for i in ids[at : at + STEP_TOKENS].tolist()]))
                     hashes.append(h.hexdigest())
                 raw = [hashlib.sha256(x).hexdigest() for x in codec.decode(lists)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in lists], pa.int64()), pa.array(hashes, pa.string()), pa.array(raw, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a), pa.array([len(x) for x in lists], pa.int64()), pa.array(hashes, pa.string()),
+                        pa.array(raw, pa.string())
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                )
 
     rows = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema

@@ -65,7 +65,10 @@ def _forest(rows: np.ndarray, cols: np.ndarray, left: np.ndarray, right: np.ndar
             return a, b
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int | None = None, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame, threshold: float = 0.98, codewords: int | None = None, vec_id: str = "vec_id", vector: str = "embedding",
+    label: str = "label"
+) -> DataFrame:
     """(``vec_id``, ``n_links``, ``component_id``, ``kept``) for every row of ``vectors``.
 
     Without ``codewords`` their number follows the largest label: with n vectors it is about ``PER_ROOT`` times the root of n,
@@ -75,7 +78,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int
     plain = F.transform(vector, lambda x: F.when(x == 0, zero).otherwise(x))  # without negative zeros, so that equal vectors hash alike
     every = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), plain.alias("v"), F.col(label).cast("string").alias("label"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
-    usable &= F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False)) & F.exists("v", lambda c: c != 0)
+    usable &= F.coalesce(
+        F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False)
+    ) & F.exists("v", lambda c: c != 0)
     good = every.where(usable)
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(label), 64) AS int))")
     classes = staged(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("bit", bit), "classes")
@@ -137,9 +142,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int
     groups = max(1, -(-(sizes.agg(F.sum(F.expr("nd * gq + nq * gd"))).first()[0] or 0) // GROUP_ROWS))
     # Both sides are salted, so that a hot direction's rows go to several tasks.
     sizes = sizes.select(*keys, "gq", "gd", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    deal = lambda df, own, other: (df.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SALTS)).cast("int")).join(sizes, [*keys, "salt"]).withColumn("i" if own == "gq" else "j", F.pmod(F.xxhash64("rep", F.lit(own)), F.col(own)))
+    deal = lambda df, own, other: (df.withColumn(
+        "salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SALTS)).cast("int")
+    ).join(sizes, [*keys, "salt"]).withColumn(
+        "i" if own == "gq" else "j", F.pmod(F.xxhash64("rep", F.lit(own)), F.col(own))
+    )
                                    .withColumn("j" if own == "gq" else "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-                                   .select("label", "v", "rep", "copies", F.xxhash64(*keys, "i", "j").alias("tile")).withColumn("g", F.pmod("tile", F.lit(groups))))
+                                   .select(
+                                       "label", "v", "rep", "copies", F.xxhash64(*keys, "i", "j").alias("tile")
+                                   ).withColumn("g", F.pmod("tile", F.lit(groups))))
     left, right = deal(assigned, "gq", "gd"), deal(decoded, "gd", "gq")
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
 
@@ -150,7 +161,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int
             sides = []
             for t in (q, d):
                 lens = t["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-                sides.append((t["tile"].to_numpy(), t["label"].to_numpy(zero_copy_only=False).astype(str), lens, t["rep"].to_numpy(), t["copies"].to_numpy(), _stack(t["v"])))
+                sides.append(
+                    (
+                        t["tile"].to_numpy(), t["label"].to_numpy(zero_copy_only=False).astype(str), lens, t["rep"].to_numpy(),
+                        t["copies"].to_numpy(), _stack(t["v"])
+                    )
+                )
             place = [{n: dict(zip(rows.tolist(), range(len(rows)), strict=True)) for n, (rows, _) in s[5].items()} for s in sides]
             of = [{} for _ in sides]
             for side, s in zip(of, sides, strict=True):
@@ -181,8 +197,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, codewords: int
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     # Vectors stay where they are: rows meet their class by two hashes of label and vector, each class in several parts.
     digest = [F.xxhash64(F.lit(seed), "label", "v").alias(f"d{seed}") for seed in (1, 2)]
-    result = classes.select(*digest, "rep", "copies").join(links, F.col("rep") == links.id, "left").join(components, F.col("rep") == F.col("node"), "left")
-    result = result.select("d1", "d2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    linked = good.select("vec_id", *digest, F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(SALTS)).cast("int").alias("salt")).join(result, ["d1", "d2", "salt"]).select("vec_id", "n_links", "component_id")
-    alone = every.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    result = classes.select(*digest, "rep", "copies").join(links, F.col("rep") == links.id, "left").join(
+        components, F.col("rep") == F.col("node"), "left"
+    )
+    result = result.select(
+        "d1", "d2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    linked = good.select(
+        "vec_id", *digest, F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(SALTS)).cast("int").alias("salt")
+    ).join(result, ["d1", "d2", "salt"]).select("vec_id", "n_links", "component_id")
+    alone = every.where(~F.coalesce(usable, F.lit(False))).select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    )
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

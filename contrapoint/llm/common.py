@@ -179,7 +179,9 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = lowest(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = lowest(large, low).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = lowest(large, low).select(
+            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        ).select("e.*")
         return small.where("u <> v").distinct()
 
     spark, edges = edges.sparkSession, edges.where("u <> v").select("u", "v").distinct()

@@ -111,8 +111,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     total = found.count()
     held = found.where("size(spans) > 0")
-    named = held.select("row", F.explode(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))).alias("entity")).distinct()
-    entities = named.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("b"))
+    named = held.select(
+        "row", F.explode(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))).alias("entity")
+    ).distinct()
+    entities = named.groupBy("entity").agg(
+        F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("b")
+    )
     group = ["n_entity", "a", "b"]
     holders = staged(named.join(entities, "entity").where(F.col("n_entity") < total).select("row", *group).distinct(), "holders")
     most = holders.agg(F.max("n_entity")).first()[0] or 0
@@ -123,7 +127,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     words = docs.select(F.explode(F.array_distinct(F.transform(_written(F.col("text")), lambda w: F.lower(w)))).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_term")).where(reach(F.lit(float(max(most, 1)))))
     tops = holders.groupBy("row").agg(F.max("n_entity").alias("top"))
-    there = held.join(tops, "row").select("row", "top", F.explode(_written(F.col("text"))).alias("word")).select("row", "top", F.lower("word").alias("term"), (~F.col("word").rlike(SMALL)).alias("judged"))
+    there = held.join(tops, "row").select("row", "top", F.explode(_written(F.col("text"))).alias("word")).select(
+        "row", "top", F.lower("word").alias("term"), (~F.col("word").rlike(SMALL)).alias("judged")
+    )
     rare = there.join(terms, "term").where(reach(F.col("top"))).drop("top")
     pairs = staged(rare.join(holders, "row").where(reach(F.col("n_entity"))), "pairs")
     both = pairs.groupBy(*group, "term", "n_term").agg(F.count_distinct("row").alias("both"), F.max("judged").alias("judged")).where("judged")
@@ -159,11 +165,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*columns).alias("doc"), "text")
     found = _with_spans(packed, keep_text=True)
     rows = _with_terms(packed, found)
-    spans = F.array_sort(F.transform(F.concat("spans", F.coalesce("terms", F.expr(f"CAST(array() AS {_SPANS})"))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.array_sort(
+        F.transform(
+            F.concat("spans", F.coalesce("terms", F.expr(f"CAST(array() AS {_SPANS})"))),
+            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        )
+    )
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
+        piece = F.when(
+            fresh, F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
+        ).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -181,7 +181,9 @@ def fit(docs: DataFrame, train_rows) -> tuple[list[str], dict[str, np.ndarray]]:
 
     Only rows for whose id ``train_rows`` holds train; those without id or text don't.
     """
-    own = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text").where("label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").where(train_rows(F.col("id")))
+    own = docs.select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text"
+    ).where("label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").where(train_rows(F.col("id")))
     rows = labelled_sample(own, SAMPLE, SAMPLE_BYTES)
     names = sorted({r.label for r in rows})
     texts = [np.frombuffer(r.text.encode(), np.uint8) for r in rows]

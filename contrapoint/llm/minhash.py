@@ -103,7 +103,9 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     zeros = REST - 1 - np.floor(np.log2(rest.astype(np.float64))).astype(np.int64)
     zeros = np.clip(zeros, 0, 63)
     shift = REST - 1 - zeros - MANTISSA
-    mantissa = np.where(shift >= 0, rest >> np.maximum(shift, 0).astype(np.uint64), rest << np.maximum(-shift, 0).astype(np.uint64)) & np.uint64(2**MANTISSA - 1)
+    mantissa = np.where(
+        shift >= 0, rest >> np.maximum(shift, 0).astype(np.uint64), rest << np.maximum(-shift, 0).astype(np.uint64)
+    ) & np.uint64(2**MANTISSA - 1)
     regs = (zeros.astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
     row, col = np.nonzero(~full & full.any(axis=1, keepdims=True))
     source = regs.copy()
@@ -226,14 +228,19 @@ def _verified(whole: DataFrame, percent: int) -> DataFrame:
     if (most or 0) <= 1:
         return _compared(whole.select("rep", F.lit(False).alias("first"), "shingles", F.xxhash64("component").alias("tile")), percent, total)
     rows = whole.join(sizes.select("component", "blocks"), "component")
-    edges = _compared(rows.where("blocks = 1").select("rep", F.lit(False).alias("first"), "shingles", F.xxhash64("component").alias("tile")), percent, total)
+    edges = _compared(
+        rows.where("blocks = 1").select("rep", F.lit(False).alias("first"), "shingles", F.xxhash64("component").alias("tile")), percent,
+        total
+    )
     large = staged(rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks"))), "large")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
     deal = lambda df, first, *c: df.select("rep", F.lit(first).alias("first"), "shingles", F.xxhash64("component", *c).alias("tile"))
     weigh = lambda df: (df, percent, df.agg(F.sum(F.length("shingles"))).first()[0])
     least = large.groupBy("component", F.pmod(F.xxhash64("rep", F.lit(8)), F.lit(PIVOTS)).alias("p")).agg(F.min("rep").alias("rep")).select("rep")
     pivots = large.join(least, "rep", "left_semi").withColumn("other", each("blocks"))
-    edges = edges.union(staged(_compared(*weigh(deal(large.join(least, "rep", "left_anti"), False, "block").union(deal(pivots, True, "other")))), "pivot-links"))
+    edges = edges.union(
+        staged(_compared(*weigh(deal(large.join(least, "rep", "left_anti"), False, "block").union(deal(pivots, True, "other")))), "pivot-links")
+    )
     found = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     parts = large.select("rep", "component").join(found, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
     counts = parts.groupBy("component", "part").agg(F.count("*").alias("n"))
@@ -243,7 +250,9 @@ def _verified(whole: DataFrame, percent: int) -> DataFrame:
         return edges
     loose = large.join(loose, "rep", "left_semi")
     sizes = loose.groupBy("component").agg(*sums).select("component", blocks(F.col("n"), F.col("bytes")).alias("loose_blocks"))
-    one = loose.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("loose_blocks"))).withColumn("other", each("blocks"))
+    one = loose.join(sizes, "component").withColumn(
+        "own", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("loose_blocks"))
+    ).withColumn("other", each("blocks"))
     every = large.join(sizes, "component").withColumn("own", each("loose_blocks"))
     return edges.union(_compared(*weigh(deal(one, True, "own", "other").union(deal(every, False, "own", "block")))))
 
@@ -256,9 +265,14 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = shingle_sets(pc.cast(part.column(1), pa.binary()).to_pylist(), width)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (REGISTERS // ROWS)), pa.array(sketches(sets).view(np.int64).ravel()))
+                bands = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (REGISTERS // ROWS)),
+                    pa.array(sketches(sets).view(np.int64).ravel())
+                )
                 keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), keys, bands], names=["doc_id", "n", "key", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), keys, bands], names=["doc_id", "n", "key", "bands"]
+                )
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, key binary, bands array<long>")
@@ -269,12 +283,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     percent = round(100 * threshold)
     least = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / REGISTERS))
     sketched = staged(sketch_documents(docs, width), "sketches")
-    classes = staged(sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = staged(
+        sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(
+            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        ),
+        "classes"
+    )
     # A set of fewer members can't reach the threshold with any other set.
     wide = classes.where(F.col("n") >= int(np.ceil(threshold / (1 - threshold) - 1e-9)))
     banded = wide.select("rep", F.posexplode("bands").alias("band", "h"))
     sizes = banded.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(tile_rows(banded, ["band", "h"], sizes, "rep", BAND_BLOCK).select("rep", F.xxhash64("band", "h", "ti", "tj").alias("tile")), "bands")
+    members = staged(
+        tile_rows(banded, ["band", "h"], sizes, "rep", BAND_BLOCK).select("rep", F.xxhash64("band", "h", "ti", "tj").alias("tile")), "bands"
+    )
     groups = max(1, -(-members.count() // GROUP_ROWS))
 
     def possible(equal: np.ndarray, n_a, n_b) -> np.ndarray:
@@ -306,15 +327,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = shingle_sets(pc.cast(part.column(2), pa.binary()).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "component", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([s.tobytes() for s in found], pa.binary())],
+                    names=["rep", "component", "shingles"]
+                )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL AND text IS NOT NULL")
     near = maybe_among(texts, "node", candidates.select("node")).join(candidates, "node")
-    whole = near.select(F.col("node").alias("rep"), "component", "text").mapInArrow(sets, "rep long, component long, shingles binary").where("length(shingles) > 0")
+    whole = near.select(F.col("node").alias("rep"), "component", "text").mapInArrow(
+        sets, "rep long, component long, shingles binary"
+    ).where("length(shingles) > 0")
     components = connected_components(_verified(staged(whole, "sets"), percent))
     by_class = classes.join(components, classes.rep == components.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
     # Documents without words or id link with nothing, so they keep out of the join on the digest.
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     rows = sketched.where(linked).select("doc_id", "n", "key").join(by_class, "key").select("doc_id", "n", "component")
     rows = rows.union(sketched.where(~linked).select("doc_id", "n", F.col("doc_id").alias("component")))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return rows.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

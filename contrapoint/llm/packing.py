@@ -135,7 +135,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                     for n, a in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[a : a + 4 * capacity]
                         rows.append((doc_id, n, a // 4, len(cut) // 4, zlib.crc32(cut)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"]
+                )
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
@@ -201,11 +204,15 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     salts = max(LEAST_PARTS, -(-most // PART_ROWS))
     salted = parts.withColumn("_salt", F.pmod("_number", F.lit(salts)))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy("length", "_salt").agg(F.count("*").alias("_count")).select("length", "_salt", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_earlier"))
+    offsets = salted.groupBy("length", "_salt").agg(F.count("*").alias("_count")).select(
+        "length", "_salt", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_earlier")
+    )
     within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_number"))
     ranked = salted.withColumn("_row", within).join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_earlier") + F.col("_row") - 1)
     #: One row per run of equal slots; at most a few for each pair of lengths.
-    known = spark.sparkContext.broadcast({c: slots[c].to_numpy() for c in slots} | {"key": slots["length"].to_numpy() * (1 << 48) + slots["rank"].to_numpy()})
+    known = spark.sparkContext.broadcast(
+        {c: slots[c].to_numpy() for c in slots} | {"key": slots["length"].to_numpy() * (1 << 48) + slots["rank"].to_numpy()}
+    )
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

@@ -134,7 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train_rows) -> tuple[np.
 
     A row with labels of both kinds trains with both; an id that no document has does not train.
     """
-    own = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND id IS NOT NULL").where(train_rows(F.col("id"))).distinct()
+    own = labels.select(
+        F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")
+    ).where("label IN (0, 1) AND id IS NOT NULL").where(train_rows(F.col("id"))).distinct()
     # So many labels at most meet the documents; their size is bounded by SAMPLE.
     own = own.orderBy(F.xxhash64("id"), "id", "label").limit(SAMPLE)
     rows = labelled_sample(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(own), "id"), SAMPLE, SAMPLE_BYTES)

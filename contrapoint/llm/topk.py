@@ -25,7 +25,9 @@ BLOCK_BYTES, SHARD_BYTES, ROWS, STEP, FAN_IN = 1 << 23, 1 << 24, 1024, 2048, 8
 def _usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     x = F.col(vector).cast("array<double>")
     rows = df.select(F.col(vec_id).cast("long").alias("id"), x.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    return rows.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))).withColumn("key", F.xxhash64("id", "v"))
+    return rows.where(F.forall(
+        "v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    )).withColumn("key", F.xxhash64("id", "v"))
 
 
 def _blocks(rows: DataFrame, most: int) -> int:
@@ -63,7 +65,9 @@ def _best(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int
         scores = np.concatenate([scores, np.take_along_axis(s, top, 1)], 1)
         ids = np.concatenate([ids, pid[top]], 1)
         there = np.concatenate([there, ~np.take_along_axis(own, top, 1)], 1)
-        keep = np.array([sorted(range(scores.shape[1]), key=lambda j, r=r: (not there[r, j], -scores[r, j], ids[r, j]))[:k] for r in range(len(q))]) if not exact else np.lexsort((ids, -scores, ~there), axis=1)[:, :k]
+        keep = np.array(
+            [sorted(range(scores.shape[1]), key=lambda j, r=r: (not there[r, j], -scores[r, j], ids[r, j]))[:k] for r in range(len(q))]
+        ) if not exact else np.lexsort((ids, -scores, ~there), axis=1)[:, :k]
         scores, ids, there = (np.take_along_axis(x, keep, 1) for x in (scores, ids, there))
     if not exact:
         scores = np.array([[min(max(x, -(2**63)), 2**63 - 1) for x in row] for row in scores], np.int64)
@@ -99,4 +103,6 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, scale: float = 64.
         shards = -(-shards // FAN_IN)
         merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
         lists = lists.groupBy("query_id", "key", F.expr(f"s DIV {FAN_IN}").cast("int").alias("s")).agg(merged)
-    return lists.select("query_id", F.posexplode("best").alias("p", "e")).select("query_id", (F.col("p") + 1).alias("rank"), "e.vec_id", F.expr("~e.neg").alias("score"))
+    return lists.select("query_id", F.posexplode("best").alias("p", "e")).select(
+        "query_id", (F.col("p") + 1).alias("rank"), "e.vec_id", F.expr("~e.neg").alias("score")
+    )

@@ -156,7 +156,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
 
     marked = keyed.withColumn("found", verdicts(F.transform("keys", lambda k: _pair_hash(k)[0]), F.transform("keys", lambda k: _pair_hash(k)[1])))
     fits = F.filter(F.arrays_zip("keys", "found"), lambda z: z["found"] > 0)
-    ranked = F.transform(fits, lambda z: F.struct((F.length(z["keys"]["host"]) + F.length(z["keys"]["path"])).alias("n"), F.length(z["keys"]["host"]).alias("m"), z["found"].alias("found"), F.concat(z["keys"]["host"], z["keys"]["path"]).alias("rule")))
+    ranked = F.transform(
+        fits,
+        lambda z: F.struct(
+            (F.length(z["keys"]["host"]) + F.length(z["keys"]["path"])).alias("n"), F.length(z["keys"]["host"]).alias("m"),
+            z["found"].alias("found"), F.concat(z["keys"]["host"], z["keys"]["path"]).alias("rule")
+        )
+    )
     best = marked.withColumn("best", F.array_max(ranked))
     verdict = F.when(F.col("best.found").isNull(), default).when(F.col("best.found") == 1, "allow").otherwise("block")
     return best.select(*keep, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))

@@ -35,7 +35,10 @@ def test_query_equals_sql(spark, name):
 def test_stages_keep_clean_rows_and_act(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     text = docs.where("length(text) BETWEEN 600 AND 4000").orderBy("doc_id").first().text
-    planted = [(9001, None), (9002, "12 34 !!"), (9003, text), (9004, text + " extra word"), (9005, text[:300] + " mail me at jo.doe@example.com now " + text[300:])]
+    planted = [
+        (9001, None), (9002, "12 34 !!"), (9003, text), (9004, text + " extra word"),
+        (9005, text[:300] + " mail me at jo.doe@example.com now " + text[300:])
+    ]
     docs = docs.union(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in planted], docs.schema))
     columns, labels = docs.columns, {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     before = {r.doc_id for r in docs.collect()}
@@ -50,7 +53,10 @@ def test_stages_keep_clean_rows_and_act(spark):
     assert near.columns == columns and not {9003, 9004} & left
     clean = C.personal_data(spark, near, DATA).cache()
     rows = {r.doc_id: r for r in clean.collect()}
-    assert clean.columns == columns and set(rows) == left and "@example.com" not in " ".join(r.text for r in rows.values()) and all(r.n_chars == len(r.text) for r in rows.values())
+    assert clean.columns == columns and set(rows) == left and "@example.com" not in " ".join(r.text for r in rows.values()) and all(
+        r.n_chars == len(r.text)
+        for r in rows.values()
+    )
     packed = C.packed(spark, clean, DATA).collect()
     assert {r.doc_id for r in packed} == left
 
@@ -62,7 +68,9 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     left = C.near_duplicates(spark, docs, DATA)
     got = [(r.doc_id, r.text) for r in left.collect()]
     assert left.columns == docs.columns and len(got) == 6
-    assert sorted(t[:2] for i, t in got if i is None) == ["b0"] and sorted((i, t[:2]) for i, t in got if i is not None) == [(4, "d0"), (5, "a0"), (7, "c0"), (9, ""), (9, "")]
+    assert sorted(t[:2] for i, t in got if i is None) == ["b0"] and sorted((i, t[:2]) for i, t in got if i is not None) == [
+        (4, "d0"), (5, "a0"), (7, "c0"), (9, ""), (9, "")
+    ]
 
 
 def test_empty_table(spark, tmp_path):
@@ -96,7 +104,10 @@ def test_pipeline_equals_plain_recomputation(spark):
     def language(t):
         total = np.zeros(len(names))
         for a in range(0, len(t), size):
-            before, window, after = (np.frombuffer(x, np.uint8) for x in (t[max(0, a - context) : a], t[a : a + size], t[a + size : a + size + context]))
+            before, window, after = (
+                np.frombuffer(x, np.uint8)
+                for x in (t[max(0, a - context) : a], t[a : a + size], t[a + size : a + size + context])
+            )
             f = gru_language._forward(p["xf"], p["uf"], s := np.concatenate([before, window])[:, None], np.ones(s.shape, np.float32))[len(before) :]
             b = gru_language._forward(p["xb"], p["ub"], s := np.concatenate([window, after])[::-1, None], np.ones(s.shape, np.float32))[::-1]
             z = np.exp(p["w"] @ np.array([np.concatenate([x[5], y[5]])[:, 0] for x, y in zip(f, b[: len(window)], strict=True)]).T + p["c"])
@@ -126,7 +137,10 @@ def test_pipeline_equals_plain_recomputation(spark):
     rows = [(i, t) for k, (i, t) in enumerate(rows) if first[group[k]] == i]
     # Personal data by Python's patterns, terms by counts.
     spans = [[(k, m.start(), m.end(), m[0]) for k, q in PATTERNS.items() for m in re.finditer(q, t) if _valid(k, m[0])] for _, t in rows]
-    seen = [({(k, v.lower()) for k, _, _, v in s}, [(m.start(), m.end(), m[0]) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", t)]) for s, (_, t) in zip(spans, rows, strict=True)]
+    seen = [
+        ({(k, v.lower()) for k, _, _, v in s}, [(m.start(), m.end(), m[0]) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", t)])
+        for s, (_, t) in zip(spans, rows, strict=True)
+    ]
     lower = [{w.lower() for _, _, w in ws} for _, ws in seen]
     n_entity, n_term = Counter(e for es, _ in seen for e in es), Counter(t for ts in lower for t in ts)
     both = Counter((e, t) for (es, _), ts in zip(seen, lower, strict=True) for e in es for t in ts)
@@ -150,7 +164,11 @@ def test_pipeline_equals_plain_recomputation(spark):
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    assert all(sum(n for _, n in x[:k]) == x[k][0] for x in map(sorted, bins.values()) for k in range(len(x))) and all(sum(n for _, n in x) <= 4096 for x in bins.values())
+    assert all(
+        sum(n for _, n in x[:k]) == x[k][0]
+        for x in map(sorted, bins.values())
+        for k in range(len(x))
+    ) and all(sum(n for _, n in x) <= 4096 for x in bins.values())
 
 
 def test_stages_pass_further_columns_of_any_name(spark):

@@ -21,7 +21,9 @@ from contrapoint.llm.common import connected_components, held_out, labelled_samp
 DATA = "/root/testdata/sf0.001"
 AWKWARD = [
     (-1, None), (-2, ""), (-3, " \n\t "), (-4, "one"), (-5, "ONE two"), (-5, "ONE two"), (-6, "a" * 6000 + " " * 300 + "-" * 1000), (-7, "xqzj%" * 500 + "QWE" * 800),
-    (-8, "12 345  \n\n  é́ \x1c x\x85y   漢字🎉 <|endoftext|> don't İıſ %%% w%%% é!"), (-9, "word " * 20000), (None, "one two"), (-10, "a b c d e f g h i j"), (-11, "a b c d e f g h i j k"), (-12, "12 34"),
+    (
+        -8, "12 345  \n\n  é́ \x1c x\x85y   漢字🎉 <|endoftext|> don't İıſ %%% w%%% é!"
+    ), (-9, "word " * 20000), (None, "one two"), (-10, "a b c d e f g h i j"), (-11, "a b c d e f g h i j k"), (-12, "12 34"),
 ]
 
 
@@ -75,7 +77,10 @@ def test_byte_bpe_of_long_words_equals_tiktoken(monkeypatch):
         assert ids(t).tolist() == enc.encode_ordinary(t), t
 
 
-@pytest.mark.parametrize("text", ["a" * 10_000_000, " " * 10_000_000, _letters(3, 10_000_000, "abcdefghijklmnopqrstuvwxyz"), " the cat sat, " * 2_500_000], ids=["run", "blanks", "word", "tokens"])
+@pytest.mark.parametrize(
+    "text", ["a" * 10_000_000, " " * 10_000_000, _letters(3, 10_000_000, "abcdefghijklmnopqrstuvwxyz"), " the cat sat, " * 2_500_000],
+    ids=["run", "blanks", "word", "tokens"]
+)
 def test_byte_bpe_of_ten_millions(text):
     codec = byte_bpe.Codec(byte_bpe.read_ranks(queries.RANKS), P.PATTERN)
     ids = np.frombuffer(codec.encode([text])[0], np.int32)
@@ -120,14 +125,20 @@ def test_lattice_counts_and_marginals(docs, empty):
     words = ["the", "x", "theaea", "漢字a", "🎉", "unción%%%", "a" * 200]
     assert np.allclose(lattice.marginals(words), [brute(w) for w in words])
     uses = lattice.expected(["the"], np.array([3.0]))
-    assert sum(uses[i] * len(p) for i, p in enumerate(lattice.pieces) if uses[i]) == pytest.approx(12)  # every character is covered, as often as the word occurs
+    assert sum(
+        uses[i] * len(p)
+        for i, p in enumerate(lattice.pieces) if uses[i]
+    ) == pytest.approx(12)  # every character is covered, as often as the word occurs
     got = lattice_lm.score(docs, pieces, held_out(F.col("doc_id"), 10, 0)).collect()
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     c = Counter(w for i, t in texts(docs) if not out(i) for w in _tokens(t))
     ends = sum(not out(i) for i, _ in texts(docs))
     n, v = c.total() + ends, len(c) + 1
     base = lambda k: math.log10((k + 0.1) / (n + 0.1 * (v + 1)))
-    want = Counter((i, out(i), len(w := _tokens(t)) + 1, sum(x in c for x in w) + 1, n, round(sum(base(c[x]) for x in w) + base(ends), 5)) for i, t in texts(docs))
+    want = Counter(
+        (i, out(i), len(w := _tokens(t)) + 1, sum(x in c for x in w) + 1, n, round(sum(base(c[x]) for x in w) + base(ends), 5))
+        for i, t in texts(docs)
+    )
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
     assert all(-math.inf < r.score <= 0 for r in got)
     assert lattice_lm.score(empty, pieces, held_out(F.col("doc_id"), 10, 0)).count() == 0
@@ -203,7 +214,13 @@ def _plain_model(rows, pieces, passes=lattice_lm.PASSES):
     texts, words = Counter(z for z, _ in rows), {z: sum(len(ws) for x, ws in rows if x == z) for z in classes}
 
     def text(ws):
-        total = sum((texts[z] + 1) / (len(rows) + len(classes)) * (texts[z] + 1) / (texts[z] + words[z] + 2) * math.prod(word(z, w) * (words[z] + 1) / (texts[z] + words[z] + 2) for w in ws) for z in classes)
+        total = sum(
+            (texts[z] + 1) / (len(rows) + len(classes)) * (texts[z] + 1) / (texts[z] + words[z] + 2) * math.prod(
+                word(z, w) * (words[z] + 1) / (texts[z] + words[z] + 2)
+                for w in ws
+            )
+            for z in classes
+        )
         return math.log10(total)
 
     return text
@@ -211,19 +228,31 @@ def _plain_model(rows, pieces, passes=lattice_lm.PASSES):
 
 def test_lattice_scores_equal_enumeration(spark):
     rng = np.random.default_rng(6)
-    raw = {p: float(x) for p, x in zip(["▁", "▁a", "▁ab", "a", "b", "c", "ab", "bc", "abc", "▁c", "é", *(f"<0x{i:02X}>" for i in range(256))], [*(-rng.random(11) * 3), *[-9.0] * 256], strict=True)}
+    raw = {
+        p: float(x)
+        for p, x in zip(
+            ["▁", "▁a", "▁ab", "a", "b", "c", "ab", "bc", "abc", "▁c", "é", *(f"<0x{i:02X}>" for i in range(256))],
+            [*(-rng.random(11) * 3), *[-9.0] * 256], strict=True
+        )
+    }
     total = math.log(sum(map(math.exp, raw.values())))
     pieces = {p: x - total for p, x in raw.items()}
     vocab = ["ab", "abc", "a", "cab", "bcé", "éx", "漢a", "AB"]
     rows = [(i, " ".join(rng.choice(vocab[: 4 if i % 3 else 8], rng.integers(1, 9))), ("one", "two", "three")[i % 3], "clash") for i in range(40)]
-    rows += [(100, None, "one", "x"), (101, " \t", "two", "x"), (None, "ab ab", "two", "x"), (None, "ab ab", "two", "x"), (102, "ab abcabc zz", None, "x")]
+    rows += [
+        (100, None, "one", "x"), (101, " \t", "two", "x"), (None, "ab ab", "two", "x"), (None, "ab ab", "two", "x"),
+        (102, "ab abcabc zz", None, "x")
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, word string")
     held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
     got = lattice_lm.score(docs, pieces, held, F.col("lang")).collect()
     text = _plain_model([(z or "", [w.decode() for w in _tokens(t)]) for i, t, z, _ in rows if i is None or i % 5], pieces)
     want = sorted((i if i is not None else -1, text([w.decode() for w in _tokens(t)])) for i, t, _, _ in rows)
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in got) == [i for i, _ in want]
-    assert [x for _, x in sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in got)] == pytest.approx([x for _, x in want], rel=1e-5, abs=1e-5)
+    assert [
+        x
+        for _, x in sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in got)
+    ] == pytest.approx([x for _, x in want], rel=1e-5, abs=1e-5)
 
 
 def test_lattice_without_training_rows(spark):
@@ -233,7 +262,9 @@ def test_lattice_without_training_rows(spark):
 
 
 def test_lattice_beats_the_base_on_held_out_rows(spark):
-    sums = queries.op2_lattice_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    sums = queries.op2_lattice_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(
+        F.sum("score").alias("score"), F.sum("base_score").alias("base")
+    ).first()
     assert sums.score > sums.base
 
 
@@ -250,7 +281,10 @@ def test_lattice_of_long_words_and_full_tables(monkeypatch):
     assert (table.lookup(keys) == np.arange(3000)).all() and (table.lookup(keys + np.uint64(2**61)) == 3000).all()
 
 
-PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"
+}
 
 
 def _valid(kind, value):
@@ -261,21 +295,32 @@ def _valid(kind, value):
 
 
 def test_pattern_spans_equal_brute_force(spark, docs, empty):
-    odd = ["a@b.com_x@c.de a@b-c.d.e. @x.y 1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.255 é🎉 me@é.com z@q.r 4111 1111 1111 1111 4111-1111-1111-1112 +1 (22) 333-4444.5) +123 +12345678901234567", "x.y" * 30 + " a@b " + "1 2 3 4 5 6 7 8 9 0 1 2 8 " + "12--34" + "9" * 5000 + "a." * 5000 + "@b.c"]
+    odd = [
+        "a@b.com_x@c.de a@b-c.d.e. @x.y 1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.255 é🎉 me@é.com z@q.r 4111 1111 1111 1111 4111-1111-1111-1112 +1 (22) 333-4444.5) +123 +12345678901234567",
+        "x.y" * 30 + " a@b " + "1 2 3 4 5 6 7 8 9 0 1 2 8 " + "12--34" + "9" * 5000 + "a." * 5000 + "@b.c"
+    ]
     rows = docs.select("doc_id", "text").union(spark.createDataFrame([(-100 - i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
-    want = Counter((i, ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, t or "") if _valid(k, m[0]))) for i, t in texts(rows))
+    want = Counter(
+        (i, ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, t or "") if _valid(k, m[0])))
+        for i, t in texts(rows)
+    )
     assert Counter(tuple(r) for r in disclosure.find(rows).select("doc_id", disclosure.listed(F.col("spans"))).collect()) == want
     assert disclosure.find(empty).count() == 0
 
 
 def test_near_duplicates_of_short_sets_whose_estimate_is_far_off(spark):
     words = [f"w9806x{i}" for i in range(20)]
-    rows = minhash.near_duplicates(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:17]))], "doc_id long, text string"), 1, 0.85).collect()
+    rows = minhash.near_duplicates(
+        spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:17]))], "doc_id long, text string"), 1, 0.85
+    ).collect()
     assert {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (2, 1)}
 
 
 def test_disclosing_terms_and_sanitising(spark):
-    rows = [(i, f"call zorblax ann at zz@a.com about the number {i}", "clash") for i in range(4)] + [(10 + i, f"about the weather ann {i}", None) for i in range(40)] + [(99, None, None)]
+    rows = [
+        (i, f"call zorblax ann at zz@a.com about the number {i}", "clash")
+        for i in range(4)
+    ] + [(10 + i, f"about the weather ann {i}", None) for i in range(40)] + [(99, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     found = {r.doc_id: [t.value for t in r.terms] for r in disclosure.find(docs).collect()}
     assert found[0] == ["call", "zorblax", "number"] and found[10] == [] and found[99] == []
@@ -284,21 +329,29 @@ def test_disclosing_terms_and_sanitising(spark):
 
 
 def test_disclosing_terms_of_an_entity_in_one_or_two_documents(spark):
-    rows = [(1, "write to quibblet about the weather at solo@a.com"), (2, "the weather of glimworth duo@b.com"), (3, "the weather of glimworth duo@b.com about")] + [(10 + i, f"write about the weather to {i}") for i in range(40)]
+    rows = [
+        (1, "write to quibblet about the weather at solo@a.com"), (2, "the weather of glimworth duo@b.com"),
+        (3, "the weather of glimworth duo@b.com about")
+    ] + [(10 + i, f"write about the weather to {i}") for i in range(40)]
     found = {r.doc_id: [t.value for t in r.terms] for r in disclosure.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[1] == ["quibblet"] and found[2] == ["glimworth"] and found[3] == ["glimworth"] and not any(found[i] for i in range(10, 50))
 
 
 def test_disclosing_terms_are_of_any_length_and_anywhere(spark):
     far = "the weather " * 200
-    rows = [(i, f"Li {far}李明 mail me@li.org the {far}k9 weather li Bob") for i in range(2)] + [(10 + i, f"the weather mail bob {i}") for i in range(40)]
+    rows = [
+        (i, f"Li {far}李明 mail me@li.org the {far}k9 weather li Bob")
+        for i in range(2)
+    ] + [(10 + i, f"the weather mail bob {i}") for i in range(40)]
     found = {r.doc_id: [t.value for t in r.terms] for r in disclosure.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[0] == found[1] == ["Li", "李明", "k9", "li"] and not any(found[i] for i in range(10, 50))
 
 
 def test_disclosing_terms_equal_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
-    docs = docs.union(docs.where("text LIKE '%@%'").limit(3)).union(spark.createDataFrame([(-i, f"Ann{i % 3} x{i % 2} İ shared@a.com u{i}@b.org ΟΔΟΣ.Α q{i}") for i in range(1, 9)], "doc_id long, text string")).cache()
+    docs = docs.union(docs.where("text LIKE '%@%'").limit(3)).union(
+        spark.createDataFrame([(-i, f"Ann{i % 3} x{i % 2} İ shared@a.com u{i}@b.org ΟΔΟΣ.Α q{i}") for i in range(1, 9)], "doc_id long, text string")
+    ).cache()
     rows = disclosure.find(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
     seen = [({f"{s.kind}:{s.value.lower()}" for s in r.spans}, regex.findall(r"[\p{L}\p{M}\p{N}]+", r.text or "")) for r in rows]
     lower = [{w.lower() for w in words} for _, words in seen]
@@ -307,7 +360,10 @@ def test_disclosing_terms_equal_brute_force(spark):
     large = {(e, w.lower()) for es, words in seen for e in es for w in words if not regex.fullmatch(r"(?:\p{Ll}\p{M}*){1,3}", w)}
     flagged = {(e, t) for e, t in large if 1 - math.log(n_term[t] / both[e, t]) / math.log(len(rows) / n_entity[e]) >= 0.9}
     for r, (es, _) in zip(rows, seen, strict=True):
-        hits = [(m.start(), m.end(), m.group()) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", r.text or "") if any((e, m.group().lower()) in flagged for e in es)]
+        hits = [
+            (m.start(), m.end(), m.group())
+            for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", r.text or "") if any((e, m.group().lower()) in flagged for e in es)
+        ]
         assert [(t.start, t.end, t.value) for t in r.terms] == [h for h in hits if not any(s.start < h[1] and h[0] < s.end for s in r.spans)]
     assert sum(len(r.terms) for r in rows) > 50
 
@@ -319,7 +375,9 @@ def test_near_duplicates_equal_brute_force(docs, empty, width, percent, monkeypa
     sets, same = [], defaultdict(list)
     for i, t in texts(docs):
         w = _tokens(t)
-        sets.append((i, frozenset(tuple(w[j : j + width]) for j in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])))
+        sets.append(
+            (i, frozenset(tuple(w[j : j + width]) for j in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
+        )
         same[i].append(len(sets) - 1)
     links = defaultdict(set)
     for a, (i, x) in enumerate(sets):
@@ -419,7 +477,10 @@ def test_gru_fast_path_equals_plain_states(monkeypatch):
 
 
 def test_language_learns_from_whole_texts(spark):
-    rows = [(i, "x" * 3000 + ("ab" if i % 2 else "cd") * 700, "one" if i % 2 else "two") for i in range(40)] + [(99, None, "one"), (None, "ab", "two"), (98, "", "three")]
+    rows = [
+        (i, "x" * 3000 + ("ab" if i % 2 else "cd") * 700, "one" if i % 2 else "two")
+        for i in range(40)
+    ] + [(99, None, "one"), (None, "ab", "two"), (98, "", "three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = gru_language.fit(docs, lambda i: i.isNotNull())
     assert model[0] == ["one", "three", "two"]
@@ -428,7 +489,9 @@ def test_language_learns_from_whole_texts(spark):
 
 
 def test_labelled_sample_is_bounded_and_takes_whole_texts(spark):
-    rows = spark.createDataFrame([(i, i % 2, "y" * (50 if i == 3 else 10)) for i in range(20)] + [(7, 1, "y" * 10)], "id long, label int, text string")
+    rows = spark.createDataFrame(
+        [(i, i % 2, "y" * (50 if i == 3 else 10)) for i in range(20)] + [(7, 1, "y" * 10)], "id long, label int, text string"
+    )
     got = labelled_sample(rows, 15, 100)
     assert 5 <= len(got) <= 10 and {len(r.text) for r in got} <= {10, 50} and sum(len(r.text) for r in got) <= 100
     assert len(labelled_sample(rows, 100, 1000)) == 20
@@ -478,8 +541,14 @@ def test_packing_ids_of_marks_and_odd_letters_equal_the_tokenizer():
     with open(queries.WORD_BPE, encoding="utf-8") as f:
         own = packing.WordIds(f.read())
     rng = np.random.default_rng(5)
-    parts = [*"aBjJtTzİıſßŉΣςДЪñÉ漢字ﬁ７٣5xQ", *"\u030c\u0308\u0301\u0323\u0345\u200d\u1c89", *",.!?'-<|>_", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", " ", "\u00a0", "\u0085", "\t", "ARİ", "K", "Å"]
-    texts = ["TARİHİ, J\u030c T\u0308! ǰ Ǆ! A\u0323\u0302."] + ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 14))) for _ in range(30_000)]
+    parts = [
+        *"aBjJtTzİıſßŉΣςДЪñÉ漢字ﬁ７٣5xQ", *"\u030c\u0308\u0301\u0323\u0345\u200d\u1c89", *",.!?'-<|>_", "'s", "'LL", "<|endoftext|>",
+        "<|startoftext|>", " ", "\u00a0", "\u0085", "\t", "ARİ", "K", "Å"
+    ]
+    texts = ["TARİHİ, J\u030c T\u0308! ǰ Ǆ! A\u0323\u0302."] + [
+        "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 14)))
+        for _ in range(30_000)
+    ]
     words = [own.split(t.encode()) for t in texts]
     own.learn(list(set().union(*words)))
     for t, ws, e in zip(texts, words, Tokenizer.from_file(queries.WORD_BPE).encode_batch(texts, add_special_tokens=False), strict=True):
@@ -487,7 +556,10 @@ def test_packing_ids_of_marks_and_odd_letters_equal_the_tokenizer():
 
 
 def test_packing_of_rows_alike_and_clashing_names(spark):
-    rows = spark.createDataFrame([(None, 0, 0, 100, 7, "x", 1, 2, 3)] * 300, "doc_id long, piece int, start long, length long, ids_crc32 long, salt string, rank int, row int, offset int")
+    rows = spark.createDataFrame(
+        [(None, 0, 0, 100, 7, "x", 1, 2, 3)] * 300,
+        "doc_id long, piece int, start long, length long, ids_crc32 long, salt string, rank int, row int, offset int"
+    )
     got = packing.pack(rows).collect()
     assert len(got) == 300 and len({(r.sequence_id, r.offset) for r in got}) == 300 and {r.salt for r in got} == {"x"} and all(r.offset % 100 == 0 for r in got)
 

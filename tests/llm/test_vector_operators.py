@@ -12,7 +12,10 @@ NAN, INF = float("nan"), float("inf")
 def brute_top(rows, queries_, k):
     out = set()
     for q, v in queries_:
-        scored = sorted((-sum(int(np.floor(64 * a)) * int(np.floor(64 * b)) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))
+        scored = sorted(
+            (-sum(int(np.floor(64 * a)) * int(np.floor(64 * b)) for a, b in zip(v, w, strict=True)), i)
+            for i, w in rows if i != q and len(w) == len(v)
+        )
         out |= {(q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)}
     return out
 
@@ -50,8 +53,13 @@ def test_cap_filters_find_every_link(spark, monkeypatch, blocks):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((12, 8))
     rows = [(i, (base[i % 12] + rng.normal(0, 0.12, 8)).tolist(), i % 3) for i in range(150)]
-    rows += [(200 + i, rows[0][1], rows[0][2]) for i in range(20)] + [(300, [2 * x for x in rows[1][1]], rows[1][2]), (301, [1e200, *[0.0] * 7], 0), (302, [1.0, *[0.0] * 7], 0)]
-    odd = [(400, None, 0), (401, [0.0] * 8, 0), (402, [NAN] * 8, 0), (403, rows[0][1], None), (404, [], 0), (405, [None] * 8, 0), (406, rows[0][1][:4], rows[0][2])]
+    rows += [(200 + i, rows[0][1], rows[0][2]) for i in range(20)] + [
+        (300, [2 * x for x in rows[1][1]], rows[1][2]), (301, [1e200, *[0.0] * 7], 0), (302, [1.0, *[0.0] * 7], 0)
+    ]
+    odd = [
+        (400, None, 0), (401, [0.0] * 8, 0), (402, [NAN] * 8, 0), (403, rows[0][1], None), (404, [], 0), (405, [None] * 8, 0),
+        (406, rows[0][1][:4], rows[0][2])
+    ]
     df = spark.createDataFrame([(*r, "clash") for r in rows + odd], "vec_id long, embedding array<double>, label int, component_id string")
     unit = {}
     for i, v, c in rows + [odd[-1]]:
@@ -73,7 +81,11 @@ def test_cap_filters_find_every_link(spark, monkeypatch, blocks):
 
 
 def test_url_rules(spark):
-    urls = ["https://a.com/x", "http://COM/", "https://com", "https://example.com/en/1?q", "https://www.Example.com/en/", "https://www.example.com/e", "x://b.net/es/é#f", "x://net/fr/", "x://net.example/fr/", "no scheme", None, "", "a://b://c.com/", "http://x.com\n/en/", "https://notexample.com/en/", "https://a.example.com/en/x/y", "://com/"]
+    urls = [
+        "https://a.com/x", "http://COM/", "https://com", "https://example.com/en/1?q", "https://www.Example.com/en/",
+        "https://www.example.com/e", "x://b.net/es/é#f", "x://net/fr/", "x://net.example/fr/", "no scheme", None, "", "a://b://c.com/",
+        "http://x.com\n/en/", "https://notexample.com/en/", "https://a.example.com/en/x/y", "://com/"
+    ]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
 
@@ -84,7 +96,10 @@ def test_url_rules(spark):
         fit = [(len(h + p), h + p, v) for h, p, v in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return (host, path, max(fit)[1], max(fit)[2]) if fit else (host, path, None, "allow")
 
-    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_cascade.judge(pages, rules).collect()) == [(i, *judge(u)) for i, u in enumerate([*urls, urls[0]])]
+    assert sorted(
+        (r.page_id, r.host, r.path, r.rule, r.verdict)
+        for r in url_cascade.judge(pages, rules).collect()
+    ) == [(i, *judge(u)) for i, u in enumerate([*urls, urls[0]])]
     assert url_cascade.judge(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_cascade.judge(pages, rules.limit(0), "block").collect()} == {"block"}
 
@@ -103,12 +118,20 @@ def test_cascade_is_exact_over_its_universe():
 
 
 def test_urls_of_any_length_and_rules_in_both_lists(spark):
-    rules = spark.createDataFrame([("b.c", "/", "allow"), ("b.c", "/", "block"), ("c", "/x", "allow"), (None, "/", "block"), ("c", None, "block")], "host string, path string, verdict string")
+    rules = spark.createDataFrame(
+        [("b.c", "/", "allow"), ("b.c", "/", "block"), ("c", "/x", "allow"), (None, "/", "block"), ("c", None, "block")],
+        "host string, path string, verdict string"
+    )
     long = "a." * 20_000 + "b.c"
-    pages = spark.createDataFrame([(1, f"http://{long}/x"), (2, "http://z.c/x" + "y" * 100_000), (3, None), (4, "http://"), (5, "no url")], "page_id long, url string").withColumn("host", F.lit("clash"))
+    pages = spark.createDataFrame(
+        [(1, f"http://{long}/x"), (2, "http://z.c/x" + "y" * 100_000), (3, None), (4, "http://"), (5, "no url")], "page_id long, url string"
+    ).withColumn("host", F.lit("clash"))
     got = {r.page_id: r for r in url_cascade.judge(pages, rules, default="allow", keep=("page_id", "host")).collect()}
     assert got[1].host == long and (got[1].rule, got[1].verdict) == ("b.c/", "block")
-    assert (got[2].rule, got[2].verdict) == ("c/x", "allow") and {(got[i].host, got[i].rule, got[i].verdict) for i in (3, 4, 5)} == {("", None, "allow")}
+    assert (got[2].rule, got[2].verdict) == ("c/x", "allow") and {
+        (got[i].host, got[i].rule, got[i].verdict)
+        for i in (3, 4, 5)
+    } == {("", None, "allow")}
     assert url_cascade.judge(pages.limit(0), rules).count() == 0
 
 

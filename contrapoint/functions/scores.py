@@ -73,14 +73,20 @@ def with_percentile_rank(rows: DataFrame, value: str, reference: DataFrame, ref_
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))])  # at most 511 numbers
     bucket = lambda v: F.size(F.filter(bounds, lambda c: c < v))
     counts = ref.groupBy(bucket(F.col("_v")).alias("_b")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before", "_n")
+    before = counts.withColumn(
+        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).select("_b", "_before", "_n")
     values = ref.groupBy("_v").agg(F.count("*").alias("_c")).select("_v", "_c", bucket(F.col("_v")).alias("_b"))
     wanted = rows.select(F.col(value).cast("double").alias("_v")).distinct().where("_v IS NOT NULL").withColumn("_b", bucket(F.col("_v"))).withColumn("_c", F.lit(0).cast("long"))
     inside = values.select("_b", "_v", "_c").unionByName(wanted.select("_b", "_v", "_c")).groupBy("_b", "_v").agg(F.sum("_c").alias("_c"))
     upto = inside.withColumn("_in", F.sum("_c").over(Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
     # A bucket without reference values takes the count of all lower ones.
-    known = before.select("_b", "_before").unionByName(upto.select("_b").distinct().join(before, "_b", "left_anti").withColumn("_before", F.lit(None).cast("long")))
-    ends = known.join(before.select("_b", "_n"), "_b", "left").withColumn("_upto", F.max(F.col("_before") + F.col("_n")).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    known = before.select("_b", "_before").unionByName(
+        upto.select("_b").distinct().join(before, "_b", "left_anti").withColumn("_before", F.lit(None).cast("long"))
+    )
+    ends = known.join(before.select("_b", "_n"), "_b", "left").withColumn(
+        "_upto", F.max(F.col("_before") + F.col("_n")).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    )
     known = ends.select("_b", F.coalesce("_before", "_upto", F.lit(0)).alias("_before"))
     share = upto.join(known, "_b").select("_v", ((F.col("_before") + F.col("_in")) / F.lit(total)).alias(out))
     return rows.withColumn("_v", F.col(value).cast("double")).join(share, "_v", "left").drop("_v")
@@ -99,7 +105,10 @@ def weighted(parts: dict[str, Column], weights: dict[str, float], renormalise: b
     return F.when(used > 0, value)
 
 
-def merged_plausibility(tabular: Column, series: Column, tab_weight: float = 0.5, text: Column | None = None, base_weight: float = 1.0, text_weight: float = 1.0, how: str = "weighted_mean") -> Column:
+def merged_plausibility(
+    tabular: Column, series: Column, tab_weight: float = 0.5, text: Column | None = None, base_weight: float = 1.0,
+    text_weight: float = 1.0, how: str = "weighted_mean"
+) -> Column:
     """Tabular and series plausibility by weight, then with the text's as a weighted sum or mean."""
     w = min(max(tab_weight, 0.0), 1.0)
     base = w * tabular + (1 - w) * series
@@ -111,13 +120,17 @@ def merged_plausibility(tabular: Column, series: Column, tab_weight: float = 0.5
 
 def baseline_tabular(factual: Column, candidate: Column) -> tuple[Column, Column]:
     """The baselines' own proximity (mean difference) and sparsity (number of changed features)."""
-    return tabular_proximity(factual, candidate), F.aggregate(F.zip_with(factual, candidate, lambda x, y: (x != y).cast("double")), F.lit(0.0), lambda a, b: a + b)
+    return tabular_proximity(factual, candidate), F.aggregate(
+        F.zip_with(factual, candidate, lambda x, y: (x != y).cast("double")), F.lit(0.0), lambda a, b: a + b
+    )
 
 
 def baseline_embedding(factual: Column, candidate: Column) -> tuple[Column, Column]:
     """The baselines' own proximity (1 - cosine) and sparsity (mean difference)."""
     size = norm(factual) * norm(candidate)
-    return F.when((norm(factual) < 1e-12) | (norm(candidate) < 1e-12), F.lit(1.0)).otherwise(1 - dot(factual, candidate) / size), tabular_proximity(factual, candidate)
+    return F.when(
+        (norm(factual) < 1e-12) | (norm(candidate) < 1e-12), F.lit(1.0)
+    ).otherwise(1 - dot(factual, candidate) / size), tabular_proximity(factual, candidate)
 
 
 def baseline_series(factual: Column, candidate: Column) -> tuple[Column, Column]:

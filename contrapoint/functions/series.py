@@ -43,7 +43,10 @@ def warp(cost, n: int, m: int, count: int, window: float | None) -> np.ndarray:
     for i in range(1, n + 1):
         now = np.full((m + 1, count), np.inf)
         middle = i * m / n
-        for j in range(max(1, int(np.ceil(middle - band)) if window is not None else 1), min(m, int(np.floor(middle + band)) if window is not None else m) + 1):
+        for j in range(
+            max(1, int(np.ceil(middle - band)) if window is not None else 1),
+            min(m, int(np.floor(middle + band)) if window is not None else m) + 1
+        ):
             now[j] = cost(i - 1, j - 1) + np.minimum(np.minimum(before[j], now[j - 1]), before[j - 1])
         before = now
     return before[m]
@@ -186,7 +189,12 @@ def sparsity(a: Column, b: Column, tau: Column | None = None) -> Column:
     """The mean over channels of the share of steps that differ by more than the channel's ``tau`` (else by anything)."""
     tau = F.transform(a, lambda ch: F.lit(0.0)) if tau is None else tau
     triples = F.arrays_zip(a.alias("a"), b.alias("b"), tau.alias("t"))
-    share = F.transform(triples, lambda z: F.aggregate(F.zip_with(z["a"], z["b"], lambda p, q: (F.abs(p - q) > z["t"]).cast("double")), F.lit(0.0), lambda s, v: s + v) / F.size(z["a"]))
+    share = F.transform(
+        triples,
+        lambda z: F.aggregate(
+            F.zip_with(z["a"], z["b"], lambda p, q: (F.abs(p - q) > z["t"]).cast("double")), F.lit(0.0), lambda s, v: s + v
+        ) / F.size(z["a"])
+    )
     return F.aggregate(share, F.lit(0.0), lambda s, v: s + v) / F.size(share)
 
 

@@ -12,7 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Other names of the metrics and encoders.
-METRIC_ALIASES = {"rouge1": "rouge_1", "rouge-1": "rouge_1", "rouge2": "rouge_2", "rouge-2": "rouge_2", "rougel": "rouge_l", "rouge-l": "rouge_l", "levenshtein_lcs": "lcs"}
+METRIC_ALIASES = {
+    "rouge1": "rouge_1", "rouge-1": "rouge_1", "rouge2": "rouge_2", "rouge-2": "rouge_2", "rougel": "rouge_l", "rouge-l": "rouge_l",
+    "levenshtein_lcs": "lcs"
+}
 ENCODER_ALIASES = {
     "sbert": "bert", "sentence-bert": "bert", "all-minilm-l6-v2": "minilm", "w2v": "word2vec", "word2vec_avg": "word2vec", "raw_text": "raw",
     "none": "raw", "tf-idf": "tfidf",
@@ -42,7 +45,9 @@ def tokens(text: Column) -> Column:
 def ngrams(toks: Column, n: int) -> Column:
     """The n-grams of a token array in order, joined by blanks."""
     count = F.size(toks) - n + 1
-    return F.when(count < 1, F.expr("CAST(array() AS array<string>)")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, n), " ")))
+    return F.when(count < 1, F.expr("CAST(array() AS array<string>)")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, n), " "))
+    )
 
 
 def rouge_n(a: Column, b: Column, n: int) -> Column:
@@ -117,7 +122,10 @@ def bleu_similarity(a: list, b: list, most: int = 4) -> float:
     return min(1.0, max(0.0, penalty * math.exp(sum(logs) / len(logs))))
 
 
-SIMILARITIES = {"lcs": lcs_similarity, "rouge_l": rouge_l_similarity, "rouge_1": rouge_n_similarity(1), "rouge_2": rouge_n_similarity(2), "bleu": bleu_similarity}
+SIMILARITIES = {
+    "lcs": lcs_similarity, "rouge_l": rouge_l_similarity, "rouge_1": rouge_n_similarity(1), "rouge_2": rouge_n_similarity(2),
+    "bleu": bleu_similarity
+}
 
 
 def _grams(tokens_: list, n: int) -> Counter:
@@ -224,7 +232,10 @@ def _lcs(common: np.ndarray, n: int, lens: np.ndarray) -> np.ndarray:
     return np.where((lens > 0) | (n > 0), common / np.maximum(np.maximum(lens, n), 1), 1.0)
 
 
-KERNELS = {"rouge_1": _rouge_kernel(1), "rouge_2": _rouge_kernel(2), "rouge_l": _subsequence_kernel(_rouge_l), "lcs": _subsequence_kernel(_lcs), "bleu": _bleu_kernel}
+KERNELS = {
+    "rouge_1": _rouge_kernel(1), "rouge_2": _rouge_kernel(2), "rouge_l": _subsequence_kernel(_rouge_l), "lcs": _subsequence_kernel(_lcs),
+    "bleu": _bleu_kernel
+}
 
 
 def kernel(metric: str):
@@ -256,4 +267,6 @@ def url_domain(url: Column) -> Column:
 def parse_list(text: Column) -> Column:
     """The quoted elements of a list that was written as text, such as ['a', "b"]; none for anything else."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), F.lit(0))
-    return F.when(F.coalesce(text, F.lit("")).rlike(r"^\s*\["), F.transform(found, lambda t: F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    return F.when(
+        F.coalesce(text, F.lit("")).rlike(r"^\s*\["), F.transform(found, lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
+    ).otherwise(F.expr("CAST(array() AS array<string>)"))

@@ -60,7 +60,13 @@ def last_per_cell(scores: DataFrame, row: str, column: str, values: list[str], m
 
 def summary(scores: DataFrame, keys: list[str], columns=OBJECTIVES, digits: int = 4) -> DataFrame:
     """Rounded mean and sample standard deviation of each column."""
-    return scores.groupBy(*keys).agg(*[f(finite(c)).alias(f"{c}_{n}") for c in columns for n, f in (("mean", lambda x: F.round(F.avg(x), digits)), ("std", lambda x: F.round(F.stddev_samp(x), digits)))])
+    return scores.groupBy(*keys).agg(
+        *[
+            f(finite(c)).alias(f"{c}_{n}")
+            for c in columns
+            for n, f in (("mean", lambda x: F.round(F.avg(x), digits)), ("std", lambda x: F.round(F.stddev_samp(x), digits)))
+        ]
+    )
 
 
 def pareto_front(points: DataFrame, columns: list[str], key: str) -> DataFrame:
@@ -70,7 +76,9 @@ def pareto_front(points: DataFrame, columns: list[str], key: str) -> DataFrame:
     partitions are joined and thinned again, and what is left is dealt to tiles of two blocks, each of which drops the
     rows that the other block beats. So no task holds more than two blocks, however long the front is.
     """
-    distinct = points.select(*[F.col(c).cast("double").alias(c) for c in columns]).where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])).distinct()
+    distinct = points.select(*[F.col(c).cast("double").alias(c) for c in columns]).where(reduce(
+        lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns]
+    )).distinct()
 
     def thinned(batches):
         held = np.empty((0, len(columns)))
@@ -131,14 +139,21 @@ def running_sum(rows: DataFrame, keys: list[str], order: str, value: str, out: s
     rows = rows.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts", *names)
     totals = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_t"))
     lower = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_t").over(lower), F.lit(0)).alias("_shift"))
+    shifts = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"),
+        F.coalesce(F.sum("_t").over(lower), F.lit(0)).alias("_shift")
+    )
     inside = F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(out, inside).join(shifts, same() & (F.col("_part") == F.col("_p"))).withColumn(out, F.col(out) + F.col("_shift")).drop("_part", "_p", "_shift", *names)
+    return rows.withColumn(out, inside).join(
+        shifts, same() & (F.col("_part") == F.col("_p"))
+    ).withColumn(out, F.col(out) + F.col("_shift")).drop("_part", "_p", "_shift", *names)
 
 
 def coverage(runs: DataFrame) -> DataFrame:
     """``runs`` with candidates per sample and whether there are any at all."""
-    return runs.withColumn("coverage", F.col("n_candidates") / F.col("n_samples")).withColumn("coverage_flag", (F.col("n_candidates") > 0).cast("int"))
+    return runs.withColumn("coverage", F.col("n_candidates") / F.col("n_samples")).withColumn(
+        "coverage_flag", (F.col("n_candidates") > 0).cast("int")
+    )
 
 
 def runtime_per_sample(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,7 +188,10 @@ def auroc(rows: DataFrame, keys: list[str] | None = None, score: str = "score",
 
 def auroc_ovr(rows: DataFrame, classes: list[int], score_array: str = "scores", label: str = "label") -> DataFrame:
     """The mean over classes of one-versus-rest areas."""
-    each = rows.select(F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in classes]).alias("cls"), F.col(score_array).alias("score"))).alias("z"), F.col(label).alias("y"))
+    each = rows.select(
+        F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in classes]).alias("cls"), F.col(score_array).alias("score"))).alias("z"),
+        F.col(label).alias("y")
+    )
     flat = each.select("z.cls", "z.score", (F.col("y") == F.col("z.cls")).cast("int").alias("label"))
     return auroc(flat, ["cls"]).agg(F.avg("auroc").alias("auroc"))
 
@@ -181,8 +199,19 @@ def auroc_ovr(rows: DataFrame, classes: list[int], score_array: str = "scores",
 def class_report(rows: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """Precision, recall, F1 and support by class; absent denominators give 0."""
     confusion = rows.groupBy(F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
-    both = confusion.select(F.explode(F.array(F.struct(F.col("y").alias("cls"), F.col("n").alias("real"), F.lit(0).cast("long").alias("said")), F.struct(F.col("p").alias("cls"), F.lit(0).cast("long").alias("real"), F.col("n").alias("said")))).alias("z"), (F.col("y") == F.col("p")).alias("hit"))
-    sums = both.groupBy("z.cls").agg(F.sum("z.real").alias("support"), F.sum("z.said").alias("said"), F.sum(F.when(F.col("hit"), F.col("z.real")).otherwise(0)).alias("tp"))
+    both = confusion.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("y").alias("cls"), F.col("n").alias("real"), F.lit(0).cast("long").alias("said")),
+                F.struct(F.col("p").alias("cls"), F.lit(0).cast("long").alias("real"), F.col("n").alias("said"))
+            )
+        ).alias("z"),
+        (F.col("y") == F.col("p")).alias("hit")
+    )
+    sums = both.groupBy("z.cls").agg(
+        F.sum("z.real").alias("support"), F.sum("z.said").alias("said"),
+        F.sum(F.when(F.col("hit"), F.col("z.real")).otherwise(0)).alias("tp")
+    )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = sums.withColumn("precision", ratio(F.col("tp"), F.col("said"))).withColumn("recall", ratio(F.col("tp"), F.col("support")))
     return out.select("cls", "precision", "recall", ratio(2.0 * F.col("tp"), F.col("said") + F.col("support")).alias("f1"), "support")

@@ -21,7 +21,9 @@ def consensus(lists: dict[str, DataFrame], k: int) -> DataFrame:
     One shuffle: the union is grouped by query and training row. Distances are summed as they are.
     """
     summed = union_spaces(lists).groupBy("query_id", "train_id").agg(F.sum("distance").alias("distance"), F.count("*").alias("n"))
-    ranked = summed.where(F.col("n") == len(lists)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "train_id")))
+    ranked = summed.where(F.col("n") == len(lists)).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "train_id"))
+    )
     return ranked.where(F.col("rank") <= k).select("query_id", "train_id", "rank", "distance")
 
 
@@ -29,7 +31,9 @@ def gathered(neighbours: DataFrame, rows: DataFrame) -> DataFrame:
     """Each query's neighbours' vectors in rank order: (``query_id``, ``n``, ``ids``, ``rows``). At most k per query."""
     joined = neighbours.join(rows.select(F.col("sample_id").alias("train_id"), "value"), "train_id")
     packed = F.array_sort(F.collect_list(F.struct("rank", "train_id", "value")))
-    return joined.groupBy("query_id").agg(packed.alias("all")).select("query_id", F.size("all").alias("n"), F.col("all.train_id").alias("ids"), F.col("all.value").alias("rows"))
+    return joined.groupBy("query_id").agg(packed.alias("all")).select(
+        "query_id", F.size("all").alias("n"), F.col("all.train_id").alias("ids"), F.col("all.value").alias("rows")
+    )
 
 
 def _prefix(i: Column, n: Column, step: str) -> Column:
@@ -49,7 +53,10 @@ def progressive_medians(neighbours: DataFrame, rows: DataFrame, step: str = "odd
     used = _prefix(F.col("cand_rank"), F.col("n"), step)
     at = F.col("cand_rank") if anchor == "rank" else F.least(2 * F.col("cand_rank") - 1, F.col("n"))
     each = each.withColumn("n_used", used).withColumn("anchor_id", F.get("ids", at - 1))
-    return each.select("query_id", "cand_rank", "n_used", "anchor_id", column_medians(F.slice("rows", 1, F.col("n_used")), F.size(F.get("rows", F.lit(0)))).alias("value"))
+    return each.select(
+        "query_id", "cand_rank", "n_used", "anchor_id",
+        column_medians(F.slice("rows", 1, F.col("n_used")), F.size(F.get("rows", F.lit(0)))).alias("value")
+    )
 
 
 def progressive_series_medians(neighbours: DataFrame, rows: DataFrame, step: str = "odd") -> DataFrame:
@@ -70,11 +77,25 @@ def synthesis(numeric: dict[str, tuple[DataFrame, DataFrame]], anchored: dict[st
     ``cand_rank``, ``num`` (branch -> vector), ``anchors`` (branch -> training id).
     """
     keys = ["query_id", "cand_rank"]
-    frames = [progressive_medians(n, rows, "step").where(F.col("cand_rank") <= k).select(*keys, F.col("value").alias(f"num_{b}"), F.col("anchor_id").alias(f"id_{b}")) for b, (n, rows) in numeric.items()]
-    frames += [n.where(F.col("rank") <= k).select("query_id", F.col("rank").alias("cand_rank"), F.col("train_id").alias(f"id_{b}")) for b, n in anchored.items()]
+    frames = [
+        progressive_medians(n, rows, "step").where(F.col("cand_rank") <= k).select(
+            *keys, F.col("value").alias(f"num_{b}"), F.col("anchor_id").alias(f"id_{b}")
+        )
+        for b, (n, rows) in numeric.items()
+    ]
+    frames += [
+        n.where(F.col("rank") <= k).select("query_id", F.col("rank").alias("cand_rank"), F.col("train_id").alias(f"id_{b}"))
+        for b, n in anchored.items()
+    ]
     joined = reduce(lambda a, b: a.join(b, keys), frames)
-    num = F.create_map(*[x for b in numeric for x in (F.lit(b), F.col(f"num_{b}"))]) if numeric else F.expr("CAST(map() AS map<string,array<double>>)")
-    return joined.select(*keys, num.alias("num"), F.create_map(*[x for b in (*numeric, *anchored) for x in (F.lit(b), F.col(f"id_{b}"))]).alias("anchors"))
+    num = F.create_map(*[
+        x
+        for b in numeric
+        for x in (F.lit(b), F.col(f"num_{b}"))
+    ]) if numeric else F.expr("CAST(map() AS map<string,array<double>>)")
+    return joined.select(
+        *keys, num.alias("num"), F.create_map(*[x for b in (*numeric, *anchored) for x in (F.lit(b), F.col(f"id_{b}"))]).alias("anchors")
+    )
 
 
 def early_fusion(branches: list[DataFrame]) -> DataFrame:

@@ -76,9 +76,15 @@ def word_vector_mean(texts: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     """The mean vector of a text's known tokens (with repeats), zeros if there are none."""
     from ..functions.text import tokens
 
-    each = texts.select("sample_id", F.explode(tokens(F.col("text"))).alias("word")).join(vectors, "word").select("sample_id", F.posexplode("vec").alias("d", "x"))
-    means = each.groupBy("sample_id", "d").agg(F.avg("x").alias("x")).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda z: z["x"]).alias("value"))
-    return texts.select("sample_id").join(means, "sample_id", "left").select("sample_id", F.coalesce("value", F.array_repeat(F.lit(0.0), dim)).alias("value"))
+    each = texts.select(
+        "sample_id", F.explode(tokens(F.col("text"))).alias("word")
+    ).join(vectors, "word").select("sample_id", F.posexplode("vec").alias("d", "x"))
+    means = each.groupBy("sample_id", "d").agg(F.avg("x").alias("x")).groupBy("sample_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda z: z["x"]).alias("value")
+    )
+    return texts.select("sample_id").join(means, "sample_id", "left").select(
+        "sample_id", F.coalesce("value", F.array_repeat(F.lit(0.0), dim)).alias("value")
+    )
 
 
 def embedding_udf(f: Callable[[list], np.ndarray]):

@@ -22,5 +22,8 @@ def evaluate(candidates: DataFrame, factuals: DataFrame, predict, tau=None) -> D
     both = lambda a, b: F.when(F.col("ser").isNull(), a).when(F.col("tab").isNull(), b).otherwise((a + b) / 2)
     near = both(scores.tabular_proximity(F.col("f_tab"), F.col("tab")), series.proximity(F.col("f_ser"), F.col("ser")))
     sparse = both(scores.tabular_sparsity(F.col("f_tab"), F.col("tab")), series.sparsity(F.col("f_ser"), F.col("ser"), tau))
-    out = j.select("query_id", "method", "before", "after", scores.flipped(F.col("before"), F.col("after")).alias("flipped"), scores.outcome(F.col("after"), F.col("target")).alias("outcome"), near.alias("proximity"), sparse.alias("sparsity"))
+    out = j.select(
+        "query_id", "method", "before", "after", scores.flipped(F.col("before"), F.col("after")).alias("flipped"),
+        scores.outcome(F.col("after"), F.col("target")).alias("outcome"), near.alias("proximity"), sparse.alias("sparsity")
+    )
     return out.orderBy("method", F.col("flipped").desc(), "outcome")

@@ -20,8 +20,12 @@ def fit(reference: DataFrame, k: int | None = None) -> DataFrame:
     k = k or neighbour_count(reference.count())
     own = knn(reference, reference, k, exclude_self=True)
     far = own.groupBy("query_id").agg(F.max("distance").alias("k_distance"))
-    reach = own.join(far.select(F.col("query_id").alias("train_id"), "k_distance"), "train_id").groupBy("query_id").agg((1 / (F.avg(F.greatest("distance", "k_distance")) + TINY)).alias("lrd"))
-    return reference.select("sample_id", "value").join(far, F.col("sample_id") == far.query_id).drop("query_id").join(reach, F.col("sample_id") == reach.query_id).drop("query_id")
+    reach = own.join(
+        far.select(F.col("query_id").alias("train_id"), "k_distance"), "train_id"
+    ).groupBy("query_id").agg((1 / (F.avg(F.greatest("distance", "k_distance")) + TINY)).alias("lrd"))
+    return reference.select("sample_id", "value").join(far, F.col("sample_id") == far.query_id).drop("query_id").join(
+        reach, F.col("sample_id") == reach.query_id
+    ).drop("query_id")
 
 
 def score(fitted: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -38,7 +38,10 @@ def text_pipeline(weight: str | None = None, max_features: int = 10_000, **optio
     stages = [words, NGram(n=2, inputCol="words", outputCol="pairs")]
     for c in ("words", "pairs"):
         stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_tf", vocabSize=max_features), IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf")]
-    stages += [VectorAssembler(inputCols=["words_idf", "pairs_idf"], outputCol="features"), LogisticRegression(**({"weightCol": weight} if weight else {}), **options)]
+    stages += [
+        VectorAssembler(inputCols=["words_idf", "pairs_idf"], outputCol="features"),
+        LogisticRegression(**({"weightCol": weight} if weight else {}), **options)
+    ]
     return Pipeline(stages=stages)
 
 

@@ -87,22 +87,36 @@ def assemble(modalities: list[Modality], keys: list[str], target: int, predictio
     for m in modalities:
         rows = _paired(m)
         near, sparse = _near_and_sparse(m, rows)
-        rows = rows.select(*keys, F.xxhash64(F.flatten("value") if m.kind == "series" else "value").alias("_id"), F.col("value").isNull().alias("_none"), near.alias("proximity"), sparse.alias("sparsity"))
+        rows = rows.select(
+            *keys, F.xxhash64(F.flatten("value") if m.kind == "series" else "value").alias("_id"), F.col("value").isNull().alias("_none"),
+            near.alias("proximity"), sparse.alias("sparsity")
+        )
         if m.distances is not None:
             rows = scores.with_percentile_rank(rows.withColumnRenamed("proximity", "_raw"), "_raw", m.distances, "distance", "proximity").drop("_raw")
         judged = plausibility(m)
         if judged is not None:
             missing = F.when(F.col("_none") & F.lit(m.kind in ("text", "image")), 1.0)
-            rows = rows.join(judged.withColumnRenamed("sample_id", "_id"), "_id", "left").withColumn("plausibility", F.coalesce("plausibility", missing))
+            rows = rows.join(
+                judged.withColumnRenamed("sample_id", "_id"), "_id", "left"
+            ).withColumn("plausibility", F.coalesce("plausibility", missing))
         else:
             rows = rows.withColumn("plausibility", F.lit(None).cast("double"))
         share = F.lit(m.weight / total)
-        parts.append(rows.select(*keys, *[(F.col(c) * share).alias(c) for c in OBJECTIVES], *[F.when(F.col(c).isNotNull(), share).alias(f"_w_{c}") for c in OBJECTIVES]))
-    summed = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in OBJECTIVES], *[F.sum(f"_w_{c}").alias(f"_w_{c}") for c in OBJECTIVES])
+        parts.append(
+            rows.select(
+                *keys, *[(F.col(c) * share).alias(c) for c in OBJECTIVES],
+                *[F.when(F.col(c).isNotNull(), share).alias(f"_w_{c}") for c in OBJECTIVES]
+            )
+        )
+    summed = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in OBJECTIVES], *[F.sum(f"_w_{c}").alias(f"_w_{c}") for c in OBJECTIVES]
+    )
     out = summed.select(*keys, *[(F.col(c) / F.col(f"_w_{c}") if renormalise else F.col(c)).alias(c) for c in OBJECTIVES])
     if predictions is None:
         return out.select(*keys, F.lit(None).cast("double").alias("outcome"), *OBJECTIVES)
-    return out.join(predictions.select(*keys, "pred"), keys, "left").select(*keys, scores.outcome(F.col("pred"), F.lit(target)).alias("outcome"), *OBJECTIVES)
+    return out.join(predictions.select(*keys, "pred"), keys, "left").select(
+        *keys, scores.outcome(F.col("pred"), F.lit(target)).alias("outcome"), *OBJECTIVES
+    )
 
 
 def summed(parts: dict, base_weight: float = 1.0, text_weight: float = 1.0):

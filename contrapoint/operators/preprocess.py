@@ -25,15 +25,28 @@ def numbered(rows: DataFrame, bucket: Column, order: list, out: str, keys: tuple
     rows = rows.withColumn("_bucket", bucket)
     counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     lower = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_shift"))
+    shifts = counts.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),
+        F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_shift")
+    )
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_bucket").eqNullSafe(F.col("_b")))
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
-    return rows.withColumn(out, inside).join(shifts, same).withColumn(out, (F.col(out) + F.col("_shift")).cast("long")).drop("_bucket", "_b", "_shift", *[f"_k{i}" for i in range(len(keys))])
+    return rows.withColumn(out, inside).join(shifts, same).withColumn(out, (F.col(out) + F.col("_shift")).cast("long")).drop(
+        "_bucket", "_b", "_shift", *[f"_k{i}" for i in range(len(keys))]
+    )
 
 
 def missing_share(df: DataFrame) -> DataFrame:
     """(``name``, ``missing``, ``n_distinct``) for every column, in one pass."""
-    row = df.agg(*[F.struct(F.lit(c).alias("name"), F.avg(F.col(c).isNull().cast("double")).alias("missing"), F.count_distinct(F.col(c)).alias("n_distinct")).alias(c) for c in df.columns])
+    row = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("name"), F.avg(F.col(c).isNull().cast("double")).alias("missing"),
+                F.count_distinct(F.col(c)).alias("n_distinct")
+            ).alias(c)
+            for c in df.columns
+        ]
+    )
     return row.select(F.explode(F.array(*[F.col(f"`{c}`") for c in df.columns])).alias("z")).select("z.*")
 
 
@@ -70,7 +83,9 @@ def fill_median(df: DataFrame, column: str, train: Column) -> DataFrame:
 def ordinal_codes(df: DataFrame, column: str, train: Column, out: str) -> DataFrame:
     """Codes of the training rows' values in alphabetical order; unknown values and nulls are -1."""
     values = df.where(train & F.col(column).isNotNull()).select(F.col(column).alias("_v")).distinct()
-    codes = numbered(values, F.substring(F.col("_v").cast("string"), 1, 2) if dict(df.dtypes)[column] == "string" else F.lit(0), ["_v"], out).withColumn(out, F.col(out).cast("int"))
+    codes = numbered(
+        values, F.substring(F.col("_v").cast("string"), 1, 2) if dict(df.dtypes)[column] == "string" else F.lit(0), ["_v"], out
+    ).withColumn(out, F.col(out).cast("int"))
     return df.join(codes, F.col(column) == F.col("_v"), "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
@@ -78,7 +93,10 @@ def standard_scale(df: DataFrame, columns: list[str], train: Column) -> DataFram
     """Columns less the training mean over the training population deviation; a constant is only centred."""
     stats = df.where(train).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
     out = df.crossJoin(F.broadcast(stats))  # one row
-    scaled = [((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)).alias(c) if c in columns else F.col(c) for c in df.columns]
+    scaled = [
+        ((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)).alias(c) if c in columns else F.col(c)
+        for c in df.columns
+    ]
     return out.select(*scaled)
 
 
@@ -120,14 +138,18 @@ def stratified_split(df: DataFrame, label: str, test_share: float = 0.2, seed: i
     ranked = numbered(hashed, F.substring("_hash", 1, 3), ["_hash", "sample_id"], "_place", (label,))
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
     test = F.col("_place") < F.lit(test_share) * (F.col("_size") - 1)
-    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("split", F.when(test | (F.col("_size") == 1), "test").otherwise("train")).select(*df.columns, "split")
+    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn(
+        "split", F.when(test | (F.col("_size") == 1), "test").otherwise("train")
+    ).select(*df.columns, "split")
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Each row's weight: rows / (classes x rows of its class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     totals = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
-    return df.join(counts, label).crossJoin(F.broadcast(totals)).withColumn(out, F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")  # one row
+    return df.join(counts, label).crossJoin(F.broadcast(totals)).withColumn(
+        out, F.col("_all") / (F.col("_k") * F.col("_n"))
+    ).drop("_n", "_all", "_k")  # one row
 
 
 def feature_types(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -159,9 +181,16 @@ def proximity_pairs(rows: DataFrame, per_row: int = 1, cross_class: bool = True,
 
     bucket = F.pmod(F.xxhash64(F.lit(seed), "sample_id"), F.lit(64))
     w = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "sample_id"))
-    numbered = rows.withColumn("bucket", bucket).withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
-    left = numbered.withColumn("shift", F.explode(F.sequence(F.lit(1), F.lit(per_row)))).withColumn("j", (F.col("i") + F.col("shift") - 1) % F.col("n") + 1)
-    right = numbered.select("bucket", F.col("i").alias("j"), F.col("value").alias("other"), F.col("label").alias("other_label"), F.col("sample_id").alias("other_id"))
+    numbered = rows.withColumn("bucket", bucket).withColumn("i", F.row_number().over(w)).withColumn(
+        "n", F.count("*").over(Window.partitionBy("bucket"))
+    )
+    left = numbered.withColumn(
+        "shift", F.explode(F.sequence(F.lit(1), F.lit(per_row)))
+    ).withColumn("j", (F.col("i") + F.col("shift") - 1) % F.col("n") + 1)
+    right = numbered.select(
+        "bucket", F.col("i").alias("j"), F.col("value").alias("other"), F.col("label").alias("other_label"),
+        F.col("sample_id").alias("other_id")
+    )
     pairs = left.join(right, ["bucket", "j"]).where("sample_id <> other_id")
     pairs = pairs.where("label <> other_label") if cross_class else pairs
     return pairs.select(tabular_proximity(F.col("value"), F.col("other")).alias("distance"))

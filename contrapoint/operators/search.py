@@ -58,7 +58,10 @@ def _whole(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(full, F.lit(False)))
 
 
-def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str | Callable = "euclidean", kind: str = "vector", per_class: bool = False, exclude_self: bool = False, digits: int | None = None, **options) -> DataFrame:
+def knn(
+    queries: DataFrame, candidates: DataFrame, k: int, metric: str | Callable = "euclidean", kind: str = "vector", per_class: bool = False,
+    exclude_self: bool = False, digits: int | None = None, **options
+) -> DataFrame:
     """(``query_id``, ``train_id``, ``rank``, ``distance``): each query's k nearest candidates.
 
     ``queries`` has ``sample_id`` and ``value`` (and ``target`` with ``per_class``), ``candidates`` ``sample_id`` and
@@ -69,12 +72,22 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str | Callabl
     if k < 1:
         raise ValueError("k must be at least 1")
     f = kernel(metric, kind, **options)
-    q = queries.select(F.col("sample_id").alias("query_id"), F.col("value").alias("value"), (F.col("target") if per_class else F.lit(0)).cast("int").alias("c"))
-    c = candidates.select(F.col("sample_id").alias("train_id"), F.col("value").alias("value"), (F.col("label") if per_class else F.lit(0)).cast("int").alias("c"))
+    q = queries.select(
+        F.col("sample_id").alias("query_id"), F.col("value").alias("value"),
+        (F.col("target") if per_class else F.lit(0)).cast("int").alias("c")
+    )
+    c = candidates.select(
+        F.col("sample_id").alias("train_id"), F.col("value").alias("value"),
+        (F.col("label") if per_class else F.lit(0)).cast("int").alias("c")
+    )
     q, c = _whole(q), _whole(c)
     blocks, shards = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // SHARD))
-    q = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    c = c.withColumn("s", F.pmod(F.xxhash64("train_id"), F.lit(shards))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    q = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
+        "s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    )
+    c = c.withColumn("s", F.pmod(F.xxhash64("train_id"), F.lit(shards))).withColumn(
+        "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    )
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]

@@ -30,15 +30,31 @@ def _materialised(ds: Dataset, near: DataFrame, step: str = "odd", anchor: str =
     keys = ["query_id", "cand_rank"]
     train = lambda df: ds.part(df, "train").select("sample_id", "value")
     names = {k: v for k, v in ds.series.items() if only_series in (None, k)}
-    parts = [combine.progressive_medians(near, train(df), step, anchor).select(*keys, "n_used", "anchor_id", F.col("value").alias(f"num_{b}")) for b, df in ds.tabular.items()]
-    parts += [combine.progressive_series_medians(near, train(df), step).select(*keys, "n_used", "anchor_id", F.col("value").alias(f"ser_{b}")) for b, df in names.items()]
+    parts = [
+        combine.progressive_medians(near, train(df), step, anchor).select(*keys, "n_used", "anchor_id", F.col("value").alias(f"num_{b}"))
+        for b, df in ds.tabular.items()
+    ]
+    parts += [
+        combine.progressive_series_medians(near, train(df), step).select(*keys, "n_used", "anchor_id", F.col("value").alias(f"ser_{b}"))
+        for b, df in names.items()
+    ]
     if not parts:
         parts = [near.select("query_id", F.col("rank").alias("cand_rank"), F.lit(1).alias("n_used"), F.col("train_id").alias("anchor_id"))]
     joined = reduce(lambda a, b: a.join(b.drop("n_used", "anchor_id"), keys), parts)
-    column = lambda prefix, store, empty: F.create_map(*[x for b in store for x in (F.lit(b), F.col(f"{prefix}_{b}"))]) if store else F.expr(empty)
+    column = lambda prefix, store, empty: F.create_map(*[
+        x
+        for b in store
+        for x in (F.lit(b), F.col(f"{prefix}_{b}"))
+    ]) if store else F.expr(empty)
     anchors = [b for b in (*ds.texts, *ds.images)]
     return joined.select(*keys, "n_used", "anchor_id", column("num", ds.tabular, _NO_NUM).alias("num"), column("ser", names, _NO_SER).alias("ser"),
-                         (F.create_map(*[x for b in anchors for x in (F.lit(b), F.col("anchor_id"))]) if anchors else F.expr("CAST(map() AS map<string,bigint>)")).alias("anchors"))
+                         (
+                             F.create_map(*[
+                                 x
+                                 for b in anchors
+                                 for x in (F.lit(b), F.col("anchor_id"))
+                             ]) if anchors else F.expr("CAST(map() AS map<string,bigint>)")
+                         ).alias("anchors"))
 
 
 def _search(ds: Dataset, df: DataFrame, queries: DataFrame, target: int, k: int, metric, kind: str, **options) -> DataFrame:
@@ -89,7 +105,10 @@ class TimeSeriesNN(Generator):
 
     def search(self, ds, queries, target, k):
         windowed = not callable(self.distance) and series_functions.metric_name(self.distance) in ("dtw", "lcss")
-        return _search(ds, ds.branch("series", self.ts_name), queries, target, k, self.distance, "series", **({"window": self.window} if windowed else {}))
+        return _search(
+            ds, ds.branch("series", self.ts_name), queries, target, k, self.distance, "series",
+            **({"window": self.window} if windowed else {})
+        )
 
     def materialise(self, ds, near):
         return _materialised(ds, near, only_series=self.ts_name or next(iter(ds.series)))
@@ -126,7 +145,10 @@ class TextNN(Generator):
         if self.vectors is not None:
             return _search(ds, self.vectors, queries, target, k, self.distance, "vector")
         if callable(self.encoder):
-            return _search(ds, encode_distinct(df.withColumn("text", F.coalesce("text", F.lit(""))), "text", self.encoder), queries, target, k, self.distance, "vector")
+            return _search(
+                ds, encode_distinct(df.withColumn("text", F.coalesce("text", F.lit(""))), "text", self.encoder), queries, target, k,
+                self.distance, "vector"
+            )
         if text_functions.encoder_name(self.encoder) == "raw":  # a vector metric can't compare raw text
             return _search(ds, df.withColumn("value", text_functions.tokens(F.col("text"))), queries, target, k, "rouge_l", "text")
         raise ValueError(f"encoder {self.encoder!r} needs precomputed vectors or a function")
@@ -168,7 +190,10 @@ class EarlyFusionNN(Generator):
         return "early", self.distance, *map(id, self.text_vectors)
 
     def fused(self, ds: Dataset) -> DataFrame:
-        parts = [*ds.tabular.values(), *(s.withColumn("value", series_functions.time_mean(F.col("value"))) for s in ds.series.values()), *self.text_vectors, *ds.images.values()]
+        parts = [
+            *ds.tabular.values(), *(s.withColumn("value", series_functions.time_mean(F.col("value"))) for s in ds.series.values()),
+            *self.text_vectors, *ds.images.values()
+        ]
         named = [p.select("split", "sample_id", F.col("value").alias(f"v{i}")) for i, p in enumerate(parts)]
         joined = reduce(lambda a, b: a.join(b, ["split", "sample_id"]), named)
         value = F.concat(*[f"v{i}" for i in range(len(parts))])
@@ -236,7 +261,11 @@ class ModalityWisePrototypeSynthesis(MultimodalConsensusRetrieval):
                 branch = name or ds.primaries[kind] or next(iter(ds.store(kind)))
             anchors.extend((F.lit(branch), F.col(f"a{i}")))
         joined = reduce(lambda a, b: a.join(b, keys), frames).where(F.col("cand_rank") <= k)
-        return joined.select(*keys, F.col("cand_rank").alias("n_used"), F.col("a0").alias("anchor_id"), (F.create_map(*num) if num else F.expr(_NO_NUM)).alias("num"), (F.create_map(*ser) if ser else F.expr(_NO_SER)).alias("ser"), F.create_map(*anchors).alias("anchors"))
+        return joined.select(
+            *keys, F.col("cand_rank").alias("n_used"), F.col("a0").alias("anchor_id"),
+            (F.create_map(*num) if num else F.expr(_NO_NUM)).alias("num"), (F.create_map(*ser) if ser else F.expr(_NO_SER)).alias("ser"),
+            F.create_map(*anchors).alias("anchors")
+        )
 
 
 MCR, MPS = MultimodalConsensusRetrieval, ModalityWisePrototypeSynthesis
@@ -255,4 +284,7 @@ class CounterfactualLibrary:
             for part in getattr(g, "parts", [g]):
                 used.setdefault(part.key(ds), []).append((part, max(k or 0, getattr(g, "pool", 0), g.k)))
         found = {key: each[0][0].search(ds, queries, target, max(n for _, n in each)).cache() for key, each in used.items() if len(each) > 1}
-        return reduce(DataFrame.unionByName, [g.run(ds, queries, target, k, found).withColumn("generator", F.lit(name)) for name, g in self.generators.items()])
+        return reduce(
+            DataFrame.unionByName,
+            [g.run(ds, queries, target, k, found).withColumn("generator", F.lit(name)) for name, g in self.generators.items()]
+        )

@@ -36,7 +36,10 @@ def query_count(ds: Dataset, limit: int | None = None) -> DataFrame:
     return rows.limit(limit) if limit is not None else rows
 
 
-def modalities(ds: Dataset, candidates: DataFrame, target: int, keys: list[str], names: list[str] | None = None, vectors: dict[str, DataFrame] | None = None, weights: dict[str, float] | None = None) -> list[Modality]:
+def modalities(
+    ds: Dataset, candidates: DataFrame, target: int, keys: list[str], names: list[str] | None = None,
+    vectors: dict[str, DataFrame] | None = None, weights: dict[str, float] | None = None
+) -> list[Modality]:
     """The branches that candidates are scored on: all tabular and series ones, and the texts and images with ``vectors``.
 
     ``vectors`` (split, sample_id, value) hold a text's embeddings; images are vectors themselves. References for
@@ -54,15 +57,22 @@ def modalities(ds: Dataset, candidates: DataFrame, target: int, keys: list[str],
             else:
                 values = vectors.get(name, rows)
                 column = ["text"] if kind == "text" else []
-                both = lambda split, values=values, rows=rows, column=column: ds.part(values, split).join(ds.part(rows, split).select("sample_id", *column), "sample_id") if column else ds.part(values, split)
+                both = lambda split, values=values, rows=rows, column=column: ds.part(values, split).join(
+                    ds.part(rows, split).select("sample_id", *column), "sample_id"
+                ) if column else ds.part(values, split)
                 anchored = candidates.where(F.map_contains_key("anchors", F.lit(name))).withColumn("_anchor", F.col("anchors")[name])
-                cand = anchored.join(both("train").select(F.col("sample_id").alias("_anchor"), "value", *column), "_anchor", "left").select(*keys, "value", *column)
+                cand = anchored.join(
+                    both("train").select(F.col("sample_id").alias("_anchor"), "value", *column), "_anchor", "left"
+                ).select(*keys, "value", *column)
                 factual, reference = both("test").select(F.col("sample_id").alias("query_id"), "value", *column), ds.candidates(values, target)
             out.append(Modality(name, kind, cand, factual, reference, weights.get(name, 1.0)))
     return out
 
 
-def score(ds: Dataset, candidates: DataFrame, target: int, branch: str | None = None, predictions: DataFrame | None = None, extra: tuple[str, ...] = (), vectors: dict[str, DataFrame] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+def score(
+    ds: Dataset, candidates: DataFrame, target: int, branch: str | None = None, predictions: DataFrame | None = None,
+    extra: tuple[str, ...] = (), vectors: dict[str, DataFrame] | None = None, weights: dict[str, float] | None = None
+) -> DataFrame:
     """All objectives of candidates against their factuals over all branches, or one; outcome by the anchor's prediction if there is one."""
     keys, candidates = [*extra, "generator", "query_id", "cand_rank"], candidates.cache()  # every branch reads them
     pred = (predictions if predictions is not None else ds.part(ds.samples, "train")).select(F.col("sample_id").alias("anchor_id"), "pred")
@@ -70,7 +80,10 @@ def score(ds: Dataset, candidates: DataFrame, target: int, branch: str | None =
     return assemble(modalities(ds, candidates, target, keys, [branch] if branch else None, vectors, weights), keys, target, said)
 
 
-def run(spark: SparkSession, ds: Dataset, combos: list[dict], build: Callable[[dict], dict[str, Generator]], target: int, queries: DataFrame, out: str, run_id: str, k: int = 20, keep_candidates: bool = False) -> DataFrame:
+def run(
+    spark: SparkSession, ds: Dataset, combos: list[dict], build: Callable[[dict], dict[str, Generator]], target: int, queries: DataFrame,
+    out: str, run_id: str, k: int = 20, keep_candidates: bool = False
+) -> DataFrame:
     """Run the configurations that are not finished yet; candidates, scores and statuses go to tables under ``out``.
 
     A configuration that fails is recorded with its error and tried again by the next run.

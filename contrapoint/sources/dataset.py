@@ -70,7 +70,10 @@ class Dataset:
         self.texts = merged(self.texts, self.text, self.primary_text, "text")
         self.images = merged(self.images, self.image, self.primary_image, "image")
         self.series = dict(self.series or {})
-        self.primaries = {"tabular": primary_of(self.tabular, self.primary_tabular, "tabular"), "text": primary_of(self.texts, self.primary_text, "text"), "image": primary_of(self.images, self.primary_image, "image"), "series": primary_of(self.series, None, "series")}
+        self.primaries = {
+            "tabular": primary_of(self.tabular, self.primary_tabular, "tabular"), "text": primary_of(self.texts, self.primary_text, "text"),
+            "image": primary_of(self.images, self.primary_image, "image"), "series": primary_of(self.series, None, "series")
+        }
 
     def store(self, kind: str) -> dict[str, DataFrame]:
         return {"tabular": self.tabular, "text": self.texts, "image": self.images, "series": self.series}[kind]
@@ -85,14 +88,19 @@ class Dataset:
 
     def available(self) -> list[str]:
         """``tabular`` with a primary branch, each series and further tabular branch by name, ``text``, ``image``."""
-        return [*["tabular"] * (self.primaries["tabular"] is not None), *self.series, *self.secondary_tabular(), *["text"] * bool(self.texts), *["image"] * bool(self.images)]
+        return [
+            *["tabular"] * (self.primaries["tabular"] is not None), *self.series, *self.secondary_tabular(), *["text"] * bool(self.texts),
+            *["image"] * bool(self.images)
+        ]
 
     def part(self, df: DataFrame, split: str) -> DataFrame:
         return df.where(F.col("split") == split)
 
     def candidates(self, df: DataFrame, target: int) -> DataFrame:
         """Training rows of the target class, by their true label."""
-        return self.part(df, "train").join(self.part(self.samples, "train").where(F.col("label") == target).select("sample_id", "label"), "sample_id", "left_semi")
+        return self.part(df, "train").join(
+            self.part(self.samples, "train").where(F.col("label") == target).select("sample_id", "label"), "sample_id", "left_semi"
+        )
 
     def queries(self, df: DataFrame, ids: DataFrame) -> DataFrame:
         return self.part(df, "test").join(ids.select("sample_id"), "sample_id", "left_semi")

@@ -49,7 +49,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = minhash.near_duplicates(rows.select(F.col("number").alias("doc_id"), "doc.text"), SHINGLE, SIMILARITY)
     ids = rows.select("number", F.col("doc.doc_id").alias("id"))
     members = staged(found.select(F.col("doc_id").alias("number"), "component_id").join(ids, "number"), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("first")).select("first.number")
+    first = members.groupBy("component_id").agg(F.min(F.struct(
+        F.col("id").isNull().alias("none"), "id", "number"
+    )).alias("first")).select("first.number")
     gone = staged(members.join(first, "number", "left_anti").select("number"), "copies")
     return rows.join(gone, "number", "left_anti").select("doc.*")
 

@@ -23,7 +23,9 @@ def test_vector_columns_equal_kernels(spark):
     rng = np.random.default_rng(0)
     a, b = rng.integers(-3, 3, (20, 5)).astype(float), rng.integers(-3, 3, (20, 5)).astype(float)
     a[0] = b[1] = 0
-    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b, strict=True))], "i int, a array<double>, b array<double>")
+    df = spark.createDataFrame(
+        [(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b, strict=True))], "i int, a array<double>, b array<double>"
+    )
     for m in vectors.KERNELS:
         got = [r[0] for r in df.orderBy("i").select(vectors.distance(m, F.col("a"), F.col("b"))).collect()]
         assert np.allclose(got, np.diag(vectors.KERNELS[m](a, b))), m
@@ -68,7 +70,10 @@ def _lcs(a, b):
 
 def test_edits_and_lcs_by_recursion(spark):
     rng = random.Random(1)
-    pairs = [([f"w{rng.randrange(400)}" for _ in range(rng.randrange(30))], [f"w{rng.randrange(400 if i % 2 else 5)}" for _ in range(rng.randrange(30))]) for i in range(60)] + [([], []), (["a"], []), (["a"] * 9, ["a"] * 4)]
+    pairs = [
+        ([f"w{rng.randrange(400)}" for _ in range(rng.randrange(30))], [f"w{rng.randrange(400 if i % 2 else 5)}" for _ in range(rng.randrange(30))])
+        for i in range(60)
+    ] + [([], []), (["a"], []), (["a"] * 9, ["a"] * 4)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
     got = [r[0] for r in df.orderBy("i").select(text.token_edits(F.col("a"), F.col("b"))).collect()]
     assert got == [_edit(a, b) for a, b in pairs]
@@ -108,8 +113,12 @@ def test_series_sparsity_case(spark):
 def test_objective_cases(spark):
     a, b = arr(1, 2, 3, 4), arr(1, 2, 5, 8)
     assert one(spark, scores.tabular_proximity(a, b), scores.tabular_sparsity(a, b)) == (1.5, 0.5)
-    assert one(spark, scores.outcome(F.lit(1), F.lit(0)), scores.outcome(F.lit(0), F.lit(0)), scores.outcome(F.lit(None).cast("int"), F.lit(0))) == (1.0, 0.0, None)
-    assert one(spark, scores.unit_interval(F.lit(5.0), F.lit(0.0), F.lit(4.0)), scores.unit_interval(F.lit(5.0), F.lit(4.0), F.lit(4.0))) == (1.0, 0.5)
+    assert one(
+        spark, scores.outcome(F.lit(1), F.lit(0)), scores.outcome(F.lit(0), F.lit(0)), scores.outcome(F.lit(None).cast("int"), F.lit(0))
+    ) == (1.0, 0.0, None)
+    assert one(
+        spark, scores.unit_interval(F.lit(5.0), F.lit(0.0), F.lit(4.0)), scores.unit_interval(F.lit(5.0), F.lit(4.0), F.lit(4.0))
+    ) == (1.0, 0.5)
     part = {"a": F.lit(0.5), "b": F.lit(None).cast("double")}
     assert one(spark, scores.weighted(part, {}), scores.weighted(part, {}, True)) == (0.25, 0.5)
     assert one(spark, scores.merged_plausibility(F.lit(0.2), F.lit(0.4), 0.5, F.lit(0.9)))[0] == pytest.approx(0.6)
@@ -151,13 +160,23 @@ def test_pruned_kernels_find_the_nearest():
 
 def test_aliases():
     assert vectors.metric_name("manhattan_distance") == "manhattan" and vectors.metric_name("hamming_distance") == "hamming"
-    assert [series.metric_name(x) for x in ("ed", "euclid", "euclidean_distance", "dtw_distance", "lcss_distance")] == ["euclidean"] * 3 + ["dtw", "lcss"]
+    assert [
+        series.metric_name(x)
+        for x in ("ed", "euclid", "euclidean_distance", "dtw_distance", "lcss_distance")
+    ] == ["euclidean"] * 3 + ["dtw", "lcss"]
     assert [text.encoder_name(x) for x in ("sentence-bert", "all-minilm-l6-v2", "word2vec_avg")] == ["bert", "minilm", "word2vec"]
 
 
 def test_split_series_and_fusion(spark):
-    df = spark.createDataFrame([([[1.0, 2.0]], [[2.0, 2.0]], [[0.0, 0.0], [1.0, 1.0]], [[0.0, 0.0], [1.0, 4.0]], [7.0, 8.0])], "a array<array<double>>, b array<array<double>>, c array<array<double>>, d array<array<double>>, s array<double>")
+    df = spark.createDataFrame(
+        [([[1.0, 2.0]], [[2.0, 2.0]], [[0.0, 0.0], [1.0, 1.0]], [[0.0, 0.0], [1.0, 4.0]], [7.0, 8.0])],
+        "a array<array<double>>, b array<array<double>>, c array<array<double>>, d array<array<double>>, s array<double>"
+    )
     pairs = [(F.col("a"), F.col("b")), (F.col("c"), F.col("d"))]
-    r = df.select(series.split_proximity(pairs).alias("p"), series.split_sparsity(pairs).alias("s"), series.split_plausibility([(F.lit(3.0), F.col("a")), (F.lit(0.0), F.col("c"))]).alias("l"), series.fused(F.col("s"), F.col("a")).alias("f"), series.fused_compressed(F.col("s"), 2).alias("g")).first()
+    r = df.select(
+        series.split_proximity(pairs).alias("p"), series.split_sparsity(pairs).alias("s"),
+        series.split_plausibility([(F.lit(3.0), F.col("a")), (F.lit(0.0), F.col("c"))]).alias("l"),
+        series.fused(F.col("s"), F.col("a")).alias("f"), series.fused_compressed(F.col("s"), 2).alias("g")
+    ).first()
     assert r.p == pytest.approx(4 / 6) and r.s == pytest.approx((0.5 + 0.25) / 2) and r.l == pytest.approx(1.0)
     assert r.f == [[7.0, 7.0], [8.0, 8.0], [1.0, 2.0]] and r.g == [[7.0, 7.0], [8.0, 8.0]]

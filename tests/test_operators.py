@@ -124,18 +124,25 @@ def test_metrics_by_brute_force(spark):
 
 
 def test_k_curve_skips_nan(spark):
-    df = spark.createDataFrame([("g", 1, 1, 2.0), ("g", 1, 2, float("nan")), ("g", 1, 3, 6.0)], "generator string, query_id int, cand_rank int, outcome double")
+    df = spark.createDataFrame(
+        [("g", 1, 1, 2.0), ("g", 1, 2, float("nan")), ("g", 1, 3, 6.0)], "generator string, query_id int, cand_rank int, outcome double"
+    )
     got = {r.k: (r.outcome, r.n) for r in analytics.k_curve(df, [1, 2, 3], columns=("outcome",)).collect()}
     assert got == {1: (2.0, 1), 2: (2.0, 2), 3: (4.0, 3)}
 
 
 def test_preparation(spark):
-    df = spark.createDataFrame([(0, "US, NY, New York", "10000-20000", 1.0), (1, "DE", "x", None), (2, None, "5", 3.0)], "sample_id long, place string, pay string, v double")
+    df = spark.createDataFrame(
+        [(0, "US, NY, New York", "10000-20000", 1.0), (1, "DE", "x", None), (2, None, "5", 3.0)],
+        "sample_id long, place string, pay string, v double"
+    )
     rows = df.orderBy("sample_id").select(*preprocess.split_location(F.col("place")), preprocess.salary_midpoint(F.col("pay")).alias("pay")).collect()
     assert [tuple(r) for r in rows] == [("US", "NY", "New York", 15000.0), ("DE", None, None, None), (None, None, None, 5.0)]
     assert [r.v for r in preprocess.fill_median(df, "v", F.lit(True)).orderBy("sample_id").collect()] == [1.0, 2.0, 3.0]
     assert "v" not in preprocess.drop_sparse(df, 0.3).columns and "v" in preprocess.drop_sparse(df, 0.5).columns
-    got = preprocess.knn_impute(spark.createDataFrame([(0, 1.0, 1.0), (1, None, 1.1), (2, 9.0, 9.0)], "sample_id long, a double, b double"), ["a", "b"], 1)
+    got = preprocess.knn_impute(
+        spark.createDataFrame([(0, 1.0, 1.0), (1, None, 1.1), (2, 9.0, 9.0)], "sample_id long, a double, b double"), ["a", "b"], 1
+    )
     assert {r.sample_id: r.a for r in got.collect()} == {0: 1.0, 1: 1.0, 2: 9.0}
 
 
@@ -153,7 +160,9 @@ def test_proximity_pairs(spark):
 
 def test_lookup_prefers_training_entries_and_encodes_misses(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "ccc"), (4, None)], "sample_id long, text string")
-    train, test = spark.createDataFrame([("a", [1.0])], "text string, value array<double>"), spark.createDataFrame([("a", [9.0]), ("b", [2.0])], "text string, value array<double>")
+    train, test = spark.createDataFrame([("a", [1.0])], "text string, value array<double>"), spark.createDataFrame(
+        [("a", [9.0]), ("b", [2.0])], "text string, value array<double>"
+    )
     got = {r.sample_id: r.value for r in encoders.lookup_or_encode(rows, train, test, lambda x: np.array([[float(len(t))] for t in x])).collect()}
     assert got[1] == [1.0] and got[2] == [2.0] and got[3] == [3.0] and got[4] is None
 
@@ -176,7 +185,12 @@ def test_branches(spark, train):
 def test_generators_share_searches_and_start_at_the_nearest(spark):
     ds = tables.synthetic(spark)
     tab, labs, report = generators.TabularNN(k=4), generators.labs_nn(k=4), generators.TextNN("report", k=4)
-    lib = generators.CounterfactualLibrary({"tab": tab, "labs": labs, "text": report, "early": generators.EarlyFusionNN(k=4), "all": generators.MCR([tab, labs], 4, 50), "mix": generators.MPS([tab, labs, report], 4, 20)})
+    lib = generators.CounterfactualLibrary(
+        {
+            "tab": tab, "labs": labs, "text": report, "early": generators.EarlyFusionNN(k=4), "all": generators.MCR([tab, labs], 4, 50),
+            "mix": generators.MPS([tab, labs, report], 4, 20)
+        }
+    )
     queries = ds.part(ds.samples, "test").where("sample_id < 5")
     rows = lib.run(ds, queries, 1, 4).cache()
     counts = {r.generator: r["count"] for r in rows.groupBy("generator").count().collect()}
@@ -253,7 +267,9 @@ def test_models_and_sources(spark, tmp_path):
     from contrapoint.operators import models
 
     rng = np.random.default_rng(0)
-    df = spark.createDataFrame([(i, int(i % 2), (rng.normal(0, 0.1, 3) + (i % 2)).tolist()) for i in range(60)], "sample_id long, label int, value array<double>")
+    df = spark.createDataFrame(
+        [(i, int(i % 2), (rng.normal(0, 0.1, 3) + (i % 2)).tolist()) for i in range(60)], "sample_id long, label int, value array<double>"
+    )
     rows = models.predict(models.fit(preprocess.balanced_weights(df, "label"), "logistic", "weight"), df)
     assert analytics.macro_metrics(rows).first().accuracy > 0.95
     assert len(models.components(df, df, 2).first().value) == 2 and len(models.random_options({"a": [1, 2]}, 3)) == 3
@@ -271,8 +287,13 @@ def test_evaluation(spark):
     from contrapoint.operators.evaluate import evaluate
 
     factual = spark.createDataFrame([(1, [0.0, 0.0], [[0.0, 0.0]], 1)], "query_id long, tab array<double>, ser array<array<double>>, target int")
-    cands = spark.createDataFrame([(1, "a", [2.0, 0.0], None), (1, "b", None, [[1.0, 0.0]])], "query_id long, method string, tab array<double>, ser array<array<double>>")
-    predict = lambda tab, ser: F.array(F.when(F.get(tab, F.lit(0)) > 1, 0.0).otherwise(1.0), F.when(F.get(tab, F.lit(0)) > 1, 1.0).otherwise(0.0))
+    cands = spark.createDataFrame(
+        [(1, "a", [2.0, 0.0], None), (1, "b", None, [[1.0, 0.0]])],
+        "query_id long, method string, tab array<double>, ser array<array<double>>"
+    )
+    predict = lambda tab, ser: F.array(
+        F.when(F.get(tab, F.lit(0)) > 1, 0.0).otherwise(1.0), F.when(F.get(tab, F.lit(0)) > 1, 1.0).otherwise(0.0)
+    )
     rows = {r.method: r for r in evaluate(cands, factual, predict).collect()}
     assert rows["a"].flipped and rows["a"].outcome == 0 and rows["a"].proximity == 0.5
     assert not rows["b"].flipped and rows["b"].outcome == 1 and rows["b"].sparsity == 0.25
@@ -308,9 +329,14 @@ def test_objectives_of_missing_parts_and_weights(spark):
     from contrapoint.operators.objectives import Modality, assemble, summed
 
     key = "query_id long, cand_rank int, "
-    tab = Modality("t", "tabular", spark.createDataFrame([(1, 1, [0.0, 2.0]), (1, 2, [0.0, 0.0])], key + "value array<double>"), spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, value array<double>"),
+    tab = Modality("t", "tabular", spark.createDataFrame(
+        [(1, 1, [0.0, 2.0]), (1, 2, [0.0, 0.0])], key + "value array<double>"
+    ), spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, value array<double>"),
                    spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "sample_id long, value array<double>"), weight=3.0)
-    words = Modality("w", "text", spark.createDataFrame([(1, 1, [1.0, 0.0], "a b"), (1, 2, None, None)], key + "value array<double>, text string"), spark.createDataFrame([(1, [0.0, 1.0], "a c")], "query_id long, value array<double>, text string"))
+    words = Modality(
+        "w", "text", spark.createDataFrame([(1, 1, [1.0, 0.0], "a b"), (1, 2, None, None)], key + "value array<double>, text string"),
+        spark.createDataFrame([(1, [0.0, 1.0], "a c")], "query_id long, value array<double>, text string")
+    )
     pred = spark.createDataFrame([(1, 1, 2)], "query_id long, cand_rank int, pred int")
     rows = {r.cand_rank: r for r in assemble([tab, words], ["query_id", "cand_rank"], 0, pred).collect()}
     assert rows[1].outcome == 2 and rows[2].outcome is None
@@ -342,7 +368,9 @@ def test_numbers_and_running_sums(spark):
     assert got == sorted(want)
     sums = {(r.g, r.x): r.s for r in analytics.running_sum(df, ["g"], "x", "x", "s", 4).collect()}
     assert all(s == sum(i for i in range(50) if i % 3 == g and i <= x) for (g, x), s in sums.items()) and len(sums) == 50
-    front = spark.createDataFrame([(i, float(i), float(-i)) for i in range(300)] + [(999, 300.0, 1.0), (998, None, 0.0)], "id long, a double, b double")
+    front = spark.createDataFrame(
+        [(i, float(i), float(-i)) for i in range(300)] + [(999, 300.0, 1.0), (998, None, 0.0)], "id long, a double, b double"
+    )
     assert analytics.pareto_front(front, ["a", "b"], "id").count() == 300
 
 
@@ -351,15 +379,34 @@ def test_runs_are_found_and_read(spark, tmp_path):
 
     run = tmp_path / "proj" / "data" / "ablation_runs" / "r1"
     run.mkdir(parents=True)
-    rows = [{"combo_id": "c1", "status": "ok", "tab_metrics": {"__primary__": "l2", "t": "cosine"}, "ts_metrics": {"labs": {"metric": "dtw"}}, "text_config": {"encoder": "raw", "metric": "lcs"}, "n_samples": 2, "runtime_sec": 1.5, "candidate_counts": {"g": 3}, "objectives": {"g": {"outcome": 0.0, "proximity": 1.0, "sparsity": 2.0, "plausibility": 3.0}}}, {"combo_id": "c2", "status": "failed"}]
+    rows = [
+        {
+            "combo_id": "c1", "status": "ok", "tab_metrics": {"__primary__": "l2", "t": "cosine"},
+            "ts_metrics": {"labs": {"metric": "dtw"}}, "text_config": {"encoder": "raw", "metric": "lcs"}, "n_samples": 2,
+            "runtime_sec": 1.5, "candidate_counts": {"g": 3},
+            "objectives": {"g": {"outcome": 0.0, "proximity": 1.0, "sparsity": 2.0, "plausibility": 3.0}}
+        },
+        {"combo_id": "c2", "status": "failed"}
+    ]
     (run / "summary.json").write_text(json.dumps({"rows": rows}))
     assert [(r.dataset, r.run_id) for r in tables.discover_runs(spark, str(tmp_path)).collect()] == [("proj", "r1")]
     flat = tables.read_summaries(spark, str(tmp_path)).collect()
-    assert [(r.dataset, r.run_id, r.combo_id, r.tab_metric, r.ts_metric, r.text_encoder, r.text_metric, r.image_encoder, r.candidate_count, r.plausibility) for r in flat] == [("proj", "r1", "c1", "l2+t:cosine", "labs:dtw", "raw", "lcs", "", 3, 3.0)]
+    assert [
+        (
+            r.dataset, r.run_id, r.combo_id, r.tab_metric, r.ts_metric, r.text_encoder, r.text_metric, r.image_encoder, r.candidate_count,
+            r.plausibility
+        )
+        for r in flat
+    ] == [("proj", "r1", "c1", "l2+t:cosine", "labs:dtw", "raw", "lcs", "", 3, 3.0)]
     assert [r.combo_id for r in tables.combo_metadata(spark, str(run)).collect()] == ["c1"]
-    (run / "summary.jsonl").write_text("\n".join(["broken", "", json.dumps(rows[0] | {"n_samples": 1}), json.dumps(rows[0] | {"n_samples": 9}), json.dumps(rows[1])]))
+    (run / "summary.jsonl").write_text(
+        "\n".join(["broken", "", json.dumps(rows[0] | {"n_samples": 1}), json.dumps(rows[0] | {"n_samples": 9}), json.dumps(rows[1])])
+    )
     assert [(r.combo_id, r.n_samples) for r in tables.combo_metadata(spark, str(run)).collect()] == [("c1", 9)]
-    assert [(r.strategy, r.generator) for r in tables.read_strategies(spark, {("s", None): str(run / "summary.json"), ("none", 1): str(run / "absent.json")}).collect()] == [("s", "g")]
+    assert [
+        (r.strategy, r.generator)
+        for r in tables.read_strategies(spark, {("s", None): str(run / "summary.json"), ("none", 1): str(run / "absent.json")}).collect()
+    ] == [("s", "g")]
     for fold, v in enumerate(("1.0", "NaN")):
         (tmp_path / f"k{fold}.json").write_text('{"results": {"5": {"objectives": {"old": {"outcome": ' + v + ', "proximity": 2.0}}}}}')
     got = tables.read_k_ablation(spark, str(tmp_path / "k*.json"), {"old": "new"}).collect()
@@ -380,5 +427,8 @@ def test_runs_are_found_and_read(spark, tmp_path):
         tables.write_npz({"v": vec}, str(tmp_path / "b.npz"), 1)
     tables.log_trials(spark.createDataFrame([(1, 0.5)], "depth int, score double"), str(tmp_path / "trials"))
     assert spark.read.option("header", True).csv(str(tmp_path / "trials")).count() == 1
-    found = spark.createDataFrame([(1, True, 0.0, 1.0, 2.0, 3.0), (1, False, 1.0, 1.0, 2.0, 3.0)], "patient int, feasible boolean, outcome double, proximity double, sparsity double, plausibility double")
+    found = spark.createDataFrame(
+        [(1, True, 0.0, 1.0, 2.0, 3.0), (1, False, 1.0, 1.0, 2.0, 3.0)],
+        "patient int, feasible boolean, outcome double, proximity double, sparsity double, plausibility double"
+    )
     assert [(r.outcome, r.n_feasible) for r in tables.genetic_means(found).collect()] == [(0.5, 1)]

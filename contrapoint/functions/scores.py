@@ -29,15 +29,20 @@ def tabular_sparsity(factual: Column, candidate: Column) -> Column:
     return _mean(F.zip_with(factual, candidate, lambda x, y: (x != y).cast("double")))
 
 
+def _clipped(value: Column) -> Column:
+    """The value between 0 and 1; null stays null, which least and greatest would pass over."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+
+
 def embedding_proximity(factual: Column, candidate: Column) -> Column:
-    """(1 - dot product) / 2 between 0 and 1; the embeddings are taken as they are."""
-    return F.coalesce(F.least(F.greatest((1 - dot(factual, candidate)) / 2, F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    """(1 - dot product) / 2 between 0 and 1; the embeddings are taken as they are. Without one of them it is 1."""
+    return F.coalesce(_clipped((1 - dot(factual, candidate)) / 2), F.lit(1.0))
 
 
 def cosine_proximity(factual: Column, candidate: Column) -> Column:
-    """The same for vectors brought to length one first."""
+    """The same for vectors brought to length one first; null without one of them."""
     size = norm(factual) * norm(candidate)
-    return F.when(size < 1e-16, F.lit(0.5)).otherwise(F.least(F.greatest((1 - dot(factual, candidate) / size) / 2, F.lit(0.0)), F.lit(1.0)))
+    return F.when(size < 1e-16, F.lit(0.5)).otherwise(_clipped((1 - dot(factual, candidate) / size) / 2))
 
 
 def image_sparsity(factual: Column, candidate: Column, threshold: float) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
+from ..functions.vectors import l2_normalised
 from .search import knn
 
 #: Letters, digits and underscores, two at least.
@@ -103,6 +104,26 @@ def encode_distinct(rows: DataFrame, column: str, f: Callable[[list], np.ndarray
     return rows.join(known, column, "left")
 
 
+def mean_pooled(tokens: Column, mask: Column) -> Column:
+    """The mean of the token vectors that a mask of 0 and 1 keeps, over at least 1e-12 of them."""
+    kept = F.zip_with(tokens, mask, lambda v, m: F.transform(v, lambda x: x * m))
+    total = F.aggregate(
+        kept, F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b)
+    )
+    count = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-12))
+    return F.transform(total, lambda x: x / count)
+
+
+def first_pooled(tokens: Column) -> Column:
+    """The first token's vector."""
+    return F.get(tokens, F.lit(0))
+
+
+def prefixed_pooled(tokens: Column, mask: Column) -> Column:
+    """The masked mean brought to length one, as encoders that expect a prefix (``normalised_prefix``) return it."""
+    return l2_normalised(mean_pooled(tokens, mask))
+
+
 def precomputed(rows: DataFrame) -> bool:
     """Whether a branch holds vectors (arrays of numbers in ``value``) and not raw images or texts."""
     kind = rows.schema["value"].dataType if "value" in rows.columns else None

@@ -74,6 +74,62 @@ def components(train: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return model.transform(vector(rows)).withColumn("value", vector_to_array("projected")).drop("features", "projected")
 
 
+def truncated_svd(train: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with ``value`` projected on the k leading right singular vectors of the training rows, which are not centred.
+
+    The vectors come from a distributed decomposition and are as long as a row, so only k of those are sent to the tasks.
+    """
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    matrix = RowMatrix(train.select("value").rdd.map(lambda r: Vectors.dense(r[0])))
+    v = matrix.computeSVD(k).V.toArray()
+    sent = rows.sparkSession.sparkContext.broadcast(v)
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series((np.stack(x.to_list()) @ sent.value).tolist()) if len(x) else pd.Series([], dtype=object)
+
+    return rows.withColumn("value", project("value"))
+
+
+def convolution_features(rows: DataFrame, kernels: int = 200, seed: int = 7) -> DataFrame:
+    """``rows`` with ``value``, a series, replaced by random convolutions' features (Dempster et al., 2020).
+
+    Each kernel has a random length, weights, bias, dilation and channel; it gives the share of positive outputs and the
+    largest one. Series are of equal length; the kernels depend on the seed and that length alone.
+    """
+
+    def features(x: np.ndarray) -> np.ndarray:
+        rng, out = np.random.default_rng([seed, x.shape[1], x.shape[2]]), []
+        steps = x.shape[2]
+        for _ in range(kernels):
+            length = int(rng.choice([n for n in (7, 9, 11) if n <= steps] or [steps]))
+            weights = rng.standard_normal(length)
+            weights -= weights.mean()
+            dilation = int(2 ** rng.uniform(0, np.log2(max(1, (steps - 1) / max(1, length - 1)))))
+            pad = (length - 1) * dilation // 2 if rng.integers(2) else 0
+            channel, bias = int(rng.integers(x.shape[1])), rng.uniform(-1, 1)
+            series = np.pad(x[:, channel], ((0, 0), (pad, pad)))
+            span = series.shape[1] - (length - 1) * dilation
+            got = sum(w * series[:, i * dilation : i * dilation + span] for i, w in enumerate(weights)) + bias
+            out += [(got > 0).mean(1), got.max(1)]
+        return np.stack(out, 1)
+
+    @F.pandas_udf("array<double>")
+    def udf(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        return pd.Series(features(np.array([[list(c) for c in s] for s in v], float)).tolist())
+
+    return rows.withColumn("value", udf("value"))
+
+
+def best_branch(branches: dict[str, DataFrame]) -> str:
+    """The branch (validation rows with ``label`` and ``pred``) of the highest macro F1, then the least name."""
+    return min(branches, key=lambda n: (-macro_metrics(branches[n]).first().macro_f1, n))
+
+
 def random_options(axes: dict[str, list], count: int, seed: int = 0) -> list[dict]:
     """So many draws from the axes' values, for a random search."""
     rng = np.random.default_rng(seed)

@@ -1206,3 +1206,215 @@ def objectives_four_modalities(spark, d):
     queries = ds.part(ds.samples, "test").where(F.col("label") != TARGET)
     found = g.CounterfactualLibrary({"low": g.TabularNN("low", k=3)}).run(ds, queries, TARGET)
     return _rounded(sweep.score(ds, found, TARGET, vectors=text_vectors), "proximity", "sparsity", "plausibility")
+
+
+# ---------------------------------------------------------------- more of the score tables
+
+
+@_query(f"WITH {_SWEEP} SELECT generator, count(*) AS n_candidates FROM s GROUP BY 1")
+def candidate_counts(spark, d):
+    return analytics.candidate_counts(sweep_scores(spark, d))
+
+
+@_query(f"""WITH {_SWEEP}, o AS (SELECT o_orderpriority AS generator, o_orderstatus AS config, o_orderkey AS run, o_totalprice::DOUBLE AS v
+ FROM orders)
+SELECT generator, {", ".join(f"round(arg_max(v, run) FILTER (config = '{c}'), 2) AS {c.lower()}" for c in "FOP")} FROM o GROUP BY 1""")
+def heatmap_last_cells(spark, d):
+    """The last run's value in each cell of generator by configuration."""
+    o = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("generator"),
+        F.col("o_orderstatus").alias("config"),
+        F.col("o_orderkey").alias("run"),
+        F.col("o_totalprice").cast("double").alias("v"),
+    )
+    out = analytics.last_per_cell(o, "generator", "config", ["F", "O", "P"], "v", "run")
+    return out.select("generator", *[F.round(c, 2).alias(c.lower()) for c in "FOP"])
+
+
+@_query(f"WITH {_SWEEP} SELECT config, generator, {_MEANS} FROM s GROUP BY ALL")
+def strategy_stability(spark, d):
+    """Means per strategy (here the configuration) and generator."""
+    return _rounded(analytics.means(sweep_scores(spark, d), ["config", "generator"]), *analytics.OBJECTIVES)
+
+
+@_query(f"""WITH {_SWEEP}, m AS (SELECT config, generator, {", ".join(f"avg({c}) AS {c}" for c in analytics.OBJECTIVES)} FROM s GROUP BY ALL)
+SELECT generator, {_MEANS} FROM m GROUP BY 1""")
+def grand_means(spark, d):
+    """Each generator's mean over strategies of its means."""
+    return _rounded(analytics.mean_of_means(sweep_scores(spark, d), ["config", "generator"], ["generator"]), *analytics.OBJECTIVES)
+
+
+@_query(f"""WITH {_SWEEP}, k AS (SELECT k, config, generator, {", ".join(f"avg({c}) AS {c}" for c in analytics.OBJECTIVES)} FROM s
+ JOIN (VALUES (1), (5), (20)) v(k) ON cand_rank <= k GROUP BY ALL) SELECT k, generator, {_MEANS} FROM k GROUP BY ALL""")
+def k_curve_over_strategies(spark, d):
+    """The k curve of each strategy, then the mean over strategies."""
+    per = analytics.k_curve(sweep_scores(spark, d), [1, 5, 20], ("config", "generator"))
+    return _rounded(analytics.means(per, ["k", "generator"]), *analytics.OBJECTIVES)
+
+
+@_query("""WITH s AS (SELECT doc_id % 3 AS fold, quality AS y, floor(n_chars / 100) AS x FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY x) + (count(*) OVER (PARTITION BY fold, x) - 1) / 2.0 AS r FROM s),
+a AS (SELECT fold, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1)
+ * count(*) FILTER (y = 0)) AS a FROM r GROUP BY 1)
+SELECT round(avg(a), 6) AS auroc FROM a""")
+def auroc_over_folds(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = rows.select(
+        (F.col("doc_id") % 3).alias("fold"), F.col("quality").alias("label"), F.floor(F.col("n_chars") / 100).alias("score")
+    )
+    return analytics.auroc(rows, ["fold"]).agg(F.round(F.avg("auroc"), 6).alias("auroc"))
+
+
+@_query("""WITH s AS (SELECT label AS y, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS x FROM embeddings WHERE label < 3),
+f AS (SELECT c, (y = c)::INT AS y, x[c + 1] AS x FROM s, (VALUES (0), (1), (2)) v(c)),
+r AS (SELECT c, y, rank() OVER (PARTITION BY c ORDER BY x) + (count(*) OVER (PARTITION BY c, x) - 1) / 2.0 AS r FROM f),
+a AS (SELECT c, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1)
+ * count(*) FILTER (y = 0)) AS a FROM r GROUP BY 1)
+SELECT round(avg(a), 6) AS auroc FROM a""")
+def auroc_one_versus_rest(spark, d):
+    e = embeddings(spark, d, 1, 3).where("label < 3").select("label", F.col("value").alias("scores"))
+    return _rounded(analytics.auroc_ovr(e, [0, 1, 2]), "auroc")
+
+
+# ---------------------------------------------------------------- more candidates, encoders and preparation
+
+
+_CONSENSUS_MEDIANS = f"""WITH {_HALVES}, {_knn_cte("na", "euclidean", 20, "a")}, {_knn_cte("nb", "manhattan", 20, "b")},
+j AS (SELECT na.query_id, na.train_id, na.distance + nb.distance AS distance FROM na JOIN nb USING (query_id, train_id)),
+n AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id))::INT AS rank FROM j) WHERE rank <= 5)"""
+
+
+@_query(_MEDIAN_SQL.format(e="@", n="@", prefix="least(2 * cand_rank - 1, k)", anchor="cand_rank").replace("WITH @, @", _CONSENSUS_MEDIANS))
+def consensus_medians(spark, d):
+    """Prefix medians of the rows that both halves list."""
+    near = combine.consensus(_halves(spark, d, 20), 5)
+    out = combine.progressive_medians(near, embeddings(spark, d))
+    return _digest(out, "query_id", "cand_rank", "n_used", "anchor_id")
+
+
+@_query(f"""WITH {_HALVES}, {_knn_cte("na", "euclidean", 2, "a")}, {_knn_cte("nb", "manhattan", 2, "b")}
+SELECT 'a' AS space, query_id, train_id, rank FROM na UNION ALL SELECT 'b', query_id, train_id, rank FROM nb""")
+def union_of_spaces(spark, d):
+    return combine.union_spaces(_halves(spark, d, 2)).select("space", "query_id", "train_id", "rank")
+
+
+@_query(f"""WITH {_E}, {_knn_cte("n", "euclidean", 2)} SELECT query_id, rank AS cand_rank, train_id AS anchor_id, substr(text, 1, 40) AS text FROM n
+ LEFT JOIN documents ON doc_id = train_id""")
+def anchor_texts(spark, d):
+    """Candidates with their anchor's text, here the document of the same number."""
+    near = _near(spark, d, 2, "euclidean").select("query_id", F.col("rank").alias("cand_rank"), F.col("train_id").alias("anchor_id"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.substring("text", 1, 40).alias("text"))
+    return combine.with_anchor_texts(near, texts).select("query_id", "cand_rank", "anchor_id", "text")
+
+
+@_query("""WITH t AS (SELECT vec_id, list_transform(range(0, 4), lambda i: list_transform(embedding[16 * i + 1:16 * i + 16], lambda x: x::DOUBLE))
+ AS t,
+ list_transform(range(0, 4), lambda i: CASE WHEN i = 0 OR embedding[16 * i + 1] > 0 THEN 1.0 ELSE 0.0 END) AS m FROM embeddings),
+p AS (SELECT vec_id, t, list_transform(range(1, 17), lambda d: list_sum(list_transform(range(1, 5), lambda i: t[i][d] * m[i])) / list_sum(m)) AS p
+ FROM t)
+SELECT vec_id AS sample_id, round(list_sum(p), 6) AS mean_sum, round(p[7], 6) AS mean_7, round(list_sum(t[1]), 6) AS first_sum, round(p[7]
+ / sqrt(list_sum(list_transform(p, lambda x: x * x))), 6) AS unit_7 FROM p""")
+def pooled_tokens(spark, d):
+    """Masked means, first tokens and unit means of token vectors: each embedding as four tokens, those that begin below zero masked."""
+    e = embeddings(spark, d)
+    tokens = F.array(*[F.slice("value", 16 * i + 1, 16) for i in range(4)])
+    mask = F.array(*[F.when(F.get("value", F.lit(16 * i)) > 0, 1.0).otherwise(1.0 if i == 0 else 0.0) for i in range(4)])
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    p = e.select(
+        "sample_id", encoders.mean_pooled(tokens, mask).alias("p"), encoders.first_pooled(tokens).alias("f"),
+        encoders.prefixed_pooled(tokens, mask).alias("u")
+    )
+    out = p.select(
+        "sample_id", total("p").alias("mean_sum"), F.get("p", F.lit(6)).alias("mean_7"), total("f").alias("first_sum"),
+        F.get("u", F.lit(6)).alias("unit_7")
+    )
+    return _rounded(out, "mean_sum", "mean_7", "first_sum", "unit_7")
+
+
+_TOP_TERMS = f"""WITH {_TFIDF}, top AS (SELECT t FROM c0 GROUP BY 1 ORDER BY count(*) DESC, t LIMIT 50),
+tw AS (SELECT id, t, (ln(n) + 1) * idf AS w FROM (SELECT id, t, count(*) AS n FROM c0 GROUP BY ALL) JOIN idf USING (t) WHERE t IN (SELECT t
+ FROM top)),
+ts AS (SELECT id, sqrt(sum(w * w)) AS s FROM tw GROUP BY 1)"""
+
+
+@_query(f"{_TOP_TERMS} SELECT id AS sample_id, count(*) AS n_terms, round(max(w / s), 6) AS top_weight FROM tw JOIN ts USING (id) GROUP BY 1")
+def tfidf_sublinear(spark, d):
+    """The 50 most frequent terms only, with logarithmic term counts."""
+    c = _texts(spark, d)[1]
+    out = encoders.tfidf_transform(c, encoders.tfidf_fit(c, 50), sublinear=True)
+    return out.groupBy("sample_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"))
+
+
+@_query(f"""WITH {_SERIES}, {_TS_NEAR}, p AS (SELECT n.query_id, n.rank, q.ch, avg(abs(q.n - c.n)) AS gap FROM n JOIN gr q ON q.id = n.query_id
+ JOIN gr c ON c.id = n.train_id AND c.ch = q.ch AND c.t = q.t GROUP BY ALL)
+SELECT query_id, rank, round(avg(gap), 6) AS proximity, round(avg((gap > 1e-6)::INT), 6) AS sparsity FROM p GROUP BY ALL""")
+def baseline_series_objectives(spark, d):
+    s, n = user_series(spark, d), _ts_near(spark, d, "euclidean")
+    j = n.join(s.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a")), "query_id")
+    j = j.join(s.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b")), "train_id")
+    near, sparse = scores.baseline_series(F.col("a"), F.col("b"))
+    return _rounded(j.select("query_id", "rank", near.alias("proximity"), sparse.alias("sparsity")), "proximity", "sparsity")
+
+
+@_query(f"""WITH {_SERIES}, {_TS_NEAR}, h AS (SELECT ch, dense_rank() OVER (ORDER BY ch) AS i FROM (SELECT DISTINCT ch FROM gr)),
+p AS (SELECT n.query_id, n.rank, CASE WHEN i <= 2 THEN 'labs' ELSE 'meds' END AS part, q.ch, q.n AS a, c.n AS b FROM n JOIN gr q ON q.id = n.query_id
+ JOIN h ON h.ch = q.ch JOIN gr c ON c.id = n.train_id AND c.ch = q.ch AND c.t = q.t),
+m AS (SELECT query_id, rank, part, avg((a <> b)::INT) AS s FROM p GROUP BY ALL), x AS (SELECT query_id, rank, avg(abs(a - b)) AS p FROM p
+ GROUP BY ALL)
+SELECT query_id, rank, round(any_value(p), 6) AS proximity, round(avg(s), 6) AS sparsity FROM m JOIN x USING (query_id, rank) GROUP BY ALL""")
+def split_series_objectives(spark, d):
+    """Two groups of channels: proximity over all values together, sparsity as the mean of both groups'."""
+    s, n = user_series(spark, d), _ts_near(spark, d, "euclidean")
+    part = lambda v, first: F.slice(v, 1, 2) if first else F.slice(v, 3, F.size(v) - 2)
+    j = n.join(s.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a")), "query_id")
+    j = j.join(s.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b")), "train_id")
+    pairs = [(part(F.col("a"), f), part(F.col("b"), f)) for f in (True, False)]
+    return _rounded(
+        j.select("query_id", "rank", series.split_proximity(pairs).alias("proximity"), series.split_sparsity(pairs).alias("sparsity")),
+        "proximity", "sparsity",
+    )
+
+
+@_query(f"""{_PAIRS} SELECT query_id, rank, round(0.3 * a[1] + 0.7 * b[1], 6) AS base, round((2 * (0.3 * a[1] + 0.7 * b[1]) + a[2]) / 3, 6) AS mean_,
+ round(2 * (0.3 * a[1] + 0.7 * b[1]) + a[2], 6) AS sum_ FROM p""")
+def merged_plausibility(spark, d):
+    """Three scores merged by weight, as a mean and as a sum; here components of vectors stand for them."""
+    p, at = _pairs(spark, d), lambda c, i: F.get(c, F.lit(i))
+    tab, ser, txt = at("a", 0), at("b", 0), at("a", 1)
+    merged = lambda **o: scores.merged_plausibility(tab, ser, 0.3, **o)
+    out = p.select(
+        "query_id", "rank", merged().alias("base"), merged(text=txt, base_weight=2.0).alias("mean_"),
+        merged(text=txt, base_weight=2.0, how="weighted_sum").alias("sum_")
+    )
+    return _rounded(out, "base", "mean_", "sum_")
+
+
+@_query("""WITH s AS (SELECT c_custkey AS sample_id, concat_ws(',', 'C' || c_nationkey, CASE WHEN c_custkey % 3 > 0 THEN ' S' || c_custkey % 7 END,
+ CASE WHEN c_custkey % 3 > 1 THEN 'T' END) AS l,
+ CASE WHEN c_custkey % 4 = 0 THEN 'x' WHEN c_custkey % 4 = 1 THEN NULL ELSE (c_custkey % 50) || '-' || (c_custkey % 50 + 10) END AS w FROM customer),
+m AS (SELECT median(sample_id % 50 + 5) AS m FROM s WHERE sample_id % 4 > 1 AND sample_id % 5 > 0)
+SELECT sample_id, string_split(l, ',')[1] AS country, trim(string_split(l, ',')[2]) AS state, string_split(l, ',')[3] AS city, CASE
+ WHEN sample_id % 4 > 1 THEN sample_id % 50 + 5.0 ELSE m END AS salary FROM s, m""")
+def location_and_salary(spark, d):
+    """Locations cut into their parts; salary ranges' midpoints, missing ones filled with the training rows' median."""
+    k = F.col("sample_id")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id"), "c_nationkey")
+    c = c.withColumn(
+        "l", F.concat_ws(",", F.concat(F.lit("C"), "c_nationkey"), F.when(k % 3 > 0, F.concat(F.lit(" S"), k % 7)), F.when(k % 3 > 1, "T"))
+    )
+    c = c.withColumn("w", F.when(k % 4 == 0, "x").when(k % 4 > 1, F.concat_ws("-", (k % 50).cast("string"), (k % 50 + 10).cast("string"))))
+    out = c.select("sample_id", *preprocess.split_location(F.col("l")), preprocess.salary_midpoint(F.col("w")).alias("salary"))
+    return preprocess.fill_median(out, "salary", F.col("sample_id") % 5 > 0)
+
+
+@_query(f"""WITH {_TEXTS}, {", ".join(f"{x}g AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(w) AS t FROM {x}) GROUP BY ALL)" for x in "qc")},
+o AS (SELECT a.id AS q, b.id AS c, sum(least(a.n, b.n)) AS o FROM qg a JOIN cg b USING (t) GROUP BY ALL)
+SELECT q.id::BIGINT AS query_id, c.id AS train_id, round(1 - 2 * coalesce(o, 0) / (len(q.w) + len(c.w)), 6) AS distance FROM q JOIN c ON c.id = q.id
+ LEFT JOIN o ON o.q = q.id AND o.c = c.id""")
+def text_pair_distance(spark, d):
+    """Each benchmark text against the assistant's turn of the same number."""
+    q, c = _texts(spark, d)
+    j = q.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a")).join(
+        c.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b")), F.col("query_id") == F.col("train_id")
+    )
+    return _rounded(j.select("query_id", "train_id", text.distance("rouge_1")(F.col("a"), F.col("b")).alias("distance")), "distance")

@@ -11,8 +11,14 @@ os.environ["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(__fil
 def spark():
     from pyspark.sql import SparkSession
 
-    s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-         .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    options = {
+        "spark.sql.shuffle.partitions": "4",
+        "spark.ui.enabled": "false",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.driver.memory": "4g",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    s = SparkSession.builder.master("local[4]").config(map=options).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

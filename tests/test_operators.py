@@ -341,7 +341,7 @@ def test_objectives_of_missing_parts_and_weights(spark):
     rows = {r.cand_rank: r for r in assemble([tab, words], ["query_id", "cand_rank"], 0, pred).collect()}
     assert rows[1].outcome == 2 and rows[2].outcome is None
     assert rows[1].proximity == pytest.approx(0.75 * 1 + 0.25 * 0.5) and rows[1].sparsity == pytest.approx(0.75 * 0.5 + 0.25 * 0.5)
-    assert rows[2].proximity == pytest.approx(0.25 * 1) and rows[1].plausibility > rows[2].plausibility
+    assert rows[2].proximity == pytest.approx(0.25 * 1) and 0 < rows[2].plausibility <= rows[1].plausibility <= 0.75
     whole = assemble([tab, words], ["query_id", "cand_rank"], 0, renormalise=True).where("cand_rank = 2").first()
     assert whole.plausibility == pytest.approx(rows[2].plausibility / 0.75)
     with pytest.raises(ValueError):
@@ -432,3 +432,27 @@ def test_runs_are_found_and_read(spark, tmp_path):
         "patient int, feasible boolean, outcome double, proximity double, sparsity double, plausibility double"
     )
     assert [(r.outcome, r.n_feasible) for r in tables.genetic_means(found).collect()] == [(0.5, 1)]
+
+
+def test_convolutions_svd_series_gradient_and_best_branch(spark):
+    from contrapoint.operators import models
+
+    rng = np.random.default_rng(0)
+    rows = [(i, i % 2, [[float(x) for x in rng.normal(0, 1, 24) + (np.sin(np.arange(24)) * 3 if i % 2 else 0)]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id long, label int, value array<array<double>>")
+    features = models.convolution_features(df, 40)
+    assert len(features.first().value) == 80
+    said = models.predict(models.fit(features, "logistic", regParam=0.1), features)
+    assert analytics.macro_metrics(said).first().accuracy > 0.9
+    x = rng.normal(0, 1, (30, 5))
+    flat = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample_id long, value array<double>")
+    got = np.array([r.value for r in models.truncated_svd(flat, flat, 2).orderBy("sample_id").collect()])
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+    good = spark.createDataFrame([(1, 1), (0, 0)], "label int, pred int")
+    bad = spark.createDataFrame([(1, 0), (0, 0)], "label int, pred int")
+    assert models.best_branch({"b": bad, "c": good, "a": bad}) == "c" and models.best_branch({"z": good, "y": good}) == "y"
+    query_ = spark.createDataFrame([(1, [[0.0, 0.0], [1.0, 1.0]])], "sample_id long, value array<array<double>>")
+    w = np.array([[1.0, -1], [1, -1], [-1, 1], [-1, 1]])
+    found = baselines.gradient_series(query_, w, np.zeros(2), 0, 2).collect()
+    assert len(found) == 2 and all(len(r.value) == 2 and len(r.value[0]) == 2 and (np.ravel(r.value) @ w).argmax() == 0 for r in found)

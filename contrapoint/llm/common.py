@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import sys
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Tasks that share the edges of one node.
 HUB_PARTS = 8
-#: Bits of the filter before a join that moves texts: 8 MB.
+#: Bits of the filter before a join that moves texts: at most a million words of 64 bits.
 BLOOM_BITS = 1 << 26
 
+#: What is at least so large goes back to the system as soon as it is freed; the C library's number for that.
+LARGE, M_MMAP_THRESHOLD = 8 << 20, -3
+
 _STAGED: list[str] = []
 
 
@@ -79,16 +83,23 @@ def drop_staged(spark: SparkSession, since: int = 0, but: int = 0) -> int:
 def worker_cache(owner: str) -> dict:
     """A dictionary that lives as long as the Python process, for models and words that an operator's tasks share.
 
-    Another operator that runs in the process later empties it first, so memory never adds up over operators.
+    Another operator that runs in the process later empties it first and gives its memory back to the system, so memory
+    never adds up over operators.
     """
     cache = sys.__dict__.setdefault("_contrapoint_cache", {})
     if cache.get("owner") != owner:
         cache.clear()
         cache["owner"] = owner
+        gc.collect()
+        pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps what it frees
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such calls
+            libc = ctypes.CDLL(None)
+            libc.mallopt(M_MMAP_THRESHOLD, LARGE)
+            libc.malloc_trim(0)
     return cache
 
 
-def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+def small_batches(docs: DataFrame, rows: int = 400) -> DataFrame:
     """``docs``, with the session's Arrow batches at ``rows`` rows where they are at Spark's default.
 
     Ten thousand whole texts at a time, in and out of each task, would take most of a small executor.
@@ -142,22 +153,15 @@ def tile_rows(df: DataFrame, keys: list[str], sizes: DataFrame, row_key: str, bl
 def maybe_among(rows: DataFrame, key: str, ids: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
     """The rows whose ``key`` may be one of ``ids`` (one column): all of those that are, and few others.
 
-    A Bloom filter of a fixed number of bits, so its size never grows with the data; where it fills up, more rows pass.
-    It comes before a join that moves whole texts. Only the key's places go to Python.
+    A Bloom filter with one hash, as a table of 64-bit words: it has at most ``bits`` / 64 rows, so it can be broadcast
+    however large the data are; where it fills up, more rows pass. It comes before a join that moves whole texts.
     """
-    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
-    each = ids.select(F.explode(F.array(*places(F.col(ids.columns[0])))).alias("p"))
-    words = each.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("b")).toPandas()
-    table = np.zeros(bits // 64, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    sent = rows.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def hit(a: pd.Series, b: pd.Series) -> pd.Series:
-        found = [sent.value[p >> 6] >> (p & 63) & 1 for p in (a.to_numpy(), b.to_numpy())]
-        return pd.Series((found[0] & found[1]).astype(bool))
-
-    return rows.where(hit(*places(F.col(key))))
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(bits))
+    own = ids.select(place(F.col(ids.columns[0])).alias("_p"))
+    words = own.groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_p & 63 AS int)))").alias("_b"))
+    marked = rows.withColumn("_p", place(F.col(key))).withColumn("_w", F.shiftright("_p", 6))
+    hit = F.expr("shiftright(_b, cast(_p & 63 AS int)) & 1 = 1")
+    return marked.join(F.broadcast(words), "_w").where(hit).select(*rows.columns)  # at most bits / 64 rows
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:

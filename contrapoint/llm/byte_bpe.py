@@ -372,7 +372,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(n)), ids], names=[*keep, out])
 
-    rows = small_batches(docs).select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
+    rows = small_batches(docs, 1000).select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
     return rows.mapInArrow(run, rows.drop(text).withColumn(out, F.expr("CAST(array() AS array<int>)")).schema)
 
 
@@ -426,6 +426,6 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 )
 
-    rows = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(docs, 1000).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
     return rows.mapInArrow(run, schema)

@@ -37,7 +37,7 @@ SLACK, DIRECT, BAND_BLOCK, GROUP_ROWS = 6.0, 64, 4096, 20_000
 #: Documents and bytes of a set tile, bytes of a group of tiles, members that all others of a large group meet first.
 SET_BLOCK, SET_BYTES, SET_GROUP_BYTES, PIVOTS = 512, 1 << 25, 1 << 23, 8
 #: Words that a task remembers.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: The expected share of accidentally equal registers of equally large sets, for one mantissa bit (Yu and Weber, 2017).
 COLLISIONS = 0.169919487159739093975315012348 * 2
 

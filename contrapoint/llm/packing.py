@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import small_batches, staged, worker_cache
 
 #: Words that a task remembers, rows of a salted rank part, parts of any length at least.
-KEPT_WORDS, PART_ROWS, LEAST_PARTS = 800_000, 20_000, 64
+KEPT_WORDS, PART_ROWS, LEAST_PARTS = 400_000, 20_000, 64
 
 #: The vocabulary marks tokens that end a word; letters, then ASCII marks without the apostrophe.
 WORD_END, MARKS = "</w>", rb"[!-&(-/:-@\[-`{-~]+"
@@ -126,9 +126,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 words = [ids_of.split(t) for t in pc.cast(part.column(1), pa.binary()).to_pylist()]
-                if len(known) > KEPT_WORDS:
+                every = set().union(*words)
+                if len(known) > KEPT_WORDS:  # only the words at hand stay
+                    kept = {w: known[w] for w in every if w in known}
                     known.clear()
-                ids_of.learn(list(set().union(*words).difference(known)))
+                    known.update(kept)
+                ids_of.learn(list(every.difference(known)))
                 rows = []
                 for doc_id, ws in zip(part.column(0).to_pylist(), words, strict=True):
                     ids = b"".join([*map(known.__getitem__, ws), end])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, small_batches, worker_cache
 
 #: Labelled rows that train at most; vectors and their length; passes and first learning rate; words a task remembers.
-SAMPLE, BUCKETS, DIM, EPOCHS, RATE, KEPT_WORDS = 2000, 1 << 16, 16, 4, 0.5, 300_000
+SAMPLE, BUCKETS, DIM, EPOCHS, RATE, KEPT_WORDS = 2000, 1 << 16, 16, 4, 0.5, 150_000
 #: Bytes of the sample's texts at most.
 SAMPLE_BYTES = 16_000_000
 #: Steps at least, so that few rows are passed more often.

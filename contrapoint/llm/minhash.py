@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, maybe_among, small_batches, staged, tile_rows, worker_cache
+from .common import connected_components, drop_staged, maybe_among, small_batches, staged, staged_so_far, tile_rows, worker_cache
 
 #: Registers and their index bits, mantissa bits, registers of a band.
 REGISTERS, INDEX_BITS, MANTISSA, ROWS = 128, 7, 10, 4
@@ -35,7 +35,7 @@ REGISTERS, INDEX_BITS, MANTISSA, ROWS = 128, 7, 10, 4
 #: and rows of a group of them.
 SLACK, DIRECT, BAND_BLOCK, GROUP_ROWS = 6.0, 64, 4096, 20_000
 #: Documents and bytes of a set tile, bytes of a group of tiles, members that all others of a large group meet first.
-SET_BLOCK, SET_BYTES, SET_GROUP_BYTES, PIVOTS = 512, 1 << 25, 1 << 23, 8
+SET_BLOCK, SET_BYTES, SET_GROUP_BYTES, PIVOTS = 512, 1 << 25, 1 << 20, 8
 #: Words that a task remembers.
 KEPT_WORDS = 200_000
 #: The expected share of accidentally equal registers of equally large sets, for one mantissa bit (Yu and Weber, 2017).
@@ -289,6 +289,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
         ),
         "classes"
     )
+    spark, since = docs.sparkSession, staged_so_far()
     # A set of fewer members can't reach the threshold with any other set.
     wide = classes.where(F.col("n") >= int(np.ceil(threshold / (1 - threshold) - 1e-9)))
     banded = wide.select("rep", F.posexplode("bands").alias("band", "h"))
@@ -338,6 +339,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
         sets, "rep long, component long, shingles binary"
     ).where("length(shingles) > 0")
     components = connected_components(_verified(staged(whole, "sets"), percent))
+    drop_staged(spark, since, but=1)  # of these tables only the components' last round is read from here on
     by_class = classes.join(components, classes.rep == components.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
     # Documents without words or id link with nothing, so they keep out of the join on the digest.
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()

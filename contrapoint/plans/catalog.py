@@ -66,11 +66,12 @@ _DISTANCES = {
 }
 
 
-def _knn_cte(name: str, metric: str, k: int, v: str = "v", where: str = f"q.label <> {TARGET} AND c.label = {TARGET}", source: str = "e") -> str:
-    return f"""{name} AS (SELECT * FROM (SELECT query_id, train_id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance,
- train_id))::INT AS rank
-    FROM (SELECT q.vec_id AS query_id, c.vec_id AS train_id, {_DISTANCES[metric].format(v=v)} AS distance FROM {source} q JOIN {source} c ON {where}))
- WHERE rank <= {k})"""
+def _knn_cte(
+    name: str, metric: str, k: int, v: str = "v", where: str = f"q.label <> {TARGET} AND c.label = {TARGET}", source: str = "e", by: str = "distance"
+) -> str:
+    pairs = f"SELECT q.vec_id AS query_id, c.vec_id AS train_id, {_DISTANCES[metric].format(v=v)} AS distance FROM {source} q JOIN {source} c ON {where}"
+    ranked = f"SELECT query_id, train_id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY {by}, train_id))::INT AS rank FROM ({pairs})"
+    return f"{name} AS (SELECT * FROM ({ranked}) WHERE rank <= {k})"
 
 
 def _knn_sql(metric: str, k: int = 5, where: str | None = None) -> str:
@@ -403,7 +404,7 @@ def ts_progressive_median(spark, d):
 
 @_query(f"""WITH {_SERIES}, f AS (SELECT id AS vec_id, label, list(m ORDER BY ch) AS v FROM (SELECT id, label, ch, avg(n) AS m FROM gr GROUP BY ALL)
  GROUP BY ALL),
-{_knn_cte("n", "euclidean", 3, where="q.label = 1 AND c.label = 0", source="f").replace("ORDER BY distance, train_id", "ORDER BY round(distance, 9), train_id")} SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM n""")
+{_knn_cte("n", "euclidean", 3, where="q.label = 1 AND c.label = 0", source="f", by="round(distance, 9)")} SELECT query_id, train_id, rank, round(distance, 6) AS distance FROM n""")
 def early_fusion_time_means(spark, d):
     """Series reduced to their channels' means, then searched as vectors."""
     s = user_series(spark, d).withColumn("value", series.time_mean(F.col("value")))

@@ -21,8 +21,9 @@ HUB_PARTS = 8
 #: Bits of the filter before a join that moves texts: at most a million words of 64 bits.
 BLOOM_BITS = 1 << 26
 
-#: What is at least so large goes back to the system as soon as it is freed; the C library's number for that.
-LARGE, M_MMAP_THRESHOLD = 8 << 20, -3
+#: What is at least so large goes back to the system as soon as it is freed; the C library's numbers for that and for how
+#: much it keeps at the heap's end.
+LARGE, M_MMAP_THRESHOLD, M_TRIM_THRESHOLD = 8 << 20, -3, -1
 
 _STAGED: list[str] = []
 
@@ -95,6 +96,7 @@ def worker_cache(owner: str) -> dict:
         with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such calls
             libc = ctypes.CDLL(None)
             libc.mallopt(M_MMAP_THRESHOLD, LARGE)
+            libc.mallopt(M_TRIM_THRESHOLD, 8 * LARGE)  # else the heap's end would come and go with every small block
             libc.malloc_trim(0)
     return cache
 

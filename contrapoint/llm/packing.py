@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import small_batches, staged, worker_cache
 
 #: Words that a task remembers, rows of a salted rank part, parts of any length at least.
-KEPT_WORDS, PART_ROWS, LEAST_PARTS = 400_000, 20_000, 64
+KEPT_WORDS, PART_ROWS, LEAST_PARTS = 700_000, 20_000, 64
 
 #: The vocabulary marks tokens that end a word; letters, then ASCII marks without the apostrophe.
 WORD_END, MARKS = "</w>", rb"[!-&(-/:-@\[-`{-~]+"
@@ -143,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                     names=["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
+    return small_batches(docs, 1000).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:

@@ -333,7 +333,7 @@ class Codec:
 
 
 def _codec(lines, pattern: str) -> Codec:
-    cache = worker_cache("byte_bpe")
+    cache = worker_cache("byte_bpe", hold=True)
     key = ("byte_bpe", hash(lines.value), pattern)
     if key not in cache:
         cache[key] = Codec(lines.value, pattern)

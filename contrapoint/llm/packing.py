@@ -103,7 +103,7 @@ class WordIds:
 
 
 def _word_ids(data: str) -> WordIds:
-    cache = worker_cache("packing")
+    cache = worker_cache("packing", hold=True)
     if (key := ("word_bpe", hash(data))) not in cache:
         cache[key] = WordIds(data)
     return cache[key]

@@ -24,13 +24,11 @@ from .common import connected_components, staged, worker_cache
 
 #: Assigned and decoded rows of a tile, rows of a group of tiles, parts that a direction's or a vector's rows are dealt by.
 ASSIGNED, DECODED, GROUP_ROWS, SALTS = 512, 4096, 8192, 8
-#: Code words of a half for each square root of a label's vectors, and at least and at most.
-PER_ROOT, LEAST_WORDS, MOST_WORDS = 3.0, 16, 4096
 
 
 def code(dim: int, codewords: int) -> tuple[np.ndarray, np.ndarray]:
     """Random unit code words of the two halves; the seed is the dimension."""
-    cache = worker_cache("capfilters")
+    cache = worker_cache("capfilters", hold=True)
     if (key := ("caps", dim, codewords)) not in cache:
         rng = np.random.default_rng(dim)
         halves = []
@@ -66,13 +64,12 @@ def _forest(rows: np.ndarray, cols: np.ndarray, left: np.ndarray, right: np.ndar
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.98, codewords: int | None = None, vec_id: str = "vec_id", vector: str = "embedding",
+    vectors: DataFrame, threshold: float = 0.98, codewords: int = 1024, vec_id: str = "vec_id", vector: str = "embedding",
     label: str = "label"
 ) -> DataFrame:
     """(``vec_id``, ``n_links``, ``component_id``, ``kept``) for every row of ``vectors``.
 
-    Without ``codewords`` their number follows the largest label: with n vectors it is about ``PER_ROOT`` times the root of n,
-    so that the directions keep pace with the vectors. It changes the work, not the result.
+    ``codewords`` change the work, not the result: fewer decode vectors to more directions, more take longer to decode.
     """
     zero = F.lit(0).cast(vectors.schema[vector].dataType.elementType)
     plain = F.transform(vector, lambda x: F.when(x == 0, zero).otherwise(x))  # without negative zeros, so that equal vectors hash alike
@@ -84,9 +81,6 @@ def near_duplicates(
     good = every.where(usable)
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(label), 64) AS int))")
     classes = staged(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("bit", bit), "classes")
-    if codewords is None:
-        most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        codewords = min(MOST_WORDS, max(LEAST_WORDS, 1 << int(np.ceil(np.log2(PER_ROOT * np.sqrt(max(most, 1)))))))
 
     def assign(batches):
         for batch in batches:

@@ -92,12 +92,14 @@ def worker_cache(owner: str, hold: bool = False) -> dict:
         cache.clear()
         cache["owner"] = owner
         gc.collect()
-        pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps what it frees
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such calls
             libc = ctypes.CDLL(None)
-            libc.mallopt(M_MMAP_THRESHOLD, 4 * LARGE if hold else LARGE)
-            libc.mallopt(M_TRIM_THRESHOLD, (16 if hold else 8) * LARGE)  # else the heap's end would come and go with every small block
             libc.malloc_trim(0)
+            if not hold:
+                pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps what it frees
+                libc.mallopt(M_MMAP_THRESHOLD, LARGE)
+                libc.mallopt(M_TRIM_THRESHOLD, 8 * LARGE)  # else the heap's end would come and go with every small block
     return cache
 
 

@@ -135,7 +135,7 @@ def test_urls_of_any_length_and_rules_in_both_lists(spark):
     assert url_cascade.judge(pages.limit(0), rules).count() == 0
 
 
-def test_cap_filters_choose_code_words_and_take_negative_zeros_for_zeros(spark):
+def test_cap_filters_take_negative_zeros_for_zeros(spark):
     rows = [(1, [0.0, 1.0], 0), (2, [-0.0, 1.0], 0), (3, [1.0, 0.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     assert {(r.vec_id, r.n_links, r.component_id) for r in capfilters.near_duplicates(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3)}

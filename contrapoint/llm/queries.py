@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, capfilters, disclosure, gru_language, lattice_lm, minhash, packing, subword_classifier, topk, url_cascade
+from . import (
+    byte_bpe, capfilters, disclosure, exact_dedup, gru_language, lattice_lm, lexical, minhash, packing, resampling, subword_classifier, topk, url_cascade
+)
 from .common import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -80,6 +82,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, seed=42, least_words=20)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -122,5 +136,29 @@ FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM l
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = f"""
+WITH h AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM h WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP13 = f"""
+WITH d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY ALL),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, c GROUP BY term, docs),
+q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // len))))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN t USING (term) JOIN n USING (doc_id), c GROUP BY ALL),
+r AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_dedup": _OP4, "op5_topk_search": _OP5, "op9_url_filter": _OP9, "op10_embedding_dedup": _OP10}
+    return {"op11_bloom_dedup": _OP11, "op13_lexical_search": _OP13, "op4_minhash_dedup": _OP4, "op5_topk_search": _OP5, "op9_url_filter": _OP9, "op10_embedding_dedup": _OP10}

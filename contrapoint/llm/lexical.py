@@ -185,7 +185,7 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         df = document_counts(found, len(block.terms))
         weight = np.array([math.floor(UNIT * math.log((2 * documents + 2) / (2 * x + 1))) for x in df.tolist()], np.int64)
         lists = _scored(found, block, len(rows), weight, documents, length or 0, k)
-        lists = lists.withColumn("place", F.monotonically_increasing_id())
+        lists = staged(lists.withColumn("place", F.monotonically_increasing_id()), "lists")  # ranges are sampled first
         lists = lists.repartitionByRange("item", "place").mapInArrow(_select(k), "item long, doc_id long, score long")
         order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
         best = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -234,3 +234,21 @@ def repeat_static(static: Column, steps: Column) -> Column:
 def split_columns(series: Column, first: int) -> tuple[Column, Column]:
     """Channel-major series cut into the first channels and the rest, the rest reduced to its first step."""
     return F.slice(series, 1, first), F.transform(F.slice(series, first + 1, F.greatest(F.size(series) - first, F.lit(0))), lambda ch: F.get(ch, 0))
+
+
+def concatenated(static: Column, first: Column, second: Column | None = None, text: Column | None = None, sequence: bool = False) -> Column:
+    """One sample of all parts as a channel-major series: the static vector, one or two series, and a text's vector.
+
+    The static and the text's values are repeated over the steps; a text given as a ``sequence`` of vectors counts by their
+    mean. Null where a part is, or where the two series are of different lengths.
+    """
+    steps = F.size(F.get(first, F.lit(0)))
+    parts = [repeat_static(static, steps), first]
+    if second is not None:
+        parts.append(F.when(F.size(F.get(second, F.lit(0))) == steps, second))
+    if text is not None:
+        if sequence:
+            total = F.aggregate(F.slice(text, 2, F.greatest(F.size(text) - 1, F.lit(0))), F.get(text, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+            text = F.transform(total, lambda x: x / F.size(text))
+        parts.append(repeat_static(text, steps))
+    return F.concat(*parts)

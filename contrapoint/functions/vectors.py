@@ -34,8 +34,8 @@ def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x * x)))
 
 
-def distance(metric: str, a: Column, b: Column) -> Column:
-    """The distance of two array<double> columns of equal length, inside the JVM."""
+def distance(metric: str, a: Column, b: Column, p: float = 2.0) -> Column:
+    """The distance of two array<double> columns of equal length, inside the JVM; ``p`` is Minkowski's power."""
     metric = metric_name(metric)
     gap = F.zip_with(a, b, lambda x, y: F.abs(x - y))
     square = _sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
@@ -54,6 +54,14 @@ def distance(metric: str, a: Column, b: Column) -> Column:
         return _sum(F.zip_with(a, b, lambda x, y: (x != y).cast("double"))) / F.size(a)
     if metric == "canberra":
         return _sum(F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0.0).otherwise(F.abs(x - y) / (F.abs(x) + F.abs(y)))))
+    if metric == "minkowski":
+        return F.pow(_sum(F.transform(gap, lambda x: F.pow(x, F.lit(float(p))))), F.lit(1.0 / p))
+    if metric == "correlation":
+        centred = lambda v: F.transform(v, lambda x: x - _sum(v) / F.size(v))
+        return distance("cosine", centred(a), centred(b))
+    if metric == "jaccard":
+        either = _sum(F.zip_with(a, b, lambda x, y: ((x != 0) | (y != 0)).cast("double")))
+        return F.when(either == 0, F.lit(0.0)).otherwise(_sum(F.zip_with(a, b, lambda x, y: ((x != 0) != (y != 0)).cast("double"))) / either)
     total = _sum(F.zip_with(a, b, lambda x, y: F.abs(x + y)))
     return F.when(total == 0, F.lit(0.0)).otherwise(_sum(gap) / total)
 
@@ -79,6 +87,19 @@ def _braycurtis(row, c):
     return np.abs(row - c).sum(1) / np.where(total == 0, 1, total)
 
 
+def _correlation(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return _cosine(q - q.mean(1, keepdims=True), c - c.mean(1, keepdims=True))
+
+
+def _jaccard(row, c):
+    either = ((row != 0) | (c != 0)).sum(1)
+    return ((row != 0) != (c != 0)).sum(1) / np.maximum(either, 1)
+
+
+def _minkowski(q: np.ndarray, c: np.ndarray, p: float = 2.0) -> np.ndarray:
+    return _by_row(lambda row, c: (np.abs(c - row) ** p).sum(1) ** (1 / p))(q, c)
+
+
 #: (queries, candidates) -> matrix, for the tiles of the neighbour search.
 KERNELS = {
     "euclidean": _by_row(lambda row, c: np.sqrt(((c - row) ** 2).sum(1))),
@@ -89,6 +110,9 @@ KERNELS = {
     "hamming": _by_row(lambda row, c: (c != row).mean(1)),
     "canberra": _by_row(_canberra),
     "braycurtis": _by_row(_braycurtis),
+    "minkowski": _minkowski,
+    "correlation": _correlation,
+    "jaccard": _by_row(_jaccard),
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kept import written
 from .search import knn
 
 #: Keeps densities of coinciding points finite.
@@ -53,7 +54,7 @@ class Plausibility:
     def __init__(self, reference: DataFrame, most: int = 20):
         self.reference, self.n = reference, reference.count()
         self.k = neighbour_count(self.n, most)
-        self.fitted = fit(reference, self.k).cache() if self.n > 2 else None
+        self.fitted = written(fit(reference, self.k), "fitted") if self.n > 2 else None
 
     def raw(self, queries: DataFrame) -> DataFrame:
         """(``sample_id``, ``lof``)."""

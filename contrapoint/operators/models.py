@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -67,6 +70,75 @@ def predict_udf(f: Callable[[np.ndarray], np.ndarray]):
     return udf
 
 
+@dataclass(frozen=True)
+class Network:
+    """A fitted feed-forward network: sizes of its layers, and for each step the weights (outputs x inputs) and biases.
+
+    Hidden layers are sigmoid, the last one is a softmax.
+    """
+
+    weights: tuple[np.ndarray, ...]
+    biases: tuple[np.ndarray, ...]
+
+    @classmethod
+    def of(cls, model) -> Network:
+        """The layers of a fitted Spark ML perceptron, whose weights stand column by column, each layer's biases after them."""
+        sizes, flat, at, weights, biases = list(model.getLayers()), model.weights.toArray(), 0, [], []
+        for a, b in itertools.pairwise(sizes):
+            weights.append(flat[at : at + a * b].reshape(a, b).T)
+            biases.append(flat[at + a * b : at + a * b + b])
+            at += a * b + b
+        return cls(tuple(weights), tuple(biases))
+
+    def forward(self, x: np.ndarray, layer: int = -1) -> np.ndarray:
+        """What comes out of a layer, counted from the end if negative; 0 is the input."""
+        steps = layer if layer >= 0 else len(self.weights) + 1 + layer
+        if not 0 <= steps <= len(self.weights):
+            raise ValueError(f"the network has no layer {layer}")
+        for i in range(steps):
+            z = x @ self.weights[i].T + self.biases[i]
+            if i + 1 < len(self.weights):
+                x = 1 / (1 + np.exp(-z))
+            else:
+                e = np.exp(z - z.max(1, keepdims=True))
+                x = e / e.sum(1, keepdims=True)
+        return x
+
+    def output(self, rows: DataFrame, layer: int = -2) -> DataFrame:
+        """``rows`` with ``value``, the network's input, replaced by a layer's output, in Arrow batches.
+
+        A value that is null, holds nulls or is of another length becomes null.
+        """
+        width, names = self.weights[0].shape[1], rows.columns
+        rows = rows.withColumn("value", F.col("value").cast("array<double>"))
+        at = names.index("value")
+
+        def run(batches):
+            for batch in batches:
+                found = batch.column(at).to_pylist()
+                fits = [i for i, v in enumerate(found) if v is not None and len(v) == width and None not in v]
+                out = [None] * len(found)
+                if fits:
+                    for i, v in zip(fits, self.forward(np.array([found[i] for i in fits], float), layer).tolist(), strict=True):
+                        out[i] = v
+                columns = list(batch.columns)
+                columns[at] = pa.array(out, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return rows.mapInArrow(run, rows.schema)
+
+
+def fit_network(rows: DataFrame, hidden: list[int], seed: int = 7, **options) -> Network:
+    """A network of ``label`` from the array column ``value``, fitted by Spark ML."""
+    first = rows.select(F.size("value").alias("n")).first()
+    if first is None:
+        raise ValueError("no rows to fit on")
+    classes = int(rows.agg(F.max("label")).first()[0]) + 1
+    layers = [first["n"], *hidden, max(2, classes)]
+    model = MultilayerPerceptronClassifier(layers=layers, featuresCol="features", labelCol="label", seed=seed, **options)
+    return Network.of(model.fit(rows.withColumn("features", array_to_vector("value"))))
+
+
 def components(train: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """``rows`` with ``value`` projected on the k principal directions of the training rows; signs are arbitrary."""
     vector = lambda df: df.withColumn("features", array_to_vector("value"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, series
 from ..functions import text as text_functions
+from .kept import digest, written
 from .lof import Plausibility
 
 KINDS = ("tabular", "series", "text", "image")
@@ -23,7 +24,7 @@ class Modality:
     ``candidate`` has the keys, ``query_id`` among them, and ``value``; ``factual`` has ``query_id`` and ``value``.
     Values are vectors, channel-major series, or embeddings of texts and images; texts also have ``text``, images may have
     ``pixels``. ``reference`` (``sample_id``, ``value``) is the class, or all rows, for plausibility, which is left out
-    without it; a text needs three reference rows. ``how`` is ``percentile``, ``unit`` or ``raw``. ``tau`` are a series'
+    without it; with under three reference rows a text's plausibility is 1. ``how`` is ``percentile``, ``unit`` or ``raw``. ``tau`` are a series'
     thresholds by channel; ``distances`` (``distance``) make proximity a percentile rank.
     """
 
@@ -56,19 +57,26 @@ def _near_and_sparse(m: Modality, rows: DataFrame):
     return F.coalesce(scores.cosine_proximity(a, b), F.lit(1.0)), scores.image_sparsity(*pixels, m.threshold)
 
 
+def judged_values(values: DataFrame, reference: DataFrame, how: str = "percentile", judge: Plausibility | None = None) -> DataFrame:
+    """(``d0``, ``d1``, ``plausibility``) by the values' digests; each distinct value of ``value`` is scored once."""
+    judge = judge or Plausibility(reference)
+    own = values.where("value IS NOT NULL").select("value", *digest(F.col("value"))).dropDuplicates(["d0", "d1"])
+    own = written(own.withColumn("sample_id", F.monotonically_increasing_id()), "values")  # searched several times
+    rows = own.select("sample_id", "value")
+    found = judge.raw(rows).withColumnRenamed("lof", "plausibility") if how == "raw" or judge.n <= 2 else judge.scaled(rows, how)
+    return own.select("sample_id", "d0", "d1").join(found, "sample_id").select("d0", "d1", "plausibility")
+
+
 def plausibility(m: Modality) -> DataFrame | None:
-    """The candidates' ``value`` with ``plausibility``; each distinct value is scored once. None without a reference."""
+    """The candidates' digests with ``plausibility``. None without a reference, or for a text with under three reference rows."""
     if m.reference is None:
         return None
     flat = (lambda df: df.withColumn("value", F.flatten("value"))) if m.kind == "series" else (lambda df: df)
-    judge = Plausibility(flat(m.reference.select("sample_id", "value")).where("value IS NOT NULL"))
-    if m.kind == "text" and judge.n < 3:
-        raise ValueError(f"{m.name}: plausibility of texts needs three reference texts")
-    if not judge.n:
+    reference = flat(m.reference.select("sample_id", "value")).where("value IS NOT NULL")
+    judge = Plausibility(reference)
+    if not judge.n or (m.kind == "text" and judge.n < 3):
         return None
-    values = flat(m.candidate.select("value")).where("value IS NOT NULL").distinct().withColumn("sample_id", F.xxhash64("value")).cache()  # searched several times
-    found = judge.raw(values).withColumnRenamed("lof", "plausibility") if m.how == "raw" or judge.n <= 2 else judge.scaled(values, m.how)
-    return found
+    return judged_values(flat(m.candidate.select("value")), reference, m.how, judge)
 
 
 def assemble(modalities: list[Modality], keys: list[str], target: int, predictions: DataFrame | None = None, renormalise: bool = False) -> DataFrame:
@@ -88,7 +96,8 @@ def assemble(modalities: list[Modality], keys: list[str], target: int, predictio
         rows = _paired(m)
         near, sparse = _near_and_sparse(m, rows)
         rows = rows.select(
-            *keys, F.xxhash64(F.flatten("value") if m.kind == "series" else "value").alias("_id"), F.col("value").isNull().alias("_none"),
+            *keys, *[c.alias(f"_d{i}") for i, c in enumerate(digest(F.flatten("value") if m.kind == "series" else F.col("value")))],
+            F.col("value").isNull().alias("_none"),
             near.alias("proximity"), sparse.alias("sparsity")
         )
         if m.distances is not None:
@@ -97,10 +106,11 @@ def assemble(modalities: list[Modality], keys: list[str], target: int, predictio
         if judged is not None:
             missing = F.when(F.col("_none") & F.lit(m.kind in ("text", "image")), 1.0)
             rows = rows.join(
-                judged.withColumnRenamed("sample_id", "_id"), "_id", "left"
+                judged.withColumnsRenamed({"d0": "_d0", "d1": "_d1"}), ["_d0", "_d1"], "left"
             ).withColumn("plausibility", F.coalesce("plausibility", missing))
         else:
-            rows = rows.withColumn("plausibility", F.lit(None).cast("double"))
+            least = 1.0 if m.kind == "text" and m.reference is not None else None
+            rows = rows.withColumn("plausibility", F.lit(least).cast("double"))
         share = F.lit(m.weight / total)
         parts.append(
             rows.select(

@@ -1,8 +1,8 @@
 """Exact nearest neighbours of a target class in any distance space, as tiles of a distributed block product.
 
-Queries and candidates are dealt to blocks; a tile computes one block of distances in numpy and keeps each query's k
-smallest, and a window merges the tiles' lists. The data moved is each candidate once per query block and each query once
-per candidate shard; no side is broadcast or collected.
+Queries and candidates are dealt to blocks of bounded rows and bytes; a tile computes its distances in numpy, a few queries
+at a time, and keeps each query's k smallest, and windows merge the tiles' lists a few at a time. The data moved is each
+candidate once per query block and each query once per candidate shard; no side is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, NumericType
 
 from ..functions import series, text, vectors
 
-#: Rows of a query block and of a candidate shard.
-QUERY_BLOCK, SHARD = 512, 4096
+#: Rows of a query block and of a candidate shard, bytes of either, queries worked on at a time, lists merged at a time.
+QUERY_BLOCK, SHARD, BLOCK_BYTES, STEP, FAN_IN = 16_384, 4096, 1 << 25, 512, 16
 
 
 def kernel(metric: str | Callable, kind: str = "vector", **options) -> Callable:
@@ -35,7 +35,7 @@ def kernel(metric: str | Callable, kind: str = "vector", **options) -> Callable:
         f = text.kernel(metric)
         return lambda q, c, k: f(q, c, k)
     f = vectors.KERNELS[vectors.metric_name(metric)]
-    return lambda q, c, k: f(q, c)
+    return lambda q, c, k: f(q, c, **options)
 
 
 def _payload(column: pa.ChunkedArray):
@@ -58,6 +58,29 @@ def _whole(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(full, F.lit(False)))
 
 
+def _bytes(rows: DataFrame):
+    """About how many bytes a row's value takes, without working it out where it is no plain column of vectors or series."""
+    kind = rows.schema["value"].dataType
+    if not isinstance(kind, ArrayType):
+        return F.lit(64)
+    inner = kind.elementType
+    if isinstance(inner, ArrayType):
+        return 8 * F.size("value") * F.size(F.get("value", F.lit(0)))
+    return (8 if isinstance(inner, NumericType) else 32) * F.size("value")
+
+
+def _deal(q: DataFrame, c: DataFrame) -> tuple[int, int]:
+    """The numbers of query blocks and candidate shards, from both sides' rows and bytes, in one job."""
+    sizes = q.select(F.lit(0).alias("side"), _bytes(q).alias("b")).unionAll(c.select(F.lit(1).alias("side"), _bytes(c).alias("b")))
+    found = {r["side"]: r for r in sizes.groupBy("side").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()}
+    parts = lambda side, rows: max(
+        1, -(-found[side]["n"] // rows), -(-(found[side]["b"] or 0) // BLOCK_BYTES)
+    ) if side in found else 1
+    blocks, shards = parts(0, QUERY_BLOCK), parts(1, SHARD)
+    idle = -(-q.sparkSession.sparkContext.defaultParallelism // shards)
+    return max(blocks, min(parts(0, STEP), idle)), shards  # smaller blocks of queries where tasks would be fewer than cores
+
+
 def knn(
     queries: DataFrame, candidates: DataFrame, k: int, metric: str | Callable = "euclidean", kind: str = "vector", per_class: bool = False,
     exclude_self: bool = False, digits: int | None = None, **options
@@ -67,7 +90,8 @@ def knn(
     ``queries`` has ``sample_id`` and ``value`` (and ``target`` with ``per_class``), ``candidates`` ``sample_id`` and
     ``value`` (and ``label``). Ties go to the smaller id; fewer than k candidates give fewer rows. A value that is null
     or holds nulls takes no part, nor does a pair whose distance is not a number. With ``digits`` distances are rounded
-    before they are compared. ``options`` go to the series' kernel, such as ``window``.
+    before they are compared. ``options`` go to the metric's kernel, such as a series' ``window`` or Minkowski's ``p``.
+    Both sides are read twice, for their sizes and for the search: rows that an encoder makes are better written first.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -80,8 +104,8 @@ def knn(
         F.col("sample_id").alias("train_id"), F.col("value").alias("value"),
         (F.col("label") if per_class else F.lit(0)).cast("int").alias("c")
     )
+    blocks, shards = _deal(q, c)
     q, c = _whole(q), _whole(c)
-    blocks, shards = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // SHARD))
     q = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
         "s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
     )
@@ -90,10 +114,13 @@ def knn(
     )
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        if left.num_rows and right.num_rows:
-            ids, own = right["train_id"].to_numpy(), left["query_id"].to_numpy()
-            d = np.asarray(f(_payload(left["value"]), _payload(right["value"]), k + exclude_self), np.float64)
+        found = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]]
+        shard = left["s"][0].as_py() if left.num_rows else 0
+        ids, candidates = right["train_id"].to_numpy(), _payload(right["value"]) if left.num_rows and right.num_rows else None
+        for at in range(0, left.num_rows if right.num_rows else 0, STEP):
+            part = left.slice(at, STEP)
+            own = part["query_id"].to_numpy()
+            d = np.asarray(f(_payload(part["value"]), candidates, k + exclude_self), np.float64)
             d = np.where(np.isnan(d), np.inf, d if digits is None else d.round(digits))
             if exclude_self:
                 d = np.where(own[:, None] == ids, np.inf, d)
@@ -104,11 +131,16 @@ def knn(
             r, j = r[order], j[order]
             first = np.searchsorted(r, r)
             keep = np.arange(len(r)) - first < most
-            out = [own[r[keep]], ids[j[keep]], d[r[keep], j[keep]]]
-        return pa.table(out, names=["query_id", "train_id", "distance"])
-
-    found = q.groupBy("c", "b", "s").cogroup(c.groupBy("c", "b", "s")).applyInArrow(tile, "query_id long, train_id long, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "train_id")))
+            found.append([own[r[keep]], ids[j[keep]], d[r[keep], j[keep]]])
+        out = [np.concatenate(x) for x in zip(*found, strict=True)]
+        return pa.table([*out, np.full(len(out[0]), shard)], names=["query_id", "train_id", "distance", "s"])
+
+    found = q.groupBy("c", "b", "s").cogroup(c.groupBy("c", "b", "s")).applyInArrow(tile, "query_id long, train_id long, distance double, s long")
+    best = lambda df, *key: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", *key).orderBy("distance", "train_id")))
+    while shards > FAN_IN:  # no window holds more than FAN_IN lists of a query and class
+        shards = -(-shards // FAN_IN)
+        found = best(found.withColumn("s", F.expr(f"s DIV {FAN_IN}")), "s").where(F.col("rank") <= k).drop("rank")
+    ranked = best(found)
     return ranked.where(F.col("rank") <= k).select("query_id", "train_id", "rank", "distance")
 
 

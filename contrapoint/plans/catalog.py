@@ -24,10 +24,14 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import catalog_models  # noqa: F401  (adds its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_models  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -1034,13 +1038,15 @@ def gradient_restarts(spark, d):
 # ---------------------------------------------------------------- runs
 
 
-@_query("""SELECT a || '/' || b || '/' || c AS combo FROM (VALUES ('euclidean'), ('manhattan'), ('cosine')) x(a), (VALUES ('dtw'),
- ('euclidean')) y(b), (VALUES ('rouge_l'), ('lcs')) z(c)""")
+@_query("""SELECT a || '/' || b || '/' || c AS combo FROM (SELECT DISTINCT o_orderpriority AS a FROM orders), (SELECT DISTINCT o_orderstatus AS b
+ FROM orders), (SELECT DISTINCT l_returnflag AS c FROM lineitem)""")
 def config_grid(spark, d):
+    """The grid of the axes' values that the tables hold: priorities, states and return flags."""
     from . import sweep
 
-    rows = sweep.grid({"tab": ["euclidean", "manhattan", "cosine"], "ts": ["dtw", "euclidean"], "text": ["rouge_l", "lcs"], "image": []})
-    return spark.createDataFrame([(f"{r['tab']}/{r['ts']}/{r['text']}",) for r in rows], "combo string")
+    axis = lambda name, c: sorted(r[0] for r in table(spark, d, name).select(c).where(F.col(c).isNotNull()).distinct().collect())
+    axes = {"tab": axis("orders", "o_orderpriority"), "ts": axis("orders", "o_orderstatus"), "text": axis("lineitem", "l_returnflag"), "image": []}
+    return spark.createDataFrame([(f"{r['tab']}/{r['ts']}/{r['text']}",) for r in sweep.grid(axes)], "combo string")
 
 
 @_query("SELECT o_orderkey AS combo_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -1266,15 +1272,15 @@ def auroc_over_folds(spark, d):
     return analytics.auroc(rows, ["fold"]).agg(F.round(F.avg("auroc"), 6).alias("auroc"))
 
 
-@_query("""WITH s AS (SELECT label AS y, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS x FROM embeddings WHERE label < 3),
-f AS (SELECT c, (y = c)::INT AS y, x[c + 1] AS x FROM s, (VALUES (0), (1), (2)) v(c)),
+@_query("""WITH s AS (SELECT label AS y, list_transform(embedding[1:10], lambda e: e::DOUBLE) AS x FROM embeddings),
+f AS (SELECT c, (y = c)::INT AS y, x[c + 1] AS x FROM s, (SELECT unnest(range(0, 10)) AS c) v),
 r AS (SELECT c, y, rank() OVER (PARTITION BY c ORDER BY x) + (count(*) OVER (PARTITION BY c, x) - 1) / 2.0 AS r FROM f),
 a AS (SELECT c, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1)
  * count(*) FILTER (y = 0)) AS a FROM r GROUP BY 1)
 SELECT round(avg(a), 6) AS auroc FROM a""")
 def auroc_one_versus_rest(spark, d):
-    e = embeddings(spark, d, 1, 3).where("label < 3").select("label", F.col("value").alias("scores"))
-    return _rounded(analytics.auroc_ovr(e, [0, 1, 2]), "auroc")
+    e = embeddings(spark, d, 1, 10).select("label", F.col("value").alias("scores"))
+    return _rounded(analytics.auroc_ovr(e, list(range(10))), "auroc")
 
 
 # ---------------------------------------------------------------- more candidates, encoders and preparation
@@ -1299,12 +1305,12 @@ def union_of_spaces(spark, d):
     return combine.union_spaces(_halves(spark, d, 2)).select("space", "query_id", "train_id", "rank")
 
 
-@_query(f"""WITH {_E}, {_knn_cte("n", "euclidean", 2)} SELECT query_id, rank AS cand_rank, train_id AS anchor_id, substr(text, 1, 40) AS text FROM n
+@_query(f"""WITH {_E}, {_knn_cte("n", "euclidean", 2)} SELECT query_id, rank AS cand_rank, train_id AS anchor_id, text FROM n
  LEFT JOIN documents ON doc_id = train_id""")
 def anchor_texts(spark, d):
     """Candidates with their anchor's text, here the document of the same number."""
     near = _near(spark, d, 2, "euclidean").select("query_id", F.col("rank").alias("cand_rank"), F.col("train_id").alias("anchor_id"))
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.substring("text", 1, 40).alias("text"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), "text")
     return combine.with_anchor_texts(near, texts).select("query_id", "cand_rank", "anchor_id", "text")
 
 

@@ -18,6 +18,8 @@ from ..functions import text as text_functions
 from ..functions import vectors
 from ..operators import combine
 from ..operators.encoders import encode_distinct, precomputed
+from ..operators.kept import written
+from ..operators.models import Network
 from ..operators.search import knn
 from ..sources.dataset import Dataset
 
@@ -61,6 +63,11 @@ def _search(ds: Dataset, df: DataFrame, queries: DataFrame, target: int, k: int,
     return knn(ds.queries(df, queries), ds.candidates(df, target), k, metric, kind, **options)
 
 
+def _encoded_once(rows: DataFrame) -> DataFrame:
+    """An encoder's vectors, written before they are searched, as a search reads its rows more than once."""
+    return written(rows.select("split", "sample_id", "value"), "vectors")
+
+
 class Generator:
     """``search`` gives ranked neighbours, ``run`` candidates; ``key`` names the search so that others can reuse it."""
 
@@ -99,16 +106,17 @@ class TimeSeriesNN(Generator):
     k: int = 50
     distance: str | Callable = "dtw"
     window: float | None = series_functions.WINDOW
+    epsilon: float | None = None
 
     def key(self, ds):
-        return "series", self.ts_name, self.distance, self.window
+        return "series", self.ts_name, self.distance, self.window, self.epsilon
 
     def search(self, ds, queries, target, k):
-        windowed = not callable(self.distance) and series_functions.metric_name(self.distance) in ("dtw", "lcss")
-        return _search(
-            ds, ds.branch("series", self.ts_name), queries, target, k, self.distance, "series",
-            **({"window": self.window} if windowed else {})
-        )
+        name = None if callable(self.distance) else series_functions.metric_name(self.distance)
+        options = {"window": self.window} if name in ("dtw", "lcss") else {}
+        if name == "lcss" and self.epsilon is not None:
+            options["epsilon"] = self.epsilon
+        return _search(ds, ds.branch("series", self.ts_name), queries, target, k, self.distance, "series", **options)
 
     def materialise(self, ds, near):
         return _materialised(ds, near, only_series=self.ts_name or next(iter(ds.series)))
@@ -124,12 +132,15 @@ def meds_nn(**options) -> TimeSeriesNN:
 
 @dataclass
 class TextNN(Generator):
-    """Texts compared directly, or by vectors of a precomputed branch (``vectors``) or of an ``encoder`` function."""
+    """Texts compared directly, or by vectors of a precomputed branch (``vectors``) or of an ``encoder`` function.
+
+    A ``distance`` that is a function compares token lists, or vectors where there are any: (queries, candidates) -> matrix.
+    """
 
     text_name: str | None = None
     k: int = 20
     encoder: str | Callable = "raw"
-    distance: str = "rouge_l"
+    distance: str | Callable = "rouge_l"
     vectors: DataFrame | None = None
     transform: Callable | None = None
 
@@ -140,15 +151,14 @@ class TextNN(Generator):
         df = ds.branch("text", self.text_name)
         if self.transform is not None:
             df = df.withColumn("text", self.transform(F.col("text")))
-        if self.distance in text_functions.SIMILARITIES or self.distance in text_functions.METRIC_ALIASES:
+        direct = callable(self.distance) and self.vectors is None and not callable(self.encoder)
+        if direct or self.distance in text_functions.SIMILARITIES or self.distance in text_functions.METRIC_ALIASES:
             return _search(ds, df.withColumn("value", text_functions.tokens(F.col("text"))), queries, target, k, self.distance, "text")
         if self.vectors is not None:
             return _search(ds, self.vectors, queries, target, k, self.distance, "vector")
         if callable(self.encoder):
-            return _search(
-                ds, encode_distinct(df.withColumn("text", F.coalesce("text", F.lit(""))), "text", self.encoder), queries, target, k,
-                self.distance, "vector"
-            )
+            encoded = encode_distinct(df.withColumn("text", F.coalesce("text", F.lit(""))), "text", self.encoder)
+            return _search(ds, _encoded_once(encoded), queries, target, k, self.distance, "vector")
         if text_functions.encoder_name(self.encoder) == "raw":  # a vector metric can't compare raw text
             return _search(ds, df.withColumn("value", text_functions.tokens(F.col("text"))), queries, target, k, "rouge_l", "text")
         raise ValueError(f"encoder {self.encoder!r} needs precomputed vectors or a function")
@@ -170,7 +180,7 @@ class ImageNN(Generator):
     def search(self, ds, queries, target, k):
         rows = ds.branch("image", self.image_name)
         if self.encoder is not None:
-            rows = encode_distinct(rows, "px", self.encoder)
+            rows = _encoded_once(encode_distinct(rows, "px", self.encoder))
         elif self.vectors is not None:
             rows = self.vectors
         elif not precomputed(rows):
@@ -205,17 +215,25 @@ class EarlyFusionNN(Generator):
 
 @dataclass
 class IntermediateFusionNN(Generator):
-    """Neighbours in a latent space given as rows (split, sample_id, value) or a function of the dataset."""
+    """Neighbours in a latent space: rows (split, sample_id, value), a function of the dataset, or a fitted network.
+
+    A network's latent vectors are what comes out of its ``layer`` (-2: the one before the last) for the fused vectors.
+    """
 
-    latent: DataFrame | Callable
+    latent: DataFrame | Callable | Network
     k: int = 5
     distance: str | Callable = "euclidean"
+    layer: int = -2
+    text_vectors: list[DataFrame] = field(default_factory=list)
 
     def key(self, ds):
-        return "latent", id(self.latent), self.distance
+        return "latent", id(self.latent), self.distance, self.layer, *map(id, self.text_vectors)
 
     def search(self, ds, queries, target, k):
-        rows = self.latent(ds) if callable(self.latent) else self.latent
+        if isinstance(self.latent, Network):
+            rows = _encoded_once(self.latent.output(EarlyFusionNN(text_vectors=self.text_vectors).fused(ds), self.layer))
+        else:
+            rows = self.latent(ds) if callable(self.latent) else self.latent
         return _search(ds, rows, queries, target, k, self.distance, "vector")
 
 
@@ -283,7 +301,7 @@ class CounterfactualLibrary:
         for g in self.generators.values():
             for part in getattr(g, "parts", [g]):
                 used.setdefault(part.key(ds), []).append((part, max(k or 0, getattr(g, "pool", 0), g.k)))
-        found = {key: each[0][0].search(ds, queries, target, max(n for _, n in each)).cache() for key, each in used.items() if len(each) > 1}
+        found = {key: written(each[0][0].search(ds, queries, target, max(n for _, n in each)), "near") for key, each in used.items() if len(each) > 1}
         return reduce(
             DataFrame.unionByName,
             [g.run(ds, queries, target, k, found).withColumn("generator", F.lit(name)) for name, g in self.generators.items()]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics
+from ..operators.kept import written
 from ..operators.objectives import KINDS, Modality, assemble
 from ..sources import tables
 from ..sources.dataset import Dataset
@@ -74,7 +75,7 @@ def score(
     extra: tuple[str, ...] = (), vectors: dict[str, DataFrame] | None = None, weights: dict[str, float] | None = None
 ) -> DataFrame:
     """All objectives of candidates against their factuals over all branches, or one; outcome by the anchor's prediction if there is one."""
-    keys, candidates = [*extra, "generator", "query_id", "cand_rank"], candidates.cache()  # every branch reads them
+    keys, candidates = [*extra, "generator", "query_id", "cand_rank"], written(candidates, "candidates")  # every branch reads them
     pred = (predictions if predictions is not None else ds.part(ds.samples, "train")).select(F.col("sample_id").alias("anchor_id"), "pred")
     said = candidates.select(*keys, "anchor_id").join(pred, "anchor_id", "left").select(*keys, "pred")
     return assemble(modalities(ds, candidates, target, keys, [branch] if branch else None, vectors, weights), keys, target, said)

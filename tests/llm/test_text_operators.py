@@ -255,6 +255,26 @@ def test_lattice_scores_equal_enumeration(spark):
     ] == pytest.approx([x for _, x in want], rel=1e-5, abs=1e-5)
 
 
+def test_unigram_marginals_equal_enumeration(spark, monkeypatch):
+    monkeypatch.setattr(lattice_lm, "GROUP_BYTES", 40)
+    monkeypatch.setattr(lattice_lm, "SERVES", 2)  # frequent words' rows serve two groups each
+    monkeypatch.setattr(lattice_lm, "FREQUENT", 0.1)
+    rng = np.random.default_rng(3)
+    known = ["▁", "▁a", "▁ab", "a", "b", "ab", "bab", "aa", "é"]
+    pieces = {p: -1.5 - float(x) for p, x in zip(known, rng.random(len(known)), strict=True)} | {f"<0x{i:02X}>": -9.0 for i in range(256)}
+    spell = lambda p: math.exp(pieces[p]) if p in known else math.prod(math.exp(pieces[f"<0x{b:02X}>"]) for b in p.encode())
+    marginal = lambda w: sum(math.prod(map(spell, way)) for way in _segmentations("▁" + w, set(known)))
+    words = ["ab", "abab", "babaab", "a", "xaéb", "漢ab", "aabbaabbaab"]
+    rows = [(i, " ".join(rng.choice(words, 1 + i % 6))) for i in range(30)] + [(None, "AB ab")] * 4 + [(50, None), (51, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, round(r.unigram_score, 4)) for r in lattice_lm.score(docs, pieces, F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))).collect())
+    want = Counter((i, round(math.log10(math.prod(marginal(w.decode()) for w in _tokens(t))), 4) + 0.0) for i, t in rows)
+    assert got == want
+    monkeypatch.setattr(lattice_lm, "SEGMENT", 3)  # longer words go through several segments
+    cut = lattice_lm.Vocabulary(pieces).marginals(words)
+    assert cut == pytest.approx([math.log(marginal(w)) for w in words])
+
+
 def test_lattice_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "ab cd"), (2, None)], "doc_id long, text string")
     got = lattice_lm.score(docs, lattice_lm.read_pieces(queries.PIECES), F.lit(True)).collect()

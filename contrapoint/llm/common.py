@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 #: A-Z and a-z, for lower-casing that leaves all other letters alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Tasks that share the edges of one node.
-HUB_PARTS = 8
-#: Bits of the filter before a join that moves texts: at most a million words of 64 bits.
-BLOOM_BITS = 1 << 26
+#: Edges of a node that one task works on; a node with more is a hub.
+HUB_EDGES = 50_000
+#: Bits of the filter before a join that moves texts, for each wanted id and at most: two million words of 64 bits.
+BLOOM_PLACES, BLOOM_BITS = 64, 1 << 27
 
 #: What is at least so large goes back to the system as soon as it is freed; the C library's numbers for that and for how
 #: much it keeps at the heap's end.
@@ -154,12 +154,17 @@ def tile_rows(df: DataFrame, keys: list[str], sizes: DataFrame, row_key: str, bl
     return df.withColumn("ti", F.least("tb", "other")).withColumn("tj", F.greatest("tb", "other")).drop("other", "tg", "n")
 
 
-def maybe_among(rows: DataFrame, key: str, ids: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
-    """The rows whose ``key`` may be one of ``ids`` (one column): all of those that are, and few others.
+def maybe_among(rows: DataFrame, key: str, ids: DataFrame, most: int = BLOOM_BITS) -> DataFrame:
+    """The rows whose ``key`` may be one of ``ids`` (one column, written): all of those that are, and few others.
 
-    A Bloom filter with one hash, as a table of 64-bit words: it has at most ``bits`` / 64 rows, so it can be broadcast
-    however large the data are; where it fills up, more rows pass. It comes before a join that moves whole texts.
+    A Bloom filter with one hash, as a table of 64-bit words, with ``BLOOM_PLACES`` bits an id up to ``most``, so it has at most
+    ``most`` / 64 rows and can be broadcast however large the data are. Where ids are so many that such a filter would
+    let most rows pass, there is none, and the join that follows has all rows. It comes before a join that moves whole texts.
     """
+    n = ids.count()
+    bits = min(most, 1 << max(10, (BLOOM_PLACES * n - 1).bit_length()))
+    if n > bits // 2:
+        return rows
     place = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(bits))
     own = ids.select(place(F.col(ids.columns[0])).alias("_p"))
     words = own.groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_p & 63 AS int)))").alias("_b"))
@@ -173,20 +178,23 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternates large-star and small-star steps, each a partial minimum and an equi-join; every round is staged, and one
     that has not settled after ``rounds`` rounds, of which there are about twice the logarithm of the longest path, raises. A hub's
-    edges are salted over ``HUB_PARTS`` tasks, and both sides of the join are plain shuffles, which adaptive execution
-    can split further. Nodes without edges are not returned; null ends are dropped.
+    edges are dealt to as many parts as its degree asks for; the hubs' parts are broadcast, one row for every ``HUB_EDGES``
+    edges or fewer, and all else are plain shuffles. Nodes without edges are not returned; null ends are dropped.
     """
 
     def lowest(e: DataFrame, low: DataFrame) -> DataFrame:
         """The edges with their first node's ``m``."""
-        parts = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))))
-        return e.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(HUB_PARTS)).cast("int")).join(parts, ["u", "part"]).drop("part")
+        hubs = low.where(F.col("degree") > HUB_EDGES).select("u", (F.col("degree") / HUB_EDGES + 1).cast("int").alias("parts"))
+        dealt = e.join(F.broadcast(hubs), "u", "left")  # a node for every HUB_EDGES edges at most
+        dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        last = F.when(F.col("degree") > HUB_EDGES, (F.col("degree") / HUB_EDGES).cast("int")).otherwise(0)
+        return dealt.join(low.withColumn("part", F.explode(F.sequence(F.lit(0), last))).drop("degree"), ["u", "part"]).drop("part")
 
     def stars(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
         large = lowest(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         small = lowest(large, low).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.*")

@@ -476,6 +476,29 @@ def test_small_sets_share_sketches_as_jaccard_says():
     assert abs(np.mean(gaps)) < 0.02 and np.abs(gaps).max() < 0.2
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    from contrapoint.llm import common
+
+    monkeypatch.setattr(common, "HUB_EDGES", 3)
+    rng = np.random.default_rng(2)
+    edges = [(100 + i, 1) for i in range(20)] + [(500, 500 + i) for i in range(1, 30)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1060, (70, 2))] + [(105, 520)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {x: z for x, z in label.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_rows_that_may_be_among_ids(spark):
+    from contrapoint.llm import common
+
+    rows, ids = spark.range(20_000).withColumn("text", F.lit("x")), spark.range(0, 20_000, 40).select(F.col("id").alias("k"))
+    some = common.maybe_among(rows, "id", ids)
+    assert some.columns == ["id", "text"] and some.join(ids, F.col("id") == F.col("k")).count() == 500 and some.count() < 1100
+    assert common.maybe_among(rows, "id", ids, 512).count() == 20_000 and common.maybe_among(rows, "id", ids.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 1), (8, 10), (None, 3)]
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect())

@@ -109,11 +109,11 @@ def _word_ids(data: str) -> WordIds:
     return cache[key]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, kept_words: int = KEPT_WORDS) -> DataFrame:
     """The documents' token pieces: (``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``).
 
     The tokenizer drops white space and never joins tokens across it, so a text's ids are its words' ids; a task
-    encodes each of its words once. Words are cut at ASCII white space only; the tokenizer cuts the rest.
+    encodes each of its words once, and a worker remembers about ``kept_words`` of them. Words are cut at ASCII white space only; the tokenizer cuts the rest.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                 part = batch.slice(at, 500)
                 words = [ids_of.split(t) for t in pc.cast(part.column(1), pa.binary()).to_pylist()]
                 every = set().union(*words)
-                if len(known) > KEPT_WORDS:  # only the words at hand stay
+                if len(known) > kept_words:  # only the words at hand stay
                     kept = {w: known[w] for w in every if w in known}
                     known.clear()
                     known.update(kept)
@@ -227,6 +227,6 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked.withColumn("_slot", place("length", "_rank")).select(*names, "_slot.*")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
-    """Tokenise once into the shared folder, then plan and place."""
-    return pack(pieces(docs, tokenizer_path, capacity), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, kept_words: int = KEPT_WORDS) -> DataFrame:
+    """Tokenise once into the shared folder, then plan and place; ``kept_words`` bound a worker's memory, not the result."""
+    return pack(pieces(docs, tokenizer_path, capacity, kept_words=kept_words), capacity)

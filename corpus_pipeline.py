@@ -17,6 +17,8 @@ from contrapoint.llm.queries import WORD_BPE
 
 #: A document leaves if no language reaches this mean probability, or if its chance of good quality is less.
 LEAST_LANGUAGE, LEAST_QUALITY = 0.35, 0.5
+#: Words that a worker remembers while it tokenises, beside what the stages before hold.
+KEPT_WORDS = 250_000
 #: Near-duplicates share this part of their five-word shingles.
 SHINGLE, SIMILARITY = 5, 0.8
 
@@ -63,7 +65,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences of 4096."""
-    return packing.pack_documents(docs, WORD_BPE, capacity=4096)
+    return packing.pack_documents(docs, WORD_BPE, capacity=4096, kept_words=KEPT_WORDS)
 
 
 STAGES = [

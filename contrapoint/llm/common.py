@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Edges of a node that one task works on; a node with more is a hub.
-HUB_EDGES = 50_000
+HUB_EDGES = 1_000_000
 #: Bits of the filter before a join that moves texts, for each wanted id and at most: two million words of 64 bits.
 BLOOM_PLACES, BLOOM_BITS = 64, 1 << 27
 
@@ -184,6 +184,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     def lowest(e: DataFrame, low: DataFrame) -> DataFrame:
         """The edges with their first node's ``m``."""
+        if count <= HUB_EDGES:  # no node can be a hub
+            return e.join(low.drop("degree"), "u")
         hubs = low.where(F.col("degree") > HUB_EDGES).select("u", (F.col("degree") / HUB_EDGES + 1).cast("int").alias("parts"))
         dealt = e.join(F.broadcast(hubs), "u", "left")  # a node for every HUB_EDGES edges at most
         dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
@@ -200,15 +202,16 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         ).select("e.*")
         return small.where("u <> v").distinct()
 
-    spark, edges = edges.sparkSession, edges.where("u <> v").select("u", "v").distinct()
-    before, since = None, staged_so_far()
+    spark, before, since = edges.sparkSession, None, staged_so_far()
+    edges = staged(edges.where("u <> v").select("u", "v").distinct(), "components")
+    count = 2 * edges.count()  # both ways
     for _ in range(rounds):
         edges = staged(stars(edges), "components")
         drop_staged(spark, since, but=1)  # the round before
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, count = now, 2 * now[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(

@@ -137,22 +137,33 @@ def test_pipeline_equals_plain_recomputation(spark):
     rows = [(i, t) for k, (i, t) in enumerate(rows) if first[group[k]] == i]
     # Personal data by Python's patterns, terms by counts.
     spans = [[(k, m.start(), m.end(), m[0]) for k, q in PATTERNS.items() for m in re.finditer(q, t) if _valid(k, m[0])] for _, t in rows]
+    wider = {"email": lambda v: v.lower().split("@")[-1], "ip": lambda v: v.rsplit(".", 1)[0], "card": lambda v: re.sub("[^0-9]", "", v)[:6], "phone": lambda v: re.sub("[^0-9]", "", v)[:4]}
+    exact = lambda k, v: v.lower() if k in ("email", "ip") else re.sub("[^0-9]", "", v)
     seen = [
-        ({(k, v.lower()) for k, _, _, v in s}, [(m.start(), m.end(), m[0]) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", t)])
+        ({e for k, _, _, v in s for e in ((k, exact(k, v)), (f"wider {k}", wider[k](v)))}, [(m.start(), m.end(), m[0]) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", t)])
         for s, (_, t) in zip(spans, rows, strict=True)
     ]
     lower = [{w.lower() for _, _, w in ws} for _, ws in seen]
-    n_entity, n_term = Counter(e for es, _ in seen for e in es), Counter(t for ts in lower for t in ts)
-    both = Counter((e, t) for (es, _), ts in zip(seen, lower, strict=True) for e in es for t in ts)
-    judged = {(e, w.lower()) for es, ws in seen for e in es for _, _, w in ws if not regex.fullmatch(r"(?:\p{Ll}\p{M}*){1,3}", w)}
-    flagged = {(e, t) for e, t in judged if 1 - math.log(n_term[t] / both[e, t]) / math.log(len(rows) / n_entity[e]) >= 0.9}
+    n_term = Counter(t for ts in lower for t in ts)
+    holders = {e: frozenset(i for i, (es, _) in enumerate(seen) if e in es) for es, _ in seen for e in es}
+    both = Counter((h, t) for (es, _), ts in zip(seen, lower, strict=True) for h in {holders[e] for e in es} for t in ts)
+    z2 = 1.64**2
+    able = {(h, t): k for (h, t), k in both.items() if z2 < len(h) <= len(rows) / 2 and z2 < n_term[t] < 2 * len(h)}
+
+    def discloses(h, t, k):
+        m, bits = n_term[t], math.log2(len(rows) / len(h))
+        p = min(np.roots([1 + z2 / m, -2 * k / m - z2 / m, (k / m) ** 2]).real)
+        return p >= 0.5 and math.log2(p) + bits >= 1 and k * bits >= math.log2(len(able)) + 7
+
+    flagged = {x for x, k in able.items() if discloses(*x, k)}
+    kind = lambda k, v: k if k != "term" else "number" if regex.fullmatch(r"\p{N}+", v) else "name" if regex.match(r"\p{Lu}", v) else "term"
     clean = []
     for (i, t), s, (es, ws) in zip(rows, spans, seen, strict=True):
-        terms = [("term", a, b, w) for a, b, w in ws if any((e, w.lower()) in flagged for e in es) and not any(x < b and a < y for _, x, y, _ in s)]
+        terms = [("term", a, b, w) for a, b, w in ws if any((holders[e], w.lower()) in flagged for e in es) and not any(x < b and a < y for _, x, y, _ in s)]
         out, at = "", 0
-        for k, a, b, _ in sorted([*s, *terms], key=lambda x: (x[1], x[2], x[0])):
+        for k, a, b, v in sorted([*s, *terms], key=lambda x: (x[1], x[2], x[0])):
             if a >= at:
-                out += t[at:a] + f"<{k}>"
+                out += t[at:a] + f"<{kind(k, v)}>"
             at = max(at, b)
         clean.append((i, out + t[at:]))
     tokenizer, want = Tokenizer.from_file(queries.WORD_BPE), Counter()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -132,3 +134,19 @@ def median_of(values: Column) -> Column:
 def column_medians(rows: Column, dims: Column) -> Column:
     """Coordinate-wise medians of an array of vectors."""
     return F.transform(F.sequence(F.lit(0), dims - 1), lambda d: median_of(F.transform(rows, lambda r: F.get(r, d))))
+
+
+class SparseRows:
+    """Sparse rows of a block: the numbers and weights of row i lie from ``starts[i]`` to ``starts[i + 1]``."""
+
+    def __init__(self, lengths: np.ndarray, numbers: np.ndarray, weights: np.ndarray):
+        self.starts, self.numbers, self.weights = np.concatenate([[0], np.cumsum(lengths)]), numbers, weights
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    @cached_property
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted numbers, the rows that hold them and their weights there."""
+        order = np.argsort(self.numbers, kind="stable")
+        return self.numbers[order], np.repeat(np.arange(len(self)), np.diff(self.starts))[order], self.weights[order]

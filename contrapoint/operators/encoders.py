@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
-from ..functions.vectors import l2_normalised
+from ..functions.vectors import SparseRows, l2_normalised
+from .kept import written
+from .preprocess import draw, numbered
 from .search import knn
 
 #: Letters, digits and underscores, two at least.
@@ -31,37 +33,38 @@ def tfidf_fit(train: DataFrame, max_features: int | None = None) -> DataFrame:
     return counts.select("term", (F.log((F.lit(1.0) + total) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def numbered_terms(fitted: DataFrame) -> DataFrame:
+    """``fitted`` with ``number``, its terms' numbers from 0, written once, as each side of a search reads it."""
+    return written(numbered(fitted, F.pmod(F.xxhash64("term"), F.lit(1024)), ["term"], "number"), "terms")
+
+
 def tfidf_transform(texts: DataFrame, fitted: DataFrame, sublinear: bool = False) -> DataFrame:
-    """Sparse rows (``sample_id``, ``term``, ``weight``) of length one per text."""
+    """Sparse rows (``sample_id``, ``term``, ``weight``, and ``number`` where terms have one) of length one per text."""
     tf = texts.select("sample_id", F.explode(words(F.col("text"))).alias("term")).groupBy("sample_id", "term").agg(F.count("*").alias("tf"))
     part = (F.log("tf") + 1 if sublinear else F.col("tf")) * F.col("idf")
-    raw = tf.join(fitted, "term").select("sample_id", "term", part.alias("w"))
+    keep = ["sample_id", "term", *[c for c in fitted.columns if c == "number"]]
+    raw = tf.join(fitted, "term").select(*keep, part.alias("w"))
     size = raw.groupBy("sample_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return raw.join(size, "sample_id").select("sample_id", "term", (F.col("w") / F.col("size")).alias("weight"))
+    return raw.join(size, "sample_id").select(*keep, (F.col("w") / F.col("size")).alias("weight"))
 
 
 def gathered_terms(weights: DataFrame, ids: DataFrame) -> DataFrame:
-    """(``sample_id``, ``value``) for every id: a text's terms and weights, none for a text without known terms."""
-    own = weights.groupBy(F.col("sample_id").alias("_id")).agg(F.collect_list(F.struct("term", "weight")).alias("value"))
-    none = F.expr("CAST(array() AS array<struct<term:string,weight:double>>)")
+    """(``sample_id``, ``value``) for every id: a text's weights by its terms' numbers, none for a text without known terms."""
+    own = weights.groupBy(F.col("sample_id").alias("_id")).agg(F.collect_list(F.struct("number", "weight")).alias("value"))
+    none = F.expr("CAST(array() AS array<struct<number:bigint,weight:double>>)")
     return ids.select("sample_id").join(own, F.col("sample_id") == F.col("_id"), "left").select("sample_id", F.coalesce("value", none).alias("value"))
 
 
-def _sparse_cosine(q: list, c: list) -> np.ndarray:
-    """1 - dot product of sparse unit rows, by the postings of a block of candidates."""
-    postings: dict = {}
-    for j, terms in enumerate(c):
-        for t in terms:
-            places, weights = postings.setdefault(t["term"], ([], []))
-            places.append(j)
-            weights.append(t["weight"])
-    postings = {t: (np.array(j), np.array(w)) for t, (j, w) in postings.items()}
+def sparse_cosine(q: SparseRows, c: SparseRows) -> np.ndarray:
+    """1 - dot product of sparse unit rows: a query's terms find their postings among the candidates' sorted terms."""
+    terms, places, weights = c.postings
+    low, high = np.searchsorted(terms, q.numbers), np.searchsorted(terms, q.numbers, "right")
     out = np.ones((len(q), len(c)))
-    for row, terms in zip(out, q, strict=True):
-        for t in terms:
-            if t["term"] in postings:
-                j, w = postings[t["term"]]
-                row[j] -= t["weight"] * w
+    for i, row in enumerate(out):
+        own = slice(q.starts[i], q.starts[i + 1])
+        n = high[own] - low[own]
+        at = np.arange(n.sum()) + np.repeat(low[own] - (np.cumsum(n) - n), n)
+        row -= np.bincount(places[at], np.repeat(q.weights[own], n) * weights[at], len(row))
     return out
 
 
@@ -70,7 +73,7 @@ def sparse_cosine_knn(queries: DataFrame, candidates: DataFrame, k: int) -> Data
 
     Candidates without a common term are at distance 1. Distances are rounded to 9 digits before they are compared.
     """
-    return knn(queries, candidates, k, _sparse_cosine, "sparse", digits=9)
+    return knn(queries, candidates, k, sparse_cosine, "sparse", digits=9)
 
 
 def word_vector_mean(texts: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -88,6 +91,35 @@ def word_vector_mean(texts: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     )
 
 
+def cooccurrence_vectors(texts: DataFrame, dim: int = 64, window: int = 4, seed: int = 0) -> DataFrame:
+    """(``word``, ``vec``): unit vectors learned from which words stand within ``window`` tokens of each other in ``texts``.
+
+    A word's neighbours weigh by their positive pointwise information, ln(n(a, b) * n / (n(a) * n(b))), where n counts pairs
+    in both directions. Every neighbour's weight is added, with a drawn sign, at one of ``dim`` drawn places, so words of
+    like neighbours have near vectors and no matrix is held. A word without neighbours has no row; one whose neighbours all
+    weigh nothing has zeros. Pairs are counted in partitions before they are shuffled.
+    """
+    from ..functions.text import tokens
+
+    w = texts.select(tokens(F.col("text")).alias("w")).where(F.size("w") > 1)
+    w = w.select("w", F.explode(F.sequence(F.lit(1), F.least(F.lit(window), F.size("w") - 1))).alias("gap"))
+    pair = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - F.col("gap")).alias("a"), F.slice("w", F.col("gap") + 1, F.size("w")).alias("b"))
+    met = w.select(F.inline(pair).alias("a", "b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    both = met.select(F.explode(F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))).alias("p"))
+    pairs = written(both.select("p.*").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    totals = pairs.groupBy("a").agg(F.sum("n").alias("na"))
+    n = F.lit(float(pairs.agg(F.sum("n")).first()[0] or 0))
+    gain = F.greatest(F.log(F.col("n") * n / (F.col("na") * F.col("nb"))), F.lit(0.0))
+    weighed = pairs.join(totals, "a").join(totals.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
+    place, sign = draw(seed, F.col("b")) % dim, draw(seed + 1, F.col("b")) % 2 * 2 - 1
+    parts = weighed.groupBy("a", place.cast("int").alias("place")).agg(F.sum(gain * sign).alias("x"))
+    held = parts.groupBy(F.col("a").alias("word")).agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("m"), F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(1e-8)).alias("s")
+    )
+    one = lambda i: F.coalesce(F.try_element_at("m", i) / F.col("s"), F.lit(0.0))
+    return held.select("word", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one).alias("vec"))
+
+
 def embedding_udf(f: Callable[[list], np.ndarray]):
     """A column function from a Python encoder (list -> matrix), called once per Arrow batch."""
 

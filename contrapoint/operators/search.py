@@ -39,8 +39,11 @@ def kernel(metric: str | Callable, kind: str = "vector", **options) -> Callable:
 
 
 def _payload(column: pa.ChunkedArray):
-    """A matrix for equally long vectors, else a list."""
+    """A matrix for equally long vectors, sparse rows for lists of numbers and weights, else a list."""
     a = column.combine_chunks()
+    if pa.types.is_list(a.type) and pa.types.is_struct(a.type.value_type) and [x.name for x in a.type.value_type] == ["number", "weight"]:
+        numbers, weights = (x.to_numpy(zero_copy_only=False) for x in a.flatten().flatten())
+        return vectors.SparseRows(a.value_lengths().to_numpy(zero_copy_only=False), numbers, weights)
     if pa.types.is_list(a.type) and pa.types.is_floating(a.type.value_type) and a.null_count == 0:
         lens = a.value_lengths().to_numpy(zero_copy_only=False)
         if len(lens) and (lens == lens[0]).all():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, series, text, vectors
 from ..operators import analytics, combine, encoders, lof, preprocess
+from ..operators.kept import written
 from ..operators.search import knn
 
 _QUERIES: dict = {}
@@ -660,8 +661,8 @@ ds AS (SELECT item_id::BIGINT AS query_id, ci.id AS train_id, 1 - coalesce(dot,
  AND c = ci.id), {_ranked("ds", 3)} {_LIST}""")
 def tfidf_knn(spark, d):
     q, c = _texts(spark, d)
-    fitted = encoders.tfidf_fit(c)
-    sparse = lambda t: encoders.gathered_terms(encoders.tfidf_transform(t, fitted), t)
+    fitted = encoders.numbered_terms(encoders.tfidf_fit(c))
+    sparse = lambda t: written(encoders.gathered_terms(encoders.tfidf_transform(t, fitted), t), "sparse")
     return _rounded(encoders.sparse_cosine_knn(sparse(q), sparse(c), 3), "distance")
 
 
@@ -688,6 +689,28 @@ def word_vector_mean(spark, d):
     return _digest(encoders.word_vector_mean(q, vecs, 64), "sample_id")
 
 
+_MET = f"""dw AS (SELECT list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_TOK}'), lambda t: t <> '') AS w FROM documents),
+wt AS (SELECT doc, i, w[i] AS t FROM (SELECT row_number() OVER () AS doc, w, unnest(range(1, len(w) + 1)) AS i FROM dw)),
+near AS (SELECT l.t AS a, r.t AS b, count(*) AS n FROM wt l JOIN (SELECT unnest(range(1, 5)) AS gap) g ON true JOIN wt r ON r.doc = l.doc
+ AND r.i = l.i + g.gap GROUP BY ALL),
+pairs AS (SELECT a, b, sum(n)::DOUBLE AS n FROM (SELECT a, b, n FROM near UNION ALL SELECT b, a, n FROM near) GROUP BY ALL),
+tot AS (SELECT a, sum(n) AS n FROM pairs GROUP BY 1),
+parts AS (SELECT p.a, ('0x' || substr(md5('0:' || p.b), 1, 8))::BIGINT % 64 AS place, sum(greatest(ln(p.n * (SELECT sum(n) FROM pairs)
+ / (x.n * y.n)), 0) * (('0x' || substr(md5('1:' || p.b), 1, 8))::BIGINT % 2 * 2 - 1)) AS x FROM pairs p JOIN tot x ON x.a = p.a JOIN tot y ON y.a = p.b
+ GROUP BY ALL),
+vec AS (SELECT a, place, x / s AS x FROM parts JOIN (SELECT a, greatest(sqrt(sum(x * x)), 1e-8) AS s FROM parts GROUP BY 1) USING (a))"""
+
+
+@_query(f"""WITH {_TEXTS}, {_MET}, u AS (SELECT id, unnest(w) AS t FROM q), k AS (SELECT id, count(*) AS k FROM u WHERE t IN (SELECT a FROM tot) GROUP BY 1),
+m AS (SELECT u.id, place, sum(x) / any_value(k) AS m FROM u JOIN vec ON a = t JOIN k ON k.id = u.id GROUP BY u.id, place)
+SELECT q.id::BIGINT AS sample_id, round(coalesce(sum(m), 0), 6) AS value_sum, round(coalesce(max(m) FILTER (place = 6), 0), 6) AS value_7 FROM q LEFT
+ JOIN m USING (id) GROUP BY q.id""")
+def cooccurrence_vector_mean(spark, d):
+    """Averages of word vectors that are learned from the neighbours of each word in all documents."""
+    vecs = encoders.cooccurrence_vectors(table(spark, d, "documents").select("text"))
+    return _digest(encoders.word_vector_mean(_texts(spark, d)[0], vecs, 64), "sample_id")
+
+
 @_query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS body,
  regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^www\.', '') AS domain FROM pages""")
 def html_clean_domain(spark, d):
@@ -697,7 +720,7 @@ def html_clean_domain(spark, d):
 # ---------------------------------------------------------------- score tables
 
 def sweep_scores(spark, d) -> DataFrame:
-    """A score table: every neighbour under three metrics, its metric as configuration and its segment as generator."""
+    """A score table: each customer's orders as candidates, their state as configuration and their priority as generator."""
     o = table(spark, d, "orders")
     return o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("generator"), F.col("o_orderstatus").alias("config"),
                     F.row_number().over(_by_query()).alias("cand_rank"), (F.col("o_orderkey") % 2).cast("double").alias("outcome"), (F.col("o_totalprice").cast("double") / 1e4).alias("proximity"), F.when(
@@ -1424,4 +1447,4 @@ def text_pair_distance(spark, d):
     j = q.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a")).join(
         c.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b")), F.col("query_id") == F.col("train_id")
     )
-    return _rounded(j.select("query_id", "train_id", text.distance("rouge_1")(F.col("a"), F.col("b")).alias("distance")), "distance")
+    return _rounded(j.select("query_id", "train_id", (1 - text.rouge_n(F.col("a"), F.col("b"), 1)).alias("distance")), "distance")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import series as series_functions
 from ..functions import text as text_functions
 from ..functions import vectors
-from ..operators import combine
+from ..operators import combine, encoders
 from ..operators.encoders import encode_distinct, precomputed
 from ..operators.kept import written
 from ..operators.models import Network
@@ -134,6 +134,7 @@ def meds_nn(**options) -> TimeSeriesNN:
 class TextNN(Generator):
     """Texts compared directly, or by vectors of a precomputed branch (``vectors``) or of an ``encoder`` function.
 
+    The encoders ``tfidf`` (by cosine) and ``word2vec`` are fitted to the training texts, the second by its words' neighbours.
     A ``distance`` that is a function compares token lists, or vectors where there are any: (queries, candidates) -> matrix.
     """
 
@@ -161,9 +162,27 @@ class TextNN(Generator):
             return _search(ds, _encoded_once(encoded), queries, target, k, self.distance, "vector")
         if text_functions.encoder_name(self.encoder) == "raw":  # a vector metric can't compare raw text
             return _search(ds, df.withColumn("value", text_functions.tokens(F.col("text"))), queries, target, k, "rouge_l", "text")
+        name = text_functions.encoder_name(self.encoder)
+        if name == "tfidf" and vectors.metric_name(self.distance) == "cosine":
+            return _search(ds, _fitted_texts(ds, df, name), queries, target, k, encoders.sparse_cosine, "sparse", digits=9)
+        if name == "word2vec":
+            return _search(ds, _fitted_texts(ds, df, name), queries, target, k, self.distance, "vector")
         raise ValueError(f"encoder {self.encoder!r} needs precomputed vectors or a function")
 
 
+def _fitted_texts(ds: Dataset, df: DataFrame, encoder: str) -> DataFrame:
+    """Both splits' texts by an encoder fitted to the training texts, written once."""
+    train, splits = ds.part(df, "train"), ("train", "test")
+    if encoder == "tfidf":
+        fitted = encoders.numbered_terms(encoders.tfidf_fit(train))
+        encode = lambda t: encoders.gathered_terms(encoders.tfidf_transform(t, fitted), t)
+    else:
+        learned = written(encoders.cooccurrence_vectors(train), "words")
+        encode = lambda t: encoders.word_vector_mean(t, learned, 64)
+    parts = [encode(ds.part(df, split)).withColumn("split", F.lit(split)) for split in splits]
+    return written(reduce(DataFrame.unionByName, parts), "encoded")
+
+
 @dataclass
 class ImageNN(Generator):
     """Images by an ``encoder`` function of their pixels (``px``), else by precomputed vectors, given or in the branch."""

@@ -456,3 +456,73 @@ def test_convolutions_svd_series_gradient_and_best_branch(spark):
     w = np.array([[1.0, -1], [1, -1], [-1, 1], [-1, 1]])
     found = baselines.gradient_series(query_, w, np.zeros(2), 0, 2).collect()
     assert len(found) == 2 and all(len(r.value) == 2 and len(r.value[0]) == 2 and (np.ravel(r.value) @ w).argmax() == 0 for r in found)
+
+
+def plain_vectors(texts, dim, window):
+    """Word vectors by neighbours, in Python."""
+    import hashlib
+    from collections import Counter
+
+    pairs = Counter()
+    for text in texts:
+        w = (text or "").lower().split()
+        for i, a in enumerate(w):
+            for b in w[i + 1 : i + 1 + window]:
+                pairs[a, b] += 1
+                pairs[b, a] += 1
+    own, n, out = Counter(), sum(pairs.values()), {}
+    for (a, _), k in pairs.items():
+        own[a] += k
+    drawn = lambda seed, w: int(hashlib.md5(f"{seed}:{w}".encode()).hexdigest()[:8], 16)
+    for (a, b), k in pairs.items():
+        out.setdefault(a, np.zeros(dim))[drawn(0, b) % dim] += max(0, np.log(k * n / (own[a] * own[b]))) * (drawn(1, b) % 2 * 2 - 1)
+    return {w: v / max(np.linalg.norm(v), 1e-8) for w, v in out.items()}
+
+
+def test_word_vectors_are_learned_from_neighbours(spark):
+    rng = np.random.default_rng(8)
+    filler = [f"w{i}" for i in range(30)]
+    places = [f"the {x} of {rng.choice(['rome', 'paris'])} {rng.choice(filler)}" for x in ("king", "queen") * 300]
+    drinks = [f"{rng.choice(filler)} drink cold {x} now" for x in ("milk", "juice") * 300]
+    texts = [*places, *drinks, None, "", "alone", "A  a\ta", "x y", "x y"]
+    df = spark.createDataFrame([(t, "extra") for t in texts], "text string, word string").repartition(3)
+    got = {r.word: np.array(r.vec) for r in encoders.cooccurrence_vectors(df, 64, 3).collect()}
+    want = plain_vectors(texts, 64, 3)
+    assert got.keys() == want.keys() and "alone" not in got and all(np.allclose(got[w], want[w]) for w in want)
+    near = lambda a, b: got[a] @ got[b]
+    assert near("king", "queen") > near("king", "milk") + 0.2 and near("milk", "juice") > near("queen", "juice") + 0.2
+    assert encoders.cooccurrence_vectors(df.where("text IS NULL"), 64, 3).count() == 0
+
+
+def test_fitted_text_encoders_of_a_generator(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(24)] + ["", None, "unseen words"]
+    rows = [("train" if i % 3 else "test", i // 3, t) for i, t in enumerate(texts)]
+    ds = Dataset(
+        spark.createDataFrame([(s, i, i % 2, 1) for s, i, _ in dict.fromkeys((s, i, None) for s, i, _ in rows)], "split string, sample_id long, label int, pred int"),
+        text=spark.createDataFrame([(s, 2 * i + (n % 3 == 2), t) for n, (s, i, t) in enumerate(rows)], "split string, sample_id long, text string"),
+    )
+    ds.samples = spark.createDataFrame([(r.split, r.sample_id, 0, 1) for r in ds.branch("text").select("split", "sample_id").collect()], ds.samples.schema)
+    train = {r.sample_id: r.text for r in ds.part(ds.branch("text"), "train").collect()}
+    test = {r.sample_id: r.text for r in ds.part(ds.branch("text"), "test").collect()}
+    found = generators.TextNN(encoder="tfidf", distance="cosine").search(ds, ds.part(ds.samples, "test"), 0, 4).collect()
+    got = {(r.query_id, r.rank): (r.train_id, r.distance) for r in found}
+    split = {i: (t or "").split() for i, t in train.items()}
+    idf = {w: np.log((1 + len(train)) / (1 + sum(w in t for t in split.values()))) + 1 for w in {w for t in split.values() for w in t}}
+
+    def weights(t):
+        v = np.array([(t or "").split().count(w) * idf[w] for w in sorted(idf)])
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    for q, t in test.items():
+        order = sorted((round(1 - weights(t) @ weights(x), 9), i) for i, x in train.items())[:4]
+        assert [got[q, n + 1][0] for n in range(4)] == [i for _, i in order]
+        assert np.allclose([got[q, n + 1][1] for n in range(4)], [d for d, _ in order])
+    learned = plain_vectors(train.values(), 64, 4)
+    mean = lambda t: np.mean([learned[w] for w in (t or "").split() if w in learned] or [np.zeros(64)], 0)
+    near = generators.TextNN(encoder="w2v", distance="euclidean").search(ds, ds.part(ds.samples, "test"), 0, 1).collect()
+    assert len(near) == len(test)
+    assert all(np.isclose(r.distance, min(np.linalg.norm(mean(test[r.query_id]) - mean(x)) for x in train.values()), atol=1e-6) for r in near)
+    with pytest.raises(ValueError):
+        generators.TextNN(encoder="tfidf", distance="manhattan").search(ds, ds.part(ds.samples, "test"), 0, 1)

@@ -660,7 +660,7 @@ qv AS (SELECT id, t, w / s AS w FROM qw JOIN qs USING (id)), cv AS (SELECT id, t
 ds AS (SELECT item_id::BIGINT AS query_id, ci.id AS train_id, 1 - coalesce(dot, 0) AS distance FROM benchmark CROSS JOIN ci LEFT JOIN x ON q = item_id
  AND c = ci.id), {_ranked("ds", 3)} {_LIST}""")
 def tfidf_knn(spark, d):
-    q, c = _texts(spark, d)
+    q, c = (written(t.select("sample_id", "text"), "texts") for t in _texts(spark, d))
     fitted = encoders.numbered_terms(encoders.tfidf_fit(c))
     sparse = lambda t: written(encoders.gathered_terms(encoders.tfidf_transform(t, fitted), t), "sparse")
     return _rounded(encoders.sparse_cosine_knn(sparse(q), sparse(c), 3), "distance")

@@ -1,14 +1,14 @@
 """Embedding near-duplicates by spherical-cap filters with product codes.
 
 A filter direction joins one code word for each half of the vector, so there are ``codewords`` squared of them. Each
-vector is assigned its nearest direction, found by halves, and each direction gets a cap as wide as its farthest vector
-plus the angle of the threshold. Every vector is then list-decoded to all caps that hold it and that its label uses: the first half's products
-prune the second's. By the triangle inequality a vector's partners all lie in the cap of its own direction, so joining
-assigned with decoded vectors on the direction finds every link, and each vector's links in that one place. Pairs are
-verified by cosine in double precision.
-
-Equal vectors of a label are one class, compared once and counted as often as they occur. Groups of a hot direction are
-split into tiles; tiles return counts and component labels, never pairs. Vectors that are null, empty, zero or hold null
+vector is assigned its nearest direction, found by halves, and has a cap there as wide as its own angle to it plus the
+angle of the threshold. By the triangle inequality its partners all lie in that cap. The rows of a label are dealt to
+square tiles of two blocks; in a tile, one block's vectors are decoded to the caps of the other's, and what they hold is
+verified by cosine in double precision. A row goes to as many tiles as its label has blocks, and decoded vectors are
+never moved or written.
+
+Equal vectors of a label are one class, compared once and counted as often as they occur. Tiles return counts and
+component labels, never pairs. Vectors that are null, empty, zero or hold null
 or non-finite components, and rows without label or id, link with nothing; vectors of unlike length never link. Rows that
 repeat an id count as vectors of their own. An empty table gives an empty one.
 """
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged, worker_cache
+from .common import connected_components, staged, tile_rows, worker_cache
 
-#: Assigned and decoded rows of a tile, rows of a group of tiles, parts that a direction's or a vector's rows are dealt by.
-ASSIGNED, DECODED, GROUP_ROWS, SALTS = 512, 4096, 8192, 8
+#: Caps and decoded vectors worked on at a time, rows of a block, rows of a group of small tiles, parts that a class's rows are dealt by.
+ASSIGNED, DECODED, BLOCK, GROUP_ROWS, SALTS = 512, 4096, 65_536, 8192, 8
+#: Of a part's pairs more than one in so many are verified all together.
+DENSE = 32
 
 
 def code(dim: int, codewords: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +65,51 @@ def _forest(rows: np.ndarray, cols: np.ndarray, left: np.ndarray, right: np.ndar
             return a, b
 
 
+def _linked(ids, copies, x, filters, cosines, left, right, threshold: float, codewords: int):
+    """Links of the rows of two blocks: each row's number of linked vectors, and edges between ids that join what is linked.
+
+    ``left`` and ``right`` are the blocks' rows, in one order; where they are the same block each pair is met once. A row
+    begins with its own id as its label; whenever links lower it, an edge from the old to the new label is kept.
+    """
+    n = x.shape[1]
+    (c1, c2), angle, same = code(n, codewords), np.arccos(threshold) + 1e-6, left is right
+    caps = np.cos(np.minimum(np.pi, np.arccos(np.clip(cosines[left], -1, 1)) + angle)) - 1e-9 - 2.4e-7 * (n + 8)  # of 32 bits below
+    single, links, label, edges = x[right].astype(np.float32).T, np.zeros(len(ids), np.int64), ids.copy(), []
+    for s in range(0, len(left), ASSIGNED):
+        a = left[s : s + ASSIGNED]
+        axes = np.concatenate([c1[filters[a] // codewords], c2[filters[a] % codewords]], 1).astype(np.float32)
+        cap = caps[s : s + ASSIGNED, None].astype(np.float32)
+        for t in range(s if same else 0, len(right), DECODED):
+            b = right[t : t + DECODED]
+            at = np.flatnonzero(axes @ single[:, t : t + DECODED] >= cap)
+            if len(at) * DENSE > len(a) * len(b):
+                r, c = np.nonzero(x[a] @ x[b].T >= threshold)
+            else:
+                r, c = np.divmod(at, len(b))
+                found = np.einsum("ij,ij->i", x[a[r]], x[b[c]]) >= threshold
+                r, c = r[found], c[found]
+            if same:
+                once = b[c] > a[r]
+                r, c = r[once], c[once]
+            if not len(r):
+                continue
+            links[a] += np.bincount(r, copies[b[c]], len(a)).astype(np.int64)
+            links[b] += np.bincount(c, copies[a[r]], len(b)).astype(np.int64)
+            rows, old = np.concatenate([a, b]), np.concatenate([label[a], label[b]])
+            new = np.concatenate(_forest(r, c, label[a], label[b]))
+            lower = np.flatnonzero(new < old)
+            edges.append(np.unique(np.stack([old[lower], new[lower]], 1), axis=0))
+            np.minimum.at(label, rows[lower], new[lower])
+    return links, np.concatenate([*edges, np.empty((0, 2), np.int64)])
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.98, codewords: int = 1024, vec_id: str = "vec_id", vector: str = "embedding",
     label: str = "label"
 ) -> DataFrame:
     """(``vec_id``, ``n_links``, ``component_id``, ``kept``) for every row of ``vectors``.
 
-    ``codewords`` change the work, not the result: fewer decode vectors to more directions, more take longer to decode.
+    ``codewords`` change the work, not the result: more make narrower caps, and take longer to assign.
     """
     zero = F.lit(0).cast(vectors.schema[vector].dataType.elementType)
     plain = F.transform(vector, lambda x: F.when(x == 0, zero).otherwise(x))  # without negative zeros, so that equal vectors hash alike
@@ -79,8 +119,7 @@ def near_duplicates(
         F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False)
     ) & F.exists("v", lambda c: c != 0)
     good = every.where(usable)
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(label), 64) AS int))")
-    classes = staged(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("bit", bit), "classes")
+    classes = staged(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
     def assign(batches):
         for batch in batches:
@@ -93,100 +132,38 @@ def near_duplicates(
                     cosines[rows[i : i + 2048]] = p.max(1) + q.max(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(filters), pa.array(cosines)], names=[*batch.schema.names, "f", "cosine"])
 
-    assigned = staged(classes.mapInArrow(assign, classes.withColumn("f", F.lit(0).cast("long")).withColumn("cosine", F.lit(0.0)).schema), "assigned")
-    # One row per direction and length at most, so its size is bounded by codewords ** 2: the widest angle, and the labels as
-    # a mask of 64 hash bits.
-    caps = assigned.groupBy(F.size("v").alias("dim"), "f").agg(F.min("cosine").alias("cosine"), F.bit_or("bit").alias("mask")).toPandas()
-    angle = np.arccos(threshold) + 1e-6
-    by_dim = {}
-    for dim, own in caps.groupby("dim"):
-        own = own.sort_values("f")
-        least = np.cos(np.minimum(np.pi, np.arccos(np.clip(own["cosine"].to_numpy(), -1, 1)) + angle)) - 1e-9
-        i = own["f"].to_numpy() // codewords
-        cuts = np.searchsorted(i, np.arange(1, codewords))
-        by_dim[int(dim)] = (*(np.split(x, cuts) for x in (own["f"].to_numpy() % codewords, least, own["mask"].to_numpy())), least.min())
-    caps = vectors.sparkSession.sparkContext.broadcast(by_dim)
-
-    def decode(batches):
-        for batch in batches:
-            at, to, bits = [], [], batch.column("bit").to_numpy()
-            for n, (rows, x) in _stack(batch.column("v")).items():
-                (c1, c2), (seconds, leasts, masks, lowest) = code(n, codewords), caps.value[n]
-                for s in range(0, len(rows), 4096):
-                    p, q = x[s : s + 4096, : n // 2] @ c1.T, x[s : s + 4096, n // 2 :] @ c2.T
-                    need = lowest - q.max(1)
-                    for i in range(codewords):
-                        if len(seconds[i]):
-                            live = np.flatnonzero(p[:, i] >= need)
-                            r, j = np.nonzero(p[live, i][:, None] + q[live][:, seconds[i]] >= leasts[i])
-                            own = bits[rows[s + live[r]]] & masks[i][j] != 0
-                            at.append(rows[s + live[r[own]]])
-                            to.append(i * codewords + seconds[i][j[own]])
-            at, to = (np.concatenate([*z, np.empty(0, np.int64)]).astype(np.int64) for z in (at, to))
-            for s in range(0, len(at), 20_000):
-                part = pa.record_batch(batch.select(["label", "v", "rep", "copies"])).take(pa.array(at[s : s + 20_000]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to[s : s + 20_000])], names=[*part.schema.names, "f"])
-
-    columns = ["label", "v", "rep", "copies", "f"]
-    decoded = staged(assigned.select("label", "v", "rep", "copies", "bit").mapInArrow(decode, assigned.select(*columns).schema), "decoded")
-    keys = ["label", "dim", "f"]
-    assigned, decoded = (d.select(*columns, F.size("v").alias("dim")) for d in (assigned, decoded))
-    sizes = assigned.groupBy(*keys).agg(F.count("*").alias("nq")).join(decoded.groupBy(*keys).agg(F.count("*").alias("nd")), keys)
-    sizes = sizes.withColumns({"gq": F.ceil(F.col("nq") / ASSIGNED), "gd": F.ceil(F.col("nd") / DECODED)})
-    groups = max(1, -(-(sizes.agg(F.sum(F.expr("nd * gq + nq * gd"))).first()[0] or 0) // GROUP_ROWS))
-    # Both sides are salted, so that a hot direction's rows go to several tasks.
-    sizes = sizes.select(*keys, "gq", "gd", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    deal = lambda df, own, other: (df.withColumn(
-        "salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SALTS)).cast("int")
-    ).join(sizes, [*keys, "salt"]).withColumn(
-        "i" if own == "gq" else "j", F.pmod(F.xxhash64("rep", F.lit(own)), F.col(own))
-    )
-                                   .withColumn("j" if own == "gq" else "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-                                   .select(
-                                       "label", "v", "rep", "copies", F.xxhash64(*keys, "i", "j").alias("tile")
-                                   ).withColumn("g", F.pmod("tile", F.lit(groups))))
-    left, right = deal(assigned, "gq", "gd"), deal(decoded, "gd", "gq")
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
-
-    def compare(q: pa.Table, d: pa.Table) -> pa.Table:
-        """Links of the assigned rows, and the least id of each linked row's component in the tile."""
+    assigned = classes.mapInArrow(assign, classes.withColumn("f", F.lit(0).cast("long")).withColumn("cosine", F.lit(0.0)).schema)
+    sizes = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n"))
+    small = max(1, -(-(sizes.where(F.col("n") <= GROUP_ROWS).agg(F.sum("n")).first()[0] or 0) // GROUP_ROWS))
+    # Small tiles share groups, larger ones have one each.
+    group = F.when(F.col("n") <= GROUP_ROWS, F.pmod(F.xxhash64("label", "dim"), F.lit(small))).otherwise(F.lit(-1).cast("long"))
+    tiles = tile_rows(assigned.withColumn("dim", F.size("v")), ["label", "dim"], sizes.withColumn("g", group), "rep", BLOCK)
+
+    def compare(t: pa.Table) -> pa.Table:
+        """The rows' links in the tile, and edges that join its components."""
         ids, links, leasts = [], [], []
-        if q.num_rows and d.num_rows:
-            sides = []
-            for t in (q, d):
-                lens = t["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-                sides.append(
-                    (
-                        t["tile"].to_numpy(), t["label"].to_numpy(zero_copy_only=False).astype(str), lens, t["rep"].to_numpy(),
-                        t["copies"].to_numpy(), _stack(t["v"])
-                    )
-                )
-            place = [{n: dict(zip(rows.tolist(), range(len(rows)), strict=True)) for n, (rows, _) in s[5].items()} for s in sides]
-            of = [{} for _ in sides]
-            for side, s in zip(of, sides, strict=True):
-                order = np.lexsort((s[1], s[2], s[0]))
-                for i in order.tolist():
-                    side.setdefault((s[0][i], s[1][i], s[2][i]), []).append(i)
-            for key, mine in of[0].items():
-                if (theirs := of[1].get(key)) is None:
-                    continue
-                n, mine, theirs = int(key[2]), np.array(mine), np.array(theirs)
-                x = sides[0][5][n][1][[place[0][n][i] for i in mine.tolist()]]
-                y = sides[1][5][n][1][[place[1][n][i] for i in theirs.tolist()]]
-                r, c = np.nonzero(x @ y.T >= threshold)
-                a, b = sides[0][3][mine], sides[1][3][theirs]
-                other = a[r] != b[c]
-                if not other.any():
-                    continue
-                total = np.bincount(r[other], sides[1][4][theirs][c[other]], len(a)).astype(np.int64)
-                low_a, low_b = _forest(r, c, a, b)
-                seen_a, seen_b = np.unique(r), np.unique(c)
-                ids += [a[seen_a], b[seen_b]]
-                links += [total[seen_a], np.zeros(len(seen_b), np.int64)]
-                leasts += [low_a[seen_a], low_b[seen_b]]
-        return pa.table([np.concatenate([*z, np.empty(0, np.int64)]).astype(np.int64) for z in (ids, links, leasts)], schema=schema)
-
-    found = staged(left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(compare, "id long, links long, least long"), "links")
+        own, copies, filters, cosines, ti, tj, tb = (t[c].to_numpy() for c in ("rep", "copies", "f", "cosine", "ti", "tj", "tb"))
+        names = t["label"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        for rows, x in _stack(t["v"]).values():
+            order = np.lexsort((tj[rows], ti[rows], names[rows]))
+            keys = np.stack([names[rows], ti[rows], tj[rows]])[:, order]
+            for at in np.split(order, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1):
+                r = rows[at]
+                left = np.flatnonzero(tb[r] == ti[r])
+                right = left if ti[r[0]] == tj[r[0]] else np.flatnonzero(tb[r] == tj[r])
+                found, edges = _linked(own[r], copies[r], x[at], filters[r], cosines[r], left, right, threshold, codewords)
+                some = np.flatnonzero(found)
+                ids += [own[r[some]], edges[:, 0]]
+                links += [found[some], np.zeros(len(edges), np.int64)]
+                leasts += [own[r[some]], edges[:, 1]]
+        return pa.table(
+            [np.concatenate([*z, np.empty(0, np.int64)]).astype(np.int64) for z in (ids, links, leasts)], names=["id", "links", "least"]
+        )
+
+    # A large tile's g is -1, so that label, length and place tell it apart; a small one's label has one tile.
+    alone = lambda c: F.when(F.col("g") < 0, F.col(c))
+    tiles = tiles.withColumns({"own": alone("label"), "length": alone("dim")}).drop("dim")
+    found = staged(tiles.groupBy("g", "own", "length", "ti", "tj").applyInArrow(compare, "id long, links long, least long"), "links")
     components = connected_components(found.select(F.col("id").alias("u"), F.col("least").alias("v")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     # Vectors stay where they are: rows meet their class by two hashes of label and vector, each class in several parts.

@@ -139,3 +139,20 @@ def test_cap_filters_take_negative_zeros_for_zeros(spark):
     rows = [(1, [0.0, 1.0], 0), (2, [-0.0, 1.0], 0), (3, [1.0, 0.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     assert {(r.vec_id, r.n_links, r.component_id) for r in capfilters.near_duplicates(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3)}
+
+
+def test_cap_filters_write_no_decoded_rows(spark, monkeypatch):
+    from contrapoint.llm import common
+
+    monkeypatch.setattr(capfilters, "BLOCK", 100)
+    monkeypatch.setattr(capfilters, "GROUP_ROWS", 50)
+    rng, since = np.random.default_rng(4), common.staged_so_far()
+    x = rng.standard_normal((300, 6))
+    x[250:] = x[:50] + rng.normal(0, 0.05, (50, 6))
+    df = spark.createDataFrame([(i, v.tolist(), i % 2 if i < 20 else 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in capfilters.near_duplicates(df, codewords=8).collect()}
+    unit, label = x / np.linalg.norm(x, axis=1, keepdims=True), np.array([i % 2 if i < 20 else 2 for i in range(300)])
+    linked = (unit @ unit.T >= 0.98) & (label[:, None] == label) & ~np.eye(300, dtype=bool)
+    assert [got[i] for i in range(300)] == linked.sum(1).tolist() and linked.any()
+    written = [p for p in common._STAGED[since:] if "components" not in p]
+    assert sum(spark.read.parquet(p).count() for p in written) < 2 * len(x)

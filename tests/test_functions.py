@@ -180,3 +180,52 @@ def test_split_series_and_fusion(spark):
     ).first()
     assert r.p == pytest.approx(4 / 6) and r.s == pytest.approx((0.5 + 0.25) / 2) and r.l == pytest.approx(1.0)
     assert r.f == [[7.0, 7.0], [8.0, 8.0], [1.0, 2.0]] and r.g == [[7.0, 7.0], [8.0, 8.0]]
+
+
+def test_series_of_small_integers_are_warped_in_integers():
+    rng = np.random.default_rng(6)
+    q, c = rng.poisson(0.5, (9, 3, 10)).astype(float), rng.poisson(0.5, (70, 3, 10)).astype(float)
+    assert series._kind(q, c)[0] is np.int16 and series._kind(q + 0.5, c)[0] is np.float64 and series._kind(q * 1e6, c)[0] is np.float64
+
+    def plain(x, y, band):
+        t = np.full((11, 11), np.inf)
+        t[0, 0] = 0
+        for i in range(1, 11):
+            for j in range(max(1, i - band), min(10, i + band) + 1):
+                t[i, j] = ((x[:, i - 1] - y[:, j - 1]) ** 2).sum() + min(t[i - 1, j], t[i, j - 1], t[i - 1, j - 1])
+        return t[10, 10]
+
+    for scale in (1, 40, 1e6, 0.1):
+        a, b = q * scale, c * scale
+        whole = np.array([[plain(x, y, 10) for y in b] for x in a])
+        own = np.array([[sum(plain(x[h : h + 1], y[h : h + 1], 1) for h in range(3)) for y in b] for x in a])
+        for k in (None, 4):
+            got, apart = series.dtw_dependent(a, b, k=k), series.dtw(a, b, 0.1, k=k)
+            assert np.allclose(np.sort(got, 1)[:, :4], np.sort(whole, 1)[:, :4]) and np.allclose(np.sort(apart, 1)[:, :4], np.sort(own, 1)[:, :4])
+        assert np.allclose(series.euclidean_kernel(a, b), [[np.sqrt(((x - y) ** 2).sum(1)).sum() for y in b] for x in a])
+
+
+def test_common_subsequences_by_bits_equal_the_table():
+    rng = np.random.default_rng(7)
+    for n, m in ((10, 10), (40, 40), (64, 50), (70, 70), (9, 33)):
+        q, c = rng.normal(0, 1, (2, 2, n)), rng.normal(0, 1, (5, 2, m))
+        band, want = int(0.2 * max(n, m)), np.zeros((2, 5))
+        for a, b, h in np.ndindex(2, 5, 2):
+            t = np.zeros((n + 1, m + 1), int)
+            for i, j in np.ndindex(n, m):
+                close = abs(i - j) <= band and abs(q[a, h, i] - c[b, h, j]) <= 0.3
+                t[i + 1, j + 1] = t[i, j] + 1 if close else max(t[i, j + 1], t[i + 1, j])
+            want[a, b] += 1 - t[n, m] / min(n, m)
+        assert np.allclose(series.lcss(q, c, 0.2, 0.3), want)
+
+
+def test_a_block_of_series_is_read_as_an_array():
+    import pyarrow as pa
+
+    from contrapoint.operators.search import _payload
+
+    cube = np.arange(24.0).reshape(4, 2, 3)
+    column = pa.chunked_array([pa.array(cube.tolist(), pa.list_(pa.list_(pa.float64())))])
+    assert isinstance(_payload(column), np.ndarray) and (_payload(column) == cube).all() and (_payload(column.slice(1)) == cube[1:]).all()
+    uneven = pa.chunked_array([pa.array([[[1.0], [2.0]], [[1.0, 2.0], [3.0]]], pa.list_(pa.list_(pa.float64())))])
+    assert _payload(uneven) == uneven.to_pylist()

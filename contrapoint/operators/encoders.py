@@ -91,24 +91,27 @@ def word_vector_mean(texts: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     )
 
 
-def cooccurrence_vectors(texts: DataFrame, dim: int = 64, window: int = 4, seed: int = 0) -> DataFrame:
+def cooccurrence_vectors(texts: DataFrame, dim: int = 64, window: int = 4, seed: int = 0, only: DataFrame | None = None) -> DataFrame:
     """(``word``, ``vec``): unit vectors learned from which words stand within ``window`` tokens of each other in ``texts``.
 
     A word's neighbours weigh by their positive pointwise information, ln(n(a, b) * n / (n(a) * n(b))), where n counts pairs
     in both directions. Every neighbour's weight is added, with a drawn sign, at one of ``dim`` drawn places, so words of
     like neighbours have near vectors and no matrix is held. A word without neighbours has no row; one whose neighbours all
-    weigh nothing has zeros. Pairs are counted in partitions before they are shuffled.
+    weigh nothing has zeros. Pairs are counted in partitions before they are shuffled, once. With ``only`` (``word``) these
+    words alone have vectors, the same as without it, and only their pairs are counted; totals come from the words' places.
     """
     from ..functions.text import tokens
 
     w = texts.select(tokens(F.col("text")).alias("w")).where(F.size("w") > 1)
+    reach = lambda t, i: F.struct(t.alias("a"), (F.least(i, F.lit(window)) + F.least(F.size("w") - 1 - i, F.lit(window))).alias("n"))
+    totals = written(w.select(F.inline(F.transform("w", reach))).groupBy("a").agg(F.sum("n").alias("na")), "totals")
+    n = F.lit(float(totals.agg(F.sum("na")).first()[0] or 0))
     w = w.select("w", F.explode(F.sequence(F.lit(1), F.least(F.lit(window), F.size("w") - 1))).alias("gap"))
-    pair = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - F.col("gap")).alias("a"), F.slice("w", F.col("gap") + 1, F.size("w")).alias("b"))
-    met = w.select(F.inline(pair).alias("a", "b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    both = met.select(F.explode(F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))).alias("p"))
-    pairs = written(both.select("p.*").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    totals = pairs.groupBy("a").agg(F.sum("n").alias("na"))
-    n = F.lit(float(pairs.agg(F.sum("n")).first()[0] or 0))
+    left, right = F.slice("w", F.lit(1), F.size("w") - F.col("gap")), F.slice("w", F.col("gap") + 1, F.size("w"))
+    both = w.select(F.inline(F.concat(F.arrays_zip(left.alias("a"), right.alias("b")), F.arrays_zip(right.alias("a"), left.alias("b")))))
+    if only is not None:
+        both = both.join(only.select(F.col("word").alias("a")).distinct(), "a", "left_semi")
+    pairs = both.groupBy("a", "b").agg(F.count("*").alias("n"))
     gain = F.greatest(F.log(F.col("n") * n / (F.col("na") * F.col("nb"))), F.lit(0.0))
     weighed = pairs.join(totals, "a").join(totals.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
     place, sign = draw(seed, F.col("b")) % dim, draw(seed + 1, F.col("b")) % 2 * 2 - 1

@@ -707,8 +707,9 @@ SELECT q.id::BIGINT AS sample_id, round(coalesce(sum(m), 0), 6) AS value_sum, ro
  JOIN m USING (id) GROUP BY q.id""")
 def cooccurrence_vector_mean(spark, d):
     """Averages of word vectors that are learned from the neighbours of each word in all documents."""
-    vecs = encoders.cooccurrence_vectors(table(spark, d, "documents").select("text"))
-    return _digest(encoders.word_vector_mean(_texts(spark, d)[0], vecs, 64), "sample_id")
+    q = _texts(spark, d)[0]
+    vecs = encoders.cooccurrence_vectors(table(spark, d, "documents").select("text"), only=q.select(F.explode("value").alias("word")))
+    return _digest(encoders.word_vector_mean(q, vecs, 64), "sample_id")
 
 
 @_query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS body,

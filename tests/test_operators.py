@@ -526,3 +526,12 @@ def test_fitted_text_encoders_of_a_generator(spark):
     assert all(np.isclose(r.distance, min(np.linalg.norm(mean(test[r.query_id]) - mean(x)) for x in train.values()), atol=1e-6) for r in near)
     with pytest.raises(ValueError):
         generators.TextNN(encoder="tfidf", distance="manhattan").search(ds, ds.part(ds.samples, "test"), 0, 1)
+
+
+def test_word_vectors_of_some_words_are_those_of_all(spark):
+    texts = ["a b a c d", "b b b", "c", None, "d a b c a d b", "e f"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    every = {r.word: r.vec for r in encoders.cooccurrence_vectors(df, 16, 2).collect()}
+    only = spark.createDataFrame([("a",), ("f",), ("a",), ("unknown",)], "word string")
+    some = {r.word: r.vec for r in encoders.cooccurrence_vectors(df, 16, 2, only=only).collect()}
+    assert set(some) == {"a", "f"} and all(np.allclose(v, every[w]) for w, v in some.items())

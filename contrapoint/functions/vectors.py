@@ -102,10 +102,44 @@ def _minkowski(q: np.ndarray, c: np.ndarray, p: float = 2.0) -> np.ndarray:
     return _by_row(lambda row, c: (np.abs(c - row) ** p).sum(1) ** (1 / p))(q, c)
 
 
-#: (queries, candidates) -> matrix, for the tiles of the neighbour search.
+def _squared(row: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c - row) ** 2).sum(1)
+
+
+def _by_product(finish):
+    """A kernel of squared euclidean distances that, with ``k``, works out only what can be among a query's k least.
+
+    A matrix product gives all squares up to its rounding error, which is bounded by the sizes of the vectors; those that
+    may be below the k-th, or within 1e-8 of it, are worked out plainly, the others are infinite. Rows of values that are not finite, or whose
+    squares are not, are all worked out.
+    """
+
+    def f(q: np.ndarray, c: np.ndarray, k: int | None = None) -> np.ndarray:
+        if not len(q) or not len(c):
+            return np.empty((len(q), len(c)))
+        size_q, size_c = (q * q).sum(1), (c * c).sum(1)
+        most = size_q + size_c.max()
+        if k is None or k >= len(c) or not np.isfinite(most).all():
+            return np.stack([finish(_squared(row, c)) for row in q])
+        near = size_q[:, None] + size_c - 2 * (q @ c.T)
+        edge = np.maximum(np.partition(near, k - 1, axis=1)[:, k - 1], 0)
+        edge += 2e-8 * np.sqrt(edge) + 1e-8  # distances may be rounded to eight digits before they are compared
+        edge += 2 * (4 * q.shape[1] + 16) * np.finfo(np.float64).eps * most
+        r, j = np.nonzero(near <= edge[:, None])
+        out = np.full(near.shape, np.inf)
+        for s in range(0, len(r), 65_536):
+            a, b = r[s : s + 65_536], j[s : s + 65_536]
+            out[a, b] = finish(((c[b] - q[a]) ** 2).sum(1))
+        return out
+
+    return f
+
+
+#: (queries, candidates) -> matrix, for the tiles of the neighbour search; those of ``PRUNED`` take k too.
+PRUNED = ("euclidean", "sqeuclidean")
 KERNELS = {
-    "euclidean": _by_row(lambda row, c: np.sqrt(((c - row) ** 2).sum(1))),
-    "sqeuclidean": _by_row(lambda row, c: ((c - row) ** 2).sum(1)),
+    "euclidean": _by_product(np.sqrt),
+    "sqeuclidean": _by_product(lambda x: x),
     "cosine": _cosine,
     "manhattan": _by_row(lambda row, c: np.abs(c - row).sum(1)),
     "chebyshev": _by_row(lambda row, c: np.abs(c - row).max(1)),

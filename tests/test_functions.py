@@ -229,3 +229,16 @@ def test_a_block_of_series_is_read_as_an_array():
     assert isinstance(_payload(column), np.ndarray) and (_payload(column) == cube).all() and (_payload(column.slice(1)) == cube[1:]).all()
     uneven = pa.chunked_array([pa.array([[[1.0], [2.0]], [[1.0, 2.0], [3.0]]], pa.list_(pa.list_(pa.float64())))])
     assert _payload(uneven) == uneven.to_pylist()
+
+
+def test_products_keep_what_can_be_nearest():
+    rng = np.random.default_rng(8)
+    for scale, shift in ((1, 0), (1, 1e6), (1e-200, 0), (1e200, 0)):
+        q, c = rng.normal(shift, 1, (20, 6)) * scale, rng.normal(shift, 1, (300, 6)) * scale
+        c[100:120], c[120:140] = q, c[:20]
+        want = np.stack([np.sqrt(((c - row) ** 2).sum(1)) for row in q])
+        got = vectors.KERNELS["euclidean"](q, c, 5)
+        edge = np.sort(want, 1)[:, 4:5]
+        assert (got[want <= edge] == want[want <= edge]).all() and ((got == want) | np.isinf(got)).all()
+        if shift == 0 and scale == 1:
+            assert np.isinf(got).mean() > 0.9

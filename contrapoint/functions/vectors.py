@@ -102,6 +102,19 @@ def _minkowski(q: np.ndarray, c: np.ndarray, p: float = 2.0) -> np.ndarray:
     return _by_row(lambda row, c: (np.abs(c - row) ** p).sum(1) ** (1 / p))(q, c)
 
 
+def _nan_euclidean(q: np.ndarray, c: np.ndarray, size: int | None = None) -> np.ndarray:
+    """Euclidean over the features that both rows have, scaled up to ``size`` features (all of them); NaN if they share none."""
+    size = size or q.shape[1]
+
+    def one(row, c):
+        gaps = c - row
+        both = ~np.isnan(gaps)
+        n = both.sum(1)
+        return np.where(n > 0, np.sqrt(np.where(both, gaps * gaps, 0).sum(1) * size / np.maximum(n, 1)), np.nan)
+
+    return _by_row(one)(q, c)
+
+
 def _squared(row: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c - row) ** 2).sum(1)
 
@@ -149,9 +162,128 @@ KERNELS = {
     "minkowski": _minkowski,
     "correlation": _correlation,
     "jaccard": _by_row(_jaccard),
+    "nan_euclidean": _nan_euclidean,
 }
 
 
+def _gaps(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Each feature's gap between one box and others; 0 where they meet or a side isn't a number."""
+    return np.nan_to_num(np.maximum(np.maximum(lows - high, low - highs), 0), nan=0.0, posinf=np.inf)
+
+
+def _canberra_bound(low, high, lows, highs):
+    gaps = _gaps(low, high, lows, highs)
+    size = np.where(lows > high, np.abs(lows) + np.abs(high), np.abs(low) + np.abs(highs))  # of the two ends that face each other
+    return np.nan_to_num(gaps / np.where(gaps > 0, size, 1), nan=0.0).sum(1)
+
+
+def _braycurtis_bound(low, high, lows, highs):
+    most = np.maximum(np.abs(low + lows), np.abs(high + highs)).sum(1)
+    return np.nan_to_num(_gaps(low, high, lows, highs).sum(1) / np.where(most == 0, 1, most), nan=0.0)
+
+
+#: (a box's low and high corner, other boxes' corners) -> the least distance that a row of the one can have to a row of each other.
+BOUNDS = {
+    "euclidean": lambda *b: np.sqrt((_gaps(*b) ** 2).sum(1)),
+    "sqeuclidean": lambda *b: (_gaps(*b) ** 2).sum(1),
+    "manhattan": lambda *b: _gaps(*b).sum(1),
+    "chebyshev": lambda *b: _gaps(*b).max(1),
+    "hamming": lambda *b: (_gaps(*b) > 0).mean(1),
+    "canberra": _canberra_bound,
+    "braycurtis": _braycurtis_bound,
+    "minkowski": lambda *b, p=2.0: (_gaps(*b) ** p).sum(1) ** (1 / p),
+    "nan_euclidean": lambda *b, size=None: np.sqrt((_gaps(*b) ** 2).sum(1) * (size or b[0].size) / b[0].size),
+}
+
+
+def _leaves(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """The rows' numbers, halved along the widest feature until no part has more than ``size``."""
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        own = todo.pop()
+        if len(own) <= size:
+            out.append(own)
+            continue
+        rows = np.nan_to_num(x[own])
+        at = rows[:, np.argmax(rows.max(0) - rows.min(0))]
+        order = np.argpartition(at, len(own) // 2)
+        todo += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+    return out
+
+
+def _distinct(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' order by value and then id, and where in it each distinct value begins."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.int64)
+    order = np.lexsort((ids, *bits.T))
+    new = np.ones(len(x), bool)
+    new[1:] = (bits[order[1:]] != bits[order[:-1]]).any(1)
+    return order, np.flatnonzero(new)
+
+
+#: Distinct queries that are searched together, and distinct candidates of a leaf.
+GROUP, LEAF = 32, 64
+
+
+def nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, distances, bound, digits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of ``q``, candidates' ids, distances) of each query's k nearest, ties to smaller ids, for vectors of few features.
+
+    Equal vectors are searched once: of equal candidates the k least ids can be among the k nearest, and a query's k nearest lie
+    among the k distinct values that come first by distance and least id. Queries near each other are searched together: the
+    nearest leaves give a distance, and only leaves whose bound does not exceed it are worked out, all by ``distances``.
+    """
+    c_order, c_at = _distinct(c, ids)
+    values, least = c[c_order[c_at]], ids[c_order[c_at]]
+    counts = np.minimum(np.diff(np.append(c_at, len(c))), k)
+    q_order, q_at = _distinct(q, np.arange(len(q)))
+    wanted = q[q_order[q_at]]
+    leaves = _leaves(values, LEAF)
+    lows, highs = (np.stack([f(values[own], axis=0) for own in leaves]) for f in (np.min, np.max))
+    slack, some = 0.0 if digits is None else 10.0**-digits, max(2, -(-2 * k // LEAF) + 1)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+
+    def measured(rows, own):
+        d = np.asarray(distances(rows, values[own]), np.float64)
+        return np.where(np.isnan(d), np.inf, d if digits is None else d.round(digits))
+
+    for group in _leaves(wanted, GROUP):
+        rows = wanted[group]
+        low = bound(rows.min(0), rows.max(0), lows, highs)
+        first = np.argpartition(low, some - 1)[:some] if some < len(leaves) else np.arange(len(leaves))
+        own = np.concatenate([leaves[i] for i in first])
+        d = measured(rows, own)
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1].max() if k < len(own) else np.inf
+        more = low * (1 - 1e-9) <= edge + slack
+        more[first] = False
+        if more.any():
+            rest = np.concatenate([leaves[i] for i in np.flatnonzero(more)])
+            own, d = np.concatenate([own, rest]), np.concatenate([d, measured(rows, rest)], 1)
+        most = min(k, len(own))
+        edges = np.partition(d, most - 1, axis=1)[:, most - 1]
+        r, j = np.nonzero((d <= edges[:, None]) & (d < np.inf))
+        order = np.lexsort((least[own[j]], d[r, j], r))
+        r, j = r[order], j[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < most
+        found.append((group[r[keep]], own[j[keep]], d[r[keep], j[keep]]))
+    n, v, d = (np.concatenate(x) for x in zip(*found, strict=True))
+
+    def spread(sizes):  # each entry's number and place within its entry, repeated as often as its size
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    at, place = spread(counts[v])
+    n, d, near = n[at], d[at], ids[c_order[c_at[v[at]] + place]]
+    order = np.lexsort((near, d, n))
+    n, d, near = n[order], d[order], near[order]
+    keep = np.arange(len(n)) - np.searchsorted(n, n) < k
+    n, d, near = n[keep], d[keep], near[keep]
+    starts, ends = (np.searchsorted(n, np.arange(len(wanted)), side) for side in ("left", "right"))
+    sizes = np.diff(np.append(q_at, len(q)))
+    of_row = np.repeat(np.arange(len(wanted)), sizes)  # the distinct query of every row, in order
+    at, place = spread((ends - starts)[of_row])
+    here = starts[of_row[at]] + place
+    return q_order[at], near[here], d[here]
+
+
 def l2_normalised(v: Column) -> Column:
     """The vector over its length; vectors of next to no length stay as they are."""
     size = norm(v)

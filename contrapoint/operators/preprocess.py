@@ -105,23 +105,11 @@ def knn_impute(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 
     Distance is euclidean over the columns both rows have, scaled up for the missing ones.
     """
-    import numpy as np
-
-    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])
-    rows = df.select("sample_id", vec.alias("value"))
-
-    def gap(q, c):
-        q, c = np.asarray(q), np.asarray(c)
-        out = np.empty((len(q), len(c)))
-        for i, row in enumerate(q):
-            both = ~np.isnan(row) & ~np.isnan(c)
-            n = both.sum(1)
-            out[i] = np.where(n > 0, np.sqrt(np.where(both, (c - row) ** 2, 0).sum(1) * len(row) / np.maximum(n, 1)), 1e300)
-        return out
-
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
     filled = []
-    for i, c in enumerate(columns):
-        near = knn(rows.where(F.isnan(F.get("value", F.lit(i)))), rows.where(~F.isnan(F.get("value", F.lit(i)))), k, gap).where("distance < 1e300")
+    for c in columns if len(columns) > 1 else []:  # a column's own value is on one side alone, so the others tell the distance
+        rows = df.select("sample_id", F.array(*[number(x) for x in columns if x != c]).alias("value"), F.isnan(number(c)).alias("gone"))
+        near = knn(rows.where("gone"), rows.where("NOT gone"), k, "nan_euclidean", size=len(columns))
         values = df.select(F.col("sample_id").alias("train_id"), F.col(c).alias("_v"))
         filled.append(near.join(values, "train_id").groupBy(F.col("query_id").alias("sample_id")).agg(F.avg("_v").alias(f"_f_{c}")))
     means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])

@@ -535,3 +535,41 @@ def test_word_vectors_of_some_words_are_those_of_all(spark):
     only = spark.createDataFrame([("a",), ("f",), ("a",), ("unknown",)], "word string")
     some = {r.word: r.vec for r in encoders.cooccurrence_vectors(df, 16, 2, only=only).collect()}
     assert set(some) == {"a", "f"} and all(np.allclose(v, every[w]) for w, v in some.items())
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "manhattan", "chebyshev", "hamming", "canberra", "braycurtis", "minkowski", "nan_euclidean"])
+def test_few_features_are_searched_by_boxes(metric):
+    from contrapoint.functions import vectors
+
+    rng = np.random.default_rng(5)
+    options = {"p": 3.0} if metric == "minkowski" else {}
+    for features, rounded, digits in ((2, 2, None), (3, 0, 6), (3, 1, 2), (1, 3, 9)):
+        q, c = (rng.normal(size=(n, features)).round(rounded) * 3 for n in (300, 2500))
+        if features == 3:
+            c[:40, 0], q[:5, 0] = np.inf, -np.inf
+        if metric == "nan_euclidean":
+            c[rng.random(c.shape) < 0.1] = q[rng.random(q.shape) < 0.1] = np.nan
+        ids, worked = rng.permutation(len(c)) * 3, []
+
+        def distances(x, y):
+            worked.append(len(x) * len(y))
+            return vectors.KERNELS[metric](x, y, **options)
+
+        with np.errstate(all="ignore"):
+            at, near, d = vectors.nearest(q, c, ids, 4, distances, lambda *b: vectors.BOUNDS[metric](*b, **options), digits)
+            every = vectors.KERNELS[metric](q, c, **options)
+        every = np.where(np.isnan(every), np.inf, every if digits is None else every.round(digits))
+        for i, row in enumerate(every):
+            want = [j for j in np.lexsort((ids, row))[:4] if row[j] < np.inf]
+            assert near[at == i].tolist() == ids[want].tolist() and (d[at == i] == row[want]).all()
+        if metric in ("euclidean", "canberra", "manhattan") and features == 2:
+            assert sum(worked) < q.shape[0] * c.shape[0] / 3
+
+
+def test_equal_vectors_keep_their_own_neighbours(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(30)] + [(90, [0.0, None]), (91, None), (92, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "sample_id long, value array<double>")
+    got = {}
+    for r in knn(df, df, 2, exclude_self=True).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.train_id)
+    assert got == {i: [j for j in range(i % 3, 30, 3) if j != i][:2] for i in range(30)}

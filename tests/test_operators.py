@@ -562,8 +562,20 @@ def test_few_features_are_searched_by_boxes(metric):
         for i, row in enumerate(every):
             want = [j for j in np.lexsort((ids, row))[:4] if row[j] < np.inf]
             assert near[at == i].tolist() == ids[want].tolist() and (d[at == i] == row[want]).all()
-        if metric in ("euclidean", "canberra", "manhattan") and features == 2:
-            assert sum(worked) < q.shape[0] * c.shape[0] / 3
+
+
+def test_boxes_leave_most_pairs_out():
+    from contrapoint.functions import vectors
+
+    rng, worked = np.random.default_rng(6), []
+    q, c = rng.normal(size=(2000, 3)), rng.normal(size=(20_000, 3))
+
+    def distances(x, y):
+        worked.append(len(x) * len(y))
+        return vectors.KERNELS["euclidean"](x, y)
+
+    at, _, _ = vectors.nearest(q, c, np.arange(len(c)), 5, distances, vectors.BOUNDS["euclidean"])
+    assert len(at) == 10_000 and sum(worked) < len(q) * len(c) / 5
 
 
 def test_equal_vectors_keep_their_own_neighbours(spark):

@@ -73,10 +73,21 @@ def _by_row(f):
     return lambda q, c: np.stack([f(row, c) for row in q]) if len(q) else np.empty((0, len(c)))
 
 
-def _cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _cosine(q: np.ndarray, c: np.ndarray, k: int | None = None) -> np.ndarray:
+    """Cosine distances; with ``k``, those that a matrix product leaves no chance to be among a query's k least are infinite."""
     size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)
     flat = size < 1e-16
-    return np.where(flat, 1.0, 1 - np.array([(c * row).sum(1) for row in q]).reshape(len(q), len(c)) / np.where(flat, 1, size))
+    safe = np.where(flat, 1, size)
+    if k is None or k >= len(c) or not np.isfinite(size).all():
+        return np.where(flat, 1.0, 1 - np.array([(c * row).sum(1) for row in q]).reshape(len(q), len(c)) / safe)
+    near = np.where(flat, 1.0, 1 - q @ c.T / safe)
+    edge = np.partition(near, k - 1, axis=1)[:, k - 1] + 2e-8 + 2 * (4 * q.shape[1] + 16) * np.finfo(np.float64).eps
+    r, j = np.nonzero(near <= edge[:, None])
+    out = np.full(near.shape, np.inf)
+    for s in range(0, len(r), 65_536):
+        a, b = r[s : s + 65_536], j[s : s + 65_536]
+        out[a, b] = np.where(flat[a, b], 1.0, 1 - (c[b] * q[a]).sum(1) / safe[a, b])
+    return out
 
 
 def _canberra(row, c):
@@ -89,17 +100,59 @@ def _braycurtis(row, c):
     return np.abs(row - c).sum(1) / np.where(total == 0, 1, total)
 
 
-def _correlation(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return _cosine(q - q.mean(1, keepdims=True), c - c.mean(1, keepdims=True))
+def _correlation(q: np.ndarray, c: np.ndarray, k: int | None = None) -> np.ndarray:
+    return _cosine(q - q.mean(1, keepdims=True), c - c.mean(1, keepdims=True), k)
+
 
+def _jaccard(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Shares of the features that either has and one lacks; the counts are sums of ones, exact in any order."""
+    x, y = (np.asarray(v != 0, np.float64) for v in (q, c))
+    both = x @ y.T
+    either = x.sum(1)[:, None] + y.sum(1) - both
+    return (either - both) / np.maximum(either, 1)
 
-def _jaccard(row, c):
-    either = ((row != 0) | (c != 0)).sum(1)
-    return ((row != 0) != (c != 0)).sum(1) / np.maximum(either, 1)
 
+def _minkowski(q: np.ndarray, c: np.ndarray, k: int | None = None, p: float = 2.0) -> np.ndarray:
+    """Minkowski distances; with ``k``, those that can't be among a query's k least are infinite.
 
-def _minkowski(q: np.ndarray, c: np.ndarray, p: float = 2.0) -> np.ndarray:
-    return _by_row(lambda row, c: (np.abs(c - row) ** p).sum(1) ** (1 / p))(q, c)
+    A matrix product gives euclidean distances, and with them bounds from below; of the pairs that these leave, only those whose
+    sum by repeated products (of a whole ``p``) comes near the k-th are worked out by powers.
+    """
+    every = lambda a, b: (np.abs(c[b] - q[a]) ** p).sum(1) ** (1 / p)
+    if k is None or k >= len(c) or p < 1 or not len(q):
+        return _by_row(lambda row, c: (np.abs(c - row) ** p).sum(1) ** (1 / p))(q, c)
+    size_q, size_c = (q * q).sum(1), (c * c).sum(1)
+    most = size_q + size_c.max()
+    if not np.isfinite(most).all() or most.max() > 1e60 or p > 5:
+        return _minkowski(q, c, None, p)
+    near = size_q[:, None] + size_c - 2 * (q @ c.T)
+    slip = 2 * (4 * q.shape[1] + 16) * np.finfo(np.float64).eps * most
+    low = np.sqrt(np.maximum(near - slip[:, None], 0)) * min(1.0, q.shape[1] ** (1 / p - 0.5)) * (1 - 1e-9)
+    first = np.argpartition(near, k - 1, axis=1)[:, :k]
+    edge = every(np.repeat(np.arange(len(q)), k), first.ravel()).reshape(-1, k).max(1) + 2e-8
+    r, j = np.nonzero(low <= edge[:, None])
+    out = np.full(near.shape, np.inf)
+
+    def fill(r, j, f):
+        for s in range(0, len(r), 16_384):
+            a, b = r[s : s + 16_384], j[s : s + 16_384]
+            out[a, b] = f(a, b)
+
+    if p == int(p):
+
+        def rough(a, b):
+            gap = np.abs(c[b] - q[a])
+            total = gap
+            for _ in range(int(p) - 1):
+                total = total * gap
+            return total.sum(1) ** (1 / p)
+
+        fill(r, j, rough)
+        edge = np.partition(out, k - 1, axis=1)[:, k - 1] * (1 + 1e-12) + 2e-8
+        r, j = np.nonzero(out <= edge[:, None])
+        out[:] = np.inf
+    fill(r, j, every)
+    return out
 
 
 def _nan_euclidean(q: np.ndarray, c: np.ndarray, size: int | None = None) -> np.ndarray:
@@ -149,7 +202,7 @@ def _by_product(finish):
 
 
 #: (queries, candidates) -> matrix, for the tiles of the neighbour search; those of ``PRUNED`` take k too.
-PRUNED = ("euclidean", "sqeuclidean")
+PRUNED = ("euclidean", "sqeuclidean", "cosine", "correlation", "minkowski")
 KERNELS = {
     "euclidean": _by_product(np.sqrt),
     "sqeuclidean": _by_product(lambda x: x),
@@ -161,7 +214,7 @@ KERNELS = {
     "braycurtis": _by_row(_braycurtis),
     "minkowski": _minkowski,
     "correlation": _correlation,
-    "jaccard": _by_row(_jaccard),
+    "jaccard": _jaccard,
     "nan_euclidean": _nan_euclidean,
 }
 
@@ -229,7 +282,7 @@ def nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, distances, bo
 
     Equal vectors are searched once: of equal candidates the k least ids can be among the k nearest, and a query's k nearest lie
     among the k distinct values that come first by distance and least id. Queries near each other are searched together: the
-    nearest leaves give a distance, and only leaves whose bound does not exceed it are worked out, all by ``distances``.
+    leaves nearest to each give distances, and only leaves whose bound does not exceed it are worked out, all by ``distances``.
     """
     c_order, c_at = _distinct(c, ids)
     values, least = c[c_order[c_at]], ids[c_order[c_at]]
@@ -238,7 +291,9 @@ def nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, distances, bo
     wanted = q[q_order[q_at]]
     leaves = _leaves(values, LEAF)
     lows, highs = (np.stack([f(values[own], axis=0) for own in leaves]) for f in (np.min, np.max))
-    slack, some = 0.0 if digits is None else 10.0**-digits, max(2, -(-2 * k // LEAF) + 1)
+    middles = np.nan_to_num((np.maximum(lows, -1e150) + np.minimum(highs, 1e150)) / 2)
+    sizes_of = (middles * middles).sum(1)
+    slack, some = 0.0 if digits is None else 10.0**-digits, max(1, -(-2 * k // LEAF))
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
 
     def measured(rows, own):
@@ -248,7 +303,8 @@ def nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, distances, bo
     for group in _leaves(wanted, GROUP):
         rows = wanted[group]
         low = bound(rows.min(0), rows.max(0), lows, highs)
-        first = np.argpartition(low, some - 1)[:some] if some < len(leaves) else np.arange(len(leaves))
+        apart = sizes_of - 2 * (np.nan_to_num(rows, posinf=1e150, neginf=-1e150) @ middles.T)  # where to begin; any order gives the same
+        first = np.unique(np.argpartition(apart, some - 1, axis=1)[:, :some]) if some < len(leaves) else np.arange(len(leaves))
         own = np.concatenate([leaves[i] for i in first])
         d = measured(rows, own)
         edge = np.partition(d, k - 1, axis=1)[:, k - 1].max() if k < len(own) else np.inf

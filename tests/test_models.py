@@ -305,3 +305,15 @@ def test_samples_of_all_parts(spark):
         series.concatenated(F.col("s"), F.col("a"), None, F.col("t"), True).alias("x"), series.concatenated(F.col("s"), F.col("a"), F.col("b")).alias("y")
     ).first()
     assert got.x == [[1.0] * 3, [2.0] * 3, [1.0, 2.0, 3.0], [2.0] * 3] and got.y is None
+
+
+@pytest.mark.parametrize("features", [2, 9])
+def test_lists_of_shards_merge_in_levels(spark, monkeypatch, features):
+    for name, n in (("QUERY_BLOCK", 9), ("SHARD", 3), ("WIDE_SHARD", 6), ("NARROW_ROWS", 6), ("FAN_IN", 2), ("STEP", 25)):
+        monkeypatch.setattr(search, name, n)
+    x = np.random.default_rng(4).integers(0, 5, (50, features)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample_id long, value array<double>")
+    got = {(r.query_id, r.rank): r.train_id for r in search.knn(df, df, 5, exclude_self=True).collect()}
+    for i in range(50):
+        order = sorted((float(((x[i] - x[j]) ** 2).sum()), j) for j in range(50) if j != i)
+        assert [got[i, r + 1] for r in range(5)] == [j for _, j in order[:5]]

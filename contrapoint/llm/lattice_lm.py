@@ -19,7 +19,8 @@ The pieces of a vocabulary that only ranks them start at 1 / (``ZIPF`` + rank).
 mark; ``unigram_score`` carries the nodes' sums from one to the next, so it sums all segmentations of a word of any length.
 Neighbours of less than ``LEAST`` chance in a word count as no uses.
 
-Counts cover every training row; what goes to the tasks is bounded by the vocabulary, the classes and ``PAIRS``. Rows are
+Counts cover every training row and every pair; what goes to all tasks is bounded by the vocabulary, the classes and
+``PAIRS``. Pairs beyond those are joined to the words whose lattices have them, so all scores are by all pairs. Rows are
 dealt to groups of bounded bytes by a hash of the row and its place; a group's distinct words are joined with the corpus's
 word table, the most frequent words in several parts, so no task needs all words. Rows without words need no group.
 
@@ -46,8 +47,11 @@ ZIPF, SMOOTH, GROUP_BYTES, STEP_DOCS, COUNTED = 10.0, 0.1, 12_000_000, 2000, 1_0
 #: Passes that re-weight the pieces, the uses that the existing scores stand for, and the uses that a piece's own weight
 #: stands for after each other piece.
 PASSES, PRIOR, BACKOFF = 1, 100.0, 2.0
-#: Neighbouring pieces that are told apart at most (those of most uses), least chance of a pair in a word that is counted.
+#: Pairs of neighbouring pieces that every task holds (those of most uses; the others are joined to the words that have
+#: them), least chance of a pair in a word that is counted.
 PAIRS, LEAST = 1_000_000, 1e-3
+#: Words and their bytes that are weighed together where pairs are joined; bits of the filter of these pairs, for each and at most.
+JOINED, JOINED_BYTES, FILTER_PLACES, FILTER_BITS = 100_000, 4_000_000, 16, 1 << 27
 #: Classes of texts at most (the most frequent; the others are one more), characters of a segment and of a step.
 CLASSES, SEGMENT, STEP_CHARS = 8, 4096, 120_000
 #: Groups for which a frequent word's row of the word table serves, and the part of all words that makes one frequent.
@@ -339,10 +343,11 @@ class Model:
     """Lattices whose pieces' weights depend on the piece before and on the text's class.
 
     ``pieces`` are log weights; ``classes``, ``keys`` and ``uses`` tell how often a class has two pieces next to each other
-    (``_pair``), ``words`` and ``texts`` how many words and texts it has.
+    (``_pair``), ``words`` and ``texts`` how many words and texts it has. Where they are not all pairs, ``following`` has all
+    uses after each piece by class, and those left out can be given to ``both_scores`` as ``more``.
     """
 
-    def __init__(self, pieces: dict[str, float], classes, keys, uses, words, texts, existing: dict[str, float] | None = None):
+    def __init__(self, pieces: dict[str, float], classes, keys, uses, words, texts, existing: dict[str, float] | None = None, following=None):
         self.vocabulary = v = Vocabulary(pieces, existing)
         count, n = len(words), v.size + 1
         a, b = keys >> 20, keys & (1 << 20) - 1
@@ -351,34 +356,58 @@ class Model:
             own = classes == z
             first, last = own & (a == BEGIN), own & (b == FINISH)
             starts[z, b[first]], ends[z, a[last]] = uses[first], uses[last]
-            after[z] = np.bincount(a[own & ~first], uses[own & ~first], n)
+            after[z] = np.bincount(a[own & ~first], uses[own & ~first], n) if following is None else following[z]
         share = ends.sum() / after.sum() if after.sum() else 0.5  # a word's end among all that follows pieces
         own, plain = np.exp(v.weights) * (1 - share), np.exp(v.weights)
-        blend = lambda some, base, total: (some + BACKOFF * base) / (total + BACKOFF)
+        blend = self.blend
         every, inner = after.sum(0), np.flatnonzero((a != BEGIN) & (b != FINISH))
         pairs, place = np.unique(keys[inner], return_inverse=True)
-        a, b = pairs >> 20, pairs & (1 << 20) - 1
-        base = blend(np.bincount(place, uses[inner], len(pairs)), own[b], every[a])
-        self.pair = np.empty((count, len(pairs)), np.float32)
+        self.chance, self.after = own, after
+        of_class = np.zeros((count, len(pairs)))
+        np.add.at(of_class, (classes[inner], place), uses[inner])
+        self.table, self.pair = self.weighed(pairs, of_class)
         with np.errstate(divide="ignore"):
             self.own = np.log(own)
             self.rest = np.log(BACKOFF / (every + BACKOFF)) + np.log(BACKOFF / (after + BACKOFF))
-            for z in range(count):
-                mine = classes[inner] == z
-                some = np.bincount(place[mine], uses[inner][mine], len(pairs))
-                self.pair[z] = np.log(blend(some, base, after[z][a]))
             self.stop = np.log(blend(ends, blend(ends.sum(0), share, every), after))
             self.start = np.log(blend(starts, blend(starts.sum(0), plain, starts.sum()), starts.sum(1, keepdims=True)))
-        self.table = Table(pairs.astype(np.uint64), max(8, int(len(pairs)).bit_length() + 1))
         words, texts = np.asarray(words, float), np.asarray(texts, float)
         self.prior, (self.end, self.more) = priors(words, texts)
 
+    @staticmethod
+    def blend(some, base, total):
+        return (some + BACKOFF * base) / (total + BACKOFF)
+
+    def weighed(self, pairs: np.ndarray, uses: np.ndarray) -> tuple[Table, np.ndarray]:
+        """The table of some distinct pairs and, by class, the log weights of their second pieces; ``uses`` are classes x pairs."""
+        a, b = pairs >> 20, pairs & (1 << 20) - 1
+        base = self.blend(uses.sum(0), self.chance[b], self.after.sum(0)[a])
+        with np.errstate(divide="ignore"):
+            logs = np.array([np.log(self.blend(some, base, after[a])) for some, after in zip(uses, self.after, strict=True)], np.float32)
+        return Table(pairs.astype(np.uint64), max(8, int(len(pairs)).bit_length() + 1)), logs
+
+    def unheld(self, words, may: np.ndarray | None) -> np.ndarray:
+        """The pairs in the words' lattices that the model doesn't hold, of which ``may`` (bits by ``_bit``), if given, leaves most out."""
+        out, added, size = np.empty(0, np.int64), [], 0
+        for arcs, _ in self.vocabulary.steps(words):
+            before, after = arcs.pairs()
+            keys = np.unique(_pair(arcs.number[before], arcs.number[after]))
+            keys = keys[self.table.lookup(keys.astype(np.uint64)) == self.table.size]
+            if may is not None:
+                at = _bit(keys, 64 * len(may))
+                keys = keys[may[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1]
+            added.append(keys)
+            size += len(keys)
+            if size > max(250_000, len(out)):
+                out, added, size = np.unique(np.concatenate([out, *added])), [], 0
+        return np.unique(np.concatenate([out, *added]))
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """(words x classes) natural logs of each word's probability, that it is no end among it."""
         return self.both_scores(words)[0]
 
-    def both_scores(self, words) -> tuple[np.ndarray, np.ndarray]:
-        """``word_scores``, and the words' marginals by the existing scores, from the same lattices."""
+    def both_scores(self, words, more: tuple[Table, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``word_scores``, and the words' marginals by the existing scores, from the same lattices; ``more`` are ``weighed`` pairs."""
         v, out, plain_out = self.vocabulary, np.zeros((len(words), len(self.start))), np.zeros(len(words))
         for arcs, owner in v.steps(words):
             v.add_marginals(arcs, owner, words, plain_out)
@@ -390,16 +419,20 @@ class Model:
             cuts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
             ranges = list(zip(cuts[-2::-1].tolist(), cuts[:0:-1].tolist(), strict=True))
             number = arcs.number
-            row = self.table.lookup(_pair(number[before], number[after]).astype(np.uint64))
-            known = np.flatnonzero(row < self.table.size)
-            row, plain = row[known], self.own[number[after]] + arcs.extra[after]
+            keys, plain = _pair(number[before], number[after]).astype(np.uint64), self.own[number[after]] + arcs.extra[after]
+            tables = []
+            for table, logs in ((self.table, self.pair), *([more] if more else [])):
+                row = table.lookup(keys)
+                known = np.flatnonzero(row < table.size)
+                tables.append((known, row[known], logs))
             last, begins = np.flatnonzero(arcs.end == arcs.tails[arcs.part]), np.append(True, owner[1:] != owner[:-1])
             head = np.flatnonzero(arcs.begin == 0)
             head = head[np.argsort(arcs.part[head], kind="stable")]
             first = begins[arcs.part[head]]
             for z in range(out.shape[1]):
                 step = self.rest[z][number[before]] + plain
-                step[known] = self.pair[z][row]
+                for known, row, logs in tables:
+                    step[known] = logs[z][row]
                 behind = np.full(len(number), -np.inf)
                 behind[last] = self.stop[z][number[last]]
                 for a, b in ranges:
@@ -443,11 +476,13 @@ def _gathered(batches, rows: int = 50_000):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _collected(words: DataFrame, pieces: dict[str, float], pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected uses over ``words`` (``word``, ``z``, ``n``): classes, keys and sums; bounded by the vocabulary, or about ``PAIRS``.
+def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A place among ``bits``, a power of two, for each key."""
+    return _slots(keys.astype(np.uint64), bits.bit_length() - 1)[3]
 
-    Without ``pairs`` keys are pieces and there are no classes. Of more pairs than ``PAIRS`` those of most uses come back.
-    """
+
+def _uses(words: DataFrame, pieces: dict[str, float], pairs: bool) -> DataFrame:
+    """Expected uses over ``words`` (``word``, ``z``, ``n``): (``z``, ``key``, ``n``), keys being pairs, or pieces and no classes."""
     sent = _sent(words.sparkSession, pieces)
 
     def run(batches):
@@ -469,31 +504,94 @@ def _collected(words: DataFrame, pieces: dict[str, float], pairs: bool) -> tuple
                 own = kept[at : at + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(keys[own]), pa.array(uses[own])], names=["z", "key", "n"])
 
-    got = words.mapInArrow(run, "z int, key long, n double").groupBy("z", "key").agg(F.sum("n").alias("n"))
-    if pairs:
-        got = staged(got, "pairs")
-        if (count := got.count()) > PAIRS:
-            edge = got.agg(F.percentile_approx("n", 1 - PAIRS / count, 100_000)).first()[0]
-            got = got.where((F.col("n") > edge) | (F.shiftright("key", 20) == BEGIN) | (F.col("key") % (1 << 20) == FINISH))
+    return words.mapInArrow(run, "z int, key long, n double").groupBy("z", "key").agg(F.sum("n").alias("n"))
+
+
+def _arrays(got: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     got = got.toPandas().sort_values(["z", "key"])
     return got["z"].to_numpy(np.int64), got["key"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
 
 
+def _pairs(got: DataFrame, classes: int, pieces: int):
+    """The pairs that every task holds (classes, keys, uses), and if these are not all: all uses after each piece by class, and
+    the table of the other pairs (``key``, ``uses`` by class), written.
+
+    What a task holds are the pairs that begin or end a word, bounded by the vocabulary, and about ``PAIRS`` of most uses.
+    """
+    got = staged(got, "pairs")
+    if (count := got.count()) <= PAIRS:
+        return *_arrays(got), None, None
+    of_class = [F.sum(F.when(F.col("z") == z, F.col("n")).otherwise(0.0)) for z in range(classes)]
+    by = staged(got.groupBy("key").agg(F.sum("n").alias("n"), F.array(*of_class).alias("uses")), "pairs-by-key")
+    edge = by.agg(F.percentile_approx("n", 1 - PAIRS / count, 100_000)).first()[0]
+    held = (F.col("n") > edge) | (F.shiftright("key", 20) == BEGIN) | (F.col("key") % (1 << 20) == FINISH)
+    z, keys, uses = _arrays(by.where(held).select("key", F.posexplode("uses").alias("z", "n")).where("n > 0"))
+    after, following = got.where(F.shiftright("key", 20) != BEGIN), np.zeros((classes, pieces + 1))
+    for r in after.groupBy("z", F.shiftright("key", 20).alias("a")).agg(F.sum("n").alias("n")).toLocalIterator():  # a row for a piece and class
+        following[r["z"], r["a"]] = r["n"]
+    return z, keys, uses, following, by.where(~held).select("key", "uses")
+
+
 def reweigh(pieces: dict[str, float], words: DataFrame) -> dict[str, float]:
     """The pieces' log weights after one pass over ``words`` (``word``, ``n``)."""
     names = Vocabulary(pieces).pieces
-    _, keys, uses = _collected(words, pieces, False)
+    _, keys, uses = _arrays(_uses(words, pieces, False))
     counts = {names[k]: n for k, n in zip(keys.tolist(), uses.tolist(), strict=True) if k < len(names)}
     total = sum(counts.values()) + PRIOR
     return {p: float(np.log((counts.get(p, 0.0) + PRIOR * np.exp(w)) / total)) for p, w in pieces.items()}
 
 
-def fit(words: DataFrame, pieces: dict[str, float], sizes: list[tuple[int, int]]) -> tuple:
-    """The arguments of a ``Model`` from training words (``word``, ``z``, ``n``) and each class's number of words and texts."""
+def fit(words: DataFrame, pieces: dict[str, float], sizes: list[tuple[int, int]]) -> tuple[tuple, DataFrame | None]:
+    """The arguments of a ``Model`` from training words (``word``, ``z``, ``n``) and each class's number of words and texts.
+
+    With them come the pairs that the model doesn't hold, if there are any (``_pairs``).
+    """
     every, existing = staged(words.groupBy("word").agg(F.sum("n").alias("n")), "training-words"), pieces
     for _ in range(PASSES):
         pieces = reweigh(pieces, every)
-    return pieces, *_collected(words, pieces, True), [w for w, _ in sizes], [t for _, t in sizes], existing
+    *held, following, rest = _pairs(_uses(words, pieces, True), len(sizes), len(Vocabulary(pieces).pieces))
+    return (pieces, *held, [w for w, _ in sizes], [t for _, t in sizes], existing, following), rest
+
+
+def _filter(rest: DataFrame) -> np.ndarray | None:
+    """Bits (``_bit``) that tell which pairs may be in ``rest``; None where they are so many that most would be told to be."""
+    count = rest.count()
+    bits = min(FILTER_BITS, 1 << max(10, (FILTER_PLACES * count - 1).bit_length()))
+    if count > bits // 2:
+        return None
+
+    def places(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(batch.column(0).to_numpy(), bits))], names=["p"])
+
+    own = rest.select("key").mapInArrow(places, "p long").groupBy(F.shiftright("p", 6).alias("w"))
+    words, out = own.agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("b")).toPandas(), np.zeros(bits // 64, np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _weighed_by_join(words: DataFrame, rest: DataFrame, sent, logs) -> DataFrame:
+    """``words`` (``word``, ``c``) with ``logs``, in groups of words that get the pairs of ``rest`` that their lattices have."""
+    about = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    groups = max(1, -(-about[0] // JOINED), -(-about[1] // JOINED_BYTES))
+    words = words.withColumn("g", F.pmod(F.xxhash64("word"), F.lit(groups)))
+    may = _sent(words.sparkSession, _filter(rest))
+
+    def needed(group: pa.Table) -> pa.Table:
+        keys = _cached(sent, lambda x: Model(*x)).unheld(group["word"].combine_chunks(), may.value[1])
+        return pa.table([pa.array(np.full(len(keys), group["g"][0].as_py(), np.int64)), pa.array(keys)], names=["g", "key"])
+
+    def weigh(group: pa.Table, pairs: pa.Table) -> pa.Table:
+        model, pairs = _cached(sent, lambda x: Model(*x)), pairs.sort_by("key")
+        more = None
+        if pairs.num_rows:
+            uses = pairs["uses"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(pairs.num_rows, -1).T
+            more = model.weighed(pairs["key"].to_numpy(), uses)
+        batches = group.select(["word", "c"]).to_batches()
+        return pa.Table.from_batches([logs(model, batch, more) for batch in _gathered(batches)]) if batches else pa.table([[], [], []], names=["word", "c", "logs"])
+
+    own = words.groupBy("g").applyInArrow(needed, "g long, key long").join(rest, "key")
+    return words.groupBy("g").cogroup(own.groupBy("g")).applyInArrow(weigh, "word string, c long, logs array<float>")
 
 
 def _words(column) -> tuple[pa.Array, np.ndarray]:
@@ -550,23 +648,27 @@ def score(docs: DataFrame, pieces: dict[str, float], held_out, of_class: Column
     counts = staged(rows.select("text", "z").mapInArrow(count, "word string, z int, n long").groupBy("word", "z").agg(F.sum("n").alias("n")), "counts")
     sizes = {r["z"]: r["n"] for r in counts.groupBy("z").agg(F.sum("n").alias("n")).collect()}
     texts = {r["z"]: r["n"] for r in rows.groupBy("z").agg(F.count("*").alias("n")).collect()}
-    model = fit(counts.where("n > 0"), pieces, [(sizes.get(k, 0), texts.get(k, 0)) for k in range(classes)])
+    model, rest = fit(counts.where("n > 0"), pieces, [(sizes.get(k, 0), texts.get(k, 0)) for k in range(classes)])
     sent = _sent(docs.sparkSession, model)
 
+    def logs(made, batch, more=None):
+        found = np.column_stack(made.both_scores(batch.column("word"), more)).astype(np.float32)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), classes + 1).cast(pa.list_(pa.float32()))
+        return pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "logs"])
+
     def weigh(batches):
         made = _cached(sent, lambda x: Model(*x))
-        for batch in _gathered(batches):
-            found = np.column_stack(made.both_scores(batch.column("word"))).astype(np.float32)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), classes + 1).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "logs"])
+        yield from (logs(made, batch) for batch in _gathered(batches))
 
-    vocabulary = staged(counts.groupBy("word").agg(F.sum("n").alias("c")).mapInArrow(weigh, "word string, c long, logs array<float>"), "vocabulary")
+    words_ = counts.groupBy("word").agg(F.sum("n").alias("c"))
+    weighed = words_.mapInArrow(weigh, "word string, c long, logs array<float>") if rest is None else _weighed_by_join(words_, rest, sent, logs)
+    vocabulary = staged(weighed, "vocabulary")
     drop_staged(spark, since, but=1)  # only the vocabulary is read from here on
     seen, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, kinds = seen + ends, distinct + (ends > 0)
     base = lambda c: np.log10((c + SMOOTH) / (total + SMOOTH * (kinds + 1)))
     end = float(base(ends))
-    prior, (ends_, _) = priors(*model[-3:-1])
+    prior, (ends_, _) = priors(*model[4:6])
     prior = prior + ends_
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, unigram_score double"
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")

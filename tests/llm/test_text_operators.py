@@ -255,6 +255,18 @@ def test_lattice_scores_equal_enumeration(spark):
     ] == pytest.approx([x for _, x in want], rel=1e-5, abs=1e-5)
 
 
+def test_lattice_scores_are_by_all_pairs(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(3)
+    pieces, held = lattice_lm.read_pieces(queries.PIECES), held_out(F.col("doc_id"), 10, 0)
+    scores = lambda: [x for _, x in sorted((r.doc_id, r.score) for r in lattice_lm.score(docs, pieces, held, F.col("lang")).collect())]
+    want = scores()
+    monkeypatch.setattr(lattice_lm, "PAIRS", 500)  # the others are joined to the words that have them
+    monkeypatch.setattr(lattice_lm, "JOINED", 1000)
+    assert scores() == pytest.approx(want, rel=1e-6)
+    monkeypatch.setattr(lattice_lm, "FILTER_BITS", 1024)  # pairs are too many for a filter
+    assert scores() == pytest.approx(want, rel=1e-6)
+
+
 def test_unigram_marginals_equal_enumeration(spark, monkeypatch):
     monkeypatch.setattr(lattice_lm, "GROUP_BYTES", 40)
     monkeypatch.setattr(lattice_lm, "SERVES", 2)  # frequent words' rows serve two groups each

@@ -284,15 +284,16 @@ def user_series(spark, d) -> DataFrame:
         F.col("user_id").cast("long").alias("sample_id"), F.to_date("ts").alias("day"), "event_type"
     ).where("sample_id IS NOT NULL AND day IS NOT NULL AND event_type IS NOT NULL")
     frame = e.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.array_sort(F.collect_set("event_type")).alias("kinds"))  # one row
-    counts = e.groupBy("sample_id", "event_type", "day").agg(F.count("*").alias("n"))
-    key = lambda kind, day: F.concat_ws(":", kind, day.cast("string"))
-    per = counts.groupBy("sample_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(key(F.col("event_type"), F.col("day")), F.col("n").cast("double")))).alias("m"),
-        F.sum("n").alias("total")
+    counts = e.repartition("sample_id").groupBy("sample_id", "event_type", "day").agg(F.count("*").alias("n"))  # the one shuffle
+    each = counts.groupBy("sample_id", "event_type").agg(
+        F.map_from_entries(F.collect_list(F.struct("day", F.col("n").cast("double")))).alias("m"), F.sum("n").alias("n")
     )
+    per = each.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "m"))).alias("m"), F.sum("n").alias("total"))
     days = F.sequence("first", "last", F.expr("INTERVAL 1 DAY"))
-    value = F.transform("kinds", lambda kind: F.transform(days, lambda t: F.coalesce(F.try_element_at(F.col("m"), key(kind, t)), F.lit(0.0))))
-    return per.crossJoin(F.broadcast(frame)).select("sample_id", value.alias("value"), (F.col("total") % 2).cast("int").alias("label"))
+    one = lambda m: F.transform(days, lambda t: F.coalesce(F.try_element_at(m, t), F.lit(0.0)))
+    value = F.transform(F.transform("kinds", lambda kind: F.try_element_at(F.col("m"), kind)), one)
+    out = per.crossJoin(F.broadcast(frame)).select("sample_id", value.alias("value"), (F.col("total") % 2).cast("int").alias("label"))
+    return written(out, "series")  # read by several searches and joins
 
 
 _SERIES = """fr AS (SELECT min(ts::DATE) AS f, date_diff('day', min(ts::DATE), max(ts::DATE)) + 1 AS days FROM events),
@@ -309,8 +310,8 @@ n AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER B
  WHERE rank <= 5)"""
 
 
-def _ts_near(spark, d, metric, k=5):
-    s = user_series(spark, d)
+def _ts_near(spark, d, metric, k=5, rows=None):
+    s = user_series(spark, d) if rows is None else rows
     return knn(s.where("label = 1"), s.where("label = 0"), k, metric, "series", digits=9)
 
 
@@ -385,7 +386,7 @@ def tau_mad(spark, d):
 SELECT query_id, rank, round(avg(abs(a - b)), 6) AS proximity, round(avg((a <> b)::INT), 6) AS sparsity FROM p GROUP BY ALL""")
 def ts_proximity_sparsity(spark, d):
     s = user_series(spark, d)
-    n = _ts_near(spark, d, "euclidean")
+    n = _ts_near(spark, d, "euclidean", rows=s)
     j = n.join(
         s.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a")), "query_id"
     ).join(s.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b")), "train_id")
@@ -403,7 +404,8 @@ x AS (SELECT i.query_id, cand_rank, gr.ch, gr.t, median(gr.n) AS m FROM i JOIN n
  JOIN gr ON gr.id = n.train_id GROUP BY ALL)
 SELECT query_id, cand_rank, round(sum(m), 6) AS total FROM x GROUP BY ALL""")
 def ts_progressive_median(spark, d):
-    out = combine.progressive_series_medians(_ts_near(spark, d, "euclidean"), user_series(spark, d))
+    s = user_series(spark, d)
+    out = combine.progressive_series_medians(_ts_near(spark, d, "euclidean", rows=s), s)
     return out.select("query_id", "cand_rank", F.round(F.aggregate(F.flatten("value"), F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
 
@@ -1380,7 +1382,8 @@ def tfidf_sublinear(spark, d):
  JOIN gr c ON c.id = n.train_id AND c.ch = q.ch AND c.t = q.t GROUP BY ALL)
 SELECT query_id, rank, round(avg(gap), 6) AS proximity, round(avg((gap > 1e-6)::INT), 6) AS sparsity FROM p GROUP BY ALL""")
 def baseline_series_objectives(spark, d):
-    s, n = user_series(spark, d), _ts_near(spark, d, "euclidean")
+    s = user_series(spark, d)
+    n = _ts_near(spark, d, "euclidean", rows=s)
     j = n.join(s.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a")), "query_id")
     j = j.join(s.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b")), "train_id")
     near, sparse = scores.baseline_series(F.col("a"), F.col("b"))
@@ -1395,7 +1398,8 @@ m AS (SELECT query_id, rank, part, avg((a <> b)::INT) AS s FROM p GROUP BY ALL),
 SELECT query_id, rank, round(any_value(p), 6) AS proximity, round(avg(s), 6) AS sparsity FROM m JOIN x USING (query_id, rank) GROUP BY ALL""")
 def split_series_objectives(spark, d):
     """Two groups of channels: proximity over all values together, sparsity as the mean of both groups'."""
-    s, n = user_series(spark, d), _ts_near(spark, d, "euclidean")
+    s = user_series(spark, d)
+    n = _ts_near(spark, d, "euclidean", rows=s)
     part = lambda v, first: F.slice(v, 1, 2) if first else F.slice(v, 3, F.size(v) - 2)
     j = n.join(s.select(F.col("sample_id").alias("query_id"), F.col("value").alias("a")), "query_id")
     j = j.join(s.select(F.col("sample_id").alias("train_id"), F.col("value").alias("b")), "train_id")

@@ -242,3 +242,31 @@ def test_products_keep_what_can_be_nearest():
         assert (got[want <= edge] == want[want <= edge]).all() and ((got == want) | np.isinf(got)).all()
         if shift == 0 and scale == 1:
             assert np.isinf(got).mean() > 0.9
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_nearest_by_products_equals_plain_distances(monkeypatch, exclude_self):
+    from contrapoint.functions import products
+
+    monkeypatch.setattr(products, "ROWS", 16)
+    monkeypatch.setattr(products, "COLUMNS", 32)
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=(150, 12))
+    sides = [
+        (rng.poisson(0.4, (70, 3, 6)).astype(float), rng.poisson(0.4, (150, 3, 6)).astype(float)), (near[:70], near), (near[:70] * 1e-3 + 1e4, near * 1e-3 + 1e4),
+        (near[:70].round(0), near.round(0)),
+    ]
+    for q, c in sides:
+        own, ids = np.arange(70) * 3, rng.permutation(150)
+        for k, digits in ((1, None), (5, 9), (40, 1), (200, None)):
+            got = products.nearest(products.fitting(q, c), own, ids, k, digits, exclude_self)
+            want = []
+            for i, row in enumerate(q):
+                d = np.sqrt(((c - row) ** 2).sum(-1))
+                d = d.sum(1) if d.ndim == 2 else d
+                d = d if digits is None else d.round(digits)
+                order = [j for j in np.lexsort((ids, d)) if not exclude_self or ids[j] != own[i]][:k]
+                want += [(i, int(ids[j]), d[j]) for j in order]
+            assert [(int(r), int(n)) for r, n, _ in zip(*got, strict=True)] == [w[:2] for w in want]
+            assert got[2] == pytest.approx([w[2] for w in want])
+    assert products.fitting(np.full((2, 3), np.nan), np.ones((2, 3))) is None and products.fitting(np.full((2, 2, 3), 0.5), np.ones((2, 2, 3))) is None

@@ -434,6 +434,16 @@ def test_runs_are_found_and_read(spark, tmp_path):
     assert [(r.outcome, r.n_feasible) for r in tables.genetic_means(found).collect()] == [(0.5, 1)]
 
 
+def test_gradient_of_many_queries_equals_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(baselines, "DESCENTS", 3)  # several blocks, and rows of other lengths within them
+    w = np.stack([np.where(np.arange(4) < 2, 1.0, -1.0), np.where(np.arange(4) < 2, -1.0, 1.0)], 1)
+    rows = [(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(11)]
+    find = lambda some: {(r.query_id, r.cand_rank): r.value for r in baselines.gradient_logistic(spark.createDataFrame(some, "sample_id int, value array<float>").coalesce(1), w, np.zeros(2), 0, 2, 40).collect()}
+    got, want = find(rows), {key: v for row in rows[:4] for key, v in find([row]).items()}
+    assert {i for i, _ in got} <= set(range(11)) and want and all(got[key] == pytest.approx(v) for key, v in want.items())
+    assert {key for key in got if key[0] < 4} == set(want)
+
+
 def test_convolutions_svd_series_gradient_and_best_branch(spark):
     from contrapoint.operators import models
 

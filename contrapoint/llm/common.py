@@ -81,6 +81,13 @@ def drop_staged(spark: SparkSession, since: int = 0, but: int = 0) -> int:
     return len(gone)
 
 
+def give_back() -> None:
+    """Gives what the process has freed back to the system, else an idle worker keeps it while the JVM beside it grows."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_cache(owner: str, hold: bool = False) -> dict:
     """A dictionary that lives as long as the Python process, for models and words that an operator's tasks share.
 
@@ -92,10 +99,9 @@ def worker_cache(owner: str, hold: bool = False) -> dict:
         cache.clear()
         cache["owner"] = owner
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such calls
+        give_back()
+        with contextlib.suppress(OSError, AttributeError):
             libc = ctypes.CDLL(None)
-            libc.malloc_trim(0)
             if not hold:
                 pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps what it frees
                 libc.mallopt(M_MMAP_THRESHOLD, LARGE)

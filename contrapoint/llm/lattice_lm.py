@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, small_batches, staged, staged_so_far, worker_cache
+from .common import drop_staged, give_back, small_batches, staged, staged_so_far, worker_cache
 
 #: Offset of a ranked piece's weight, smoothing of the base, bytes of a group, documents of a step, words that a task holds
 #: counts of.
@@ -456,6 +456,7 @@ def _cached(sent, make):
     if cache.get("made", (None,))[0] != key:
         cache.pop("made", None)
         cache["made"] = key, make(value)
+        give_back()  # making a model frees more than it keeps
     return cache["made"][1]
 
 
@@ -503,6 +504,8 @@ def _uses(words: DataFrame, pieces: dict[str, float], pairs: bool) -> DataFrame:
             for at in range(0, len(kept), 20_000):
                 own = kept[at : at + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(keys[own]), pa.array(uses[own])], names=["z", "key", "n"])
+        del found
+        give_back()
 
     return words.mapInArrow(run, "z int, key long, n double").groupBy("z", "key").agg(F.sum("n").alias("n"))
 
@@ -643,6 +646,8 @@ def score(docs: DataFrame, pieces: dict[str, float], held_out, of_class: Column
                 held, size = [], 0
         if held:
             yield from _summed(held)
+        del held
+        give_back()
 
     spark, since = docs.sparkSession, staged_so_far()
     counts = staged(rows.select("text", "z").mapInArrow(count, "word string, z int, n long").groupBy("word", "z").agg(F.sum("n").alias("n")), "counts")
@@ -659,6 +664,7 @@ def score(docs: DataFrame, pieces: dict[str, float], held_out, of_class: Column
     def weigh(batches):
         made = _cached(sent, lambda x: Model(*x))
         yield from (logs(made, batch) for batch in _gathered(batches))
+        give_back()
 
     words_ = counts.groupBy("word").agg(F.sum("n").alias("c"))
     weighed = words_.mapInArrow(weigh, "word string, c long, logs array<float>") if rest is None else _weighed_by_join(words_, rest, sent, logs)
@@ -676,11 +682,13 @@ def score(docs: DataFrame, pieces: dict[str, float], held_out, of_class: Column
     none = rows.where(~worded).select("doc_id", "held_out", F.lit(1).cast("long").alias("n_tokens"), F.lit(int(ends > 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.lit(end).alias("base_score"), F.lit(float(np.logaddexp.reduce(prior) / LOG10)).alias("score"), F.lit(0.0).alias("unigram_score"))
 
     def distinct_words(table: pa.Table) -> pa.Table:
+        worker_cache("lattice_lm texts")  # the model is of no more use
         parts = [_words(batch.column("text"))[0].unique() for batch in table.to_batches(max_chunksize=STEP_DOCS)]
         every = pa.chunked_array(parts).unique()
         return pa.table([pa.array(np.full(len(every), table["g"][0].as_py(), np.int64)), every], names=["g", "word"])
 
     def sums(texts: pa.Table, own: pa.Table) -> pa.Table:
+        worker_cache("lattice_lm texts")
         c, logs = own["c"].to_numpy(), np.empty((0, classes + 1))
         if own.num_rows:
             logs = own["logs"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, classes + 1).astype(np.float64)
@@ -699,6 +707,7 @@ def score(docs: DataFrame, pieces: dict[str, float], held_out, of_class: Column
                 pa.array(np.full(len(lens), total, np.int64)), pa.array(add(plain) + end), pa.array(whole / LOG10), pa.array(add(logs[:, classes]) / LOG10),
             ]
             out.append(pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "unigram_score"]))
+        give_back()
         return pa.concat_tables(out)
 
     # Both uses of the texts read the same exchange.

@@ -6,6 +6,8 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from contrapoint.llm import byte_bpe, disclosure, gru_language, lattice_lm, minhash, packing, queries, subword_classifier
-from contrapoint.llm.common import connected_components, held_out, labelled_sample
+from contrapoint.llm.common import connected_components, held_out, labelled_sample, worker_cache
 
 DATA = "/root/testdata/sf0.001"
 AWKWARD = [
@@ -680,3 +682,20 @@ def test_plan_fills_every_rank_once():
                 assert offset == at
                 at += length
             assert at <= 40
+
+
+def test_a_model_that_is_made_leaves_no_freed_memory():
+    """What making a model takes goes back to the system, not only what lies at the heap's end."""
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def make(value):
+        return [np.ones(8000) for _ in range(4000)][::20]  # 256 MB, of which 13 lie between what is freed
+
+    worker_cache("another")
+    before = held()
+    assert len(lattice_lm._cached(SimpleNamespace(value=("key", None)), make)) == 200
+    after = held()
+    worker_cache("another")
+    assert after - before < 60

@@ -18,10 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, small_batches, worker_cache
+from .common import give_back, labelled_sample, small_batches, worker_cache
 
 #: Labelled rows that train at most; vectors and their length; passes and first learning rate; words a task remembers.
 SAMPLE, BUCKETS, DIM, EPOCHS, RATE, KEPT_WORDS = 2000, 1 << 16, 16, 4, 0.5, 150_000
+#: Texts of a step and new words whose features are looked up at a time, so that a worker's memory has no peaks.
+STEP, STEP_WORDS = 100, 4000
 #: Bytes of the sample's texts at most.
 SAMPLE_BYTES = 16_000_000
 #: Steps at least, so that few rows are passed more often.
@@ -72,11 +74,14 @@ class Features:
             self.__init__()
             new = list(set().union(*words))
         if new:
-            buckets, counts, hashes = word_features(new)
-            sums = np.add.reduceat(table[buckets], np.cumsum(counts) - counts)
+            parts = []
+            for a in range(0, len(new), STEP_WORDS):
+                buckets, counts, hashes = word_features(new[a : a + STEP_WORDS])
+                parts.append((hashes, counts, np.add.reduceat(table[buckets], np.cumsum(counts) - counts)))
+            hashes, counts, sums = zip(*parts, strict=True)
             self.rows.update(zip(new, range(len(self.hash), len(self.hash) + len(new)), strict=True))
-            self.hash, self.count = np.concatenate([self.hash, hashes]), np.concatenate([self.count, counts])
-            self.sums = sums if self.sums is None else np.concatenate([self.sums, sums])
+            self.hash, self.count = np.concatenate([self.hash, *hashes]), np.concatenate([self.count, *counts])
+            self.sums = np.concatenate([*([] if self.sums is None else [self.sums]), *sums])
         lens = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(words)), np.int64, lens.sum())
         total, number = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), np.int64)
@@ -153,11 +158,13 @@ def score(docs: DataFrame, model, out: str = "score") -> DataFrame:
         features = Features()
         for batch in batches:
             found = []
-            for at in range(0, len(batch), 500):
-                total, number = features.texts(pc.cast(batch.slice(at, 500), pa.binary()).to_pylist(), table)
+            for at in range(0, len(batch), STEP):
+                total, number = features.texts(pc.cast(batch.slice(at, STEP), pa.binary()).to_pylist(), table)
                 z = total / np.maximum(number, 1)[:, None] @ weights + bias
                 found.append(1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -700, 700))))
             yield pa.array(np.concatenate([*found, np.empty(0)]))
+        del features
+        give_back()
 
     # Called non-deterministic so that a filter on the result does not run it twice.
     udf = F.arrow_udf(run, "double").asNondeterministic()

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -684,6 +685,18 @@ def test_plan_fills_every_rank_once():
             assert at <= 40
 
 
+def test_new_words_of_a_text_take_little_memory():
+    """Features of many new words are looked up a few at a time."""
+    table, words = np.ones((subword_classifier.BUCKETS, subword_classifier.DIM), np.float32), [b"word%09d" % i for i in range(40_000)]
+    features = subword_classifier.Features()
+    tracemalloc.start()
+    total, number = features.texts([b" ".join(words)], table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    assert number[0] == 40_000 * (1 + 13 + 12) + 39_999 and np.allclose(total[0], number[0])
+
+
 def test_a_model_that_is_made_leaves_no_freed_memory():
     """What making a model takes goes back to the system, not only what lies at the heap's end."""
 

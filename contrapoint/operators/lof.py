@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kept import written
@@ -16,10 +16,18 @@ def neighbour_count(n: int, most: int = 20) -> int:
     return max(2, min(most, n - 1))
 
 
-def fit(reference: DataFrame, k: int | None = None) -> DataFrame:
-    """Each reference row's k-distance and local reachability density: (``sample_id``, ``value``, ``k_distance``, ``lrd``)."""
-    k = k or neighbour_count(reference.count())
-    own = knn(reference, reference, k, exclude_self=True)
+def neighbours(reference: DataFrame, k: int) -> DataFrame:
+    """Each reference row's k nearest others, written: the search is the work, and its lists are read more than once."""
+    return written(knn(reference, reference, k, exclude_self=True), "neighbours")
+
+
+def fit(reference: DataFrame, k: int | None = None, own: DataFrame | None = None) -> DataFrame:
+    """Each reference row's k-distance and local reachability density: (``sample_id``, ``value``, ``k_distance``, ``lrd``).
+
+    ``own`` are the reference's ``neighbours``, where they are there already.
+    """
+    if own is None:
+        own = neighbours(reference, k or neighbour_count(reference.count()))
     far = own.groupBy("query_id").agg(F.max("distance").alias("k_distance"))
     reach = own.join(
         far.select(F.col("query_id").alias("train_id"), "k_distance"), "train_id"
@@ -34,7 +42,20 @@ def score(fitted: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     A query that is itself a reference row counts as a new point, so it is its own nearest neighbour.
     """
-    near = knn(queries, fitted, k).join(fitted.select(F.col("sample_id").alias("train_id"), "k_distance", "lrd"), "train_id")
+    return _factors(knn(queries, fitted, k), fitted)
+
+
+def score_reference(fitted: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """``score`` of the reference rows as new points, from their ``neighbours``: a row itself is one more, at distance 0."""
+    finite = F.coalesce(F.forall("value", lambda x: F.abs(x.cast("double")) < float("inf")), F.lit(False))  # NaN is the largest
+    selves = fitted.where(finite).select(F.col("sample_id").alias("query_id"), F.col("sample_id").alias("train_id"), F.lit(0.0).alias("distance"))
+    near = own.select("query_id", "train_id", "distance").unionByName(selves)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "train_id"))
+    return _factors(near.withColumn("rank", rank).where(F.col("rank") <= k), fitted)
+
+
+def _factors(near: DataFrame, fitted: DataFrame) -> DataFrame:
+    near = near.join(fitted.select(F.col("sample_id").alias("train_id"), "k_distance", "lrd"), "train_id")
     sums = near.groupBy("query_id").agg((1 / (F.avg(F.greatest("distance", "k_distance")) + TINY)).alias("own"), F.avg("lrd").alias("around"))
     return sums.select(F.col("query_id").alias("sample_id"), (F.col("around") / F.col("own")).alias("lof"))
 
@@ -54,7 +75,8 @@ class Plausibility:
     def __init__(self, reference: DataFrame, most: int = 20):
         self.reference, self.n = reference, reference.count()
         self.k = neighbour_count(self.n, most)
-        self.fitted = written(fit(reference, self.k), "fitted") if self.n > 2 else None
+        self.own = neighbours(reference, self.k) if self.n > 2 else None
+        self.fitted = written(fit(reference, self.k, self.own), "fitted") if self.n > 2 else None
 
     def raw(self, queries: DataFrame) -> DataFrame:
         """(``sample_id``, ``lof``)."""
@@ -71,7 +93,9 @@ class Plausibility:
         """
         from ..functions.scores import unit_interval, with_percentile_rank
 
-        own, raw = self.raw(self.reference), self.raw(queries)
+        # No search for the reference's own factors: its neighbours are known.
+        own = score_reference(self.fitted, self.own, min(self.k, self.n)) if self.fitted is not None else self.raw(self.reference)
+        own, raw = written(own, "own"), written(self.raw(queries), "raw")  # both are read several times below
         if how == "percentile":
             own, raw = (df.withColumn("lof", F.round("lof", 9)) for df in (own, raw))
             return with_percentile_rank(raw, "lof", own, "lof", "plausibility").select("sample_id", "plausibility")

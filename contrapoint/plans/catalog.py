@@ -434,7 +434,7 @@ s AS (SELECT n1.id, any_value(label) AS label, avg(lrd) * (avg(greatest(d, kd))
 
 def _lof_scores(spark, d):
     e = embeddings(spark, d)
-    fitted = lof.fit(e.where(F.col("label") == TARGET), K_LOF)
+    fitted = written(lof.fit(e.where(F.col("label") == TARGET), K_LOF), "fitted")  # read by the search and after it
     return lof.score(fitted, e, K_LOF).join(e.select("sample_id", "label"), "sample_id")
 
 
@@ -446,7 +446,7 @@ def lof_score(spark, d):
 
 @_query(f"{_LOF}, q AS (SELECT *, round(lof, 9) AS x FROM s), f AS (SELECT x FROM q WHERE label = {TARGET}) SELECT id AS sample_id, round((SELECT count(*) FROM f WHERE f.x <= q.x) / (SELECT count(*) FROM f), 6) AS plausibility FROM q")
 def lof_percentile(spark, d):
-    s = _lof_scores(spark, d).withColumn("lof", F.round("lof", 9))
+    s = written(_lof_scores(spark, d).withColumn("lof", F.round("lof", 9)), "factors")
     out = scores.with_percentile_rank(s, "lof", s.where(F.col("label") == TARGET), "lof", "plausibility")
     return _rounded(out.select("sample_id", "plausibility"), "plausibility")
 
@@ -454,7 +454,7 @@ def lof_percentile(spark, d):
 @_query(f"""{_LOF}, b AS (SELECT quantile_cont(lof, 0.05) AS low, quantile_cont(lof, 0.95) AS high FROM s WHERE label = {TARGET})
 SELECT id AS sample_id, round(least(greatest((lof - low) / (high - low), 0), 1), 6) AS plausibility FROM s, b""")
 def lof_unit_interval(spark, d):
-    s = _lof_scores(spark, d)
+    s = written(_lof_scores(spark, d), "factors")  # else the bounds would search once more
     low, high = lof.bounds(s.where(F.col("label") == TARGET)).first()
     return s.select("sample_id", F.round(scores.unit_interval(F.col("lof"), F.lit(low), F.lit(high)), 6).alias("plausibility"))
 

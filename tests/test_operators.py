@@ -89,6 +89,20 @@ def test_lof_by_brute_force(spark):
     assert lof.neighbour_count(3) == 2 and lof.neighbour_count(100) == 20
 
 
+def test_a_references_own_factors_need_no_search(spark, monkeypatch):
+    """Copies, ties and values that are not finite included; scaling searches once for the fit and once for the queries."""
+    x = np.random.default_rng(5).integers(0, 4, (60, 3)).astype(float)
+    x[7, 1], x[8, 0] = np.inf, np.nan
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample_id long, value array<double>")
+    searches, search = [], lof.knn
+    monkeypatch.setattr(lof, "knn", lambda *a, **b: searches.append(a) or search(*a, **b))
+    p = lof.Plausibility(df, 6)
+    got, want = ({r.sample_id: r.lof for r in rows.collect()} for rows in (lof.score_reference(p.fitted, p.own, p.k), p.raw(df)))
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in got], [want[i] for i in got], equal_nan=True)
+    searches.clear()
+    assert lof.Plausibility(df, 6).scaled(df.where("sample_id < 5")).count() == 5 and len(searches) == 2
+
+
 def test_plausibility(spark):
     x = [(i, [float(i % 5), float(i // 5)]) for i in range(25)]
     ref = spark.createDataFrame(x, "sample_id long, value array<double>")

@@ -270,3 +270,23 @@ def test_nearest_by_products_equals_plain_distances(monkeypatch, exclude_self):
             assert [(int(r), int(n)) for r, n, _ in zip(*got, strict=True)] == [w[:2] for w in want]
             assert got[2] == pytest.approx([w[2] for w in want])
     assert products.fitting(np.full((2, 3), np.nan), np.ones((2, 3))) is None and products.fitting(np.full((2, 2, 3), 0.5), np.ones((2, 2, 3))) is None
+
+
+@pytest.mark.parametrize(("n", "m", "window"), [(9, 9, 0.2), (9, 9, None), (9, 9, 0.0), (6, 11, None), (1, 1, None), (20, 14, 0.4)])
+@pytest.mark.parametrize("most", [2, 9, 60])
+def test_small_counts_are_warped_by_diagonals(monkeypatch, n, m, window, most):
+    """In a byte where a query's nearest fit, else in two; equal to plain warping, far pairs left out."""
+    rng = np.random.default_rng(n + most)
+    q, c = rng.integers(-1, most, (11, 2, n)).astype(float), rng.integers(-1, most, (70, 2, m)).astype(float)
+    monkeypatch.setattr(series, "COLUMNS", 32)
+    monkeypatch.setattr(series, "COSTS", 4000)  # the costs of few queries at a time
+    monkeypatch.setattr(series, "_Warping", None)  # no pair is left to warping in cells
+    found = [f(q, c, window, k=4) for f in (series.dtw, series.dtw_dependent)]
+    monkeypatch.undo()
+    for f, got in zip((series.dtw, series.dtw_dependent), found, strict=True):
+        every = f(q, c, window)
+        near = every <= np.partition(every, 3, axis=1)[:, 3:4]
+        assert (got[near] == every[near]).all() and (np.isinf(got) | (got == every)).all()
+    if n == m:
+        band = n if window is None else int(window * n)
+        assert np.isin(found[0], [np.inf, *{sum(_dtw(a[ch], b[ch], band) for ch in range(2)) for b in c for a in q}]).all()

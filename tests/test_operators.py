@@ -661,3 +661,33 @@ def test_texts_are_held_in_parts(spark, monkeypatch, metric):
 
     monkeypatch.setattr(search.text, "kernel", lambda name: counted)
     assert sorted(map(tuple, knn(df, df, 3, metric, "text", digits=9).collect())) == want
+
+
+@pytest.mark.parametrize("metric", ["dtw", "dtw_dependent", "lcss"])
+def test_equal_series_are_searched_once(spark, monkeypatch, metric):
+    """Copies of queries and candidates get the lists that a search of each alone gives; parts of a shard are joined."""
+    from contrapoint.functions import series
+    from contrapoint.operators import search
+
+    rng, rows = np.random.default_rng(11), []
+    distinct = rng.integers(0, 3, (30, 2, 6)).astype(float)
+    for i in range(120):
+        rows.append((i, distinct[i % 30].tolist()))
+    q = spark.createDataFrame(rows, "sample_id long, value array<array<double>>")
+    c = q.select((F.col("sample_id") + 1000).alias("sample_id"), "value")
+    every = series.KERNELS[metric](distinct, distinct)
+    plain, pairs = series.KERNELS[metric], spark.sparkContext.accumulator(0)
+
+    def counted(a, b, k=None):
+        pairs.add(len(a) * len(b))
+        return plain(a, b, k=k)
+
+    monkeypatch.setitem(series.KERNELS, metric, counted)
+    monkeypatch.setattr(search, "SHARD", 16)
+    got = {}
+    for r in knn(q, c, 3, metric, "series", digits=9).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.train_id, r.distance))
+    for i in range(120):
+        want = sorted((round(float(every[i % 30, j % 30]), 9), 1000 + j) for j in range(120))[:3]
+        assert got[i] == [(j, d) for d, j in want]
+    assert pairs.value == 30 * 90

@@ -691,3 +691,30 @@ def test_equal_series_are_searched_once(spark, monkeypatch, metric):
         want = sorted((round(float(every[i % 30, j % 30]), 9), 1000 + j) for j in range(120))[:3]
         assert got[i] == [(j, d) for d, j in want]
     assert pairs.value == 30 * 90
+
+
+def test_levels_leave_out_what_is_far():
+    """Whatever can be nearest is exact; values outside the columns' limits, columns of one value and categories included."""
+    rng = np.random.default_rng(3)
+    for spread, kinds in ((1.0, np.arange(40) >= 38), (4.0, np.arange(40) >= 30)):
+        q, c = spread * rng.normal(size=(30, 40)), rng.normal(size=(3000, 40))
+        c[50:60], c[:, 3], q[4] = c[0], 1.0, c[7]
+        q[:, kinds], c[:, kinds] = rng.integers(0, 3, (30, kinds.sum())), rng.integers(0, 3, (3000, kinds.sum()))
+        f = baselines.heom_kernel(c.min(0), c.max(0), kinds)
+        every, some = f(q, c), f(q, c, 5)
+        near = every <= np.partition(every, 4, axis=1)[:, 4:5]
+        assert (some[near] == every[near]).all() and (np.isinf(some) | (some == every)).all() and (spread > 1 or np.isinf(some).mean() > 0.2)
+    c[9, 2] = np.nan
+    assert np.array_equal(f(q, c, 5), f(q, c), equal_nan=True)
+
+
+def test_a_callable_of_vectors_searches_equal_rows_once(spark):
+    pairs = spark.sparkContext.accumulator(0)
+
+    def f(q, c):
+        pairs.add(len(q) * len(c))
+        return np.abs(np.asarray(q)[:, None] - np.asarray(c)[None]).sum(2)
+
+    df = spark.createDataFrame([(i, [float(i % 10), 1.0]) for i in range(50)], "sample_id long, value array<double>")
+    got = {(r.query_id, r.rank): (r.train_id, r.distance) for r in knn(df, df, 2, f, digits=9).collect()}
+    assert got == {(i, r): (i % 10 + 10 * (r - 1), 0.0) for i in range(50) for r in (1, 2)} and pairs.value == 10 * 20

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType
@@ -91,13 +92,41 @@ def word_vector_mean(texts: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     )
 
 
+#: Tokens whose neighbours are counted together, short of a text more.
+TOKENS = 1 << 18
+
+
+def _neighbours(batches, window: int):
+    """(``a``, ``near``): what stands within ``window`` tokens of each word of some texts, and how often; the next texts' are further rows."""
+    for batch in batches:
+        texts = batch.column(0)
+        ends = np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, TOKENS)), len(ends)))
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            part = texts.slice(first, last - first)
+            words = part.flatten().dictionary_encode()
+            codes, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+            text = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
+            keys = [np.empty(0, np.int64)]
+            for gap in range(1, min(window, len(codes) - 1) + 1):
+                same = text[gap:] == text[:-gap]
+                left, right = codes[:-gap][same], codes[gap:][same]
+                keys += [left * len(names) + right, right * len(names) + left]
+            keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+            a, b = np.divmod(keys, max(len(names), 1))
+            starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.empty(0, np.int64)
+            pairs = pa.StructArray.from_arrays([names.take(pa.array(b)), pa.array(counts.astype(np.int64))], names=["b", "n"])
+            near = pa.ListArray.from_arrays(pa.array(np.append(starts, len(a)).astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(a[starts])), near], names=["a", "near"])
+
+
 def cooccurrence_vectors(texts: DataFrame, dim: int = 64, window: int = 4, seed: int = 0, only: DataFrame | None = None) -> DataFrame:
     """(``word``, ``vec``): unit vectors learned from which words stand within ``window`` tokens of each other in ``texts``.
 
     A word's neighbours weigh by their positive pointwise information, ln(n(a, b) * n / (n(a) * n(b))), where n counts pairs
     in both directions. Every neighbour's weight is added, with a drawn sign, at one of ``dim`` drawn places, so words of
     like neighbours have near vectors and no matrix is held. A word without neighbours has no row; one whose neighbours all
-    weigh nothing has zeros. Pairs are counted in partitions before they are shuffled, once. With ``only`` (``word``) these
+    weigh nothing has zeros. Pairs are counted in some texts at a time before they are shuffled, once. With ``only`` (``word``) these
     words alone have vectors, the same as without it, and only their pairs are counted; totals come from the words' places.
     """
     from ..functions.text import tokens
@@ -106,12 +135,10 @@ def cooccurrence_vectors(texts: DataFrame, dim: int = 64, window: int = 4, seed:
     reach = lambda t, i: F.struct(t.alias("a"), (F.least(i, F.lit(window)) + F.least(F.size("w") - 1 - i, F.lit(window))).alias("n"))
     totals = written(w.select(F.inline(F.transform("w", reach))).groupBy("a").agg(F.sum("n").alias("na")), "totals")
     n = F.lit(float(totals.agg(F.sum("na")).first()[0] or 0))
-    w = w.select("w", F.explode(F.sequence(F.lit(1), F.least(F.lit(window), F.size("w") - 1))).alias("gap"))
-    left, right = F.slice("w", F.lit(1), F.size("w") - F.col("gap")), F.slice("w", F.col("gap") + 1, F.size("w"))
-    both = w.select(F.inline(F.concat(F.arrays_zip(left.alias("a"), right.alias("b")), F.arrays_zip(right.alias("a"), left.alias("b")))))
+    near = w.mapInArrow(lambda batches: _neighbours(batches, window), "a string, near array<struct<b: string, n: long>>")
     if only is not None:
-        both = both.join(only.select(F.col("word").alias("a")).distinct(), "a", "left_semi")
-    pairs = both.groupBy("a", "b").agg(F.count("*").alias("n"))
+        near = near.join(only.select(F.col("word").alias("a")).distinct(), "a", "left_semi")
+    pairs = near.select("a", F.inline("near")).groupBy("a", "b").agg(F.sum("n").alias("n"))
     gain = F.greatest(F.log(F.col("n") * n / (F.col("na") * F.col("nb"))), F.lit(0.0))
     weighed = pairs.join(totals, "a").join(totals.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
     place, sign = draw(seed, F.col("b")) % dim, draw(seed + 1, F.col("b")) % 2 * 2 - 1

@@ -718,3 +718,23 @@ def test_a_callable_of_vectors_searches_equal_rows_once(spark):
     df = spark.createDataFrame([(i, [float(i % 10), 1.0]) for i in range(50)], "sample_id long, value array<double>")
     got = {(r.query_id, r.rank): (r.train_id, r.distance) for r in knn(df, df, 2, f, digits=9).collect()}
     assert got == {(i, r): (i % 10 + 10 * (r - 1), 0.0) for i in range(50) for r in (1, 2)} and pairs.value == 10 * 20
+
+
+def test_neighbours_are_counted_before_they_leave_a_task(monkeypatch):
+    """One row for each word of some texts, whatever its uses; no pair reaches over texts."""
+    import pyarrow as pa
+
+    texts = [["a", "b"] * 50, ["a"], ["c", "a", "b"], [], ["b", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.list_(pa.string()))], names=["w"])
+    want = {}
+    for t in texts:
+        for i, j in ((i, j) for i in range(len(t)) for j in range(len(t)) if 0 < abs(i - j) <= 3):
+            want[t[i], t[j]] = want.get((t[i], t[j]), 0) + 1
+    for most in (1 << 18, 4):
+        monkeypatch.setattr(encoders, "TOKENS", most)
+        rows = [r for x in encoders._neighbours([batch, batch.slice(0, 0)], 3) for r in x.to_pylist()]
+        got = {}
+        for r in rows:
+            for x in r["near"]:
+                got[r["a"], x["b"]] = got.get((r["a"], x["b"]), 0) + x["n"]
+        assert got == want and (most == 4 or len(rows) == 3)
